@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from millrace.llm import bpe, exact_dedup, mixing, simhash
+from millrace.llm import bpe, exact_dedup, mixing, quality, simhash, toxicity
 from millrace.llm.common import read_table
 
 
@@ -47,9 +47,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(read_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return quality.scored(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.train(docs, read_table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_quality": op4_quality,
         "op6_simhash": op6_simhash,
+        "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
