@@ -34,8 +34,8 @@ from pyspark.sql import types as T
 from millrace.llm.common import slices, texts
 
 #: States and cached pre-tokens that one Python worker keeps at most.
-MAX_STATES = 160_000
-MAX_PIECES = 300_000
+MAX_STATES = 400_000
+MAX_PIECES = 800_000
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
