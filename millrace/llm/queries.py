@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, exact_dedup, media, mixing, quality, simhash, toxicity
+from millrace.llm import bpe, chat, exact_dedup, line_dedup, media, mixing, quality, simhash, toxicity
 from millrace.llm.common import read_table
 
 
@@ -86,11 +87,17 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.described(media.stored(read_table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = line_dedup.deduplicated_lines(read_table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "deleted_lines", F.size("deleted_lines").alias("n_deleted"), F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_media_columns": op2_media_columns,
         "op4_quality": op4_quality,
+        "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
         "op7_toxicity": op7_toxicity,
         "op8_mixing": op8_mixing,
