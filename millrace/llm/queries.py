@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, exact_dedup, line_dedup, media, mixing, quality, simhash, toxicity
+from millrace.llm import bpe, chat, exact_dedup, language_model, line_dedup, media, mixing, quality, simhash, toxicity
 from millrace.llm.common import read_table
 
 
@@ -92,10 +92,15 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_lines", "deleted_lines", F.size("deleted_lines").alias("n_deleted"), F.length("text").alias("kept_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.scored(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat_formatting": op1_chat_formatting,
         "op2_media_columns": op2_media_columns,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_quality": op4_quality,
         "op5_line_dedup": op5_line_dedup,
         "op6_simhash": op6_simhash,
