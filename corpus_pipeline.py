@@ -1,15 +1,66 @@
-"""A training-corpus pipeline over ``documents``."""
+"""A training-corpus pipeline over ``documents``: filter, deduplicate, mix, tokenise.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the last
+return the columns of documents; the rows a stage leaves out are gone for the
+stages after it.  Null texts count as empty, extra columns are carried along.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from millrace.llm import bpe, exact_dedup, mixing, quality, simhash
+from millrace.llm.common import delete_path, read_table, shared_folder
+from millrace.llm.queries import tokenizer_path, tokenizer_pattern
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, fitted on the labelled ones among them."""
+    return quality.accepted(docs, quality.train(docs, read_table(spark, sf_dir, "labels")))
+
+
+def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.deduplicated(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near-equal fingerprints."""
+    return simhash.one_of_each(docs)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the target weights of their sources take them."""
+    return mixing.repeated(docs)
+
+
+def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
+    return bpe.round_trip(docs, tokenizer_path(), tokenizer_pattern())
+
+
+STAGES = [
+    ("quality classifier", quality_filter),
+    ("exact dedup", exact_duplicates),
+    ("SimHash near-dedup", near_duplicates),
+    ("source mixing", source_mix),
+    ("byte-level BPE", tokenised),
+]
+
+#: The classifier and the mixing have no SQL form; tests compare with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, function in STAGES:
-        docs = function(spark, docs, sf_dir)
+    """All stages, each written as Parquet to the shared folder and read again as the next one's documents."""
+    docs = read_table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, function) in enumerate(STAGES):
+        path = f"{folder}/{k}"
+        function(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+        if k:
+            delete_path(spark, f"{folder}/{k - 1}")
     return docs
