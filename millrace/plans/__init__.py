@@ -1 +1 @@
-
+"""Plans: reports and analytics composed of the operators."""

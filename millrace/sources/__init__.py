@@ -1 +1 @@
-
+"""Sources and sinks: board files, alert mails, seeds, table writers."""
