@@ -211,7 +211,7 @@ def statistics(train: DataFrame, words: Vocabulary) -> DataFrame:
                 sums.setdefault(block, np.zeros(cells, np.int64))[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    return train.select("text").mapInArrow(gather, "block int, cells binary, counts binary").repartition("block").mapInArrow(add, "block int, counts binary")
+    return train.select("text").mapInArrow(gather, "block int, cells binary, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").coalesce(BLOCKS)
 
 
 def rows_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -230,8 +230,8 @@ def log_softmax(weights: np.ndarray, contexts: np.ndarray) -> np.ndarray:
 def train_classes(table: DataFrame, iterations: int = ITERATIONS, ridge: float = RIDGE) -> np.ndarray:
     """Weights (ROWS x CLASSES) by gradient updates over the blocks of ``statistics``.
 
-    Each round sends the weights out and gets feature counts back, both of the
-    model's size.
+    Each round is one job that sends the weights out and gets feature counts back,
+    both of the model's size (at most 10 MB).
     """
     context = table.sparkSession.sparkContext
 
@@ -258,7 +258,7 @@ def train_classes(table: DataFrame, iterations: int = ITERATIONS, ridge: float =
                     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(rows).astype("<i4").tobytes()], pa.binary()), pa.array([np.concatenate(parts).astype("<f4").tobytes()], pa.binary())], ["rows", "sums"])
 
         total = np.zeros((ROWS, CLASSES))
-        for got in table.mapInArrow(run, "rows binary, sums binary").toLocalIterator():
+        for got in table.mapInArrow(run, "rows binary, sums binary").collect():
             rows = np.frombuffer(got["rows"], "<i4")
             np.add.at(total, rows, np.frombuffer(got["sums"], "<f4").reshape(len(rows), CLASSES))
         shared.destroy()
