@@ -92,7 +92,7 @@ def greenhouse(spark: SparkSession, path: str, source_id: int, settings: Setting
         jobs, settings, gazetteer,
         source_id=F.lit(source_id), external_id=j["id"].cast("string"), url=j["absolute_url"], title=j["title"],
         description_html=unescaped(_some(j["content"])), description_text=html_to_text(j["content"]),
-        department=deepest_department(j["departments"]), location_raw=j["location.name"],
+        department=deepest_department(j["departments"]), location_raw=j["location"]["name"],
         _remote=F.exists(offices, lambda o: F.coalesce(F.contains(F.lower(o["name"]), F.lit("remote")), F.lit(False))),
         employment_type=employment_type(employment_metadata(j["metadata"])), posted_at=iso_timestamp(j["updated_at"]),
         raw=F.to_json(F.struct(j["id"].alias("id"), j["internal_job_id"].alias("internal_job_id"), j["requisition_id"].alias("requisition_id"), j["updated_at"].alias("updated_at"), j["departments"].alias("departments"), offices.alias("offices"), j["metadata"].alias("metadata"))),
