@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import bpe, exact_dedup, mixing, quality, simhash
-from millrace.llm.common import delete_path, read_table, shared_folder
+from millrace.llm.common import delete_path, read_table, shared_folder, small_batches
 from millrace.llm.queries import tokenizer_path, tokenizer_pattern
 
 
@@ -23,22 +23,26 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts."""
+    small_batches(spark)
     return exact_dedup.deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-equal fingerprints."""
+    small_batches(spark)
     return simhash.one_of_each(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources take them."""
+    small_batches(spark)
     return mixing.repeated(docs)
 
 
 def tokenised(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the text decoded from them."""
-    return bpe.round_trip(docs, tokenizer_path(), tokenizer_pattern())
+    # by this stage the executors' heaps are full-grown: smaller caches leave them room
+    return bpe.round_trip(docs, tokenizer_path(), tokenizer_pattern(), max_states=80_000, max_pieces=160_000)
 
 
 STAGES = [
@@ -55,7 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, each written as Parquet to the shared folder and read again as the next one's documents."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_table(small_batches(spark), sf_dir, "documents")
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, function) in enumerate(STAGES):
         path = f"{folder}/{k}"

@@ -31,11 +31,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import slices, texts
+from millrace.llm.common import slices, texts, worker_state
 
 #: States and cached pre-tokens that one Python worker keeps at most.
-MAX_STATES = 400_000
-MAX_PIECES = 800_000
+MAX_STATES = 250_000
+MAX_PIECES = 500_000
 
 
 def parse_ranks(content: bytes) -> dict[bytes, int]:
@@ -275,12 +275,12 @@ class _Pieces(dict):
 class Codec:
     """Encoder and decoder of whole texts."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES):
         import regex
 
-        self.transducer = Transducer(ranks)
+        self.transducer = Transducer(ranks, max_states)
         self.split = regex.compile(pattern).findall
-        self.pieces = _Pieces(self.transducer)
+        self.pieces = _Pieces(self.transducer, max_pieces)
         self.token_bytes = self.transducer.token_bytes
 
     def encode(self, text: str) -> bytes:
@@ -292,16 +292,10 @@ class Codec:
         return decode_stream((values[i : i + chunk].tolist() for i in range(0, len(values), chunk)), self.token_bytes)
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
-def _codec(content: bytes, pattern: str) -> Codec:
+def _codec(content: bytes, pattern: str, max_states: int, max_pieces: int) -> Codec:
     """The worker's codec, built once for all its tasks."""
-    key = (hashlib.sha256(content).hexdigest(), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(parse_ranks(content), pattern)
-    return _CODECS[key]
+    key = ("bpe", hashlib.sha256(content).hexdigest(), pattern, max_states, max_pieces)
+    return worker_state(key, lambda: Codec(parse_ranks(content), pattern, max_states, max_pieces))
 
 
 def _ranks_content(ranks_path: str) -> bytes:
@@ -313,7 +307,7 @@ ENCODED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("id
 DIGESTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
 
-def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
     """doc_id, ids (binary, little-endian unsigned 32-bit), n_tokens; no shuffle.
 
     The rank file is read on the driver and broadcast; its size is that of the
@@ -322,7 +316,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     shared = docs.sparkSession.sparkContext.broadcast(_ranks_content(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern, max_states, max_pieces)
         for batch in batches:
             for part in slices(batch):
                 ids = [codec.encode(text) for text in texts(part.column(1))]
@@ -348,12 +342,15 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode, decode again and return digests of both, in one pass over the rows."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
+    """Encode, decode again and return digests of both, in one pass over the rows.
+
+    ``max_states`` and ``max_pieces`` trade memory for speed; results don't depend on them.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(_ranks_content(ranks_path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(shared.value, pattern)
+        codec = _codec(shared.value, pattern, max_states, max_pieces)
         for batch in batches:
             for part in slices(batch):
                 counts, encoded, decoded = [], [], []

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -10,7 +12,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: The six ASCII characters that separate words, as a character class.
 SPACE_CLASS = r"\x20\x09-\x0D"
@@ -21,7 +22,7 @@ LOWER_AZ = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrst
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -75,8 +76,44 @@ def slices(batch: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start, rows)
 
 
-def map_arrow(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+#: What a Python worker keeps between tasks, for one operator at a time.
+_WORKER_STATE: dict = {}
+
+
+def worker_state(key, make: Callable):
+    """State of this Python worker under ``key``, made once; other states are dropped."""
+    if key not in _WORKER_STATE:
+        _WORKER_STATE.clear()
+        _WORKER_STATE[key] = make()
+    return _WORKER_STATE[key]
+
+
+def stateless(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]]:
+    """``run`` in a worker that lets go of what other operators kept there, and of its own in the end."""
+
+    def fresh(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
+        _WORKER_STATE.clear()
+        yield from run(batches)
+        release_memory()
+
+    return fresh
+
+
+def release_memory() -> None:
+    """Hands memory that a finished task freed back to the system; idle workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+#: Rows in an Arrow batch: texts are long, and a batch is held on both sides.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches sized for rows that carry whole texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return spark
 
 
 def popcount64(values: np.ndarray) -> np.ndarray:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, slices
+from millrace.llm.common import SPACES, slices, stateless
 
 #: Bytes of text that one trie holds before it writes a subtree out.
 TRIE_BYTES = 48 << 20
@@ -237,8 +237,8 @@ def _owner_batch(rows: list[tuple]) -> pa.RecordBatch:
 def owners(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """Groups of two or more equal texts: owner_hash, best_chars, best_id, n_rows, n_ties."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    partial = rows.mapInArrow(_local_owners(trie_bytes), "n_bytes long, content_hash long, content binary, best_chars long, best_id long, n_rows long, n_ties long")
-    return partial.repartition("n_bytes", "content_hash").mapInArrow(_owners(trie_bytes), "owner_hash binary, best_chars long, best_id long, n_rows long, n_ties long")
+    partial = rows.mapInArrow(stateless(_local_owners(trie_bytes)), "n_bytes long, content_hash long, content binary, best_chars long, best_id long, n_rows long, n_ties long")
+    return partial.repartition("n_bytes", "content_hash").mapInArrow(stateless(_owners(trie_bytes)), "owner_hash binary, best_chars long, best_id long, n_rows long, n_ties long")
 
 
 def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def _one_of_ties(joined: DataFrame, best: Column, flag: str) -> DataFrame:
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(docs[id_col].cast("long").alias("mr_id"), docs[text_col].cast("string").alias("mr_text"))
-    hashed = rows.mapInArrow(_hashed, "mr_id long, mr_hash binary, mr_chars long")
+    hashed = rows.mapInArrow(stateless(_hashed), "mr_id long, mr_hash binary, mr_chars long")
     joined, best = _matched(hashed, owners(docs, id_col, text_col, trie_bytes))
     return _one_of_ties(joined, best, "kept").select(
         F.col("mr_id").alias("doc_id"),
@@ -291,6 +291,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     names = docs.columns
     carried = docs.select(docs[id_col].cast("long").alias("mr_id"), docs[text_col].cast("string").alias("mr_text"), *(docs[c].alias(f"mr_c{i}") for i, c in enumerate(names)))
     fields = ", ".join(f"mr_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
-    hashed = carried.mapInArrow(_hashed, f"mr_id long, mr_hash binary, mr_chars long, {fields}")
+    hashed = carried.mapInArrow(stateless(_hashed), f"mr_id long, mr_hash binary, mr_chars long, {fields}")
     joined, best = _matched(hashed, owners(docs, id_col, text_col, trie_bytes))
     return _one_of_ties(joined, best, "mr_kept").filter("mr_kept").select(*(F.col(f"mr_c{i}").alias(c) for i, c in enumerate(names)))

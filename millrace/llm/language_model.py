@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER_AZ, checkpointed, crc_fold, slices, text_bytes
+from millrace.llm.common import LOWER_AZ, checkpointed, crc_fold, slices, stateless, text_bytes
 
 END = b""
 ADDED = 0.1
@@ -93,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def word_counts(train: DataFrame) -> DataFrame:
     """word (bytes, the end token empty), c; ``train`` has a column text."""
-    return train.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
+    return train.select("text").mapInArrow(stateless(_count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("c"))
 
 
 @dataclass
@@ -211,7 +211,7 @@ def statistics(train: DataFrame, words: Vocabulary) -> DataFrame:
                 sums.setdefault(block, np.zeros(cells, np.int64))[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    return train.select("text").mapInArrow(gather, "block int, cells binary, counts binary").repartition("block").mapInArrow(add, "block int, counts binary").coalesce(BLOCKS)
+    return train.select("text").mapInArrow(stateless(gather), "block int, cells binary, counts binary").repartition("block").mapInArrow(stateless(add), "block int, counts binary").coalesce(BLOCKS)
 
 
 def rows_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -258,7 +258,7 @@ def train_classes(table: DataFrame, iterations: int = ITERATIONS, ridge: float =
                     yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(rows).astype("<i4").tobytes()], pa.binary()), pa.array([np.concatenate(parts).astype("<f4").tobytes()], pa.binary())], ["rows", "sums"])
 
         total = np.zeros((ROWS, CLASSES))
-        for got in table.mapInArrow(run, "rows binary, sums binary").collect():
+        for got in table.mapInArrow(stateless(run), "rows binary, sums binary").collect():
             rows = np.frombuffer(got["rows"], "<i4")
             np.add.at(total, rows, np.frombuffer(got["sums"], "<f4").reshape(len(rows), CLASSES))
         shared.destroy()
@@ -321,7 +321,7 @@ def scored(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str =
     words = vocabulary(counts, top)
     weights = train_classes(checkpointed(statistics(train, words)), iterations)
     table = (log_softmax(weights, np.arange(CONTEXTS)) / np.log(10)).astype(np.float32)
-    local = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(_local_scores(context.broadcast(words), context.broadcast(table)), _LOCAL)
+    local = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(stateless(_local_scores(context.broadcast(words), context.broadcast(table))), _LOCAL)
     local = checkpointed(local)
     rare = local.select("uid", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("r")).select("uid", F.col("r.rare_words").alias("rare_word"), F.col("r.rare_counts").alias("times"))
     found = rare.join(counts, F.col("rare_word") == F.col("word"), "left")

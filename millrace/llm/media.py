@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import slices, text_bytes
+from millrace.llm.common import slices, stateless, text_bytes
 from millrace.llm.jpeg import Decoder, payload_of, write
 
 UNIT = 576
@@ -40,7 +40,7 @@ def stored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 media = [write(padded(content)) for content in contents]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in contents], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(stateless(run), "doc_id long, n_bytes long, media binary")
 
 
 def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
@@ -60,7 +60,7 @@ def tensors(media: DataFrame, id_col: str = "doc_id", media_col: str = "media")
                     ["doc_id", "height", "width", "rgb"],
                 )
 
-    return media.select(media[id_col].cast("long").alias("doc_id"), media[media_col].alias("media")).mapInArrow(run, "doc_id long, height int, width int, rgb binary")
+    return media.select(media[id_col].cast("long").alias("doc_id"), media[media_col].alias("media")).mapInArrow(stateless(run), "doc_id long, height int, width int, rgb binary")
 
 
 def feature(rgb) -> str:
@@ -87,4 +87,4 @@ def described(media: DataFrame) -> DataFrame:
                 kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(x, kind) for x, kind in zip(columns, kinds))], names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(stateless(run), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

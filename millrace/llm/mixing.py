@@ -145,7 +145,7 @@ def plan_copies(cells: DataFrame, multipliers: dict, cap: float = CAP) -> DataFr
     """
     rates = {source: float(min(cap, np.exp(m))) for source, m in multipliers.items()}
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         source = None if key[1] else key[0]
         pdf = pdf.sort_values("size", ascending=False, kind="stable")
         rate = rates.get(source, 0.0)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import crc_fold_value, slices, texts
+from millrace.llm.common import crc_fold_value, slices, stateless, texts
 from millrace.llm.linear import Sparse, fit, labelled_sample, sigmoid
 
 BITS = 18
@@ -98,7 +98,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulu
                 )
 
     sample = labelled_sample(docs, labels, label_col, modulus, held_out, most, id_col, text_col)
-    found = sorted(sample.mapInArrow(run, "doc_id long, label int, i binary, v binary").collect(), key=lambda row: (row["doc_id"], bytes(row["i"])))
+    found = sorted(sample.mapInArrow(stateless(run), "doc_id long, label int, i binary, v binary").collect(), key=lambda row: (row["doc_id"], bytes(row["i"])))
     rows = [(np.frombuffer(row["i"], "<i4"), np.frombuffer(row["v"], "<f4").astype(float)) for row in found]
     return fit(rows, [row["label"] for row in found], DIMENSIONS, epochs=4, alpha=0.5, beta=0.1, l1=0.02, l2=0.1)
 
@@ -132,7 +132,7 @@ def scored(docs: DataFrame, weights: np.ndarray, modulus: int = 5, held_out: int
                 fold = [crc_fold_value(doc_id, modulus) == held_out for doc_id in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fold, pa.bool_()), pa.array(values), pa.array((values >= threshold).astype(np.int32))], SCORED.fieldNames())
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCORED)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(stateless(run), SCORED)
 
 
 def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
@@ -146,4 +146,4 @@ def accepted(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD,
             for part in slices(batch):
                 yield part.filter(pa.array([score(text) >= threshold for text in texts(part.column(at))], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(stateless(run), docs.schema)

@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import LOWER_AZ, checkpointed, popcount64, slices, text_bytes
+from millrace.llm.common import LOWER_AZ, checkpointed, popcount64, slices, stateless, text_bytes
 from millrace.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 values = np.array([fingerprint(text, words, seed) for text in text_bytes(part.column(1))], np.uint64)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(stateless(run), "doc_id long, fp long")
 
 
 def _index(max_bits: int):
@@ -208,8 +208,8 @@ def _list_links(max_bits: int):
 
 def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(fp, rep) with different fps to links (src, dst) between their reps."""
-    postings = distinct.select("fp", "rep").mapInArrow(_index(max_bits), "list long, fp long, rep long")
-    found = postings.repartition("list").sortWithinPartitions("list").mapInArrow(_list_links(max_bits), "src long, dst long")
+    postings = distinct.select("fp", "rep").mapInArrow(stateless(_index(max_bits)), "list long, fp long, rep long")
+    found = postings.repartition("list").sortWithinPartitions("list").mapInArrow(stateless(_list_links(max_bits)), "src long, dst long")
     return found.distinct()
 
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from millrace.llm.common import crc_fold_value, slices, texts
+from millrace.llm.common import crc_fold_value, slices, stateless, texts
 from millrace.llm.linear import Ftrl, labelled_sample, sigmoid
 from millrace.llm.quality import SCORED
 
@@ -131,7 +131,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.string())], ["doc_id", "label", "words"])
 
     sample = labelled_sample(docs, labels, label_col, modulus, held_out, most, id_col, text_col)
-    found = sorted(sample.mapInArrow(run, "doc_id long, label int, words string").collect(), key=lambda row: (row["doc_id"], row["words"]))
+    found = sorted(sample.mapInArrow(stateless(run), "doc_id long, label int, words string").collect(), key=lambda row: (row["doc_id"], row["words"]))
     return fit([set(row["words"].split()) for row in found], [row["label"] for row in found])
 
 
@@ -169,4 +169,4 @@ def scored(docs: DataFrame, weights: Weights, modulus: int = 3, held_out: int =
                 fold = [crc_fold_value(doc_id, modulus) == held_out for doc_id in part.column(0).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fold, pa.bool_()), pa.array(values), pa.array((values >= threshold).astype(np.int32))], SCORED.fieldNames())
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, SCORED)
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(stateless(run), SCORED)
