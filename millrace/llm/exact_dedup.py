@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SPACES, slices, stateless
+from millrace.llm.common import SPACES, checkpointed, slices, stateless
 
 #: Bytes of text that one trie holds before it writes a subtree out.
 TRIE_BYTES = 48 << 20
@@ -259,12 +259,14 @@ def _matched(hashed: DataFrame, groups: DataFrame) -> tuple[DataFrame, Column]:
     return joined, best
 
 
-def _one_of_ties(joined: DataFrame, best: Column, flag: str) -> DataFrame:
+def _one_of_ties(joined: DataFrame, best: Column, groups: DataFrame, flag: str) -> DataFrame:
     """Flags rows that stay; of several best rows (repeated rows) just one.
 
     Only groups with such ties pass through the window, and they hold rows with
-    the same id and text.
+    the same id and text.  Where no group has any, the rows are read once.
     """
+    if groups.filter("n_ties > 1").isEmpty():
+        return joined.withColumn(flag, best)
     tied = F.coalesce(F.col("n_ties"), F.lit(1)) > 1
     single = joined.filter(~(tied & best)).withColumn(flag, best)
     order = Window.partitionBy("mr_hash").orderBy(F.col("mr_id"))
@@ -276,8 +278,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = docs.select(docs[id_col].cast("long").alias("mr_id"), docs[text_col].cast("string").alias("mr_text"))
     hashed = rows.mapInArrow(stateless(_hashed), "mr_id long, mr_hash binary, mr_chars long")
-    joined, best = _matched(hashed, owners(docs, id_col, text_col, trie_bytes))
-    return _one_of_ties(joined, best, "kept").select(
+    groups = checkpointed(owners(docs, id_col, text_col, trie_bytes))
+    joined, best = _matched(hashed, groups)
+    return _one_of_ties(joined, best, groups, "kept").select(
         F.col("mr_id").alias("doc_id"),
         F.when(F.col("owner_hash").isNull(), F.col("mr_id")).otherwise(F.col("best_id")).alias("keep_id"),
         F.coalesce(F.col("n_rows"), F.lit(1).cast("long")).alias("group_size"),
@@ -292,5 +295,6 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carried = docs.select(docs[id_col].cast("long").alias("mr_id"), docs[text_col].cast("string").alias("mr_text"), *(docs[c].alias(f"mr_c{i}") for i, c in enumerate(names)))
     fields = ", ".join(f"mr_c{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(names))
     hashed = carried.mapInArrow(stateless(_hashed), f"mr_id long, mr_hash binary, mr_chars long, {fields}")
-    joined, best = _matched(hashed, owners(docs, id_col, text_col, trie_bytes))
-    return _one_of_ties(joined, best, "mr_kept").filter("mr_kept").select(*(F.col(f"mr_c{i}").alias(c) for i, c in enumerate(names)))
+    groups = checkpointed(owners(docs, id_col, text_col, trie_bytes))
+    joined, best = _matched(hashed, groups)
+    return _one_of_ties(joined, best, groups, "mr_kept").filter("mr_kept").select(*(F.col(f"mr_c{i}").alias(c) for i, c in enumerate(names)))
