@@ -13,6 +13,7 @@ from millrace.operators.vocabulary import Skill, Vocabulary, containment_report,
 from millrace.plans import diagnostics, funnel, reports, standins
 from millrace.plans.standins import run
 from millrace.settings import BOILERPLATE, DEFAULT, ROLE_MARKERS
+from millrace.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -699,3 +700,40 @@ def recency_decay(spark, sf_dir):
 @query("word_counts", "SELECT doc_id, len(string_split(trim(text, ' '), ' ')) AS words FROM documents WHERE trim(text, ' ') <> ''")
 def word_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.word_count(F.col("text")).cast("long").alias("words")).filter("words is not null")
+
+
+# ---------------------------------------------------------------- streams
+
+
+def _stream_folder(spark: SparkSession) -> str:
+    """A new folder below the shared checkpoint folder; a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-stream-")
+    return f"{shared}/stream-{uuid.uuid4().hex}"
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = table(spark, sf_dir, "events").schema
+    rows = events.file_stream(spark, f"{sf_dir}/event[s].parquet", schema)
+    kind = F.when(F.col("event_type") == "view", "submitted").when(F.col("event_type") == "click", "acknowledged").when(F.col("event_type") == "signup", "screening").when(F.col("event_type") == "purchase", "offer").otherwise("rejected")
+    return rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("application_id"), F.col("ts").cast("timestamp").alias("occurred_at"), kind.alias("status"))
+
+
+@query("stream_status_fold", ORACLES["status_fold"])
+def stream_status_fold(spark, sf_dir):
+    return events.drained(events.status_stream(_event_stream(spark, sf_dir)), _stream_folder(spark), "complete")
+
+
+@query("stream_event_dedupe", "SELECT DISTINCT user_id AS application_id FROM events")
+def stream_event_dedupe(spark, sf_dir):
+    once = events.without_repeats(_event_stream(spark, sf_dir), "application_id", "occurred_at", "3650 days")
+    return events.drained(once, _stream_folder(spark), "append").select("application_id")
+
+
+@query("stream_close_rule", """SELECT CAST(user_id AS STRING) AS external_id, max(event_id) AS run, CAST(count(*) FILTER (event_id > coalesce(last_seen, -1)) AS INT) AS missed_runs, count(*) FILTER (event_id > coalesce(last_seen, -1)) >= 2 AS closed
+FROM (SELECT *, max(event_id) FILTER (event_type = 'view') OVER (PARTITION BY user_id) AS last_seen FROM events) GROUP BY user_id""")
+def stream_close_rule(spark, sf_dir):
+    rows = _event_stream(spark, sf_dir).select(F.col("application_id").cast("string").alias("external_id"), F.col("id").alias("run"), (F.col("status") == "submitted").alias("seen"))
+    return events.drained(events.close_stream(rows), _stream_folder(spark), "update").drop("batch")

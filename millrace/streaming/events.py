@@ -71,8 +71,23 @@ def upsert_stream(stream: DataFrame, upsert: Callable[[DataFrame, int], None], c
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Runs a stream over what has landed and returns its result as a table in memory."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def drained(stream: DataFrame, folder: str, mode: str) -> DataFrame:
+    """Runs a stream over what has landed and returns what it wrote below ``folder``.
+
+    Each batch owns a subfolder and overwrites it, so a batch that is run again
+    after a failure leaves no row twice.  In complete mode the last batch is the
+    result; in update mode rows carry their ``batch``, the latest for a key counts.
+    """
+    spark = stream.sparkSession
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{folder}/out/batch={batch}")
+
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in stream.schema)}, batch long").parquet(f"{folder}/out")
+    if mode == "update":
+        return rows
+    if mode == "complete":
+        last = rows.agg(F.max("batch").alias("_last"))
+        rows = rows.join(F.broadcast(last), F.col("batch") == F.col("_last")).drop("_last")
+    return rows.drop("batch")

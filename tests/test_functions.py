@@ -149,3 +149,14 @@ def test_call_cost(spark):
     rows = spark.createDataFrame([(1_000_000, 0, 0, 0), (0, 1_000_000, 0, 0), (1000, 0, 0, 1000)], "f long, c long, w long, o long")
     got = [r[0] for r in rows.select(scores.call_cost(F.col("f"), F.col("c"), F.col("w"), F.col("o"), Decimal("3"), Decimal("15"), Decimal("85"))).collect()]
     assert got == [Decimal("255.00"), Decimal("25.50"), Decimal("1.53")]
+
+
+def test_ids_tokens_and_waits(spark):
+    from millrace.functions import retry
+
+    assert values(spark, text.is_ulid, ["01ARZ3NDEKTSV4RRFFQ69G5FAV", "81ARZ3NDEKTSV4RRFFQ69G5FAV", "short", None]) == [True, False, False, None]
+    assert values(spark, text.search_tokens, ["The café, the CAFÉ"]) == [["the", "café"]]
+    now = F.lit("2024-03-01 10:00:00").cast("timestamp")
+    assert values(spark, lambda c: retry.retry_after_s(c, now), ["7", "Fri, 01 Mar 2024 10:00:30 GMT", "Fri, 01 Mar 2024 09:00:00 GMT", "x", None]) == [7, 30, 0, None, None]
+    assert values(spark, retry.longest_wait, [0, 3, 30], "int") == [1.0, 8.0, 60.0]
+    assert all(0 <= v <= 8 for v in values(spark, lambda c: retry.jittered_wait(c, F.lit(None).cast("long"), 1), [3, 3], "int"))

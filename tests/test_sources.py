@@ -142,9 +142,9 @@ def test_streams_equal_batches(spark, tmp_path):
     stream = events.file_stream(spark, f"{tmp_path}/in/*.parquet", frame.schema, 1)
     from millrace.plans.funnel import folded_status
 
-    got = events.drained(events.status_stream(stream), "fold", "complete", f"{tmp_path}/c1").collect()
+    got = events.drained(events.status_stream(stream), f"{tmp_path}/c1", "complete").collect()
     assert {tuple(r) for r in got} == {tuple(r) for r in folded_status(frame).collect()}
-    once = events.drained(events.without_repeats(events.file_stream(spark, f"{tmp_path}/in/*.parquet", frame.schema), "application_id", "occurred_at", "48 hours"), "once", "append", f"{tmp_path}/c2")
+    once = events.drained(events.without_repeats(events.file_stream(spark, f"{tmp_path}/in/*.parquet", frame.schema), "application_id", "occurred_at", "48 hours"), f"{tmp_path}/c2", "append")
     assert once.count() == 4
 
 
@@ -152,7 +152,7 @@ def test_streamed_close_rule(spark, tmp_path):
     for run, seen in enumerate([{"a": True, "b": True}, {"a": True, "b": False}, {"a": False, "b": False}]):
         spark.createDataFrame([(k, run, s) for k, s in seen.items()], "external_id string, run long, seen boolean").coalesce(1).write.parquet(f"{tmp_path}/in/r{run}")
     stream = events.file_stream(spark, f"{tmp_path}/in/*/*.parquet", "external_id string, run long, seen boolean", 1)
-    got = events.drained(events.close_stream(stream), "closing", "update", f"{tmp_path}/c").collect()
+    got = events.drained(events.close_stream(stream), f"{tmp_path}/c", "update").collect()
     assert {(r["external_id"], r["run"]): (r["missed_runs"], r["closed"]) for r in got}[("b", 2)] == (2, True)
     assert max((r["run"], r["missed_runs"]) for r in got if r["external_id"] == "a") == (2, 1)
 
