@@ -13,7 +13,7 @@ def longest_wait(attempt: Column, base_s: float = 1.0, most_s: float = 60.0) ->
 
 def jittered_wait(attempt: Column, retry_after_s: Column, seed: int, base_s: float = 1.0, most_s: float = 60.0) -> Column:
     """A wait drawn evenly below the bound, or what the server asked for."""
-    return F.coalesce(F.least(retry_after_s, F.lit(most_s)), F.rand(seed) * longest_wait(attempt, base_s, most_s))
+    return F.coalesce(F.when(retry_after_s.isNotNull(), F.least(retry_after_s, F.lit(most_s))), F.rand(seed) * longest_wait(attempt, base_s, most_s))
 
 
 def retry_after_s(header: Column, now: Column) -> Column:
