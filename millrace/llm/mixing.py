@@ -19,13 +19,15 @@ and each size takes the number of copies that brings the words taken so far
 nearest to the words due so far; what one size misses goes to the next smaller.
 The total misses its target by less than the largest size of which one copy more
 or less is left to decide, usually a few words.  Among documents of one size the
-ones with the smallest hashes get the additional copy, found by counts of hash
-buckets and a ranking within the one bucket at the boundary; so no source, size
-or group of copies is gathered in one task, and reruns agree.
+ones with the smallest hashes get the additional copy, up to a last one that is
+found by counts of hash buckets and a ranking within the one bucket at the
+boundary; so no source, size or group of copies is gathered in one task, the
+documents themselves are joined once, and reruns agree.
 
 Null texts have size 0; such documents keep the rate of their source without
 weighing anything.  A null source is a source, the last in order.  Sources of
-total size 0 have target 0.  Rows with equal ids are separate rows.
+total size 0 have target 0.  Rows with equal ids are separate rows, of which all
+or none get the additional copy.
 """
 
 from __future__ import annotations
@@ -192,12 +194,18 @@ def _assigned(sized: DataFrame, carried: DataFrame, weights: Sequence[float], ca
     b = counted.join(planned, counted["source"].eqNullSafe(planned["p_source"]) & (counted["size"] == planned["p_size"]))
     share = F.greatest(F.lit(0), F.least(F.col("n"), F.col("extra") - F.col("before")))
     b = checkpointed(b.select(F.col("source").alias("b_source"), F.col("size").alias("b_size"), F.col("bucket").alias("b_bucket"), "copies", F.col("n").alias("b_n"), share.alias("share")))
-    rows = carried.join(b, carried["source"].eqNullSafe(b["b_source"]) & (carried["size"] == b["b_size"]) & (carried["bucket"] == b["b_bucket"]))
-    split = (F.col("share") > 0) & (F.col("share") < F.col("b_n"))
-    rank = F.row_number().over(Window.partitionBy("b_source", "b_size", "b_bucket").orderBy("h", "doc_id"))
-    whole = rows.filter(~split).withColumn("taken_copies", F.col("copies") + F.when(F.col("share") > 0, 1).otherwise(0))
-    ranked = rows.filter(split).withColumn("taken_copies", F.col("copies") + F.when(rank <= F.col("share"), 1).otherwise(0))
-    return whole.unionByName(ranked), due
+
+    def within(rows: DataFrame, side: DataFrame) -> DataFrame:
+        return rows.join(side, rows["source"].eqNullSafe(side["b_source"]) & (rows["size"] == side["b_size"]) & (rows["bucket"] == side["b_bucket"]))
+
+    # the last document of a boundary bucket that gets one more, by hash and id
+    place = F.struct("h", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"))
+    rank = F.row_number().over(Window.partitionBy("b_source", "b_size", "b_bucket").orderBy("place"))
+    split = within(sized, b.filter("share > 0 and share < b_n")).withColumn("place", place)
+    last = split.withColumn("r", rank).filter("r = share").select(F.col("b_source").alias("l_source"), F.col("b_size").alias("l_size"), F.col("b_bucket").alias("l_bucket"), F.col("place").alias("last"))
+    b = checkpointed(b.join(last, b["b_source"].eqNullSafe(last["l_source"]) & (b["b_size"] == last["l_size"]) & (b["b_bucket"] == last["l_bucket"]), "left").drop("l_source", "l_size", "l_bucket"))
+    more = (F.col("share") == F.col("b_n")) | F.coalesce(place <= F.col("last"), F.lit(False))
+    return within(carried, b).withColumn("taken_copies", F.col("copies") + F.when(more, 1).otherwise(0)), due
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, cap: float = CAP) -> DataFrame:
