@@ -70,11 +70,11 @@ FROM lineitem JOIN part ON l_partkey = p_partkey
 SKILLS = """
 SELECT DISTINCT p_brand AS token, 'Skill ' || p_brand AS label, 'family' || substr(p_brand, 7, 1) AS family FROM part
 """
-#: Variants: the six first suppliers, with their eight brands of most quantity.
+#: Variants: the regions, with the eight brands that their suppliers shipped most of.
 VARIANT_SKILLS = """
 SELECT variant_id, token, place FROM (
-  SELECT l_suppkey AS variant_id, p_brand AS token, row_number() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC, p_brand) AS place
-  FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_suppkey <= 6 GROUP BY l_suppkey, p_brand) ranked
+  SELECT n_regionkey AS variant_id, p_brand AS token, row_number() OVER (PARTITION BY n_regionkey ORDER BY sum(l_quantity) DESC, p_brand) AS place
+  FROM lineitem JOIN part ON l_partkey = p_partkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY n_regionkey, p_brand) ranked
 WHERE place <= 8
 """
 

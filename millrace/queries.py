@@ -132,11 +132,11 @@ def scoreable_postings(spark, sf_dir):
     return screen.scoreable(orders, lines).select("id")
 
 
-@query("pending_extraction", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O') ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+@query("pending_extraction", "SELECT o_orderkey AS id FROM orders WHERE o_orderstatus <> 'F' AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_linestatus = 'O')")
 def pending_extraction(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("closed_at"), F.lit(False).alias("filtered_out"), F.col("o_orderdate").alias("first_seen_at"))
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), F.col("l_linestatus").alias("prompt_version"))
-    return screen.pending_extraction(orders, lines, "O", 50).select("id")
+    return screen.pending_extraction(orders, lines, "O").select("id")
 
 
 # ---------------------------------------------------------------- ingest
@@ -149,8 +149,8 @@ def content_hash_duplicates(spark, sf_dir):
     return rows.groupBy("content_hash").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-# A fetch is the documents; what was stored, two thirds of them, a fifth with other texts or companies.
-_STORED = """SELECT id, source_id, external_id, CASE WHEN id % 5 = 1 THEN 'changed' ELSE sha2_body END AS content_hash, CASE WHEN id % 7 = 1 THEN company_id + 1 ELSE company_id END AS company_id FROM keyed WHERE id % 3 <> 0"""
+# A fetch is the documents; what was stored are those that aren't French, a fifth with other texts or companies.
+_STORED = """SELECT id, source_id, external_id, CASE WHEN id % 5 = 1 THEN 'changed' ELSE sha2_body END AS content_hash, CASE WHEN id % 7 = 1 THEN company_id + 1 ELSE company_id END AS company_id FROM keyed WHERE location_country IS DISTINCT FROM 'FR'"""
 CLASSIFIED = with_(
     postings=standins.POSTINGS,
     keyed="SELECT *, sha256(trim(regexp_replace(body, '\\s+', ' ', 'g'))) AS sha2_body FROM postings QUALIFY row_number() OVER (PARTITION BY source_id, external_id ORDER BY id) = 1",
@@ -161,7 +161,7 @@ CLASSIFIED = with_(
 def _fetch(spark, sf_dir):
     rows = run(spark, sf_dir, standins.POSTINGS).withColumn("ordinal", F.col("id")).withColumn("description_text", F.col("body"))
     first = ingest.first_of_each(rows).withColumn("sha2_body", text.content_hash(F.col("body")))
-    stored = first.filter("id % 3 <> 0").select("id", "source_id", "external_id", F.when(F.col("id") % 5 == 1, "changed").otherwise(F.col("sha2_body")).alias("content_hash"), F.when(F.col("id") % 7 == 1, F.col("company_id") + 1).otherwise(F.col("company_id")).alias("company_id"))
+    stored = first.filter("NOT location_country <=> 'FR'").select("id", "source_id", "external_id", F.when(F.col("id") % 5 == 1, "changed").otherwise(F.col("sha2_body")).alias("content_hash"), F.when(F.col("id") % 7 == 1, F.col("company_id") + 1).otherwise(F.col("company_id")).alias("company_id"))
     return rows.drop("id"), stored
 
 
@@ -218,7 +218,7 @@ def due_sources(spark, sf_dir):
     return ingest.due_sources(sources, companies, now).select("id")
 
 
-@query("upsert_table", CLASSIFIED + """, fetched AS (SELECT k.*, s.id AS s_id, s.content_hash AS s_hash, s.company_id AS s_company FROM keyed k LEFT JOIN stored s USING (source_id, external_id) WHERE k.id % 2 = 0)
+@query("upsert_table", CLASSIFIED + """, fetched AS (SELECT k.*, s.id AS s_id, s.content_hash AS s_hash, s.company_id AS s_company FROM keyed k LEFT JOIN stored s USING (source_id, external_id) WHERE k.location_country IS NOT NULL)
 SELECT coalesce(s.source_id, f.source_id) AS source_id, coalesce(s.external_id, f.external_id) AS external_id,
   CASE WHEN f.id IS NULL THEN s.content_hash WHEN s.id IS NULL OR s.content_hash <> f.sha2_body OR s.company_id <> f.company_id THEN f.sha2_body ELSE s.content_hash END AS content_hash,
   CASE WHEN f.id IS NULL THEN s.company_id WHEN s.id IS NULL OR s.content_hash <> f.sha2_body OR s.company_id <> f.company_id THEN f.company_id ELSE s.company_id END AS company_id, f.id IS NOT NULL AS seen
@@ -226,36 +226,35 @@ FROM stored s FULL JOIN fetched f ON s.source_id = f.source_id AND s.external_id
 def upsert_table(spark, sf_dir):
     fetched, stored = _fetch(spark, sf_dir)
     stored = stored.withColumn("id", F.col("id").cast("string")).withColumn("missed_runs", F.lit(1))
-    half = ingest.first_of_each(fetched).filter("ordinal % 2 = 0")
-    plan = ingest.classified(half, stored)
+    plan = ingest.classified(ingest.first_of_each(fetched).filter("location_country IS NOT NULL"), stored)
     out = ingest.upserted(stored, plan, F.current_timestamp())
     return out.select("source_id", "external_id", "content_hash", "company_id", (F.col("missed_runs") == 0).alias("seen"))
 
 
 # ---------------------------------------------------------------- matching
 
-_GRAMS = r"""SELECT name, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''),
-  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3))))) AS grams FROM"""
-SIMILAR = f"""WITH a AS ({_GRAMS} (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 20 = 0)), b AS ({_GRAMS} (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 3 = 1)),
-s AS (SELECT a.name AS a_name, b.name AS b_name, len(list_intersect(a.grams, b.grams)) AS c, len(a.grams) AS na, len(b.grams) AS nb FROM a, b)"""
+_GRAMS = r"""SELECT DISTINCT name, unnest(list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(name), '[^a-z0-9]+'), lambda w: w <> ''),
+  lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3)))))) AS gram FROM"""
+SIMILAR = f"""WITH a AS ({_GRAMS} (SELECT p_name || ' ltd' AS name FROM part)), b AS ({_GRAMS} (SELECT p_name AS name FROM part)), na AS (SELECT name, count(*) AS n FROM a GROUP BY 1), nb AS (SELECT name, count(*) AS n FROM b GROUP BY 1),
+c AS (SELECT a.name AS a_name, b.name AS b_name, count(*) AS c FROM a JOIN b USING (gram) GROUP BY 1, 2),
+s AS (SELECT a_name, b_name, c / (na.n + nb.n - c) AS similarity FROM c JOIN na ON a_name = na.name JOIN nb ON b_name = nb.name WHERE c / (na.n + nb.n - c) >= 0.45)"""
 
 
-def _names(spark, sf_dir, where):
-    return table(spark, sf_dir, "part").filter(where).select(F.col("p_name").alias("name"))
+def _leads_of_parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").select(F.concat("p_name", F.lit(" ltd")).alias("name"))
 
 
-@query("trigram_pairs", SIMILAR + " SELECT a_name, b_name, round(c / (na + nb - c), 6) AS similarity FROM s WHERE c / (na + nb - c) >= 0.45")
+@query("trigram_pairs", SIMILAR + " SELECT a_name, b_name, round(similarity, 6) AS similarity FROM s")
 def trigram_pairs(spark, sf_dir):
-    pairs = matching.similar_names(_names(spark, sf_dir, "p_partkey % 20 = 0"), _names(spark, sf_dir, "p_partkey % 3 = 1"), DEFAULT.company_match)
+    pairs = matching.similar_names(_leads_of_parts(spark, sf_dir), table(spark, sf_dir, "part").select(F.col("p_name").alias("name")), DEFAULT.company_match)
     return pairs.withColumn("similarity", F.round("similarity", 6))
 
 
-@query("trigram_match_top1", SIMILAR + """, ids AS (SELECT p_name AS b_name, p_partkey AS company_id FROM part WHERE p_partkey % 3 = 1)
-SELECT a_name AS name, company_id, round(c / (na + nb - c), 6) AS similarity FROM s JOIN ids USING (b_name) WHERE c / (na + nb - c) >= 0.45
-QUALIFY row_number() OVER (PARTITION BY a_name ORDER BY c / (na + nb - c) DESC, company_id) = 1""")
+@query("trigram_match_top1", SIMILAR + """, ids AS (SELECT p_name AS b_name, p_partkey AS company_id FROM part)
+SELECT a_name AS name, company_id, round(similarity, 6) AS similarity FROM s JOIN ids USING (b_name) QUALIFY row_number() OVER (PARTITION BY a_name ORDER BY similarity DESC, company_id) = 1""")
 def trigram_match_top1(spark, sf_dir):
-    companies = table(spark, sf_dir, "part").filter("p_partkey % 3 = 1").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("s").alias("slug"), F.lit(None).cast("timestamp").alias("deleted_at"))
-    return matching.best_company(_names(spark, sf_dir, "p_partkey % 20 = 0"), companies).withColumn("similarity", F.round("similarity", 6))
+    companies = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("s").alias("slug"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    return matching.best_company(_leads_of_parts(spark, sf_dir), companies).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("lead_names", r"""SELECT trim(regexp_replace(lower(n_name), '[^a-z0-9]+', ' ', 'g')) AS name, count(*) AS leads FROM supplier JOIN nation ON s_nationkey = n_nationkey GROUP BY 1""")
@@ -353,6 +352,7 @@ def _levels(spark, sf_dir):
     single = skills.select("token", "label", "family", F.array().cast("array<string>").alias("members"), F.when(F.col("family").isin("family1", "family2"), 0.5).otherwise(0.0).alias("credit"))
     several = packs.select("token", F.col("token").alias("label"), F.lit("packs").alias("family"), "members", F.lit(0.0).alias("credit"))
     held = run(spark, sf_dir, standins.VARIANT_SKILLS)
+    held = spark.createDataFrame(held.collect(), held.schema)  # five variants of eight skills
     variants = held.groupBy("variant_id").agg(F.collect_list("token").alias("skill_set"))
     empty = F.array().cast("array<string>")
     shows = held.filter("place <= 6").select("variant_id", F.col("place").alias("position"), F.concat(F.lit("b"), F.col("place").cast("string")).alias("bullet_id"), F.concat(F.lit("Raised 40 per cent with "), "token").alias("text"), F.array("token").alias("skills"), F.when(F.col("place") <= 4, F.array(F.lit("claim"))).otherwise(empty).alias("claim_keys"))
@@ -388,9 +388,9 @@ def recommended_variant(spark, sf_dir):
     return scoring.recommended(_scores(spark, sf_dir)).filter("is_recommended").select("posting_id", "variant_id")
 
 
-@query("gap_report", with_(**_LEVELS) + "SELECT kind, text, count(*) AS n FROM levelled WHERE variant_id = 1 AND level = 'missing' GROUP BY 1, 2")
+@query("gap_report", with_(**_LEVELS) + "SELECT kind, text, count(*) AS n FROM levelled WHERE level = 'missing' GROUP BY 1, 2")
 def gap_report(spark, sf_dir):
-    return scoring.gap_report(scoring.gaps(_levels(spark, sf_dir).filter("variant_id = 1")))
+    return scoring.gap_report(scoring.gaps(_levels(spark, sf_dir)))
 
 
 _VERSIONS = """SELECT o_orderkey AS posting_id, v AS variant_id, p AS prompt_version, CAST((o_orderkey * (7 + v) + v * p * 31) % 101 AS DECIMAL(5,2)) AS composite_score
@@ -646,10 +646,10 @@ def title_keys(spark, sf_dir):
     return run(spark, sf_dir, standins.POSTINGS).groupBy(text.title_key(F.col("title")).alias("title_key")).agg(F.count("*").alias("n"))
 
 
-@query("truncated_descriptions", r"""SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE rtrim(left(text, 487), ' ' || chr(10)) || chr(10) || chr(10) || '[truncated]' END AS text FROM documents WHERE NOT contains(text, chr(10) || chr(10))""")
+@query("truncated_descriptions", r"""WITH h AS (SELECT doc_id, text, left(text, 487) AS head, 487 - strpos(reverse(left(text, 487)), chr(10) || chr(10)) - 1 AS cut_at, contains(left(text, 487), chr(10) || chr(10)) AS has FROM documents)
+SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE regexp_replace(CASE WHEN has AND cut_at > 243 THEN left(head, cut_at) ELSE head END, '\s+$', '') || chr(10) || chr(10) || '[truncated]' END AS text FROM h""")
 def truncated_descriptions(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.contains("text", F.lit("\n\n")))
-    return docs.select("doc_id", text.truncated_at_paragraph(F.col("text"), 500).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncated_at_paragraph(F.col("text"), 500).alias("text"))
 
 
 @query("url_strip_tracking", r"""SELECT page_id, CASE WHEN contains(url, '?') THEN split_part(url, '?', 1) || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END ELSE url END AS url
@@ -668,10 +668,11 @@ def html_to_text(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
 
 
-@query("sanitised_lengths", r"""SELECT doc_id, length(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: rtrim(l)), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS chars FROM documents WHERE NOT regexp_matches(coalesce(text, ''), '[A-Za-z0-9+/=]{200,}|<<<|[^\x20-\x7E\n]')""")
+@query("sanitised_lengths", r"""SELECT doc_id, length(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(
+  regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<<<[/A-Za-z_ ]{3,60}>>>', '[removed]', 'g'), '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{feff}]|[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g'), '[A-Za-z0-9+/=]{200,}', '[removed]', 'g'),
+  chr(10)), lambda l: regexp_replace(l, '\s+$', '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS chars FROM documents""")
 def sanitised_lengths(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(~F.coalesce("text", F.lit("")).rlike(r"[A-Za-z0-9+/=]{200,}|<<<|[^\x20-\x7E\n]"))
-    return docs.select("doc_id", F.length(prompts.sanitised(F.coalesce("text", F.lit("")), 1_000_000)).cast("long").alias("chars"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.length(prompts.sanitised(F.coalesce("text", F.lit("")), 10_000_000)).cast("long").alias("chars"))
 
 
 @query("suspicious_texts", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(coalesce(text, '')), 'ignore previous|ignore all previous|disregard the above|disregard previous|new instructions|system prompt|you are now|act as though|reveal your instructions|print your instructions')")
