@@ -1,8 +1,7 @@
 """Coverage of requirements by variants, composite scores, ranking, gaps.
 
-Variants are few and their skills small: the pairs of requirement and variant
-come from broadcasting the variant table, whose size the caller bounds
-(``MOST_VARIANTS`` is checked).
+Variants are few (``MOST_VARIANTS`` is checked) and so is the vocabulary: levels
+are worked out per token and variant, and that table is broadcast.
 """
 
 from __future__ import annotations
@@ -37,58 +36,74 @@ def _note(bullet: Column) -> Column:
     return F.when(bullet.isNull(), F.lit("Listed as a skill; no bullet demonstrates it.")).when(numeric(bullet["text"]) & (F.size(bullet["claim_keys"]) == 0), F.lit("Bullet is quantified but carries no claim keys."))
 
 
-def levels(requirements: DataFrame, variants: DataFrame, bullet_rows: DataFrame, skills: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
-    """One row per scored requirement and variant: level, note, evidence.
+def variant_ids(variants: DataFrame) -> list:
+    """The ids of the variants, which are few; refuses more than ``MOST_VARIANTS``."""
+    found = [row[0] for row in variants.select("variant_id").distinct().limit(MOST_VARIANTS + 1).collect()]
+    if len(found) > MOST_VARIANTS:
+        raise ValueError(f"more than {MOST_VARIANTS} variants")
+    return sorted(found)
 
-    ``requirements``: posting_id, requirement_id, kind, text, normalised_skill,
-    weight, ordinal.  ``variants``: variant_id, skill_set.  ``skills``: token,
-    label, family, members, credit.
+
+def _for_each(rows: DataFrame, ids: list, kind) -> DataFrame:
+    """Every row once for each variant."""
+    return rows.withColumn("variant_id", F.explode(F.array(*map(F.lit, ids)).cast(f"array<{kind.simpleString()}>")))
+
+
+def level_table(variants: DataFrame, bullet_rows: DataFrame, skills: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """variant_id, token, level, note, evidence for each token and variant.
+
+    A requirement's level depends on its token alone, so levels are worked out
+    once for the vocabulary, not once for each requirement.
     """
-    n = variants.count()
-    if n > MOST_VARIANTS:
-        raise ValueError(f"{n} variants are more than can be broadcast")
-    bullets_by_token = best_bullets(bullet_rows).groupBy("variant_id").agg(F.map_from_entries(F.collect_list(F.struct("token", F.struct("bullet_id", "text", "claim_keys")))).alias("bullet_of"))
+    ids, kind = variant_ids(variants), variants.schema["variant_id"].dataType
+    empty = F.array().cast("array<string>")
+    held_by = variants.select("variant_id", F.explode("skill_set").alias("token")).distinct()
+    tokens = skills.select("token").union(held_by.select("token")).distinct()
     families = skills.groupBy("family").agg(F.array_sort(F.collect_list("token")).alias("siblings"))
-    vocabulary = skills.join(families, "family").select(F.col("token").alias("v_token"), "members", "credit", "siblings")
-    labels = skills.agg(F.map_from_entries(F.collect_list(F.struct("token", "label"))).alias("label_of"))
-    side = variants.select("variant_id", F.array_sort("skill_set").alias("skill_set")).join(bullets_by_token, "variant_id", "left")
-    rows = requirements.filter(F.col("kind").isin(*SCORED_KINDS))
-    rows = rows.join(F.broadcast(vocabulary), rows["normalised_skill"] == F.col("v_token"), "left")
-    pairs = rows.join(F.broadcast(side)).join(F.broadcast(labels))
-
-    token = F.col("normalised_skill")
-    members = F.coalesce("members", F.array().cast("array<string>"))
-    composite_of = F.size(members) > 0
+    known = skills.join(families, "family").select("token", "members", "credit", "siblings")
+    labels = skills.select(F.col("token").alias("near"), F.col("label").alias("near_label"))
+    pairs = _for_each(tokens, ids, kind).join(known, "token", "left").join(variants.select("variant_id", "skill_set"), "variant_id")
+
+    token = F.col("token")
+    members = F.coalesce("members", empty)
+    several = F.size(members) > 0
     hits = F.array_sort(F.array_intersect(members, "skill_set"))
-    absent = F.array_sort(F.array_except(members, "skill_set"))
+    whole = F.size(hits) == F.size(members)
     held = F.array_contains("skill_set", token)
-    near = F.try_element_at(F.array_except(F.array_intersect(F.coalesce("siblings", F.array().cast("array<string>")), "skill_set"), F.array(token)), F.lit(1))
-    adjacent = near.isNotNull() & (F.coalesce("credit", F.lit(0.0)) > 0) & (F.col("credit") >= F.lit(float(settings.adjacency_min)))
-    shown_token = F.when(composite_of, F.try_element_at(hits, F.lit(1))).otherwise(F.when(held, token))
-    pairs = pairs.withColumn("_bullet", F.try_element_at(F.coalesce("bullet_of", F.create_map().cast("map<string,struct<bullet_id:string,text:string,claim_keys:array<string>>>")), shown_token))
-    bullet = F.col("_bullet")
+    siblings = F.array_except(F.array_intersect(F.coalesce("siblings", empty), "skill_set"), F.array(token))
+    enough = (F.coalesce("credit", F.lit(0.0)) > 0) & (F.col("credit") >= F.lit(float(settings.adjacency_min)))
+    pairs = pairs.withColumn("hits", hits).withColumn("near", F.when(enough, F.array_min(siblings))).withColumn("shown_by", F.when(several, F.try_element_at(hits, F.lit(1))).when(held, token))
+    best = best_bullets(bullet_rows).select("variant_id", F.col("token").alias("shown_by"), F.struct("bullet_id", "text", "claim_keys").alias("bullet"))
+    pairs = pairs.join(best, ["variant_id", "shown_by"], "left").join(labels, "near", "left")
+    bullet, hits = F.col("bullet"), F.col("hits")
     whole = F.size(hits) == F.size(members)
+    some = F.size(hits) > 0
     level = (
-        F.when(token.isNull(), F.lit("missing"))
-        .when(composite_of & whole, _shown(bullet))
-        .when(composite_of & (F.size(hits) > 0), F.lit("partial"))
-        .when(composite_of, F.lit("missing"))
-        .when(held, _shown(bullet))
-        .when(adjacent, F.lit("partial"))
-        .otherwise(F.lit("missing"))
-    )
+        F.when(several & whole, _shown(bullet)).when(several & some, F.lit("partial")).when(several, F.lit("missing"))
+        .when(held, _shown(bullet)).when(F.col("near").isNotNull(), F.lit("partial")).otherwise(F.lit("missing"))
+    )
+    covers = F.concat(F.lit("Covers "), F.array_join(hits, ", "), F.lit("; no evidence for "), F.array_join(F.array_sort(F.array_except(members, hits)), ", "), F.lit("."))
     note = (
-        F.when(token.isNull(), F.lit("Requirement did not resolve to a vocabulary token."))
-        .when(composite_of & whole, _note(bullet))
-        .when(composite_of & (F.size(hits) > 0), F.concat(F.lit("Covers "), F.array_join(hits, ", "), F.lit("; no evidence for "), F.array_join(absent, ", "), F.lit(".")))
-        .when(composite_of, F.concat(F.lit("No evidence for any of "), F.array_join(F.array_sort(members), ", "), F.lit(".")))
-        .when(held, _note(bullet))
-        .when(adjacent, F.concat(F.lit("Adjacent evidence: "), F.try_element_at("label_of", near), F.lit(".")))
-    )
-    return pairs.withColumn("level", level).select(
-        "posting_id", "variant_id", "requirement_id", "kind", "text", "weight", "ordinal", "level",
-        note.alias("note"), F.when(F.col("level") == "met", bullet).alias("evidence"),
+        F.when(several & whole, _note(bullet)).when(several & some, covers)
+        .when(several, F.concat(F.lit("No evidence for any of "), F.array_join(F.array_sort(members), ", "), F.lit(".")))
+        .when(held, _note(bullet)).when(F.col("near").isNotNull(), F.concat(F.lit("Adjacent evidence: "), F.col("near_label"), F.lit(".")))
     )
+    return pairs.select("variant_id", "token", level.alias("level"), note.alias("note"), F.when(level == "met", bullet).alias("evidence"))
+
+
+def levels(requirements: DataFrame, variants: DataFrame, bullet_rows: DataFrame, skills: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+    """One row per scored requirement and variant: level, note, evidence.
+
+    ``requirements``: posting_id, requirement_id, kind, text, normalised_skill,
+    weight, ordinal.  ``variants``: variant_id, skill_set.  ``skills``: token,
+    label, family, members, credit.  The requirements aren't shuffled: the table
+    of levels has the size of the vocabulary times the variants.
+    """
+    known = level_table(variants, bullet_rows, skills, settings).select(F.col("variant_id").alias("k_variant"), F.col("token").alias("k_token"), "level", "note", "evidence")
+    rows = _for_each(requirements.filter(F.col("kind").isin(*SCORED_KINDS)), variant_ids(variants), variants.schema["variant_id"].dataType)
+    joined = rows.join(F.broadcast(known), (rows["normalised_skill"] == F.col("k_token")) & (rows["variant_id"] == F.col("k_variant")), "left")
+    unresolved = F.when(F.col("normalised_skill").isNull(), F.lit("Requirement did not resolve to a vocabulary token."))
+    return joined.select("posting_id", "variant_id", "requirement_id", "kind", "text", "weight", "ordinal", F.coalesce("level", F.lit("missing")).alias("level"), F.coalesce("note", unresolved).alias("note"), "evidence")
 
 
 def credit(level: Column, settings: Settings = DEFAULT) -> Column:

@@ -74,7 +74,7 @@ def role_markers(settings: Settings = DEFAULT) -> Column:
 def role_denied(settings: Settings) -> Column:
     if settings.role_marker_min <= 0:
         return F.lit(None).cast("string")
-    hits = role_markers(settings)
+    hits = F.col("role_markers")
     more = F.size(hits) - SHOWN_MARKERS
     reason = F.concat(F.lit("role_domain:"), F.array_join(F.slice(hits, 1, SHOWN_MARKERS), "+"), F.when(more > 0, F.concat(F.lit("+"), more.cast("string"), F.lit(" more"))).otherwise(F.lit("")))
     return F.when(F.size(hits) >= settings.role_marker_min, reason)
@@ -87,6 +87,17 @@ def experience_denied(settings: Settings) -> Column:
     return F.when(years > settings.max_years, F.concat(F.lit("experience:"), years.cast("string"), F.lit("y")))
 
 
+def _text_if(open_: Column) -> Column:
+    return F.when(open_, F.coalesce("description_text", F.lit("")))
+
+
+#: Columns that a predicate reads besides a posting's own, computed for the rows that
+#: no earlier predicate rejects.
+PREPARED: dict[Predicate, tuple[str, Callable[[Settings, Column], Column]]] = {
+    role_denied: ("role_markers", lambda settings, open_: words_found(_text_if(open_), settings.role_markers)),
+    experience_denied: ("required_years", lambda settings, open_: experience_years(_text_if(open_))),
+}
+
 CHAIN: tuple[tuple[str, Predicate], ...] = (
     ("company_status", company_blacklisted),
     ("superseded", superseded),
@@ -103,12 +114,17 @@ CHAIN: tuple[tuple[str, Predicate], ...] = (
 def verdicts(postings: DataFrame, settings: Settings = DEFAULT, chain: Sequence[tuple[str, Predicate]] = CHAIN) -> DataFrame:
     """``postings`` with ``reason``: the first rejection, null for a pass.
 
-    Cheap predicates come first and COALESCE stops at the first reason.  The
-    years of experience need Arrow; only texts with such a number go there.
+    COALESCE stops at the first reason.  What is costly to know (markers in the
+    text, years of experience) is prepared for the rows that are still open.
     """
-    if any(p is experience_denied for _, p in chain) and settings.max_years > 0:
-        postings = postings.withColumn("required_years", experience_years(F.coalesce("description_text", F.lit(""))))
-    return postings.withColumn("reason", F.coalesce(*(predicate(settings) for _, predicate in chain)))
+    rows, waiting = postings.withColumn("reason", F.lit(None).cast("string")), []
+    for _, predicate in chain:
+        if predicate in PREPARED:
+            name, prepare = PREPARED[predicate]
+            rows = rows.withColumn("reason", F.coalesce("reason", *waiting))
+            rows, waiting = rows.withColumn(name, prepare(settings, F.col("reason").isNull())), []
+        waiting.append(predicate(settings))
+    return rows.withColumn("reason", F.coalesce("reason", *waiting))
 
 
 def with_company(postings: DataFrame, companies: DataFrame) -> DataFrame:
