@@ -422,6 +422,8 @@ def test_transducer_equals_ranked_merging(codec, reference):
     rnd = random.Random(0)
     parts = ["a", "e", "th", "ing", " ", "  ", "\n", "0", "17", "-", "==", "é", "漢", "😀", "ü", "'s", "X", "zq", "\t", "aaaa"]
     texts = ["".join(rnd.choice(parts) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+    texts += ["".join(chr(rnd.choice([rnd.randint(32, 0x7FF), rnd.randint(0x800, 0xD7FF), rnd.randint(0xE000, 0x3FFFF)])) for _ in range(rnd.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(chr(a) + "x1" + chr(b) for a, b in bpe.LATER_LETTERS)]
     texts += ["", "a" * 5000, "-" * 3001, "ab" * 2000, " " * 999, "thntinan" * 500, *(t for _, t, _ in corpus(80))]
     for text in texts:
         ids = codec.encode(text)
