@@ -1,18 +1,20 @@
 """Line deduplication by pairwise alignment.
 
-Documents overlap when they share lines that few others have.  Lines of
-``min_words`` words or more are hashed (128 bits, surrounding white space cut);
-a line found in two to ``rare`` documents pairs each later document with the
-first one that has it.  Each pair is aligned by patience diff over the line
+Documents overlap when they share lines.  Lines of ``min_words`` words or more
+are hashed (128 bits, surrounding white space cut); a line found in two or more
+documents, however many, pairs each later document with the first one that has
+it.  Each pair is aligned by patience diff over the line
 hashes: lines unique in both sides are anchors, their longest increasing
 subsequence is kept, and the stretches between are aligned alike.  Common blocks
 (runs of aligned lines with at least one line of ``min_words`` words) are deleted
 from the later document, the one with the larger id; the first keeps them.
 
-A line in more than ``rare`` documents makes no pairs: it needs no alignment to
-tell who has it first, and is deleted from every document but the first.  So
-nothing is capped, and no line makes more than ``rare`` pairs however often it
-occurs.
+A line makes one pair for each later document, so pairs grow with the lines and
+never with the square of a line's frequency.  Those of one first document are
+dealt to ``SALTS`` tasks, each with a copy of its line hashes.
+
+Callers may set ``rare``: lines in more documents than that then make no pairs,
+and are deleted one by one, without short lines, from all but their first.
 
 Documents are told apart by id.  Rows with a null id neither lose lines nor take
 any from others.  Rows that repeat an id are one document for the comparison, and
@@ -35,7 +37,8 @@ from pyspark.sql import functions as F
 from millrace.llm.common import checkpointed, slices, stateless, texts
 
 MIN_WORDS = 5
-RARE = 32
+#: Parts into which the later documents of one first document are dealt.
+SALTS = 256
 
 
 def line_keys(text: str, min_words: int = MIN_WORDS) -> list[bytes]:
@@ -154,7 +157,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PLACES = "doc_id long, place int, hash long"
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int | None = None) -> DataFrame:
     """doc_id, lines (array of struct place, hash): what each later document loses."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null")
     sequences = checkpointed(rows.mapInArrow(stateless(_sequences(min_words)), "doc_id long, keys array<binary>"))
@@ -162,14 +165,19 @@ def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     # written, so that the join below deals both sides anew and a very common line can be split
     owners = checkpointed(lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").withColumnRenamed("key", "owner_key"))
     later = checkpointed(lines.join(owners, F.col("key") == F.col("owner_key")).filter("doc_id > first").select("doc_id", "first", "key", "n"))
-    pairs = later.filter(F.col("n") <= rare).select("doc_id", "first").distinct()
+    paired = later if rare is None else later.filter(F.col("n") <= rare)
+    pairs = checkpointed(paired.select("doc_id", "first").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
     firsts = sequences.select(F.col("doc_id").alias("first_id"), F.col("keys").alias("first_keys"))
     mine = sequences.select(F.col("doc_id").alias("own_id"), "keys")
-    aligned = pairs.join(firsts, F.col("first") == F.col("first_id")).join(mine, F.col("doc_id") == F.col("own_id")).select("doc_id", "first_keys", "keys").mapInArrow(stateless(_align), _PLACES)
-    # a document's frequent lines are at most its lines
-    frequent = later.filter(F.col("n") > rare).groupBy("doc_id").agg(F.collect_set("key").alias("frequent"))
-    found = frequent.join(mine, F.col("doc_id") == F.col("own_id")).select("doc_id", "keys", "frequent").mapInArrow(stateless(_find), _PLACES)
-    return aligned.unionByName(found).groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "hash"))).alias("lines"))
+    # one copy of the first document for each of its salts, so that a very common one is spread
+    wanted = pairs.select(F.col("first").alias("wanted_id"), F.col("salt").alias("wanted_salt")).distinct()
+    copies = wanted.join(firsts, F.col("wanted_id") == F.col("first_id")).select("wanted_id", "wanted_salt", "first_keys")
+    aligned = pairs.join(copies, (F.col("first") == F.col("wanted_id")) & (F.col("salt") == F.col("wanted_salt"))).join(mine, F.col("doc_id") == F.col("own_id")).select("doc_id", "first_keys", "keys").mapInArrow(stateless(_align), _PLACES)
+    if rare is not None:
+        # a document's frequent lines are at most its lines
+        frequent = later.filter(F.col("n") > rare).groupBy("doc_id").agg(F.collect_set("key").alias("frequent"))
+        aligned = aligned.unionByName(frequent.join(mine, F.col("doc_id") == F.col("own_id")).select("doc_id", "keys", "frequent").mapInArrow(stateless(_find), _PLACES))
+    return aligned.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "hash"))).alias("lines"))
 
 
 def _apply(min_words: int):
@@ -193,7 +201,7 @@ def _apply(min_words: int):
     return run
 
 
-def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, deleted_lines (from 0), text without them."""
     gone = deletions(docs, id_col, text_col, min_words, rare).withColumnRenamed("doc_id", "gone_id")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

@@ -284,6 +284,14 @@ def test_copies_lose_everything(spark):
     assert got[0] == text and all(got[i] == "" for i in range(1, 80))
 
 
+def test_frequent_lines_are_aligned_like_rare_ones(spark):
+    boiler = "this boilerplate line is in every one\nyes"
+    for n in (3, 80):
+        docs = [(i, f"unique line number {i} of this text\n{boiler}\nend {i}") for i in range(n)]
+        got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.deduplicated_lines(documents(spark, docs)).collect()}
+        assert got == {i: [1, 2] if i else [] for i in range(n)}
+
+
 # -- 6
 
 
