@@ -5,9 +5,16 @@ are hashed (128 bits, surrounding white space cut); a line found in two or more
 documents, however many, pairs each later document with the first one that has
 it.  Each pair is aligned by patience diff over the line
 hashes: lines unique in both sides are anchors, their longest increasing
-subsequence is kept, and the stretches between are aligned alike.  Common blocks
-(runs of aligned lines with at least one line of ``min_words`` words) are deleted
-from the later document, the one with the larger id; the first keeps them.
+subsequence is kept, and the stretches between are aligned alike; a stretch
+without anchors is aligned by a longest common subsequence.  Common blocks (runs
+of aligned lines with at least one line of ``min_words`` words) are deleted from
+the later document, the one with the larger id; the first keeps them.
+
+What the alignment leaves because its order is crossed or because it repeats is a
+moved block: a remaining line of ``min_words`` words that the first document has
+is deleted too, with the equal lines around it, as from its first place there.
+So no such line stays in two documents, and further rounds would find nothing:
+the first document of a line is compared with all others that have it.
 
 A line makes one pair for each later document, so pairs grow with the lines and
 never with the square of a line's frequency.  Those of one first document are
@@ -29,6 +36,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -71,6 +79,56 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
+def _lcs_lengths(a: Sequence[bytes], b: Sequence[bytes]) -> np.ndarray:
+    """Length of the longest common subsequence of ``a`` and each start of ``b``; bit-parallel."""
+    places: dict[bytes, list[int]] = {}
+    for j, key in enumerate(b):
+        places.setdefault(key, []).append(j)
+    kept: dict[bytes, int] = {}
+
+    def mask(key: bytes) -> int:
+        """Bits of the places of ``key``; kept for the few common keys alone, since each is as long as ``b``."""
+        if key in kept:
+            return kept[key]
+        bits = bytearray(len(b) // 8 + 1)
+        for j in places.get(key, ()):
+            bits[j >> 3] |= 1 << (j & 7)
+        found = int.from_bytes(bits, "little")
+        if len(places.get(key, ())) * 256 > len(b):
+            kept[key] = found
+        return found
+
+    full = (1 << len(b)) - 1
+    state = full
+    for key in a:
+        hits = state & mask(key)
+        state = ((state + hits) | (state - hits)) & full
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def lcs(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
+    """Positions of a longest common subsequence, in memory that grows with the lengths (Hirschberg)."""
+    in_a, in_b = set(a), set(b)
+    left, right = [i for i, key in enumerate(a) if key in in_b], [j for j, key in enumerate(b) if key in in_a]
+    out: list[tuple[int, int]] = []
+    todo = [(left, right)]
+    while todo:
+        left, right = todo.pop()
+        if not left or not right:
+            continue
+        if len(left) == 1:
+            out.extend((left[0], j) for j in [j for j in right if b[j] == a[left[0]]][:1])
+            continue
+        middle = len(left) // 2
+        ours = [b[j] for j in right]
+        lengths = _lcs_lengths([a[i] for i in left[:middle]], ours) + _lcs_lengths([a[i] for i in reversed(left[middle:])], ours[::-1])[::-1]
+        cut = int(lengths.argmax())
+        if lengths[cut]:
+            todo += [(left[:middle], right[:cut]), (left[middle:], right[cut:])]
+    return sorted(out)
+
+
 def patience(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
     """Aligned positions of two sequences, in order."""
     out: list[tuple[int, int]] = []
@@ -89,6 +147,7 @@ def patience(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
         place = {key: j for j, key in enumerate(b[b0:b1], b0) if in_b[key] == 1}
         anchors = _increasing([(i, place[key]) for i, key in enumerate(a[a0:a1], a0) if in_a[key] == 1 and key in place])
         if not anchors:
+            out.extend((a0 + i, b0 + j) for i, j in lcs(a[a0:a1], b[b0:b1]))
             continue
         out.extend(anchors)
         left = (a0, b0)
@@ -112,6 +171,26 @@ def common_blocks(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int
     return blocks
 
 
+def shared_blocks(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
+    """``common_blocks`` and, of what they leave of ``b``, the blocks that moved or repeat."""
+    blocks = common_blocks(a, b)
+    gone = {j for start, length in blocks for j in range(start, start + length)}
+    place: dict[bytes, int] = {}
+    for i, key in enumerate(a):
+        place.setdefault(key, i)
+    for j, key in enumerate(b):
+        if j in gone or len(key) != 16 or key not in place:
+            continue
+        start, end, i = j, j + 1, place[key]
+        while start and start - 1 not in gone and i - (j - start) and a[i - (j - start) - 1] == b[start - 1]:
+            start -= 1
+        while end < len(b) and end not in gone and i + end - j < len(a) and a[i + end - j] == b[end]:
+            end += 1
+        blocks.append((start, end - start))
+        gone.update(range(start, end))
+    return blocks
+
+
 def _sequences(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +210,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 256):
             ids, places, hashes = [], [], []
             for doc_id, first, keys in zip(*(part.column(i).to_pylist() for i in range(3))):
-                for start, length in common_blocks(first, keys):
+                for start, length in shared_blocks(first, keys):
                     for j in range(start, start + length):
                         ids.append(doc_id)
                         places.append(j)

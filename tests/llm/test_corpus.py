@@ -1,6 +1,7 @@
 """The corpus operators against brute force, and their edge cases."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -292,6 +293,25 @@ def test_frequent_lines_are_aligned_like_rare_ones(spark):
         assert got == {i: [1, 2] if i else [] for i in range(n)}
 
 
+def test_lcs_of_stretches_without_anchors():
+    rnd = random.Random(3)
+    for _ in range(60):
+        a, b = ([bytes([rnd.choice(b"abc")]) * 16 for _ in range(rnd.randint(0, 40))] for _ in range(2))
+        best = np.zeros((len(a) + 1, len(b) + 1), int)
+        for i, j in itertools.product(range(len(a)), range(len(b))):
+            best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
+        got = line_dedup.lcs(a, b)
+        assert len(got) == best[-1, -1] and all(a[i] == b[j] for i, j in got)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
+
+
+def test_no_long_line_stays_in_two_documents(spark):
+    p, q = "a passage of more than five words", "another passage of more than five words"
+    docs = [(1, f"x\n{p}\ny\n{p}\nz\n{q}\nyes"), (2, f"u\n{p}\nv"), (3, f"s\n{p}\nt"), (4, f"{q}\nyes\n{p}\n{p}\nw"), (5, f"k\n{q}\n{p}")]
+    got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.deduplicated_lines(documents(spark, docs)).collect()}
+    assert got == {1: [], 2: [1], 3: [1], 4: [0, 1, 2, 3], 5: [1, 2]}
+
+
 # -- 6
 
 
