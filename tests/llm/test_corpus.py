@@ -11,6 +11,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, chat, exact_dedup, jpeg, language_model, line_dedup, media, mixing, quality, simhash, toxicity
 from millrace.llm.components import connected_components
@@ -75,6 +76,16 @@ def test_chat_mask_covers_assistant_texts(spark):
     assert row["formatted"].count("<|im_start|>") == 3  # adjacent turns of one role share a block
 
 
+def test_chat_loss_columns_follow_the_mask(spark):
+    rows = [(1, t, ["user", "assistant"][t % 2], f"😀é<|im_end|>\\ {t}") for t in range(300)]
+    whole = chat.formatted(conversations(spark, rows))
+    right = chat.digests(whole).first()
+    loss = "".join(x for _, t, _, x in rows if t % 2)
+    assert (right["loss_chars"], right["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    wrong = whole.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct(F.lit(False).alias("masked"), r["length"].alias("length"))))
+    assert chat.digests(wrong).first()["loss_chars"] == 0
+
+
 def test_chat_ties_repeats_nulls_and_empty(spark):
     rows = [(1, None, "user", "b"), (1, None, "user", "a"), (1, None, "user", "a"), (None, 0, None, None)]
     got = {r["conv_id"]: r for r in chat.digests(chat.formatted(conversations(spark, rows))).collect()}
