@@ -30,7 +30,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm.common import LOWER_AZ, checkpointed, popcount64, slices, stateless, text_bytes
@@ -72,16 +72,22 @@ def fingerprint(text: bytes, words: int = SHINGLE_WORDS, seed: int = SEED) -> in
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long); no shuffle."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = SHINGLE_WORDS, seed: int = SEED, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long), and text_hash if ``hashed``; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 values = np.array([fingerprint(text, words, seed) for text in text_bytes(part.column(1))], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(values.view(np.int64)), *part.columns[2:]], ["doc_id", "fp", *part.schema.names[2:]])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(stateless(run), "doc_id long, fp long")
+    extra = [_text_hash(docs, text_col).alias("text_hash")] if hashed else []
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *extra).mapInArrow(stateless(run), "doc_id long, fp long" + ", text_hash long" * hashed)
+
+
+def _text_hash(docs: DataFrame, text_col: str) -> Column:
+    """Tells the texts of one id apart; null and empty ones are alike."""
+    return F.xxhash64(F.coalesce(docs[text_col].cast("string"), F.lit("")))
 
 
 def _index(max_bits: int):
@@ -228,9 +234,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id is their component's, with all their columns.
+    """One row of ``docs`` for each component of fingerprints, with all its columns.
+
+    It is the row with the smallest id.  Where ids repeat, rows are told apart by
+    id and text: each belongs to the component of its own text (so different
+    texts of one id may both stay), and among a component's rows of the smallest
+    id the one with the smallest fingerprint, then text hash, stays.  Of rows
+    equal in id and text any one stays; a null text counts as empty.
 
     Rows with a null id stay: nothing tells them from one another.
     """
-    dropped = components(docs, id_col, text_col).filter("component_id <> doc_id").select(F.col("doc_id").alias("mr_dropped")).distinct()
-    return docs.join(dropped, docs[id_col].cast("long") == dropped["mr_dropped"], "left_anti")
+    prints = checkpointed(fingerprints(docs, id_col, text_col, hashed=True).filter("doc_id is not null"))
+    # components of fingerprints, whose nodes no repeated id can join
+    distinct = checkpointed(prints.select("fp").distinct())
+    roots = connected_components(links(distinct.withColumn("rep", F.col("fp"))))
+    alike = prints.groupBy("doc_id", "fp", "text_hash").agg(F.count("*").alias("n"))
+    alike = checkpointed(alike.join(roots, alike.fp == roots.node, "left").select("doc_id", "fp", "text_hash", "n", F.coalesce("root", "fp").alias("component")))
+    best = checkpointed(alike.groupBy("component").agg(F.min(F.struct("doc_id", "fp", "text_hash", "n")).alias("best")).select("best.*"))
+    dropped = alike.join(best, ["doc_id", "text_hash"], "left_anti").select(F.col("doc_id").alias("mr_id"), F.col("text_hash").alias("mr_hash"))
+
+    def same_row(to: DataFrame) -> Column:
+        return (docs[id_col].cast("long") == to["mr_id"]) & (_text_hash(docs, text_col) == to["mr_hash"])
+
+    one = docs.join(dropped, same_row(dropped), "left_anti")
+    repeated = best.filter("n > 1").select(F.col("doc_id").alias("mr_id"), F.col("text_hash").alias("mr_hash"))
+    if repeated.isEmpty():
+        return one
+    # only rows with repeats are grouped
+    several = docs.join(repeated, same_row(repeated)).dropDuplicates(["mr_id", "mr_hash"]).drop("mr_id", "mr_hash")
+    return one.join(repeated, same_row(repeated), "left_anti").unionByName(several)

@@ -392,6 +392,15 @@ def test_one_of_each_and_null_ids(spark):
     assert simhash.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_one_of_each_where_ids_repeat(spark):
+    near = "one two three four five six seven"
+    docs = documents(spark, [(1, near), (5, near), (5, "quite another text of other words"), (7, "a b c d"), (7, "A b c d"), (7, "a b c d"), (8, "e f g h"), (8, "e f g h"), (9, None), (9, ""), (None, near), (10, "x y z"), (10, "u v w")])
+    rows = simhash.one_of_each(docs)
+    assert rows.columns == docs.columns
+    got = Counter((r["doc_id"], (r["text"] or "").lower()) for r in rows.collect())
+    assert got == Counter([(1, near), (5, "quite another text of other words"), (7, "a b c d"), (8, "e f g h"), (9, ""), (None, near), (10, "x y z"), (10, "u v w")])
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 100), (None, 3)], "src long, dst long")
     got = {r["node"]: r["root"] for r in connected_components(links).collect()}
