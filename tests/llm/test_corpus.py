@@ -410,11 +410,37 @@ def test_components_of_a_long_chain(spark):
 # -- 8
 
 
-def test_targets_are_capped_and_reshared():
-    assert mixing.targets([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
-    got = mixing.targets([10, 1000, 10], [3, 1, 3])
-    assert got == pytest.approx([30, 960, 30]) and sum(got) == 1020
-    assert mixing.targets([0, 0], [1, 2]) == [0, 0]
+def capped_shares(sizes, weights, cap=3.0):
+    """Shares by weight, what exceeds a cap shared again; source by source."""
+    out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
+    while open_:
+        weight = sum(weights[i] for i in open_)
+        above = {i for i in open_ if left * weights[i] / weight > cap * sizes[i]}
+        for i in above or open_:
+            out[i] = cap * sizes[i] if above else left * weights[i] / weight
+        left -= sum(out[i] for i in above)
+        open_ -= above or set(open_)
+    return out
+
+
+def test_targets_are_capped_and_reshared(spark):
+    def got(sizes, weights):
+        rows = spark.createDataFrame([(f"s{i:03}", n, i) for i, n in enumerate(sizes)], "source string, total long, rank long")
+        return [r["target"] for r in mixing.with_targets(rows, weights).orderBy("source").collect()]
+
+    assert got([100, 100, 100], [1, 2, 3]) == pytest.approx([50, 100, 150])
+    assert got([10, 1000, 10], [3, 1, 3]) == pytest.approx([30, 960, 30])
+    assert got([0, 0], [1, 2]) == [0, 0]
+    rnd = random.Random(4)
+    sizes = [int(rnd.paretovariate(0.6)) for _ in range(60)]
+    assert got(sizes, [1, 2, 3]) == pytest.approx(capped_shares(sizes, [(1, 2, 3)[i % 3] for i in range(60)]))
+
+
+def test_sources_are_ranked_by_code_point(spark):
+    names = [None, "b", "a", "ä", "z", "", "😀", "ﬀ", *(f"s{i}" for i in range(50))]
+    rows = spark.createDataFrame([(n, 1) for n in names], "source string, total long")
+    got = {r["source"]: r["rank"] for r in mixing.ranked(rows).collect()}
+    assert got == {n: i for i, n in enumerate(sorted(names, key=lambda n: (n is None, n or "")))}
 
 
 def test_mix_meets_targets(spark):
@@ -427,7 +453,7 @@ def test_mix_meets_targets(spark):
     for r in rows:
         size[r[2]] += len(words_of(r[1]))
     order = sorted(size, key=lambda s: (s is None, s or ""))
-    want = dict(zip(order, mixing.targets([size[s] for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))])))
+    want = dict(zip(order, capped_shares([size[s] for s in order], [(1, 2, 3)[i % 3] for i in range(len(order))])))
     source = {r[0]: r[2] for r in rows}
     taken = Counter()
     for r in got:
@@ -445,10 +471,31 @@ def test_mix_meets_targets(spark):
 
 
 def test_newton_solves_the_dual(spark):
-    cells = spark.createDataFrame([("a", 3, 10), ("a", 7, 4), (None, 2, 5), ("z", 0, 3)], "source string, size long, n long")
-    due = spark.createDataFrame([("a", 29.0), (None, 30.0), ("z", 0.0)], "source string, target double")
-    multipliers, rounds = mixing.solve_dual(cells, due)
-    assert math.exp(multipliers["a"]) == pytest.approx(0.5) and math.exp(multipliers[None]) == pytest.approx(3.0) and rounds < 20
+    cells = [("a", 3, 10), ("a", 7, 4), ("a", 40, 2), (None, 2, 5), ("z", 0, 3), ("up", 5, 20), ("up", 50, 5), ("up", 300, 1)]
+    due = [("a", 138, 40.0), (None, 10, 30.0), ("z", 0, 0.0), ("up", 650, 1200.0)]
+    got, rounds = mixing.solve_dual(spark.createDataFrame(cells, "source string, size long, n long"), spark.createDataFrame(due, "source string, total long, target double"))
+    found = {r["source"]: r["multiplier"] / r["scale"] for r in got.collect()}
+    assert rounds < 40 and set(found) == {"a", None, "z", "up"}
+    for source, total, target in due:
+        mine = [(size, n) for s, size, n in cells if s == source]
+        words = lambda m: sum(size * n * min(3.0, math.exp(m * size)) for size, n in mine)  # noqa: E731, B023
+        low, high = -50.0, math.log(3.0)
+        for _ in range(200):  # the one multiplier that meets the target, by bisection
+            middle = (low + high) / 2
+            low, high = (middle, high) if words(middle) < target else (low, middle)
+        if total:
+            assert words(found[source]) == pytest.approx(target, rel=1e-8)
+        if 0 < target < 3 * total:
+            assert found[source] == pytest.approx(low, rel=1e-6)
+
+
+def test_rates_differ_by_size_within_a_source(spark):
+    """What entropy per document asks for: a shrinking source gives up long texts first, a growing one repeats them."""
+    rows = [(i, "w " * (5 if i % 2 else 200), s) for s in ("a", "b", "c") for i in range(*{"a": (0, 400), "b": (1000, 1100), "c": (2000, 2300)}[s])]
+    got = {r["doc_id"]: r["copies"] for r in mixing.mixed(documents(spark, rows)).collect()}
+    mean = lambda ids: sum(got[i] for i in ids) / len(ids)
+    assert mean(range(0, 400, 2)) < 0.5 < 0.9 < mean(range(1, 400, 2)) <= 1.1  # weight 1, to shrink
+    assert mean(range(2000, 2300, 2)) > 1.5 > mean(range(2001, 2300, 2)) >= 0.9  # weight 3, to grow
 
 
 # -- 9
