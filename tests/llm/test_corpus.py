@@ -385,6 +385,38 @@ def test_spanning_links_of_dense_lists(seed):
     assert [find(i) for i in range(len(prints))] == [want[i] for i in range(len(prints))]
 
 
+def test_tally_of_shared_bytes():
+    a = np.array([0x0102030405060708, 0, 0], np.uint64)
+    b = np.array([0x0102030405060708 ^ 0xF, 0x0101010101, 0x01010101], np.uint64)
+    assert simhash.matches(a ^ b).tolist() == [7, 3, 4]
+    # four bits in one byte each of five: verified bits alone would not do, the tally drops the pair
+    assert simhash.near(a, b, 4).tolist() == [True, False, True]
+    assert simhash.near(a, b, 5).tolist() == [True, True, True]
+
+
+@pytest.mark.parametrize(("index_bytes", "long"), [(3, 1 << 14), (4, 1 << 14), (3, 3), (2, 9), (4, 2)])
+def test_links_whatever_the_index(spark, index_bytes, long):
+    """Balls of near copies, whose lists are long, and strangers; lists beyond ``long`` are dealt finer."""
+    rnd = random.Random(8)
+    centres = [rnd.getrandbits(64) for _ in range(3)] + [0, (1 << 64) - 1]
+    prints = {c ^ sum(1 << x for x in rnd.sample(range(64), rnd.randint(0, 5))) for c in centres for _ in range(60)} | {rnd.getrandbits(64) for _ in range(60)}
+    prints = {i: p for i, p in enumerate(sorted(prints))}
+    distinct = spark.createDataFrame([(p - (1 << 64) if p >> 63 else p, i) for i, p in prints.items()], "fp long, rep long")
+    found = simhash.links(distinct, index_bytes=index_bytes, long=long).collect()
+    assert all(bin(prints[r["src"]] ^ prints[r["dst"]]).count("1") <= 4 for r in found)
+    parent = {i: i for i in prints}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for r in found:
+        a, b = sorted((find(r["src"]), find(r["dst"])))
+        parent[b] = a
+    assert {i: find(i) for i in prints} == brute_components(prints)
+
+
 def test_one_of_each_and_null_ids(spark):
     docs = documents(spark, [(5, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (None, "only here without any id")])
     assert sorted(r["doc_id"] or -1 for r in simhash.one_of_each(docs).collect()) == [-1, -1, 3]
@@ -495,7 +527,7 @@ def test_rates_differ_by_size_within_a_source(spark):
     got = {r["doc_id"]: r["copies"] for r in mixing.mixed(documents(spark, rows)).collect()}
     mean = lambda ids: sum(got[i] for i in ids) / len(ids)
     assert mean(range(0, 400, 2)) < 0.5 < 0.9 < mean(range(1, 400, 2)) <= 1.1  # weight 1, to shrink
-    assert mean(range(2000, 2300, 2)) > 1.5 > mean(range(2001, 2300, 2)) >= 0.9  # weight 3, to grow
+    assert mean(range(2000, 2300, 2)) > 1.2 > mean(range(2001, 2300, 2)) >= 0.9  # weight 3, to grow
 
 
 # -- 9
