@@ -10,7 +10,8 @@ than the longest token, so after bounded lookahead the runs agree on their
 first tokens and those can be emitted.  The subset construction is done lazily:
 a state is a set of runs without their common output, transitions are built the
 first time a byte is seen in a state, and the table is emptied when it exceeds
-a bound, as lazy DFAs of regular-expression engines do.
+a bound, as lazy DFAs of regular-expression engines do; within a pre-token, the
+state that it has reached is carried over, so the bound holds for any length.
 
 Decoding is streamed: ids map to bytes and an incremental UTF-8 state machine
 holds back at most three bytes of an unfinished character.
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from millrace.llm.common import slices, texts, worker_state
+from millrace.llm.common import slices, texts, uncollected, worker_state
 
 #: States and cached pre-tokens that one Python worker keeps at most.
 MAX_STATES = 320_000
@@ -111,13 +112,20 @@ class Transducer:
         self.edges: dict[int, tuple[list[int], list[int]] | None] = {}
         self._reset()
 
-    def _reset(self) -> None:
+    def _reset(self, carried: tuple | None = None, final: tuple[int, ...] = ()) -> int:
+        """Empties the table of states but for the start and the one carried over; its number."""
         start = ((-1, 0, ()),)
         self.state_of = {start: 0}
         self.runs = [start]
         #: state * 256 + byte to (next state * 256, tokens emitted)
         self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.finals: list[tuple[int, ...]] = [()]
+        if carried is None or carried == start:
+            return 0
+        self.state_of[carried] = 1
+        self.runs.append(carried)
+        self.finals.append(final)
+        return 1
 
     def merge(self, piece: bytes) -> list[bytes]:
         """Ranked merging as such, for the bytes of one token."""
@@ -229,12 +237,15 @@ class Transducer:
         whole = self.ranks.get(piece)
         if whole is not None:
             return [whole]
-        if len(self.runs) > self.max_states:
-            self._reset()
         out: list[int] = []
         base, known = 0, self.moves.get
         for byte in piece:
-            move = known(base | byte) or self._step(base, byte)
+            move = known(base | byte)
+            if move is None:
+                if len(self.runs) > self.max_states or len(self.moves) > 4 * self.max_states:
+                    base = self._reset(self.runs[base >> 8], self.finals[base >> 8]) << 8
+                    known = self.moves.get
+                move = self._step(base, byte)
             base = move[0]
             if move[1]:
                 out += move[1]
@@ -313,7 +324,10 @@ class Codec:
         self.transducer = Transducer(ranks, max_states)
         self.split = splitter(pattern)
         self.pieces = _Pieces(self.transducer, max_pieces)
-        self.token_bytes = self.transducer.token_bytes
+        # by id; ids that no token has decode to nothing
+        self.token_bytes = [b""] * (1 + max(self.transducer.token_bytes, default=-1))
+        for token, content in self.transducer.token_bytes.items():
+            self.token_bytes[token] = content
 
     def encode(self, text: str) -> bytes:
         """Ids as consecutive little-endian unsigned 32-bit integers."""
@@ -327,7 +341,12 @@ class Codec:
 def _codec(content: bytes, pattern: str, max_states: int, max_pieces: int) -> Codec:
     """The worker's codec, built once for all its tasks."""
     key = ("bpe", hashlib.sha256(content).hexdigest(), pattern, max_states, max_pieces)
-    return worker_state(key, lambda: Codec(parse_ranks(content), pattern, max_states, max_pieces))
+
+    def make() -> Codec:
+        with uncollected():
+            return Codec(parse_ranks(content), pattern, max_states, max_pieces)
+
+    return worker_state(key, make)
 
 
 def _ranks_content(ranks_path: str) -> bytes:
@@ -351,7 +370,8 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
         codec = _codec(shared.value, pattern, max_states, max_pieces)
         for batch in batches:
             for part in slices(batch):
-                ids = [codec.encode(text) for text in texts(part.column(1))]
+                with uncollected():
+                    ids = [codec.encode(text) for text in texts(part.column(1))]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], ["doc_id", "ids", "n_tokens"])
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, ENCODED)
@@ -386,14 +406,15 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         for batch in batches:
             for part in slices(batch):
                 counts, encoded, decoded = [], [], []
-                for text in texts(part.column(1)):
-                    ids = codec.encode(text)
-                    digest = hashlib.sha256()
-                    for chunk in codec.decode(ids):
-                        digest.update(chunk)
-                    counts.append(len(ids) // 4)
-                    encoded.append(hashlib.sha256(ids).hexdigest())
-                    decoded.append(digest.hexdigest())
+                with uncollected():
+                    for text in texts(part.column(1)):
+                        ids = codec.encode(text)
+                        digest = hashlib.sha256()
+                        for chunk in codec.decode(ids):
+                            digest.update(chunk)
+                        counts.append(len(ids) // 4)
+                        encoded.append(hashlib.sha256(ids).hexdigest())
+                        decoded.append(digest.hexdigest())
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], DIGESTS.fieldNames())
 
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, DIGESTS)

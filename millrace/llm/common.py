@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -93,12 +94,23 @@ def stateless(run: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]
 
     def fresh(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:
         _WORKER_STATE.clear()
-        yield from run(batches)
+        with uncollected():
+            yield from run(batches)
         release_memory()
 
     return fresh
 
 
+@contextlib.contextmanager
+def uncollected():
+    """Python's cycle collector off: the operators make no cycles, and it would walk their tables again and again."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()
+
+
 def release_memory() -> None:
     """Hands memory that a finished task freed back to the system; idle workers stay small."""
     pa.default_memory_pool().release_unused()

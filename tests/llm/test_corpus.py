@@ -564,6 +564,16 @@ def test_transducer_with_a_tiny_table(reference):
         assert np.frombuffer(small.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
 
 
+def test_states_stay_bounded_within_a_long_pre_token(reference):
+    """A run of letters without a space, as in base64: the table is emptied on the way."""
+    rnd = random.Random(6)
+    text = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(40_000))
+    machine = bpe.Transducer(bpe.parse_ranks(open(tokenizer_path(), "rb").read()), max_states=500)
+    ids = machine.encode(text.encode())
+    assert len(machine.runs) <= 502 and len(machine.moves) <= 2001
+    assert ids == reference.encode_ordinary(text)
+
+
 def test_streamed_decoding_never_cuts_characters():
     data = "aé漢😀b".encode() * 3
     for step in (1, 2, 3, 5):
