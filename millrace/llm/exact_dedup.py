@@ -11,9 +11,10 @@ pre-aggregates copies: whatever the size of a group, a task hands on one row for
 each different text.  Those rows are partitioned by length and content hash, and
 each partition inserts the full byte strings into a trie of its own, whose
 terminal nodes keep the smallest owner and the counts.  A trie that outgrows its
-memory writes its heaviest subtree to an unnamed scratch file of the task, which
-is read back subtree by subtree; nothing else ever reads that file, so a lost
-executor costs a rerun of the task and no more.  The rows then find their owner
+memory writes its heaviest subtree, or leaf, to an unnamed scratch file of the
+task (at most the bytes of its partition), which is read back subtree by subtree;
+nothing else ever reads that file, so a lost executor costs a rerun of the task
+and no more.  The rows then find their owner
 through the hash of their text, against groups of two or more only.
 """
 
@@ -129,17 +130,19 @@ class PatriciaTrie:
         return total
 
     def _spill(self) -> None:
-        """Write out the heaviest subtree below the first branching node."""
+        """Write out the heaviest subtree, or leaf, below the first branching node; its first byte stays.
+
+        A single string that is longer than the bound is held as it is.
+        """
         node = self.root
         while len(node.children) == 1 and not node.entry:
             node = next(iter(node.children.values()))
-        weights = [(self._weight(child), byte) for byte, child in node.children.items() if child.children]
-        if not weights:  # only leaves: their strings are as long as that
-            self.limit *= 2
+        weights = [(self._weight(child), byte) for byte, child in node.children.items() if child.spilled is None]
+        if not weights:
             return
         child = node.children[max(weights)[1]]
         file = tempfile.TemporaryFile()
-        stack = [(child, b"")]
+        stack = [(child, child.label[1:])]
         while stack:
             below, path = stack.pop()
             if below.spilled is not None:
@@ -149,7 +152,7 @@ class PatriciaTrie:
             elif below.entry:
                 self._append(file, path, below.entry)
             stack.extend((x, path + x.label) for x in below.children.values())
-        child.children, child.entry, child.spilled = {}, None, file
+        child.label, child.children, child.entry, child.spilled = child.label[:1], {}, None, file
         self.held -= max(weights)[0]
         self.spills += 1
 
