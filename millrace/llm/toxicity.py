@@ -2,11 +2,12 @@
 
 A logistic regression on the different words of a text and their stems (hashed),
 trained by follow-the-regularised-leader updates on a bounded sample of labelled
-rows.  Where a labelled text mentions an identity group, a copy of it is made in
-which each identity term is replaced by one of another group of its list, and the
-squared difference of the two scores is penalised.  So the terms themselves
-cannot carry the label, and a neutral mention of a group is no reason for a high
-score, while the words around it still are.
+rows.  Where a labelled text mentions an identity group, its counterfactuals are
+made: for each term in it and each other term of the same list, the text with
+the one in place of the other, and the text that names no group there.  The mean
+squared difference of the scores is penalised.  So the terms themselves cannot carry the label, and a neutral
+mention of a group is no reason for a high score, while the words around it still
+are.
 
 Empty and null texts score by the bias alone.  Without labelled rows every score
 is 0.5.  Repeated rows score alike, rows without an id are scored as well.
@@ -21,16 +22,20 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from millrace.llm.common import crc_fold_value, slices, stateless, texts
-from millrace.llm.linear import Ftrl, labelled_sample, sigmoid
+from millrace.llm.linear import Ftrl, collected, labelled_sample, sigmoid
 from millrace.llm.quality import SCORED
 
 #: Labelled rows that the model is fitted on at most.
 MAX_LABELLED = 8000
+#: Characters of their different words, all together, at most; later rows are left out.
+MAX_CHARS = 64 << 20
 THRESHOLD = 0.7
 #: Weight of the squared score difference.
 PENALTY = 1.0
+#: Shrinkage of word weights at ``MAX_LABELLED`` rows.
 L1 = 4.0
 #: Weight by feature hash (those that are not zero), and the bias.
 Weights = tuple[dict[int, float], float]
@@ -64,11 +69,14 @@ def words(text: str) -> set[str]:
     return set(_WORDS(text.lower()))
 
 
-def swapped(found: set[str], lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> set[str] | None:
-    """The words with each identity term replaced by the next of its list; None without such terms."""
-    following = {term: terms[(i + 1) % len(terms)] for terms in lists for i, term in enumerate(terms)}
-    terms = found & following.keys()
-    return (found - terms) | {following[term] for term in terms} if terms else None
+def counterfactuals(found: set[str], lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[set[str]]:
+    """The words with one identity term replaced, for every term and alternative.
+
+    Alternatives are the other terms of its list, and none: were only groups
+    swapped, all of them could share one high weight.  One term at a time, so that
+    a text that names two groups of a list does not become itself.
+    """
+    return [(found - {term}) | other for terms in lists for term in terms if term in found for other in [set(), *({x} for x in terms if x != term)]]
 
 
 def _slots(word: str) -> tuple[int, ...]:
@@ -86,7 +94,7 @@ def features(found: set[str]) -> np.ndarray:
 
 
 def fit(rows: Sequence[set[str]], labels: Sequence[int], epochs: int = 12, alpha: float = 4.0, beta: float = 1.0, l1: float = L1, l2: float = 0.1, penalty: float = PENALTY, seed: int = 11, lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Weights:
-    """Weights of log loss plus ``penalty`` times the squared score difference under swaps.
+    """Weights of log loss plus ``penalty`` times the mean squared score difference of the counterfactuals.
 
     Features of a single row are left out.  Weights of words are zero or more:
     toxic words raise a score, and no number of others in a long text takes it
@@ -94,8 +102,8 @@ def fit(rows: Sequence[set[str]], labels: Sequence[int], epochs: int = 12, alpha
     number, to half at most.
     """
     own = [features(found) for found in rows]
-    other = [None if (swap := swapped(found, lists)) is None else features(swap) for found in rows]
-    every, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *own, *(x for x in other if x is not None)]), return_counts=True)
+    others = [[features(x) for x in counterfactuals(found, lists)] for found in rows]
+    every, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *own, *(x for xs in others for x in xs)]), return_counts=True)
     every = every[counts > 1]
     bias = len(every)
 
@@ -104,25 +112,29 @@ def fit(rows: Sequence[set[str]], labels: Sequence[int], epochs: int = 12, alpha
         at = at[at < bias]
         return np.append(at[np.isin(every[at], row, assume_unique=True)], bias)
 
-    own, other = [placed(x) for x in own], [None if x is None else placed(x) for x in other]
+    def changes(row: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features that only one of the two has, and the sign of their part in the difference."""
+        moved = np.setxor1d(row, other, assume_unique=True)
+        return moved, np.where(np.isin(moved, row, assume_unique=True), 1.0, -1.0)
+
+    own = [placed(x) for x in own]
+    swaps = [[changes(row, placed(x)) for x in xs] for row, xs in zip(own, others)]
     model = Ftrl(bias + 1, alpha, beta, l1 * max(0.25, min(1.0, len(rows) / MAX_LABELLED)) ** 0.5, l2, rising=bias)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
             score = float(model.weights(own[i]).sum())
             model.update(own[i], np.full(len(own[i]), sigmoid(score) - labels[i]))
-            if other[i] is not None:
-                moved = np.setxor1d(own[i], other[i], assume_unique=True)
-                change = np.where(np.isin(moved, own[i], assume_unique=True), 1.0, -1.0)
+            for moved, change in swaps[i]:
                 difference = float(model.weights(moved) @ change)
-                model.update(moved, 2 * penalty * difference * change)
+                model.update(moved, 2 * penalty / len(swaps[i]) * difference * change)
     weights = model.weights()
     kept = np.flatnonzero(weights[:-1])
     return {int(every[i]): float(weights[i]) for i in kept}, float(weights[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 3, held_out: int = 1, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> Weights:
-    """Weights, on the driver; what comes there is the words of at most ``most`` rows."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = 3, held_out: int = 1, most: int = MAX_LABELLED, most_chars: int = MAX_CHARS, id_col: str = "doc_id", text_col: str = "text") -> Weights:
+    """Weights, on the driver; what comes there is the words of at most ``most`` rows, ``most_chars`` in all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(found, pa.string())], ["doc_id", "label", "words"])
 
     sample = labelled_sample(docs, labels, label_col, modulus, held_out, most, id_col, text_col)
-    found = sorted(sample.mapInArrow(stateless(run), "doc_id long, label int, words string").collect(), key=lambda row: (row["doc_id"], row["words"]))
+    found = collected(sample.mapInArrow(stateless(run), "doc_id long, label int, words string"), F.length("words"), most_chars)
     return fit([set(row["words"].split()) for row in found], [row["label"] for row in found])
 
 
