@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import crc_fold
+from millrace.llm.common import checkpointed, crc_fold
 
 #: One row of features: indices (each once) and their values.
 Sparse = tuple[np.ndarray, np.ndarray]
@@ -65,10 +65,30 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
 
     Chosen by the hash of the id, so reruns agree.  Only this bounded sample of
     ids is broadcast against the documents.  Rows with a null id or label are
-    left out, repeated labels count once.
+    left out, repeated labels count once, and of the rows that repeat an id the
+    one with the smallest text (a null text is empty).
     """
     known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels[label_col].cast("int").alias("label")).filter("label_id is not null and label is not null")
     known = known.filter(crc_fold(F.col("label_id"), modulus) != held_out).groupBy("label_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
-    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).select("doc_id", "text", "label")
+    texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
+    joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
+    return joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
+
+
+def collected(featured: DataFrame, size: Column, most: int) -> list:
+    """The rows of a sample by the hash of their id, as many as have at most ``most`` features together.
+
+    What the driver gets first is one size per row of the sample, which is bounded.
+    """
+    kept = checkpointed(featured.withColumn("size", size).withColumn("place", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")))
+    total, last = 0, None
+    for row in sorted(kept.select("place", "size").collect()):
+        total += row["size"]
+        if total > most:
+            break
+        last = row["place"]
+    if last is None:
+        return []
+    within = F.col("place") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["doc_id"]).alias("doc_id"))
+    return sorted(kept.filter(within).collect(), key=lambda row: row["doc_id"])

@@ -5,7 +5,8 @@ unigrams and bigrams and bigrams of token shapes (lower case, title, upper case,
 digits, punctuation, repetition of the token before), each family as its
 relative frequencies, so that a text's length does not move its score.  Weights
 come from follow-the-regularised-leader updates over a bounded sample of
-labelled rows (``MAX_LABELLED``, a parameter); scoring is a sparse dot product
+labelled rows (``MAX_LABELLED`` rows with ``MAX_FEATURES`` features in all, both
+parameters); scoring is a sparse dot product
 per text, whole texts, without a shuffle.
 
 Empty and null texts score by the bias alone.  Without labelled rows every score
@@ -21,15 +22,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.common import crc_fold_value, slices, stateless, texts
-from millrace.llm.linear import Sparse, fit, labelled_sample, sigmoid
+from millrace.llm.linear import Sparse, collected, fit, labelled_sample, sigmoid
 
 BITS = 18
 SHAPES = 16
 #: Labelled rows that the model is fitted on at most.
 MAX_LABELLED = 4000
+#: Features of these rows, all together, at most; later rows are left out.
+MAX_FEATURES = 8_000_000
 THRESHOLD = 0.3
 #: Scale of the relative frequencies.
 SCALE = 10.0
@@ -84,8 +88,8 @@ def features(text: str, codes: _Codes | None = None) -> Sparse:
     return index, np.bincount(inverse, np.concatenate(weights))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, held_out: int = 0, most: int = MAX_LABELLED, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
-    """Weights, on the driver; what comes there is bounded by ``most`` rows' features."""
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulus: int = 5, held_out: int = 0, most: int = MAX_LABELLED, most_features: int = MAX_FEATURES, id_col: str = "doc_id", text_col: str = "text") -> np.ndarray:
+    """Weights, on the driver; what comes there is bounded by ``most`` and ``most_features``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = _Codes()
@@ -98,7 +102,7 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", modulu
                 )
 
     sample = labelled_sample(docs, labels, label_col, modulus, held_out, most, id_col, text_col)
-    found = sorted(sample.mapInArrow(stateless(run), "doc_id long, label int, i binary, v binary").collect(), key=lambda row: (row["doc_id"], bytes(row["i"])))
+    found = collected(sample.mapInArrow(stateless(run), "doc_id long, label int, i binary, v binary"), F.length("i") / 4, most_features)
     rows = [(np.frombuffer(row["i"], "<i4"), np.frombuffer(row["v"], "<f4").astype(float)) for row in found]
     return fit(rows, [row["label"] for row in found], DIMENSIONS, epochs=4, alpha=0.5, beta=0.1, l1=0.02, l2=0.1)
 

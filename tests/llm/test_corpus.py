@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, exact_dedup, jpeg, language_model, line_dedup, media, mixing, quality, simhash, toxicity
+from millrace.llm import bpe, chat, exact_dedup, jpeg, language_model, line_dedup, linear, media, mixing, quality, simhash, toxicity
 from millrace.llm.components import connected_components
 from millrace.llm.queries import tokenizer_path, tokenizer_pattern
 
@@ -257,9 +257,116 @@ def test_toxicity_and_counterfactuals(spark):
     assert toxicity.scored(docs, toxicity.train(docs, labels_of(spark, []))).filter("score <> 0.5").count() == 0
 
 
-def test_swaps_exchange_terms_of_one_list():
-    assert toxicity.swapped({"women", "run"}) == {"men", "run"}
-    assert toxicity.swapped({"run"}) is None
+def test_counterfactuals_take_every_alternative():
+    assert toxicity.counterfactuals({"women", "run"}) == [{"run"}, {"men", "run"}]
+    assert toxicity.counterfactuals({"women", "men"}) == [{"men"}, {"men"}, {"women"}, {"women"}]  # never the text itself
+    assert len(toxicity.counterfactuals({"gay", "frauen"})) == 6 + 2
+    assert toxicity.counterfactuals({"run"}) == []
+
+
+NEUTRAL = {
+    "en": ("muslim", "the muslim family opened a bakery near the river", "they say the {} people are worthless idiots"),
+    "fr": ("musulman", "le voisin musulman a ouvert une librairie en ville", "le {} est un sale idiot inutile"),
+    "de": ("muslimisch", "die gemeinde ist muslimisch und feiert ein fest", "so ein {} idiot ist wertlos"),
+    "es": ("musulmán", "el vecino musulmán abre una librería nueva", "el {} es un idiota inútil"),
+}
+
+
+@pytest.mark.parametrize("lang", NEUTRAL)
+def test_neutral_mentions_of_a_group_are_left_alone(lang):
+    """Labels that blame one group teach a plain classifier to flag its name; the penalty takes that back."""
+    term, neutral, toxic = NEUTRAL[lang]
+    rnd = random.Random(9)
+    filler = [f"{lang}word{i}" for i in range(60)] + [w for w in neutral.split() if w != term]
+    plain = [toxicity.words(" ".join(rnd.choices(filler, k=12))) for _ in range(160)]
+    hateful = [toxicity.words(" ".join(rnd.choices(filler, k=6)) + " " + (toxic.format(term) if i % 4 else term)) for i in range(80)]
+    rows, labels = plain + hateful, [0] * 160 + [1] * 80
+    biased = toxicity.Scorer(toxicity.fit(rows, labels, penalty=0.0))
+    fair = toxicity.Scorer(toxicity.fit(rows, labels))
+    assert biased.score(neutral) >= toxicity.THRESHOLD > 0.3 > fair.score(neutral)
+    assert fair.score(toxic.format(term)) >= toxicity.THRESHOLD  # what is said about them still counts
+    others = [t for terms in toxicity.IDENTITY_TERMS if term in terms for t in terms]
+    mentions = [fair.score(neutral.replace(term, t)) for t in others]
+    assert max(mentions) - min(mentions) < 0.1
+
+
+def plain_ftrl(rows, labels, epochs, alpha, beta, l1, l2, seed, penalties=(), rising=()):
+    """Follow the regularised leader, one coordinate at a time, in dictionaries."""
+    z, n = Counter(), Counter()
+
+    def weight(k):
+        if abs(z[k]) <= l1:
+            return 0.0
+        w = -(z[k] - math.copysign(l1, z[k])) / ((beta + math.sqrt(n[k])) / alpha + l2)
+        return max(w, 0.0) if rising and k != "bias" else w
+
+    def move(k, g):
+        w, after = weight(k), n[k] + g * g
+        z[k] += g - (math.sqrt(after) - math.sqrt(n[k])) / alpha * w
+        n[k] = after
+
+    order = np.random.default_rng(seed)
+    for _ in range(epochs):
+        for i in order.permutation(len(rows)):
+            score = sum(weight(k) * v for k, v in rows[i].items())
+            wrong = 1 / (1 + math.exp(-score)) - labels[i]
+            for k, v in [*rows[i].items()]:
+                move(k, wrong * v)
+            for other in penalties[i] if penalties else ():
+                change = {k: (k in rows[i]) - (k in other) for k in rows[i].keys() ^ other}
+                difference = sum(weight(k) * v for k, v in change.items())
+                for k, v in change.items():
+                    move(k, 2 / len(penalties[i]) * difference * v)
+    return {k: weight(k) for k in list(z)}
+
+
+def test_toxicity_against_plain_updates():
+    rnd = random.Random(2)
+    vocabulary = ["tree", "rivers", "gay", "lesbian", "women", "men", "idiot", "trash", "valley", "ab"]
+    rows = [set(rnd.sample(vocabulary, rnd.randint(1, 6))) for _ in range(60)]
+    labels = [int("idiot" in r or "trash" in r or ("gay" in r and rnd.random() < 0.5)) for r in rows]
+    split = lambda words: {w for w in words} | {("^", w[:n]) for w in words for n in (4, 5) if len(w) > n}  # noqa: E731, C416
+    seen = Counter(f for r in rows for x in [r, *toxicity.counterfactuals(r)] for f in split(x))
+    plain = [dict.fromkeys([f for f in split(r) if seen[f] > 1], 1.0) | {"bias": 1.0} for r in rows]
+    swaps = [[{f for f in split(x) if seen[f] > 1} | {"bias"} for x in toxicity.counterfactuals(r)] for r in rows]
+    want = plain_ftrl(plain, labels, 12, 4.0, 1.0, toxicity.L1 * 0.5, 0.1, 11, swaps, rising=True)
+    scorer = toxicity.Scorer(toxicity.fit(rows, labels))
+    for r in rows:
+        total = sum(want.get(k, 0.0) for k in split(r) | {"bias"})
+        assert scorer.score(" ".join(r)) == pytest.approx(1 / (1 + math.exp(-total)), abs=1e-6)
+
+
+def test_quality_against_plain_updates():
+    rnd = random.Random(12)
+    texts = [" ".join(rnd.choice(["Trees", "grow", "in", "the", "valley", "GO!!", "99", "grow,"]) for _ in range(rnd.randint(0, 30))) for _ in range(50)]
+    labels = [int("GO" not in t) for t in texts]
+
+    def features(text):
+        tokens = re.findall(r"\w+|[^\w\s]+", text)
+        shapes = [quality._shape(t) if not i or t != tokens[i - 1] else 14 for i, t in enumerate(tokens)]
+        families = [[("one", t) for t in tokens], [("two", *p) for p in itertools.pairwise(tokens)], [("shape", *p) for p in itertools.pairwise(shapes)]]
+        out = Counter({"bias": 1.0})
+        for family in families:
+            for f in family:
+                out[f] += 10.0 / len(family)
+        return out
+
+    plain = [features(t) for t in texts]
+    want = plain_ftrl(plain, labels, 4, 0.5, 0.1, 0.02, 0.1, 7)
+    weights = quality.fit([quality.features(t) for t in texts], labels, quality.DIMENSIONS, epochs=4, alpha=0.5, beta=0.1, l1=0.02, l2=0.1)
+    score = quality._scorer(weights)
+    for text, row in zip(texts, plain):
+        assert score(text) == pytest.approx(1 / (1 + math.exp(-sum(want[k] * v for k, v in row.items()))), abs=1e-6)
+
+
+def test_labelled_sample_is_bounded_after_the_join(spark):
+    docs = documents(spark, [(i % 7, f"text {i} " + "x" * (i % 50)) for i in range(400)] + [(3, None)], extra=("label", "size", "place"))
+    labels = labels_of(spark, [(i, i % 2, 0) for i in range(7)])
+    sample = linear.labelled_sample(docs, labels, "quality", 1, 5, 5)
+    rows = {r["doc_id"]: r["text"] for r in sample.collect()}
+    assert len(rows) == sample.count() == 5 and rows.get(3, "") == ""
+    assert all(len(linear.collected(sample, F.length("text"), most)) == n for most, n in ((10**6, 5), (0, 0 if rows.get(3) is None else 1)) if n != 1)
+    assert sum(len(r["text"]) for r in linear.collected(sample, F.length("text"), 30)) <= 30
 
 
 # -- 5
