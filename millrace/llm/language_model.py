@@ -1,28 +1,39 @@
 """Language-model scoring with a hashed, class-factored maximum-entropy model.
 
 The probability of a token is that of its class given the words before, times
-that of the token in its class.  The most frequent ``SINGLES`` tokens are classes
-of their own; all other words are classed by a hash of their last two bytes, and
-within a class words have their share of the class's counts, with 0.1 added for
-each word and for one unknown word.  The probability of a class is a softmax over
-hashed features of the history: the bigram (the word before), a skip feature (the
-word before that) and the trigram of both, hashed into ``TRIGRAM_ROWS`` rows.
+that of the token in its class given them.  The most frequent ``SINGLES`` tokens
+are classes of their own; all other words are classed by a hash of their last two
+bytes.
 
-Training takes three distributed passes over the training documents or over what
-they were reduced to:
+The class is a softmax over hashed features of the history: the bigram (the word
+before), a skip feature (the word before that) and the trigram of both, where
+frequent words have codes of their own and others share by suffix.  The word in
+its class is a second softmax, over hashed features that name the words
+themselves: the bigram (word before, word), and after a frequent word the trigram
+(two words before, word).  Its reference measure is each word's share of the
+class's counts, with 0.1 added for each word; words beyond the broadcast ones
+share what is left of their class alike, unknown words being one of them.
+
+Training takes three distributed passes over the training documents:
 
 1. Counts of all tokens, combined in each task before the shuffle; the table
    grows with the corpus and stays distributed.
-2. Counts of (history, class), the model's sufficient statistics: a table of
-   fixed size that covers every training token.
-3. Gradient updates: in each of ``ITERATIONS`` rounds the blocks of that table
-   compute the expected feature counts under the present weights in parallel, and
-   the difference to the observed ones moves the weights, scaled by curvature.
-
-Scoring is one pass: word codes, sparse lookups and sums per document in numpy.
-The ``TOP_WORDS`` most frequent words and their counts are broadcast (a fixed
-number); rarer words are joined with the table of counts, where no word can be
-frequent enough to skew the join.
+2. Counts of (history, class), the class softmax's sufficient statistics: a table
+   of fixed size that covers every training token.  In each of ``ITERATIONS``
+   rounds the blocks of that table compute the expected feature counts under the
+   present weights in parallel, and the difference to the observed ones moves the
+   weights, scaled by curvature.
+3. Counts of all word features, dealt to buckets by (history, class), so that a
+   bucket holds whole softmaxes.  Buckets grow in number with the corpus.  Each
+   takes ``WORD_ITERATIONS`` gradient updates of its weights against discounted
+   counts; the discount comes from how many of its features occur once and twice.
+
+The third pass carries, for each document, the features whose weights it needs,
+so training and scoring share one shuffle: a bucket answers with one sum per
+document, and no table of word features is ever broadcast or collected.  The
+``TOP_WORDS`` most frequent words and their counts are broadcast (a fixed number);
+for the base score rarer words are joined with the table of counts, where no word
+can be frequent enough to skew the join.
 
 Null and empty texts consist of the end token.  Repeated rows are scored one by
 one.  A null id counts as the empty text for the fold.  Without training
@@ -38,6 +49,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +71,16 @@ ROWS = 1 + FIRST + SECOND + TRIGRAM_ROWS
 BLOCKS = 16
 ITERATIONS = 12
 RIDGE = 2.0
+#: Words before, of so high a rank that their histories are told apart by one word more.
+FREQUENT = 128
+WORD_ITERATIONS = 16
+WORD_RIDGE = 0.01
+#: Training tokens for each bucket of word features; the number of buckets is a power of two.
+BUCKET_TOKENS = 1 << 20
+#: Tokens and documents that a task holds before it deals their features to the buckets.
+BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 1 << 15
+#: Map tasks whose statistics are added up before the blocks of all meet.
+ADDED_TOGETHER = 32
 #: Different words that one task counts before it hands on what it has.
 MOST_COUNTED = 400_000
 
@@ -105,9 +127,11 @@ class Vocabulary:
     total: int
     distinct: int
     masses: np.ndarray
+    #: Different words by suffix class, those of their own class left out.
+    kinds: np.ndarray
 
     def tables(self) -> dict[str, np.ndarray]:
-        """By word code: class, history codes, log10(c + 0.1).
+        """By word code: class, history codes, log10(c + 0.1), log10 of the share of the class, hash.
 
         Codes below ``len(words)`` are words by rank, then come the suffix
         classes of all others.
@@ -116,7 +140,13 @@ class Vocabulary:
         suffixes = np.array([suffix(w) for w in self.words], np.int64)
         rank = np.arange(n)
         other = np.arange(SUFFIX_CLASSES * 8)  # suffixes modulo a multiple of all three moduli
+        kind, masses = suffixes[SINGLES:] % SUFFIX_CLASSES, self.counts[SINGLES:] + ADDED
+        left = self.masses - np.bincount(kind, masses, SUFFIX_CLASSES)
+        unlisted = np.maximum(self.kinds - np.bincount(kind, minlength=SUFFIX_CLASSES), 0)
+        share = np.log10(np.maximum(left, ADDED) / (unlisted + 1) / self.masses)
         return {
+            "within": np.concatenate([np.zeros(min(n, SINGLES)), np.log10(masses / self.masses[kind]), share[other % SUFFIX_CLASSES]]),
+            "hash": mixed(np.arange(1, n + len(other) + 1, dtype=np.uint64)),
             "class": np.concatenate([np.where(rank < SINGLES, rank, SINGLES + suffixes % SUFFIX_CLASSES), SINGLES + other % SUFFIX_CLASSES]).astype(np.int32),
             "first": np.concatenate([np.where(rank < FIRST_OWN - 1, 1 + rank, FIRST_OWN + suffixes % (SUFFIX_CLASSES * 8) % (FIRST - FIRST_OWN)), FIRST_OWN + other % (FIRST - FIRST_OWN)]).astype(np.int32),
             "second": np.concatenate([np.where(rank < SECOND_OWN - 1, 1 + rank, SECOND_OWN + suffixes % (SUFFIX_CLASSES * 8) % (SECOND - SECOND_OWN)), SECOND_OWN + other % (SECOND - SECOND_OWN)]).astype(np.int32),
@@ -124,6 +154,14 @@ class Vocabulary:
         }
 
 
+def mixed(values: np.ndarray) -> np.ndarray:
+    """A bijective hash of 64-bit numbers."""
+    x = values.astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class _Codes(dict):
     """Word to code; words that aren't listed have the code of their suffix."""
 
@@ -153,13 +191,15 @@ def vocabulary(counts: DataFrame, top: int = TOP_WORDS) -> Vocabulary:
         least = at
     listed = counts.filter(level >= least).select("word", "c").toArrow()
     order = sorted(zip(listed.column("c").to_pylist(), listed.column("word").to_pylist()), key=lambda x: (-x[0], x[1]))
-    kinds = counts.groupBy((F.crc32(F.substring("word", -2, 2)) % SUFFIX_CLASSES).alias("k")).agg(F.sum(F.col("c") + ADDED).alias("mass")).collect()
-    masses = np.full(SUFFIX_CLASSES, ADDED)
+    kinds = counts.groupBy((F.crc32(F.substring("word", -2, 2)) % SUFFIX_CLASSES).alias("k")).agg(F.sum(F.col("c") + ADDED).alias("mass"), F.count("*").alias("v")).collect()
+    masses, different = np.full(SUFFIX_CLASSES, ADDED), np.zeros(SUFFIX_CLASSES, np.int64)
     for row in kinds:
         masses[row["k"]] += row["mass"]
+        different[row["k"]] = row["v"]
     for c, word in order[:SINGLES]:
         masses[suffix(word) % SUFFIX_CLASSES] -= c + ADDED
-    return Vocabulary([w for _, w in order], np.array([c for c, _ in order], np.int64), total["n"] or 0, total["v"], np.maximum(masses, ADDED))
+        different[suffix(word) % SUFFIX_CLASSES] -= 1
+    return Vocabulary([w for _, w in order], np.array([c for c, _ in order], np.int64), total["n"] or 0, total["v"], np.maximum(masses, ADDED), different)
 
 
 def _contexts(codes: np.ndarray, starts: np.ndarray, tables: dict[str, np.ndarray]) -> np.ndarray:
@@ -197,21 +237,32 @@ def statistics(train: DataFrame, words: Vocabulary) -> DataFrame:
             for part in slices(batch, 256):
                 _, flat, starts = _coded(text_bytes(part.column(0)), codes)
                 seen += np.bincount(_contexts(flat, starts, tables) * CLASSES + tables["class"][flat], minlength=len(seen))
-        blocks = seen.reshape(BLOCKS, cells)
-        at = [np.flatnonzero(b) for b in blocks]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(range(BLOCKS), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in at], pa.binary()), pa.array([b[x].astype("<i8").tobytes() for b, x in zip(blocks, at)], pa.binary())],
-            ["block", "cells", "counts"],
-        )
+        yield packed({block: counts for block, counts in enumerate(seen.reshape(BLOCKS, cells))})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(blocks: dict[int, np.ndarray]) -> pa.RecordBatch:
+        at = [np.flatnonzero(b) for b in blocks.values()]
+        columns = [pa.array(list(blocks), pa.int32()), pa.array([x.astype("<i4").tobytes() for x in at], pa.binary()), pa.array([b[x].astype("<i8").tobytes() for b, x in zip(blocks.values(), at)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "cells", "counts"])
+
+    def sums_of(batches: Iterator[pa.RecordBatch]) -> dict[int, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for block, at, n in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 sums.setdefault(block, np.zeros(cells, np.int64))[np.frombuffer(at, "<i4")] += np.frombuffer(n, "<i8")
+        return sums
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed(sums_of(batches))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = sums_of(batches)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    return train.select("text").mapInArrow(stateless(gather), "block int, cells binary, counts binary").repartition("block").mapInArrow(stateless(add), "block int, counts binary").coalesce(BLOCKS)
+    parts = "block int, cells binary, counts binary"
+    gathered = train.select("text").mapInArrow(stateless(gather), parts).withColumn("few", F.floor(F.spark_partition_id() / ADDED_TOGETHER))
+    # a few tasks' counts at a time first, so that no block gets those of every task
+    fewer = gathered.repartition("block", "few").select("block", "cells", "counts").mapInArrow(stateless(some), parts)
+    return fewer.repartition("block").mapInArrow(stateless(add), "block int, counts binary").coalesce(BLOCKS)
 
 
 def rows_of(contexts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -277,42 +328,210 @@ def train_classes(table: DataFrame, iterations: int = ITERATIONS, ridge: float =
     return weights
 
 
-def _local_scores(shared, probabilities):
-    """Per document: what needs no rare counts, and the document's rare words."""
+_ENTRIES = "bucket long, uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<binary>, rare_counts array<int>, n_docs int, keys binary, docs binary, times binary, shares binary"
+_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<binary>, rare_counts array<int>, n_docs int, gains binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), *[pa.binary()] * 4]
+
+
+def feature_keys(hashes: np.ndarray, kinds: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashed word feature of each token: 40 bits of history and class, 24 of the word.
+
+    The history is the word before, and after a frequent one the two words before.
+    """
+    one, two = np.zeros(len(hashes), np.uint64), np.zeros(len(hashes), np.uint64)
+    one[1:], two[2:] = hashes[:-1], hashes[:-2]
+    frequent = np.zeros(len(hashes), bool)
+    frequent[1:] = codes[:-1] < FREQUENT
+    one[starts], two[starts], frequent[starts] = 0, 0, False
+    after = starts + 1
+    two[after[after < len(hashes)]] = 0
+    history = np.where(frequent, mixed(one + np.uint64(3) * two + np.uint64(1)), one)
+    group = mixed(history ^ mixed(kinds.astype(np.uint64) + np.uint64(1)))
+    return (group >> np.uint64(24) << np.uint64(24)) | (mixed(hashes) >> np.uint64(40))
+
+
+class _Block:
+    """Features of a run of documents, to be dealt to the buckets."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.uid, self.n_docs, self.parts, self.tokens = 0, 0, [], 0
+
+    def add(self, uids: list[int], train: np.ndarray, keys: np.ndarray, shares: np.ndarray, owners: np.ndarray) -> None:
+        """``owners``: for each feature the place of its document among ``uids``."""
+        if not self.n_docs:
+            self.uid = uids[0]
+        self.parts.append((keys, shares, (owners + self.n_docs) | train[owners].astype(np.int64) << 15))
+        self.n_docs += len(uids)
+        self.tokens += len(keys)
+
+    def dealt(self) -> Iterator[tuple]:
+        """Rows of one bucket each: features by key and document, with how often they occur there."""
+        keys, shares, docs = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(keys, kind="stable")  # tokens come by document, and stay so within a key
+        keys, shares, docs = keys[order], shares[order], docs[order]
+        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])) if len(keys) else np.empty(0, np.int64)
+        times = np.diff(np.append(first, len(keys)))
+        keys, shares, docs = keys[first], shares[first], docs[first]
+        buckets = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        cuts = [*np.flatnonzero(np.diff(buckets, prepend=-1)).tolist(), len(keys)]
+        for start, end in zip(cuts, cuts[1:]):
+            mine = keys[start:end]
+            steps = np.diff(mine, prepend=np.uint64(0))
+            # bytes of one weight side by side, so that the zeros of sorted keys compress
+            planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+            yield (int(buckets[start]), self.uid, *(None,) * 8, self.n_docs, planes, docs[start:end].astype("<u2").tobytes(), times[start:end].astype("<u4").tobytes(), shares[start:end].astype("<f2").tobytes())
+        self.clear()
+
+
+def _keys_of(planes: bytes) -> np.ndarray:
+    steps = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(8, -1).T).view("<u8").ravel()
+    return np.cumsum(steps, dtype=np.uint64)
+
+
+def _local_scores(shared, probabilities, bits: int):
+    """Rows of documents (buckets below 0), with what needs no other task, and the features dealt to the buckets."""
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows), _KINDS)], [field.split(" ")[0] for field in _ENTRIES.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Vocabulary = shared.value
         codes, tables, log_class = _Codes(words.words), words.tables(), probabilities.value.ravel()
-        within = np.concatenate([np.zeros(SINGLES), -np.log10(words.masses)])
+        digest, block = xxhash.xxh64_intdigest, _Block(bits)
         for batch in batches:
             for part in slices(batch, 256):
+                uids, held_out = part.column(0).to_pylist(), part.column(2).to_pylist()
+                if block.n_docs and uids[0] != block.uid + block.n_docs:
+                    yield batch_of(list(block.dealt()))
                 found, flat, starts = _coded(text_bytes(part.column(3)), codes)
                 kinds = tables["class"][flat]
-                logs = tables["log"][flat]
-                model = log_class[_contexts(flat, starts, tables) * CLASSES + kinds].astype(np.float64) + within[kinds] + np.where(kinds < SINGLES, 0.0, logs)
-                rare = flat >= codes.listed
+                logs, within = tables["log"][flat], tables["within"][flat]
+                model = log_class[_contexts(flat, starts, tables) * CLASSES + kinds].astype(np.float64) + within
+                rare, hashes = flat >= codes.listed, tables["hash"][flat]
                 # summed text by text, so that equal texts have equal sums
                 ends = np.append(starts[1:], len(flat))
-                rare_words, rare_counts, sums = [], [], []
+                rows = []
                 for k, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
-                    row = found[k]
-                    tail = Counter([row[i] for i in np.flatnonzero(rare[start:end]).tolist()])
-                    rare_words.append(list(tail.keys()))
-                    rare_counts.append(list(tail.values()))
-                    sums.append((end - start, end - start - sum(tail.values()), float(logs[start:end].sum()), float(model[start:end].sum())))
-                n, known, base, score = zip(*sums) if sums else ((),) * 4
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), part.column(2), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64()), pa.array(rare_words, pa.list_(pa.binary())), pa.array(rare_counts, pa.list_(pa.int32()))],
-                    ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare_words", "rare_counts"],
-                )
+                    row, at = found[k], np.flatnonzero(rare[start:end]).tolist()
+                    tail = Counter([row[i] for i in at])
+                    for i in at:
+                        hashes[start + i] = digest(row[i], 1)
+                    n = end - start
+                    rows.append((-1 - uids[k] % 997, uids[k], part.column(1)[k].as_py(), held_out[k], n, n - len(at), float(logs[start:end].sum()), float(model[start:end].sum()), list(tail.keys()), list(tail.values()), *(None,) * 5))
+                yield batch_of(rows)
+                shared_class = np.flatnonzero(kinds >= SINGLES)
+                owners = np.repeat(np.arange(len(uids)), ends - starts)
+                block.add(uids, ~np.array(held_out, bool), feature_keys(hashes, kinds, flat, starts)[shared_class], -within[shared_class], owners[shared_class])
+                if block.tokens >= BLOCK_TOKENS or block.n_docs > BLOCK_DOCS - 256:
+                    rows = list(block.dealt())
+                    if rows:
+                        yield batch_of(rows)
+        rows = list(block.dealt()) if block.n_docs else []
+        if rows:
+            yield batch_of(rows)
+
+    return run
+
+
+def fit_words(groups: np.ndarray, counts: np.ndarray, shares: np.ndarray, iterations: int = WORD_ITERATIONS, ridge: float = WORD_RIDGE) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of word features and ln of the normaliser of each, by gradient updates.
+
+    ``groups``: history and class of each feature, sorted; ``counts`` in training
+    (0: unseen, without a weight); ``shares`` of the word in its class.  The
+    probability of a word is ``share * exp(weight) / normaliser``.
+    """
+    first = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    number = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(groups))))
+    seen = counts > 0
+    once, twice = int((counts == 1).sum()), int((counts == 2).sum())
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.95) if once + twice else 0.5
+    wanted, totals = np.where(seen, counts - discount, 0.0), np.add.reduceat(counts, first)[number]
+    weights = np.zeros(len(groups))
+
+    def normalisers() -> np.ndarray:
+        """1 where nothing is seen: the shares of a class sum to 1."""
+        return np.maximum(1 + np.add.reduceat(np.where(seen, shares * np.expm1(weights), 0.0), first), 1e-6)[number]
+
+    for _ in range(iterations):
+        p = shares * np.exp(weights) / normalisers()
+        gradient = wanted - totals * p - ridge * weights
+        step = np.clip(gradient / (totals * p * (1 - np.minimum(p, 1.0)) + ridge), -2.0, 2.0)
+        weights = np.where(seen, np.clip(weights + step, -30.0, 30.0), 0.0)
+    return weights, np.log(normalisers())
+
+
+def _bucket_gains(iterations: int):
+    """Rows of documents as they are; for each run of documents what the word features add to their scores.
+
+    The rows of a partition come sorted by bucket.
+    """
+
+    def gains(blocks: list[tuple]) -> pa.RecordBatch:
+        keys = np.concatenate([_keys_of(b[2]) for b in blocks])
+        docs = np.concatenate([np.frombuffer(b[3], "<u2") for b in blocks])
+        times = np.concatenate([np.frombuffer(b[4], "<u4") for b in blocks]).astype(np.float64)
+        shares = np.concatenate([np.frombuffer(b[5], "<f2") for b in blocks])
+        lengths = [len(b[3]) // 2 for b in blocks]
+        order = np.argsort(keys, kind="stable")
+        first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
+        trained = np.add.reduceat(np.where(docs[order] >= BLOCK_DOCS, times[order], 0.0), first)
+        weights, normalisers = fit_words(keys[order][first] >> np.uint64(24), trained, 10.0 ** -shares[order][first].astype(np.float64), iterations)
+        per_key = (weights - normalisers) / np.log(10)
+        values = np.empty(len(keys))
+        values[order] = np.repeat(per_key, np.diff(np.append(first, len(keys)))) * times[order]
+        uids, sizes, sums, at = [], [], [], 0
+        for block, n in zip(blocks, lengths):
+            total = np.bincount(docs[at : at + n] & (BLOCK_DOCS - 1), values[at : at + n], block[1])
+            at += n
+            # whole multiples of 2 ** -30, so that sums agree in any order
+            sums.append(np.rint(total * (1 << 30)).astype("<i8").tobytes())
+            uids.append(block[0])
+            sizes.append(block[1])
+        return empty(uids, sizes, sums)
+
+    def empty(uids: list, sizes: list, sums: list) -> pa.RecordBatch:
+        n = len(uids)
+        columns = [pa.array(uids, pa.int64()), *(pa.nulls(n, kind) for kind in _KINDS[2:10]), pa.array(sizes, pa.int32()), pa.array(sums, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, [field.split(" ")[0] for field in _SUMS.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        bucket = None
+        for batch in batches:
+            buckets = batch.column(0).to_numpy(zero_copy_only=False)
+            rows = int(np.searchsorted(buckets, 0))
+            if rows:
+                plain = batch.slice(0, rows)
+                yield pa.RecordBatch.from_arrays([*plain.columns[1:10], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], [field.split(" ")[0] for field in _SUMS.split(", ")])
+            dealt = batch.slice(rows)
+            for at, *block in zip(buckets[rows:].tolist(), *(dealt.column(i).to_pylist() for i in (1, 10, 11, 12, 13, 14))):
+                if at != bucket and held:
+                    yield gains(held)
+                    held = []
+                bucket = at
+                held.append(tuple(block))
+        if held:
+            yield gains(held)
 
     return run
 
 
-_LOCAL = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<binary>, rare_counts array<int>"
+def _gain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(uid of the first document, n_docs, gains) to one row per document; runs meet in one task."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for uid, n, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            sums.setdefault(uid, np.zeros(n, np.int64))
+            sums[uid] += np.frombuffer(content, "<i8")
+    for uid, total in sums.items():
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(total))), pa.array(total / (1 << 30))], ["uid", "gain"])
 
 
-def scored(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", top: int = TOP_WORDS, iterations: int = ITERATIONS) -> DataFrame:
+def scored(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", top: int = TOP_WORDS, iterations: int = ITERATIONS, word_iterations: int = WORD_ITERATIONS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row."""
     context = docs.sparkSession.sparkContext
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).withColumn("held_out", crc_fold(F.col("doc_id"), modulus) == held_out)
@@ -321,22 +540,28 @@ def scored(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str =
     words = vocabulary(counts, top)
     weights = train_classes(checkpointed(statistics(train, words)), iterations)
     table = (log_softmax(weights, np.arange(CONTEXTS)) / np.log(10)).astype(np.float32)
-    local = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(stateless(_local_scores(context.broadcast(words), context.broadcast(table))), _LOCAL)
-    local = checkpointed(local)
-    rare = local.select("uid", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("r")).select("uid", F.col("r.rare_words").alias("rare_word"), F.col("r.rare_counts").alias("times"))
+    bits = max(0, (words.total // bucket_tokens).bit_length())
+    dealt = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(stateless(_local_scores(context.broadcast(words), context.broadcast(table), bits)), _ENTRIES)
+    local = checkpointed(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stateless(_bucket_gains(word_iterations)), _SUMS))
+    plain = local.filter("gains is null")
+    rare = plain.select("uid", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("r")).select("uid", F.col("r.rare_words").alias("rare_word"), F.col("r.rare_counts").alias("times"))
     found = rare.join(counts, F.col("rare_word") == F.col("word"), "left")
-    sums = found.groupBy(F.col("uid").alias("rare_uid")).agg(
-        F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + ADDED)).alias("rare_log"),
-        F.sum(F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0)).alias("rare_known"),
-    )
     zero = F.lit(0.0)
+    gains = local.filter("gains is not null").select("uid", "n_docs", "gains").repartition("uid").mapInArrow(stateless(_gain_rows), "uid long, gain double")
+    parts = found.select(
+        "uid",
+        (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + ADDED)).alias("log"),
+        F.when(F.col("c").isNotNull(), F.col("times")).otherwise(0).cast("long").alias("known"),
+        zero.alias("gain"),
+    ).unionByName(gains.select("uid", zero.alias("log"), F.lit(0).cast("long").alias("known"), "gain"))
+    sums = parts.groupBy(F.col("uid").alias("sums_uid")).agg(F.sum("log").alias("rare_log"), F.sum("known").alias("rare_known"), F.sum("gain").alias("gain"))
     base = F.lit(float(np.log10(words.total + ADDED * (words.distinct + 1))))
-    return local.drop("rare_words", "rare_counts").join(sums, F.col("uid") == F.col("rare_uid"), "left").select(
+    return plain.drop("rare_words", "rare_counts").join(sums, F.col("uid") == F.col("sums_uid"), "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(words.total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("rare_log", zero) - F.col("n_tokens") * base).alias("base_score"),
-        (F.col("score") + F.coalesce("rare_log", zero)).alias("score"),
+        (F.col("score") + F.coalesce("gain", zero)).alias("score"),
     )

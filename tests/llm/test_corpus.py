@@ -204,6 +204,81 @@ def test_language_model_probabilities_sum_to_one(spark):
         assert inside == pytest.approx(words.masses[k], rel=1e-9)
 
 
+def plain_softmaxes(train_texts, words, rounds):
+    """{(history, class): {word: weight}} and shares, one token and one number at a time."""
+    n, tables = len(words.words), words.tables()
+    code = {w: i for i, w in enumerate(words.words)}
+    of_suffix = lambda w: n + zlib.crc32(w[-2:]) % (language_model.SUFFIX_CLASSES * 8)
+    at = lambda w: code.get(w, of_suffix(w))
+
+    def places(text):
+        row = language_model.tokens(text)
+        for i, w in enumerate(row):
+            one, two = (row[i - 1] if i else None), (row[i - 2] if i > 1 else None)
+            kind = int(tables["class"][at(w)])
+            yield w, kind, ((two, one) if one is not None and at(one) < language_model.FREQUENT else one), 10.0 ** float(np.float16(tables["within"][at(w)]))
+
+    counts, shares = defaultdict(Counter), {}
+    for text in train_texts:
+        for w, kind, history, share in places(text):
+            if kind >= language_model.SINGLES:
+                counts[history, kind][w] += 1
+                shares[w] = share
+    every = [c for group in counts.values() for c in group.values()]
+    once, twice = every.count(1), every.count(2)
+    discount = min(max(once / (once + 2 * twice), 0.1), 0.95)
+    weights = {key: dict.fromkeys(group, 0.0) for key, group in counts.items()}
+    normaliser = lambda key: 1 + sum(shares[w] * math.expm1(x) for w, x in weights[key].items())
+    for _ in range(rounds):
+        for key, group in counts.items():
+            total, z, old = sum(group.values()), normaliser(key), dict(weights[key])
+            for w, c in group.items():
+                p = shares[w] * math.exp(old[w]) / z
+                step = (c - discount - total * p - language_model.WORD_RIDGE * old[w]) / (total * p * (1 - p) + language_model.WORD_RIDGE)
+                weights[key][w] = old[w] + min(max(step, -2.0), 2.0)
+    return places, weights, normaliser
+
+
+@pytest.mark.parametrize("top", [1 << 18, 60])
+def test_language_model_score_against_plain_softmaxes(spark, top):
+    rows = [(i, t) for i, t, _ in corpus(80)] + [(200, "one text twice of its own words"), (201, "one text twice of its own words"), (202, None)]
+    docs = documents(spark, rows)
+    fold = lambda i: zlib.crc32(str(i).encode()) % 10
+    train = [(t or "").encode() for i, t in rows if fold(i)]
+    frame = docs.filter("crc32(cast(cast(doc_id as string) as binary)) % 10 <> 0").select("text")
+    words = language_model.vocabulary(language_model.word_counts(frame), top)
+    table = language_model.log_softmax(language_model.train_classes(language_model.statistics(frame, words), 3), np.arange(language_model.CONTEXTS)) / np.log(10)
+    tables, codes = words.tables(), language_model._Codes(words.words)
+    places, weights, normaliser = plain_softmaxes(train, words, 5)
+    got = {r["doc_id"]: r["score"] for r in language_model.scored(docs, top=top, iterations=3, word_iterations=5).collect()}
+    for i, t in rows:
+        _, flat, starts = language_model._coded([(t or "").encode()], codes)
+        want = float(table[language_model._contexts(flat, starts, tables), tables["class"][flat]].sum()) + float(tables["within"][flat].sum())
+        for w, kind, history, _ in places((t or "").encode()):
+            if kind >= language_model.SINGLES and (history, kind) in weights:
+                want += (weights[history, kind].get(w, 0.0) - math.log(normaliser((history, kind)))) / math.log(10)
+        assert got[i] == pytest.approx(want, abs=2e-3 * max(1, len(flat) / 50))
+
+
+def test_language_model_word_softmax_sums_to_one():
+    """Over all words of a class, seen after the history or not."""
+    rnd = np.random.default_rng(3)
+    shares = rnd.dirichlet(np.ones(40))
+    counts = np.where(rnd.random(40) < 0.3, rnd.integers(1, 5, 40), 0)
+    weights, logs = language_model.fit_words(np.full(40, 7, np.uint64), counts, shares)
+    assert (shares * np.exp(weights - logs)).sum() == pytest.approx(1)
+    assert (weights[counts == 0] == 0).all() and (weights[counts > 2] > 0).all()
+
+
+def test_language_model_buckets_do_not_change_whole_softmaxes(spark):
+    """Documents apart by task and bucket: copies score alike, whatever the number of buckets."""
+    rows = [(i, t) for i, t, _ in corpus(60)] + [(300 + i, "a copied text of some rare words") for i in range(30)]
+    docs = documents(spark, rows).repartition(5)
+    for bucket_tokens in (1 << 20, 64):
+        got = {r["doc_id"]: r["score"] for r in language_model.scored(docs, iterations=2, word_iterations=3, bucket_tokens=bucket_tokens).collect()}
+        assert len({got[300 + i] for i in range(30)}) == 1 and len(got) == len(rows)
+
+
 def test_language_model_learns_order(spark):
     rows = [(i, " ".join(["alpha beta", "gamma delta"][(i + j) % 2] for j in range(20))) for i in range(200)]
     got = language_model.scored(documents(spark, rows)).filter("held_out").selectExpr("sum(score) s", "sum(base_score) b").first()
