@@ -5,6 +5,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 
@@ -19,25 +21,49 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 
 
 class _Text(HTMLParser):
+    """Collects text; a dropped element ends with its own end tag or with that of an element around it."""
+
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[str] = []
-        self.hidden: list[str] = []
+        self.open: Counter[str] = Counter()
+        self.hidden: list[tuple[str, Counter[str]]] = []
 
     def handle_starttag(self, tag, attrs) -> None:
-        if self.hidden or tag in DROPPED:
-            if tag in DROPPED:
-                self.hidden.append(tag)
+        if tag in VOID:
+            if tag in BLOCKS and not self.hidden:
+                self.out.append("\n")
             return
-        if tag == "li":
-            self.out.append("\n• ")
-        elif tag in BLOCKS:
-            self.out.append("\n")
+        if tag in DROPPED:
+            self.hidden.append((tag, Counter()))
+        elif self.hidden:
+            self.hidden[-1][1][tag] += 1
+        else:
+            self.open[tag] += 1
+            if tag == "li":
+                self.out.append("\n• ")
+            elif tag in BLOCKS:
+                self.out.append("\n")
 
     def handle_endtag(self, tag) -> None:
-        if tag in self.hidden:
-            while self.hidden.pop() != tag:
-                pass
+        if not self.hidden:
+            self.open[tag] = max(self.open[tag] - 1, 0)
+            return
+        # from the innermost: its own end, an end within it, or one around it that takes it along
+        for depth in reversed(range(len(self.hidden))):
+            name, inside = self.hidden[depth]
+            if name == tag:
+                del self.hidden[depth:]
+                return
+            if inside[tag]:
+                inside[tag] -= 1
+                del self.hidden[depth + 1 :]
+                return
+            if name == "template":
+                return
+        if self.open[tag]:
+            self.open[tag] -= 1
+            self.hidden.clear()
 
     def handle_data(self, data) -> None:
         if not self.hidden:
@@ -92,6 +118,13 @@ class Element:
     parent: "Element | None" = None
     children: list["Element | str"] = field(default_factory=list)
 
+    def ancestors(self) -> Iterator["Element"]:
+        """The elements above, the nearest first, without the document itself."""
+        above = self.parent
+        while above is not None and above.parent is not None:
+            yield above
+            above = above.parent
+
     def text(self, separator: str) -> str:
         parts, todo = [], [self]
         while todo:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -44,29 +45,21 @@ def bullets(variants: DataFrame, variant: str = "id", content: str = "content")
 
 
 def split_item(item: str) -> Iterator[str]:
-    """An item of a skills line, its parts outside brackets, and the parts within."""
+    """An item of a skills line, its parts outside brackets, and the parts within brackets that close.
+
+    A bracket pair at the outermost level is left out itself; a closing bracket
+    too many, and what comes at its level, is outside.
+    """
     yield item
-    outside, inside, depth = [""], [], 0
-    for char in item:
-        if char in "([{":
-            depth += 1
-            if depth == 1:
-                inside.append("")
-            else:
-                inside[-1] += char
-        elif char in ")]}":
-            depth -= 1
-            if depth > 0:
-                inside[-1] += char
-        elif depth > 0:
-            inside[-1] += char
-        elif char in "/&;,":
-            outside.append("")
-        else:
-            outside[-1] += char
-    yield from (part.strip() for part in outside if part)
-    for group in inside:
-        yield from (part.strip() for part in re.split("[,/;&]", group) if part.strip())
+    depths = list(itertools.accumulate((char in "([{") - (char in ")]}") for char in item))
+    opens = [char in "([{" and depth == 1 for char, depth in zip(item, depths)]
+    closes = [char in ")]}" and depth == 0 for char, depth in zip(item, depths)]
+    outside = "".join(char for char, depth, closing in zip(item, depths, closes) if depth <= 0 and not closing)
+    yield from (part.strip() for part in re.split("[/&;,]", outside) if part)
+    group = list(itertools.accumulate(closes))
+    for number in range(sum(closes)):
+        inside = "".join(char for char, depth, opening, at in zip(item, depths, opens, group) if depth > 0 and not opening and at == number)
+        yield from (part.strip() for part in re.split("[,/;&]", inside) if part.strip())
 
 
 _VERSION = re.compile(r"\s+v?\d+(\.\d+)*$", re.IGNORECASE)

@@ -3,22 +3,22 @@
 from __future__ import annotations
 
 import base64
-import hashlib
+import itertools
 import json
 import re
 from collections.abc import Iterator
 from email.utils import parseaddr
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.functions.dates import relative_day
-from millrace.functions.html import Element, tree_of
-from millrace.functions.location import Gazetteer, parser
-from millrace.functions.text import seniority, title_key
-from millrace.functions.urls import unwrapped
+from millrace.functions.html import tree_of
+from millrace.functions.location import Gazetteer, city_key, located, parser
+from millrace.functions.text import bound, company_key, lookup, nfkc, seniority, squeeze, title_key, unaccented
+from millrace.functions.urls import unwrap_tracking
 
 DEEPEST = 8
 MOST_BODY_BYTES = 2 * 1024 * 1024
@@ -113,11 +113,13 @@ NOISE = (
     r"\d[\d,]*\s+(?:applicants?|connections?|alumni)\b.*|\d+\s*[-–]\s*\d+\s*(?:yrs?|years?)\b.*|not disclosed.*|₹.*|rs\.?\s*\d.*|\$\s*[\d,]+.*|posted\b.*|"
     r"\d+\+?\s*(?:minute|hour|day|week|month)s?\s+ago\b.*|just (?:now|posted)|today|yesterday"
 )
-_NOISE = re.compile(rf"^(?:{NOISE})\s*$", re.IGNORECASE)
-_HINT = re.compile(r"\b(today|yesterday|just (?:now|posted)|\d+\+?\s*(?:minute|hour|day|week|month)s?\s+ago)\b", re.IGNORECASE)
-_EXPERIENCE = re.compile(r"\b(\d+\s*[-–]\s*\d+)\s*(?:yrs?|years?)\b", re.IGNORECASE)
+HINT = r"(?i)\b(today|yesterday|just (?:now|posted)|\d+\+?\s*(?:minute|hour|day|week|month)s?\s+ago)\b"
+EXPERIENCE = r"(?i)\b(\d+\s*[-–]\s*\d+)\s*(?:yrs?|years?)\b"
 SNIPPET_CHARS = 40
-_ENDINGS = ("tr", "table", "li")
+#: Elements that a card can be, how many lines it has at least, and how far above its link it can be.
+CARD_ELEMENTS = ("tr", "table", "li")
+CARD_LINES = 2
+CARD_LEVELS = 6
 
 
 def platform_of(sender: Column) -> Column:
@@ -126,76 +128,92 @@ def platform_of(sender: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(lowered, F.lit(name)), F.lit(name)) for name in PLATFORMS))
 
 
-def _clean(text: str) -> str:
-    return re.sub(r"\s+", " ", text.replace(" ", " ")).strip()
+_LEVELS = "array<struct<tag:string,text:string>>"
 
 
-def card_lines(anchor: Element, title: str, levels: int = 6) -> list[str]:
-    """Lines around a title link: of the fullest element above it, up to the card's."""
-    best: list[str] = []
-    above = anchor.parent
-    for _ in range(levels):
-        if above is None:
-            break
-        lines = [c for c in map(_clean, above.text("\n").split("\n")) if c and c != title]
-        best = max(best, lines, key=len)
-        if above.tag in _ENDINGS and len(best) > 1:
-            break
-        above = above.parent
-    return best
+@F.udtf(returnType=f"card int, title string, href string, levels {_LEVELS}")
+class Links:
+    """The links of a mail whose address matches, with the elements above them and all their text."""
 
+    def eval(self, body: str, pattern: str):
+        if not body or not pattern:
+            return
+        wanted = re.compile(pattern, re.IGNORECASE)
+        for number, link in enumerate(e for e in tree_of(body) if e.tag == "a" and wanted.search(e.attributes.get("href", ""))):
+            above = itertools.islice(itertools.takewhile(lambda e: e is not None, link.ancestors()), CARD_LEVELS)
+            yield number, link.text(" "), link.attributes["href"], [(e.tag, e.text("\n")) for e in above]
 
-def card_parts(lines: list[str], gazetteer: Gazetteer) -> tuple[str | None, str | None, str | None]:
-    """(company, location, snippet): by what the lines look like, in their order."""
-    telling = [line for line in lines if not _NOISE.match(line)]
-    if not telling:
-        return None, None, None
-    company, place, snippet, rest = telling[0], None, None, []
-    for line in telling[1:]:
-        if place is None and any(gazetteer.parse(line)[:3]):
-            place = line
-        elif snippet is None and len(line) >= SNIPPET_CHARS:
-            snippet = line
-        else:
-            rest.append(line)
-    return company, place or (rest[0] if rest else None), snippet
 
+def card_lines(levels: Column, title: Column) -> Column:
+    """Lines of the card around a title: those of the element with the most, up to the first that is a card.
 
-CARD = "platform string, title string, company_name string, location_raw string, snippet string, posted_hint string, source_url string, canonical_url string, unwrapped boolean, extra map<string,string>"
+    Of elements with as many lines the innermost counts.
+    """
 
+    def lines(level: Column) -> Column:
+        return F.filter(F.transform(F.split(level["text"], "\n"), squeeze), lambda line: (line != "") & (line != title))
 
-def cards_of(platform: str | None, body: str | None, gazetteer: Gazetteer) -> Iterator[tuple]:
-    """The cards of one mail: a title link each, with what stands around it."""
-    if platform not in PLATFORMS or not body:
-        return
-    link, key, key_name = PLATFORMS[platform]
-    for anchor in tree_of(body):
-        href = anchor.attributes.get("href", "")
-        if anchor.tag != "a" or not re.search(link, href, re.IGNORECASE):
-            continue
-        title = _clean(anchor.text(" "))
-        lines = card_lines(anchor, title)
-        company, place, snippet = card_parts(lines, gazetteer)
-        if not title or not company:
-            continue
-        extra = {key_name: m[1]} if (m := re.search(key, href, re.IGNORECASE)) else {}
-        if platform == "naukri" and (years := next((m[1] for m in map(_EXPERIENCE.search, lines) if m), None)):
-            extra["experience_hint"] = years.replace(" ", "")
-        hint = next((m[0] for m in map(_HINT.search, lines) if m), None)
-        url, moved = unwrapped(href)
-        yield platform, title, company, place, snippet, hint, href, url, moved, extra
-
-
-def card_table(gazetteer: Gazetteer | None = None):
-    """A table function (platform, html) to the cards of a mail."""
+    def chosen(given: Column) -> Column:
+        sizes = F.transform(given, lambda level: F.size(level["lines"]))
+        most = lambda i: F.array_max(F.slice(sizes, F.lit(1), i + 1))
+        ends = F.filter(F.transform(given, lambda level, i: F.when(level["tag"].isin(*CARD_ELEMENTS) & (most(i) >= CARD_LINES), i)), lambda i: i.isNotNull())
+        last = F.coalesce(F.try_element_at(ends, F.lit(1)), F.size(given) - 1)
+        return F.try_element_at(given, F.array_position(sizes, most(last)).cast("int"))["lines"]
+
+    return bound(F.transform(levels, lambda level: F.struct(level["tag"].alias("tag"), lines(level).alias("lines"))), chosen)
+
+
+def card_parts(lines: Column, plain: Column, gazetteer: Gazetteer | None = None) -> Column:
+    """struct(company_name, location_raw, snippet) of a card's lines; ``plain``: the same without accents.
+
+    Lines are numbered, and those that say something ranked by what they look
+    like: the first is the company, the first later one that is a place the
+    place, the first long one besides the snippet, and without a place the first
+    other line stands for it.
+    """
     names = gazetteer or Gazetteer()
 
-    @F.udtf(returnType=CARD)
-    class Cards:
-        def eval(self, platform: str, body: str):
-            yield from cards_of(platform, body, names)
+    def looks(at: Column) -> Column:
+        place = located(F.get(plain, at), names)
+        return place["city"].isNotNull() | place["country"].isNotNull() | place["is_remote"]
+
+    def first(rows: Column, test) -> Column:
+        return F.try_element_at(F.filter(rows, test), F.lit(1))
 
-    return Cards
+    def parts(telling: Column) -> Column:
+        company, later = F.try_element_at(telling, F.lit(1)), F.slice(telling, F.lit(2), F.greatest(F.size(telling) - 1, F.lit(0)))
+
+        def with_place(place: Column) -> Column:
+            snippet = first(later, lambda t: ~t["at"].eqNullSafe(place["at"]) & (F.length(t["line"]) >= SNIPPET_CHARS))
+            other = first(later, lambda t: ~t["at"].eqNullSafe(place["at"]) & ~t["at"].eqNullSafe(snippet["at"]))
+            return F.struct(company["line"].alias("company_name"), F.coalesce(place["line"], other["line"]).alias("location_raw"), snippet["line"].alias("snippet"))
+
+        return bound(first(later, lambda t: looks(t["at"])), with_place)
+
+    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    return bound(F.filter(numbered, lambda t: ~t["line"].rlike(rf"(?i)^(?:{NOISE})\s*$")), parts)
+
+
+def cards(mails: DataFrame, gazetteer: Gazetteer | None = None) -> DataFrame:
+    """The mails' columns and platform, title, company_name, location_raw, snippet, posted_hint, source_url,
+    canonical_url, unwrapped, extra: one row for each title link of a platform with what stands around it.
+    """
+    of = lambda i: lookup(F.col("platform"), {name: parts[i] for name, parts in PLATFORMS.items()})
+    rows = mails.withColumn("platform", platform_of(F.col("sender"))).withColumn("_pattern", of(0))
+    rows = rows.lateralJoin(Links(F.col("html_body").outer(), F.col("_pattern").outer())).withColumn("title", squeeze(F.col("title")))
+    rows = rows.withColumn("_lines", card_lines(F.col("levels"), F.col("title"))).drop("levels")
+    rows = rows.withColumn("_plain", F.split(unaccented(nfkc(F.array_join("_lines", "\n"))), "\n"))
+    rows = rows.select("*", card_parts(F.col("_lines"), F.col("_plain"), gazetteer).alias("_parts")).select("*", "_parts.*")
+    rows = rows.filter("title <> '' and company_name is not null")
+
+    def found(pattern: str, group: int) -> Column:
+        return F.try_element_at(F.filter(F.transform("_lines", lambda line: F.regexp_extract(line, pattern, group)), lambda x: x != ""), F.lit(1))
+
+    key = F.coalesce(*(F.when(F.col("platform") == name, F.regexp_extract("href", f"(?i){parts[1]}", 1)) for name, parts in PLATFORMS.items()))
+    years = F.when(F.col("platform") == "naukri", F.replace(found(EXPERIENCE, 1), F.lit(" "), F.lit("")))
+    extra = F.map_filter(F.map_from_arrays(F.array(of(2), F.lit("experience_hint")), F.array(F.nullif(key, F.lit("")), years)), lambda _, v: v.isNotNull())
+    rows = rows.withColumn("posted_hint", found(HINT, 0)).withColumn("extra", extra).withColumn("_link", unwrap_tracking(F.col("href")))
+    return rows.withColumn("source_url", F.col("href")).withColumn("canonical_url", F.col("_link.url")).withColumn("unwrapped", F.col("_link.unwrapped")).drop("_pattern", "_lines", "_plain", "_parts", "_link", "href", "card")
 
 
 def external_id(platform: Column, company: Column, title: Column, place: Column) -> Column:
@@ -208,17 +226,11 @@ def leads(mails: DataFrame, source_id: int, gazetteer: Gazetteer | None = None)
 
     Of a job in several mails the newest mail counts.
     """
-    from millrace.functions.location import city_key
-    from millrace.functions.text import company_key
-    from pyspark.sql import Window
-
-    rows = mails.withColumn("platform_of_sender", platform_of(F.col("sender")))
-    table = card_table(gazetteer)
-    cards = rows.lateralJoin(table(F.col("platform_of_sender").outer(), F.col("html_body").outer())).withColumn("_place", parser(gazetteer)(F.col("location_raw")))
+    found = cards(mails, gazetteer).withColumn("_place", parser(gazetteer)(F.col("location_raw")))
     key = external_id(F.col("platform"), company_key(F.col("company_name")), title_key(F.col("title")), city_key(F.col("_place.city"), F.col("_place.is_remote"), F.col("location_raw")))
-    cards = cards.withColumn("external_id", key)
+    found = found.withColumn("external_id", key)
     newest = F.row_number().over(Window.partitionBy("external_id").orderBy(F.desc("received_at"), "message_id"))
-    cards = cards.withColumn("_r", newest).filter("_r = 1")
+    found = found.withColumn("_r", newest).filter("_r = 1")
     stub = F.concat_ws(
         "\n",
         F.concat(F.lit("Discovered via "), F.col("platform"), F.lit(" job alert email received "), F.date_format("received_at", "yyyy-MM-dd"), F.lit(".")),
@@ -235,7 +247,7 @@ def leads(mails: DataFrame, source_id: int, gazetteer: Gazetteer | None = None)
         ),
         F.coalesce("extra", F.create_map().cast("map<string,string>")),
     )
-    return cards.select(
+    return found.select(
         F.lit(source_id).alias("source_id"), "external_id", F.col("canonical_url").alias("url"), "title", F.lit(None).cast("string").alias("description_html"), stub.alias("description_text"),
         F.lit(None).cast("string").alias("department"), "location_raw", F.col("_place.city").alias("location_city"), F.col("_place.country").alias("location_country"),
         F.coalesce(F.col("_place.is_remote"), F.lit(False)).alias("is_remote"), F.lit("unknown").alias("employment_type"), seniority(F.col("title")).alias("seniority_guess"),
@@ -251,6 +263,4 @@ def posted_at(hint: Column, received: Column) -> Column:
 
 def parse_misses(mails: DataFrame, gazetteer: Gazetteer | None = None) -> DataFrame:
     """message_id, sender of mails that no card was found in."""
-    rows = mails.withColumn("platform_of_sender", platform_of(F.col("sender")))
-    hit = rows.lateralJoin(card_table(gazetteer)(F.col("platform_of_sender").outer(), F.col("html_body").outer())).select("message_id").distinct()
-    return rows.join(hit, "message_id", "left_anti").select("message_id", "sender")
+    return mails.join(cards(mails, gazetteer).select("message_id").distinct(), "message_id", "left_anti").select("message_id", "sender")

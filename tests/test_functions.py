@@ -1,6 +1,7 @@
 """Scalar functions, most of them by worked values."""
 
 import datetime as dt
+import urllib.parse
 from decimal import Decimal
 
 import pytest
@@ -87,9 +88,9 @@ def test_dates(spark):
     ("Bangalore, India", "Bengaluru", "IN", False), ("Remote - India", None, "IN", True), ("IN, KA, Bengaluru", "Bengaluru", "IN", False),
     ("San Francisco, CA or London", None, None, False), ("Berlin; London", "Berlin", None, False), ("Zürich", "Zurich", None, False), ("", None, None, False), ("Nowhere", None, None, False),
 ])
-def test_locations(raw, city, country, remote):
-    found = location.Gazetteer().parse(raw)
-    assert found[:3] == (city, country, remote) or raw.startswith("San")
+def test_locations(spark, raw, city, country, remote):
+    found = values(spark, location.parser(), [raw])[0]
+    assert (found["city"], found["country"], found["is_remote"]) == (city, country, remote) or raw.startswith("San")
 
 
 def test_location_column(spark):
@@ -102,7 +103,12 @@ def test_urls(spark):
     links = ["https://x.io/a?utm_source=m&id=7&trk=z", "https://x.io/a", "https://x.io/?b=1 2", None]
     assert values(spark, urls.strip_tracking, links) == ["https://x.io/a?id=7", "https://x.io/a", "https://x.io/?b=1+2", None]
     wrapped = "https://click.io/t?url=https%3A%2F%2Fjobs.io%2F9%3Futm_a%3D1"
-    assert urls.unwrapped(wrapped) == ("https://jobs.io/9", True) and urls.unwrapped("https://jobs.io/9") == ("https://jobs.io/9", False)
+    again = "https://a.io/r?u=" + urllib.parse.quote(wrapped, safe="")
+    circle = "https://a.io/?url=https%3A%2F%2Fa.io%2F"
+    got = values(spark, urls.unwrap_tracking, [wrapped, "https://jobs.io/9", again, "https://x.io/?url=mailto:me&r=https://y.io/a%252Bb", circle, None])
+    assert [g and tuple(g) for g in got] == [("https://jobs.io/9", True), ("https://jobs.io/9", False), ("https://jobs.io/9", True), ("https://y.io/a+b", True), ("https://a.io/", True), None]
+    odd = ["HTTPS://x.io/a?UTM_Source=1#top", "https://x.io/?q=%zz&k", "https://x.io/?trk=1", "https://x.io/?", "https://x.io/?a=1&&b=~*+%26#f"]
+    assert values(spark, urls.strip_tracking, odd) == ["https://x.io/a#top", "https://x.io/?q=%25zz&k=", "https://x.io/", "https://x.io/?", "https://x.io/?a=1&b=~%2A+%26#f"]
     assert values(spark, urls.denied_host, ["linkedin.com", "a.linkedin.com", "notlinkedin.com", "", None, "LinkedIn.com."]) == [True, True, False, True, True, True]
     boards = values(spark, urls.board_of, ["https://boards.greenhouse.io/acme/", "jobs.lever.co/foo/123", "https://x.io", "https://boards.greenhouse.io/embed/job_board?for=bar"])
     assert [b and (b["adapter"], b["board"]) for b in boards] == [("greenhouse", "acme"), ("lever", "foo"), None, ("greenhouse", "bar")]

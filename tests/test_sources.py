@@ -7,7 +7,6 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions.location import Gazetteer
 from millrace.sources import boards, mail, plugin, seeds, sinks
 from millrace.streaming import events
 
@@ -100,9 +99,24 @@ def test_mail_leads(spark):
     assert mail.search_query("L", ["a", "b"], 5) == 'label:"L" from:(a OR b) after:5'
 
 
-def test_card_parts():
-    assert mail.card_parts(["Promoted", "Acme", "Pune", "x"], Gazetteer()) == ("Acme", "Pune", None)
-    assert mail.card_parts(["Acme", "Somewhere"], Gazetteer()) == ("Acme", "Somewhere", None)
+def test_card_parts(spark):
+    long = "a snippet of forty characters or more, yes it is"
+    rows = [(["Promoted", "Acme", "Pune", "x"], ("Acme", "Pune", None)), (["Acme", "Somewhere"], ("Acme", "Somewhere", None)), (["Viewed"], (None, None, None)), (["Zeta India", long, "Remote", "Berlin"], ("Zeta India", "Remote", long)), (["A", long, "other"], ("A", "other", long)), ([], (None, None, None))]
+    frame = spark.createDataFrame([(i, lines) for i, (lines, _) in enumerate(rows)], "i int, lines array<string>")
+    got = frame.select("i", mail.card_parts(F.col("lines"), F.col("lines")).alias("p")).orderBy("i").collect()
+    assert [tuple(r["p"]) for r in got] == [want for _, want in rows]
+
+
+def test_card_lines_take_the_fullest_element_up_to_the_card(spark):
+    rows = [
+        ([("p", "T"), ("td", "T\nAcme"), ("tr", "T\nAcme"), ("table", "T\nAcme\nPune\nx")], ["Acme", "Pune", "x"]),  # one line is no card
+        ([("td", "T\nAcme\nPune"), ("tr", "T\n Acme \nPune"), ("table", "T\nA\nB\nC")], ["Acme", "Pune"]),
+        ([("div", "T\na"), ("div", "T\na\nb"), ("div", "T\nc\nd")], ["a", "b"]),
+        ([], None),
+    ]
+    frame = spark.createDataFrame([(i, levels) for i, (levels, _) in enumerate(rows)], "i int, levels array<struct<tag:string,text:string>>")
+    got = frame.select("i", mail.card_lines(F.col("levels"), F.lit("T")).alias("l")).orderBy("i").collect()
+    assert [r["l"] for r in got] == [want for _, want in rows]
 
 
 def test_seeds(spark, tmp_path):
