@@ -2,41 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.catalog import ORACLES, QUERIES, query, table, with_
 from millrace.functions import dates, html, prompts, scores, text, urls
 from millrace.operators import evaluation, ingest, matching, requirements, screen, scoring
 from millrace.operators.vocabulary import Skill, Vocabulary, containment_report, resolved
 from millrace.plans import diagnostics, funnel, reports, standins
 from millrace.plans.standins import run
+from millrace.session import shared_folder
 from millrace.settings import BOILERPLATE, DEFAULT, ROLE_MARKERS
 from millrace.streaming import events
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None):
-    def add(function):
-        QUERIES[name] = function
-        if sql:
-            ORACLES[name] = sql
-        return function
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def with_(**parts: str) -> str:
-    return "WITH " + ", ".join(f"{name} AS ({sql})" for name, sql in parts.items()) + " "
-
-
 # ---------------------------------------------------------------- screening
 
 COMPANY_ROWS = [(i, f"company-{i}", "blacklisted" if i == 2 else "tracking", ["!Berlin", "IN", "Remote"] if i == 3 else []) for i in range(5)]
@@ -433,12 +411,6 @@ def score_auc(spark, sf_dir):
     return evaluation.auc(run(spark, sf_dir, _RATED), "o_totalprice", "urgent").withColumn("auc", F.round("auc", 9))
 
 
-@query("evaluation_gates", "SELECT 'coverage_kappa' AS name, true AS passed UNION ALL SELECT 'grounding_violations', false UNION ALL SELECT 'hard_precision', false UNION ALL SELECT 'hard_recall', true UNION ALL SELECT 'kind_accuracy', false UNION ALL SELECT 'normalisation_accuracy', false UNION ALL SELECT 'ranking_rho', false")
-def evaluation_gates(spark, sf_dir):
-    values = table(spark, sf_dir, "region").select(F.when(F.col("r_regionkey") == 0, "hard_recall").when(F.col("r_regionkey") == 1, "coverage_kappa").when(F.col("r_regionkey") == 2, "grounding_violations").alias("name"), (F.lit(0.7) + F.when(F.col("r_regionkey") == 0, 0.25).otherwise(0.0)).alias("value")).filter("name is not null")
-    return evaluation.gates(values).select("name", "passed")
-
-
 # ---------------------------------------------------------------- funnel
 
 _APPS = dict(apps=standins.APPLICATIONS, ev=standins.EVENTS, co=standins.TIERS)
@@ -566,11 +538,6 @@ def latest_run_per_day(spark, sf_dir):
     return reports.latest_run_per_day(rows)
 
 
-@query("daily_json_totals", "SELECT CAST(ts AS DATE) AS day, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, count(*) AS runs FROM events GROUP BY 1")
-def daily_json_totals(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day")).agg(F.sum(F.get_json_object("props", "$.k").try_cast("bigint")).alias("total"), F.count("*").alias("runs"))
-
-
 @query("sources_needing_attention", "SELECT s_suppkey AS id, n_name AS slug FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 6 > 3 OR s_acctbal < 0 OR s_suppkey % 5 = 0")
 def sources_needing_attention(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("company_id"), F.greatest(F.lit(0), F.col("s_suppkey") % 6 - 3).alias("consecutive_failures"), (F.col("s_acctbal") >= 0).alias("enabled"), F.when(F.col("s_suppkey") % 5 == 0, "timeout").when(F.col("s_suppkey") % 5 == 1, "ok").alias("last_status"))
@@ -663,11 +630,6 @@ def url_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("html_to_text")
-def html_to_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", html.html_to_text(F.col("html")).alias("text"))
-
-
 @query("sanitised_lengths", r"""SELECT doc_id, length(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(
   regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<<<[/A-Za-z_ ]{3,60}>>>', '[removed]', 'g'), '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{feff}]|[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g'), '[A-Za-z0-9+/=]{200,}', '[removed]', 'g'),
   chr(10)), lambda l: regexp_replace(l, '\s+$', '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS chars FROM documents""")
@@ -707,12 +669,10 @@ def word_counts(spark, sf_dir):
 
 
 def _stream_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder; a temporary one where that is unset."""
-    import tempfile
+    """A new folder below the shared one."""
     import uuid
 
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-stream-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -738,3 +698,9 @@ FROM (SELECT *, max(event_id) FILTER (event_type = 'view') OVER (PARTITION BY us
 def stream_close_rule(spark, sf_dir):
     rows = _event_stream(spark, sf_dir).select(F.col("application_id").cast("string").alias("external_id"), F.col("id").alias("run"), (F.col("status") == "submitted").alias("seen"))
     return events.drained(events.close_stream(rows), _stream_folder(spark), "update").drop("batch")
+
+
+# the queries of sources, texts and the registry register themselves
+from millrace import queries_registry, queries_sources, queries_texts  # noqa: E402, F401
+
+__all__ = ["ORACLES", "QUERIES"]

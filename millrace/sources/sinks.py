@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,23 +13,47 @@ def _fs(spark: SparkSession, path: str):
     return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
 
 
+POINTER = "CURRENT"
+
+
 def swapped(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) -> None:
-    """Replaces a Parquet table by ``df``, which may read it: written beside, then renamed.
+    """Replaces a versioned table by ``df``, which may read it; ``current`` reads it.
 
-    A crash in between leaves the new or the old table under ``path`` or
-    ``path.old``, never a mixture.
+    The new version is written whole into a folder of its own; then a pointer
+    file is replaced in one rename, so there is a table at every moment.  The version
+    before stays for those who still read it, older ones are deleted.
     """
     spark = df.sparkSession
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(f"{path}.new")
+    version = f"v-{uuid.uuid4().hex}"
+    before = _pointer(spark, path)
+    (df.write.partitionBy(*partition_by) if partition_by else df.write).parquet(f"{path}/{version}")
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     fs, place = _fs(spark, path)
-    new, old = (spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.{x}") for x in ("new", "old"))
-    fs.delete(old, True)
-    if fs.exists(place):
-        fs.rename(place, old)
-    fs.rename(new, place)
-    fs.delete(old, True)
-    spark.catalog.refreshByPath(path)
+    fresh, pointer = (jvm.org.apache.hadoop.fs.Path(f"{path}/{name}") for name in (f"_{version}", POINTER))
+    out = fs.create(fresh, True)
+    out.writeBytes(version)
+    out.close()
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fresh, pointer, options)
+    for status in fs.listStatus(place):
+        name = status.getPath().getName()
+        if name.startswith("v-") and name not in (version, before):
+            fs.delete(status.getPath(), True)
+
+
+def _pointer(spark: SparkSession, path: str) -> str | None:
+    fs, _ = _fs(spark, path)
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{POINTER}")
+    return spark.read.text(pointer.toString()).first()[0] if fs.exists(pointer) else None
+
+
+def current(spark: SparkSession, path: str) -> DataFrame:
+    """The present version of a table that ``swapped`` writes."""
+    version = _pointer(spark, path)
+    if version is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.parquet(f"{path}/{version}")
 
 
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:

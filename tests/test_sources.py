@@ -139,8 +139,13 @@ def test_seeds(spark, tmp_path):
 def test_sinks(spark, tmp_path):
     path = f"{tmp_path}/t"
     sinks.swapped(spark.range(5), path)
-    sinks.swapped(spark.read.parquet(path).filter("id > 1"), path)  # reads what it replaces
-    assert spark.read.parquet(path).count() == 3
+    first = sinks.current(spark, path)
+    sinks.swapped(first.filter("id > 1"), path)  # reads what it replaces
+    assert sinks.current(spark, path).count() == 3 and first.count() == 5  # readers of the version before go on
+    sinks.swapped(sinks.current(spark, path).filter("id > 2"), path)
+    assert sinks.current(spark, path).count() == 2
+    with pytest.raises(FileNotFoundError):
+        sinks.current(spark, f"{tmp_path}/none")
     scores = spark.createDataFrame([("v1", 1), ("v2", 2)], "prompt_version string, s int")
     sinks.replace_partitions(scores, f"{tmp_path}/s", "prompt_version")
     sinks.replace_partitions(scores.filter("s = 2").withColumn("s", F.lit(9)), f"{tmp_path}/s", "prompt_version")
