@@ -28,12 +28,12 @@ Training takes three distributed passes over the training documents:
    takes ``WORD_ITERATIONS`` gradient updates of its weights against discounted
    counts; the discount comes from how many of its features occur once and twice.
 
-The third pass carries, for each document, the features whose weights it needs,
-so training and scoring share one shuffle: a bucket answers with one sum per
-document, and no table of word features is ever broadcast or collected.  The
+The third pass carries, for each text, the features whose weights it needs, so
+training and scoring share one shuffle: equal texts of a task are one before it, a
+bucket answers with one sum per text, and no table of word features is ever broadcast or collected.  The
 ``TOP_WORDS`` most frequent words and their counts are broadcast (a fixed number);
-for the base score rarer words are joined with the table of counts, where no word
-can be frequent enough to skew the join.
+for the base score the 64-bit hashes of rarer words are joined with the table of
+counts, where no word can be frequent enough to skew the join.
 
 Null and empty texts consist of the end token.  Repeated rows are scored one by
 one.  A null id counts as the empty text for the fold.  Without training
@@ -73,6 +73,8 @@ ITERATIONS = 12
 RIDGE = 2.0
 #: Words before, of so high a rank that their histories are told apart by one word more.
 FREQUENT = 128
+#: Words are told apart by their XXH64 with this seed, the one of Spark's function.
+HASH_SEED = 42
 WORD_ITERATIONS = 16
 WORD_RIDGE = 0.01
 #: Training tokens for each bucket of word features; the number of buckets is a power of two.
@@ -328,9 +330,9 @@ def train_classes(table: DataFrame, iterations: int = ITERATIONS, ridge: float =
     return weights
 
 
-_ENTRIES = "bucket long, uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<binary>, rare_counts array<int>, n_docs int, keys binary, docs binary, times binary, shares binary"
-_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<binary>, rare_counts array<int>, n_docs int, gains binary"
-_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.int32(), *[pa.binary()] * 4]
+_ENTRIES = "bucket long, uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<long>, rare_counts array<int>, n_texts int, keys binary, holders binary, texts binary, times binary, shares binary, copies binary"
+_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<long>, rare_counts array<int>, n_texts int, gains binary"
+_KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), *[pa.binary()] * 6]
 
 
 def feature_keys(hashes: np.ndarray, kinds: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -351,39 +353,59 @@ def feature_keys(hashes: np.ndarray, kinds: np.ndarray, codes: np.ndarray, start
 
 
 class _Block:
-    """Features of a run of documents, to be dealt to the buckets."""
+    """Features of a run of documents, to be dealt to the buckets; equal texts of the run are one.
+
+    A text is known by the number of the run's first document plus its own place.
+    """
 
     def __init__(self, bits: int):
         self.bits = bits
         self.clear()
 
     def clear(self) -> None:
-        self.uid, self.n_docs, self.parts, self.tokens = 0, 0, [], 0
+        self.uid, self.n_docs, self.tokens = 0, 0, 0
+        self.places: dict[bytes, int] = {}
+        self.trained: list[int] = []
+        self.parts: list[tuple] = []
 
-    def add(self, uids: list[int], train: np.ndarray, keys: np.ndarray, shares: np.ndarray, owners: np.ndarray) -> None:
-        """``owners``: for each feature the place of its document among ``uids``."""
+    def place(self, uid: int, text: bytes, trains: bool) -> tuple[int, bool]:
+        """Place of a text, and whether it is new."""
         if not self.n_docs:
-            self.uid = uids[0]
-        self.parts.append((keys, shares, (owners + self.n_docs) | train[owners].astype(np.int64) << 15))
-        self.n_docs += len(uids)
+            self.uid = uid
+        self.n_docs += 1
+        at = self.places.setdefault(text, len(self.places))
+        new = at == len(self.trained)
+        if new:
+            self.trained.append(0)
+        self.trained[at] += trains
+        return at, new
+
+    def add(self, keys: np.ndarray, shares: np.ndarray, texts: np.ndarray) -> None:
+        self.parts.append((keys, shares, texts))
         self.tokens += len(keys)
 
     def dealt(self) -> Iterator[tuple]:
-        """Rows of one bucket each: features by key and document, with how often they occur there."""
-        keys, shares, docs = (np.concatenate(x) for x in zip(*self.parts))
-        order = np.argsort(keys, kind="stable")  # tokens come by document, and stay so within a key
-        keys, shares, docs = keys[order], shares[order], docs[order]
-        first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (docs[1:] != docs[:-1])])) if len(keys) else np.empty(0, np.int64)
-        times = np.diff(np.append(first, len(keys)))
-        keys, shares, docs = keys[first], shares[first], docs[first]
+        """Rows of one bucket each: the features, and of each the texts that hold it and how often."""
+        keys, shares, texts = (np.concatenate(x) for x in zip(*self.parts))
+        order = np.argsort(keys, kind="stable")  # tokens come by text, and stay so within a key
+        keys, shares, texts = keys[order], shares[order], texts[order]
+        entry = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (texts[1:] != texts[:-1])])) if len(keys) else np.empty(0, np.int64)
+        times = np.diff(np.append(entry, len(keys)))
+        keys, shares, texts = keys[entry], shares[entry], texts[entry]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        keys, shares, ends = keys[first], shares[first], np.append(first, len(texts))
+        trained = np.array(self.trained, np.int64)
+        texts = texts | np.where(trained[texts] > 0, BLOCK_DOCS, 0)
+        several = np.flatnonzero(trained > 1)
+        copies = np.column_stack([several, trained[several]]).astype("<u4").tobytes()
         buckets = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         cuts = [*np.flatnonzero(np.diff(buckets, prepend=-1)).tolist(), len(keys)]
         for start, end in zip(cuts, cuts[1:]):
-            mine = keys[start:end]
-            steps = np.diff(mine, prepend=np.uint64(0))
+            steps = np.diff(keys[start:end], prepend=np.uint64(0))
             # bytes of one weight side by side, so that the zeros of sorted keys compress
             planes = np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
-            yield (int(buckets[start]), self.uid, *(None,) * 8, self.n_docs, planes, docs[start:end].astype("<u2").tobytes(), times[start:end].astype("<u4").tobytes(), shares[start:end].astype("<f2").tobytes())
+            held = slice(ends[start], ends[end])
+            yield (int(buckets[start]), self.uid, *(None,) * 8, len(trained), planes, np.diff(ends[start : end + 1]).astype("<u4").tobytes(), texts[held].astype("<u2").tobytes(), times[held].astype("<u4").tobytes(), shares[start:end].astype("<f2").tobytes(), copies)
         self.clear()
 
 
@@ -406,26 +428,33 @@ def _local_scores(shared, probabilities, bits: int):
             for part in slices(batch, 256):
                 uids, held_out = part.column(0).to_pylist(), part.column(2).to_pylist()
                 if block.n_docs and uids[0] != block.uid + block.n_docs:
-                    yield batch_of(list(block.dealt()))
-                found, flat, starts = _coded(text_bytes(part.column(3)), codes)
+                    rows = list(block.dealt())
+                    if rows:
+                        yield batch_of(rows)
+                contents = text_bytes(part.column(3))
+                found, flat, starts = _coded(contents, codes)
                 kinds = tables["class"][flat]
                 logs, within = tables["log"][flat], tables["within"][flat]
                 model = log_class[_contexts(flat, starts, tables) * CLASSES + kinds].astype(np.float64) + within
                 rare, hashes = flat >= codes.listed, tables["hash"][flat]
                 # summed text by text, so that equal texts have equal sums
                 ends = np.append(starts[1:], len(flat))
-                rows = []
+                rows, places, fresh = [], [], []
                 for k, (start, end) in enumerate(zip(starts.tolist(), ends.tolist())):
-                    row, at = found[k], np.flatnonzero(rare[start:end]).tolist()
-                    tail = Counter([row[i] for i in at])
-                    for i in at:
-                        hashes[start + i] = digest(row[i], 1)
-                    n = end - start
-                    rows.append((-1 - uids[k] % 997, uids[k], part.column(1)[k].as_py(), held_out[k], n, n - len(at), float(logs[start:end].sum()), float(model[start:end].sum()), list(tail.keys()), list(tail.values()), *(None,) * 5))
+                    row, at, n = found[k], np.flatnonzero(rare[start:end]).tolist(), end - start
+                    place, new = block.place(uids[k], contents[k], not held_out[k])
+                    places.append(place)
+                    fresh.append(new)
+                    tail: Counter[int] = Counter()
+                    for i in at if new else ():
+                        hashes[start + i] = word_hash = digest(row[i], HASH_SEED)
+                        tail[word_hash - (1 << 64) if word_hash >> 63 else word_hash] += 1
+                    uid = block.uid + place
+                    rows.append((-1 - uid % 997, uid, part.column(1)[k].as_py(), held_out[k], n, n - len(at), float(logs[start:end].sum()), float(model[start:end].sum()), list(tail.keys()), list(tail.values()), *(None,) * 7))
                 yield batch_of(rows)
-                shared_class = np.flatnonzero(kinds >= SINGLES)
-                owners = np.repeat(np.arange(len(uids)), ends - starts)
-                block.add(uids, ~np.array(held_out, bool), feature_keys(hashes, kinds, flat, starts)[shared_class], -within[shared_class], owners[shared_class])
+                lengths = ends - starts
+                wanted = np.flatnonzero((kinds >= SINGLES) & np.repeat(np.array(fresh, bool), lengths))
+                block.add(feature_keys(hashes, kinds, flat, starts)[wanted], -within[wanted], np.repeat(np.array(places), lengths)[wanted])
                 if block.tokens >= BLOCK_TOKENS or block.n_docs > BLOCK_DOCS - 256:
                     rows = list(block.dealt())
                     if rows:
@@ -465,34 +494,41 @@ def fit_words(groups: np.ndarray, counts: np.ndarray, shares: np.ndarray, iterat
 
 
 def _bucket_gains(iterations: int):
-    """Rows of documents as they are; for each run of documents what the word features add to their scores.
+    """Rows of documents as they are; for each run of texts what the word features add to their scores.
 
     The rows of a partition come sorted by bucket.
     """
 
     def gains(blocks: list[tuple]) -> pa.RecordBatch:
-        keys = np.concatenate([_keys_of(b[2]) for b in blocks])
-        docs = np.concatenate([np.frombuffer(b[3], "<u2") for b in blocks])
-        times = np.concatenate([np.frombuffer(b[4], "<u4") for b in blocks]).astype(np.float64)
-        shares = np.concatenate([np.frombuffer(b[5], "<f2") for b in blocks])
-        lengths = [len(b[3]) // 2 for b in blocks]
+        holders = [np.frombuffer(b[3], "<u4") for b in blocks]
+        keys = np.concatenate([np.repeat(_keys_of(b[2]), n) for b, n in zip(blocks, holders)])
+        shares = np.concatenate([np.repeat(np.frombuffer(b[6], "<f2"), n) for b, n in zip(blocks, holders)])
+        texts = [np.frombuffer(b[4], "<u2") for b in blocks]
+        times = np.concatenate([np.frombuffer(b[5], "<u4") for b in blocks]).astype(np.float64)
+        trained = np.concatenate([copies_of(b[1], t, b[7])[t & (BLOCK_DOCS - 1)] for b, t in zip(blocks, texts)]) * times
         order = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        trained = np.add.reduceat(np.where(docs[order] >= BLOCK_DOCS, times[order], 0.0), first)
-        weights, normalisers = fit_words(keys[order][first] >> np.uint64(24), trained, 10.0 ** -shares[order][first].astype(np.float64), iterations)
-        per_key = (weights - normalisers) / np.log(10)
+        weights, normalisers = fit_words(keys[order][first] >> np.uint64(24), np.add.reduceat(trained[order], first), 10.0 ** -shares[order][first].astype(np.float64), iterations)
         values = np.empty(len(keys))
-        values[order] = np.repeat(per_key, np.diff(np.append(first, len(keys)))) * times[order]
+        values[order] = np.repeat((weights - normalisers) / np.log(10), np.diff(np.append(first, len(keys)))) * times[order]
         uids, sizes, sums, at = [], [], [], 0
-        for block, n in zip(blocks, lengths):
-            total = np.bincount(docs[at : at + n] & (BLOCK_DOCS - 1), values[at : at + n], block[1])
-            at += n
+        for block, t in zip(blocks, texts):
+            total = np.bincount(t & (BLOCK_DOCS - 1), values[at : at + len(t)], block[1])
+            at += len(t)
             # whole multiples of 2 ** -30, so that sums agree in any order
             sums.append(np.rint(total * (1 << 30)).astype("<i8").tobytes())
             uids.append(block[0])
             sizes.append(block[1])
         return empty(uids, sizes, sums)
 
+    def copies_of(n: int, texts: np.ndarray, copies: bytes) -> np.ndarray:
+        """How many training documents have each of a run's texts."""
+        out = np.zeros(n)
+        out[texts[texts >= BLOCK_DOCS] - BLOCK_DOCS] = 1
+        several = np.frombuffer(copies, "<u4").reshape(-1, 2)
+        out[several[:, 0]] = several[:, 1]
+        return out
+
     def empty(uids: list, sizes: list, sums: list) -> pa.RecordBatch:
         n = len(uids)
         columns = [pa.array(uids, pa.int64()), *(pa.nulls(n, kind) for kind in _KINDS[2:10]), pa.array(sizes, pa.int32()), pa.array(sums, pa.binary())]
@@ -508,7 +544,7 @@ def _bucket_gains(iterations: int):
                 plain = batch.slice(0, rows)
                 yield pa.RecordBatch.from_arrays([*plain.columns[1:10], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], [field.split(" ")[0] for field in _SUMS.split(", ")])
             dealt = batch.slice(rows)
-            for at, *block in zip(buckets[rows:].tolist(), *(dealt.column(i).to_pylist() for i in (1, 10, 11, 12, 13, 14))):
+            for at, *block in zip(buckets[rows:].tolist(), *(dealt.column(i).to_pylist() for i in (1, 10, 11, 12, 13, 14, 15, 16))):
                 if at != bucket and held:
                     yield gains(held)
                     held = []
@@ -521,7 +557,7 @@ def _bucket_gains(iterations: int):
 
 
 def _gain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid of the first document, n_docs, gains) to one row per document; runs meet in one task."""
+    """(uid of the first text, n_texts, gains) to one row per text; runs meet in one task."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
         for uid, n, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -544,10 +580,10 @@ def scored(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str =
     dealt = rows.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "held_out", "text").mapInArrow(stateless(_local_scores(context.broadcast(words), context.broadcast(table), bits)), _ENTRIES)
     local = checkpointed(dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(stateless(_bucket_gains(word_iterations)), _SUMS))
     plain = local.filter("gains is null")
-    rare = plain.select("uid", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("r")).select("uid", F.col("r.rare_words").alias("rare_word"), F.col("r.rare_counts").alias("times"))
-    found = rare.join(counts, F.col("rare_word") == F.col("word"), "left")
+    rare = plain.select("uid", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("r")).select("uid", F.col("r.rare_words").alias("rare_hash"), F.col("r.rare_counts").alias("times"))
+    found = rare.join(counts.select(F.xxhash64("word").alias("word_hash"), "c"), F.col("rare_hash") == F.col("word_hash"), "left")
     zero = F.lit(0.0)
-    gains = local.filter("gains is not null").select("uid", "n_docs", "gains").repartition("uid").mapInArrow(stateless(_gain_rows), "uid long, gain double")
+    gains = local.filter("gains is not null").select("uid", "n_texts", "gains").repartition("uid").mapInArrow(stateless(_gain_rows), "uid long, gain double")
     parts = found.select(
         "uid",
         (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + ADDED)).alias("log"),

@@ -274,6 +274,8 @@ def test_language_model_buckets_do_not_change_whole_softmaxes(spark):
     """Documents apart by task and bucket: copies score alike, whatever the number of buckets."""
     rows = [(i, t) for i, t, _ in corpus(60)] + [(300 + i, "a copied text of some rare words") for i in range(30)]
     docs = documents(spark, rows).repartition(5)
+    hashed = spark.createDataFrame([(b"a",), ("straße".encode(),), (b"",)], "w binary").select(F.xxhash64("w").alias("h")).collect()
+    assert [r["h"] % (1 << 64) for r in hashed] == [xxhash.xxh64_intdigest(w, language_model.HASH_SEED) for w in (b"a", "straße".encode(), b"")]
     for bucket_tokens in (1 << 20, 64):
         got = {r["doc_id"]: r["score"] for r in language_model.scored(docs, iterations=2, word_iterations=3, bucket_tokens=bucket_tokens).collect()}
         assert len({got[300 + i] for i in range(30)}) == 1 and len(got) == len(rows)
