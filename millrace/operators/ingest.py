@@ -27,8 +27,9 @@ def first_of_each(fetched: DataFrame, ordinal: str = "ordinal") -> DataFrame:
 
 
 def posting_id(source_id: Column, external_id: Column) -> Column:
-    """A deterministic id of 26 characters, so that reruns and retries agree."""
-    return F.upper(F.left(F.sha2(F.concat_ws("|", source_id.cast("string"), external_id), 256), F.lit(26)))
+    """A deterministic id in the form of a ULID, so that reruns and retries agree."""
+    digest = F.upper(F.left(F.sha2(F.concat_ws("|", source_id.cast("string"), external_id), 256), F.lit(26)))
+    return F.concat(F.translate(F.left(digest, F.lit(1)), "89ABCDEF", "01234567"), F.substring(digest, 2, 25))
 
 
 def change_of(stored_id: Column, stored_hash: Column, fetched_hash: Column, stored_company: Column, company: Column) -> Column:
@@ -61,7 +62,7 @@ def raw_with_flags(raw: Column, extra: Column | None, truncated: Column, origina
     """The raw map with what the ingest adds; later keys win."""
     maps = [F.coalesce(raw, F.create_map().cast("map<string,string>"))]
     if extra is not None:
-        maps.append(extra)
+        maps.append(F.coalesce(extra, F.create_map().cast("map<string,string>")))
     flags = F.create_map(F.lit("description_truncated"), F.lit("true"), F.lit("description_original_chars"), original_chars.cast("string"))
     maps.append(F.when(truncated, flags).otherwise(F.create_map().cast("map<string,string>")))
     return F.map_from_entries(F.aggregate(F.array(*(F.map_entries(m) for m in maps)), F.array().cast("array<struct<key:string,value:string>>"), lambda acc, entries: F.concat(F.filter(acc, lambda old: ~F.exists(entries, lambda new: new["key"] == old["key"])), entries)))

@@ -603,16 +603,6 @@ def newest_per_company(spark, sf_dir):
 # ---------------------------------------------------------------- scalars
 
 
-@query("seniority_bands", with_(postings=standins.POSTINGS) + "SELECT CASE WHEN title LIKE '%Manager%' THEN 'manager' WHEN title LIKE 'Staff%' THEN 'staff' WHEN title LIKE 'Senior%' OR title LIKE '%II%' THEN 'senior' WHEN title LIKE 'Junior%' THEN 'entry' WHEN title = 'Account Executive' THEN 'mid' ELSE 'mid' END AS band, count(*) AS n FROM postings GROUP BY 1")
-def seniority_bands(spark, sf_dir):
-    return run(spark, sf_dir, standins.POSTINGS).groupBy(text.seniority(F.col("title")).alias("band")).agg(F.count("*").alias("n"))
-
-
-@query("title_keys", with_(postings=standins.POSTINGS) + "SELECT CASE title WHEN 'Staff Engineer - Remote' THEN 'staff engineer' WHEN 'SDE II (Contract)' THEN 'software engineer 2' WHEN 'ML Engineer II' THEN 'machine learning engineer 2' ELSE lower(title) END AS title_key, count(*) AS n FROM postings GROUP BY 1")
-def title_keys(spark, sf_dir):
-    return run(spark, sf_dir, standins.POSTINGS).groupBy(text.title_key(F.col("title")).alias("title_key")).agg(F.count("*").alias("n"))
-
-
 @query("truncated_descriptions", r"""WITH h AS (SELECT doc_id, text, left(text, 487) AS head, 487 - strpos(reverse(left(text, 487)), chr(10) || chr(10)) - 1 AS cut_at, contains(left(text, 487), chr(10) || chr(10)) AS has FROM documents)
 SELECT doc_id, CASE WHEN length(text) <= 500 THEN text ELSE regexp_replace(CASE WHEN has AND cut_at > 243 THEN left(head, cut_at) ELSE head END, '\s+$', '') || chr(10) || chr(10) || '[truncated]' END AS text FROM h""")
 def truncated_descriptions(spark, sf_dir):
@@ -630,18 +620,6 @@ def url_hosts(spark, sf_dir):
     return table(spark, sf_dir, "pages").groupBy(urls.host(F.col("url")).alias("host")).agg(F.count("*").alias("n"))
 
 
-@query("sanitised_lengths", r"""SELECT doc_id, length(regexp_replace(regexp_replace(array_to_string(list_transform(string_split(
-  regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<<<[/A-Za-z_ ]{3,60}>>>', '[removed]', 'g'), '[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2064}\x{2066}-\x{2069}\x{feff}]|[\x00-\x08\x0b-\x1f\x7f-\x{9f}]', '', 'g'), '[A-Za-z0-9+/=]{200,}', '[removed]', 'g'),
-  chr(10)), lambda l: regexp_replace(l, '\s+$', '')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS chars FROM documents""")
-def sanitised_lengths(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length(prompts.sanitised(F.coalesce("text", F.lit("")), 10_000_000)).cast("long").alias("chars"))
-
-
-@query("suspicious_texts", "SELECT conv_id, turn FROM conversations WHERE regexp_matches(lower(coalesce(text, '')), 'ignore previous|ignore all previous|disregard the above|disregard previous|new instructions|system prompt|you are now|act as though|reveal your instructions|print your instructions')")
-def suspicious_texts(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").filter(prompts.suspicious(F.coalesce("text", F.lit("")))).select("conv_id", "turn")
-
-
 @query("slugs", r"SELECT p_partkey AS id, regexp_replace(regexp_replace(lower(p_name || ' & ' || p_brand), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part")
 def slugs(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), text.slug(F.concat("p_name", F.lit(" & "), "p_brand")).alias("slug"))

@@ -6,6 +6,7 @@ import base64
 import itertools
 import json
 import re
+import unicodedata
 from collections.abc import Iterator
 from email.utils import parseaddr
 
@@ -16,8 +17,8 @@ from pyspark.sql import types as T
 
 from millrace.functions.dates import relative_day
 from millrace.functions.html import tree_of
-from millrace.functions.location import Gazetteer, city_key, located, parser
-from millrace.functions.text import bound, company_key, lookup, nfkc, seniority, squeeze, title_key, unaccented
+from millrace.functions.location import Gazetteer, city_key, located
+from millrace.functions.text import bound, company_key, lookup, seniority, squeeze, title_key
 from millrace.functions.urls import unwrap_tracking
 
 DEEPEST = 8
@@ -128,12 +129,16 @@ def platform_of(sender: Column) -> Column:
     return F.coalesce(*(F.when(F.contains(lowered, F.lit(name)), F.lit(name)) for name in PLATFORMS))
 
 
-_LEVELS = "array<struct<tag:string,text:string>>"
+_LEVELS = "array<struct<tag:string,text:string,plain:string>>"
+
+
+def _without_accents(text: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text)) if not unicodedata.combining(c))
 
 
 @F.udtf(returnType=f"card int, title string, href string, levels {_LEVELS}")
 class Links:
-    """The links of a mail whose address matches, with the elements above them and all their text."""
+    """The links of a mail whose address matches, with the elements above them and all their text, also without accents."""
 
     def eval(self, body: str, pattern: str):
         if not body or not pattern:
@@ -141,17 +146,18 @@ class Links:
         wanted = re.compile(pattern, re.IGNORECASE)
         for number, link in enumerate(e for e in tree_of(body) if e.tag == "a" and wanted.search(e.attributes.get("href", ""))):
             above = itertools.islice(itertools.takewhile(lambda e: e is not None, link.ancestors()), CARD_LEVELS)
-            yield number, link.text(" "), link.attributes["href"], [(e.tag, e.text("\n")) for e in above]
+            yield number, link.text(" "), link.attributes["href"], [(e.tag, text, _without_accents(text)) for e in above for text in [e.text("\n")]]
 
 
 def card_lines(levels: Column, title: Column) -> Column:
-    """Lines of the card around a title: those of the element with the most, up to the first that is a card.
+    """Lines (struct of line, plain) of the card around a title: of the element with the most, up to the first that is a card.
 
     Of elements with as many lines the innermost counts.
     """
 
     def lines(level: Column) -> Column:
-        return F.filter(F.transform(F.split(level["text"], "\n"), squeeze), lambda line: (line != "") & (line != title))
+        both = F.zip_with(F.split(level["text"], "\n"), F.split(level["plain"], "\n"), lambda line, plain: F.struct(squeeze(line).alias("line"), plain.alias("plain")))
+        return F.filter(both, lambda x: (x["line"] != "") & (x["line"] != title))
 
     def chosen(given: Column) -> Column:
         sizes = F.transform(given, lambda level: F.size(level["lines"]))
@@ -163,8 +169,8 @@ def card_lines(levels: Column, title: Column) -> Column:
     return bound(F.transform(levels, lambda level: F.struct(level["tag"].alias("tag"), lines(level).alias("lines"))), chosen)
 
 
-def card_parts(lines: Column, plain: Column, gazetteer: Gazetteer | None = None) -> Column:
-    """struct(company_name, location_raw, snippet) of a card's lines; ``plain``: the same without accents.
+def card_parts(lines: Column, gazetteer: Gazetteer | None = None) -> Column:
+    """struct(company_name, location_raw, location_plain, snippet) of a card's lines (struct of line, plain).
 
     Lines are numbered, and those that say something ranked by what they look
     like: the first is the company, the first later one that is a place the
@@ -173,8 +179,8 @@ def card_parts(lines: Column, plain: Column, gazetteer: Gazetteer | None = None)
     """
     names = gazetteer or Gazetteer()
 
-    def looks(at: Column) -> Column:
-        place = located(F.get(plain, at), names)
+    def looks(line: Column) -> Column:
+        place = located(line["plain"], names)
         return place["city"].isNotNull() | place["country"].isNotNull() | place["is_remote"]
 
     def first(rows: Column, test) -> Column:
@@ -186,34 +192,33 @@ def card_parts(lines: Column, plain: Column, gazetteer: Gazetteer | None = None)
         def with_place(place: Column) -> Column:
             snippet = first(later, lambda t: ~t["at"].eqNullSafe(place["at"]) & (F.length(t["line"]) >= SNIPPET_CHARS))
             other = first(later, lambda t: ~t["at"].eqNullSafe(place["at"]) & ~t["at"].eqNullSafe(snippet["at"]))
-            return F.struct(company["line"].alias("company_name"), F.coalesce(place["line"], other["line"]).alias("location_raw"), snippet["line"].alias("snippet"))
+            return F.struct(company["line"].alias("company_name"), F.coalesce(place["line"], other["line"]).alias("location_raw"), F.coalesce(place["plain"], other["plain"]).alias("location_plain"), snippet["line"].alias("snippet"))
 
-        return bound(first(later, lambda t: looks(t["at"])), with_place)
+        return bound(first(later, looks), with_place)
 
-    numbered = F.transform(lines, lambda line, i: F.struct(i.alias("at"), line.alias("line")))
+    numbered = F.transform(lines, lambda pair, i: F.struct(i.alias("at"), pair["line"].alias("line"), pair["plain"].alias("plain")))
     return bound(F.filter(numbered, lambda t: ~t["line"].rlike(rf"(?i)^(?:{NOISE})\s*$")), parts)
 
 
 def cards(mails: DataFrame, gazetteer: Gazetteer | None = None) -> DataFrame:
     """The mails' columns and platform, title, company_name, location_raw, snippet, posted_hint, source_url,
-    canonical_url, unwrapped, extra: one row for each title link of a platform with what stands around it.
+    canonical_url, unwrapped, extra, location_plain: one row for each title link of a platform with what stands around it.
     """
     of = lambda i: lookup(F.col("platform"), {name: parts[i] for name, parts in PLATFORMS.items()})
     rows = mails.withColumn("platform", platform_of(F.col("sender"))).withColumn("_pattern", of(0))
     rows = rows.lateralJoin(Links(F.col("html_body").outer(), F.col("_pattern").outer())).withColumn("title", squeeze(F.col("title")))
     rows = rows.withColumn("_lines", card_lines(F.col("levels"), F.col("title"))).drop("levels")
-    rows = rows.withColumn("_plain", F.split(unaccented(nfkc(F.array_join("_lines", "\n"))), "\n"))
-    rows = rows.select("*", card_parts(F.col("_lines"), F.col("_plain"), gazetteer).alias("_parts")).select("*", "_parts.*")
+    rows = rows.select("*", card_parts(F.col("_lines"), gazetteer).alias("_parts")).select("*", "_parts.*")
     rows = rows.filter("title <> '' and company_name is not null")
 
     def found(pattern: str, group: int) -> Column:
-        return F.try_element_at(F.filter(F.transform("_lines", lambda line: F.regexp_extract(line, pattern, group)), lambda x: x != ""), F.lit(1))
+        return F.try_element_at(F.filter(F.transform("_lines", lambda x: F.regexp_extract(x["line"], pattern, group)), lambda x: x != ""), F.lit(1))
 
     key = F.coalesce(*(F.when(F.col("platform") == name, F.regexp_extract("href", f"(?i){parts[1]}", 1)) for name, parts in PLATFORMS.items()))
     years = F.when(F.col("platform") == "naukri", F.replace(found(EXPERIENCE, 1), F.lit(" "), F.lit("")))
     extra = F.map_filter(F.map_from_arrays(F.array(of(2), F.lit("experience_hint")), F.array(F.nullif(key, F.lit("")), years)), lambda _, v: v.isNotNull())
     rows = rows.withColumn("posted_hint", found(HINT, 0)).withColumn("extra", extra).withColumn("_link", unwrap_tracking(F.col("href")))
-    return rows.withColumn("source_url", F.col("href")).withColumn("canonical_url", F.col("_link.url")).withColumn("unwrapped", F.col("_link.unwrapped")).drop("_pattern", "_lines", "_plain", "_parts", "_link", "href", "card")
+    return rows.withColumn("source_url", F.col("href")).withColumn("canonical_url", F.col("_link.url")).withColumn("unwrapped", F.col("_link.unwrapped")).drop("_pattern", "_lines", "_parts", "_link", "href", "card")
 
 
 def external_id(platform: Column, company: Column, title: Column, place: Column) -> Column:
@@ -226,7 +231,7 @@ def leads(mails: DataFrame, source_id: int, gazetteer: Gazetteer | None = None)
 
     Of a job in several mails the newest mail counts.
     """
-    found = cards(mails, gazetteer).withColumn("_place", parser(gazetteer)(F.col("location_raw")))
+    found = cards(mails, gazetteer).withColumn("_place", located(F.coalesce("location_plain", F.lit("")), gazetteer or Gazetteer()))
     key = external_id(F.col("platform"), company_key(F.col("company_name")), title_key(F.col("title")), city_key(F.col("_place.city"), F.col("_place.is_remote"), F.col("location_raw")))
     found = found.withColumn("external_id", key)
     newest = F.row_number().over(Window.partitionBy("external_id").orderBy(F.desc("received_at"), "message_id"))

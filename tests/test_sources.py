@@ -102,9 +102,9 @@ def test_mail_leads(spark):
 def test_card_parts(spark):
     long = "a snippet of forty characters or more, yes it is"
     rows = [(["Promoted", "Acme", "Pune", "x"], ("Acme", "Pune", None)), (["Acme", "Somewhere"], ("Acme", "Somewhere", None)), (["Viewed"], (None, None, None)), (["Zeta India", long, "Remote", "Berlin"], ("Zeta India", "Remote", long)), (["A", long, "other"], ("A", "other", long)), ([], (None, None, None))]
-    frame = spark.createDataFrame([(i, lines) for i, (lines, _) in enumerate(rows)], "i int, lines array<string>")
-    got = frame.select("i", mail.card_parts(F.col("lines"), F.col("lines")).alias("p")).orderBy("i").collect()
-    assert [tuple(r["p"]) for r in got] == [want for _, want in rows]
+    frame = spark.createDataFrame([(i, [(x, x) for x in lines]) for i, (lines, _) in enumerate(rows)], "i int, lines array<struct<line:string,plain:string>>")
+    got = frame.select("i", mail.card_parts(F.col("lines")).alias("p")).orderBy("i").collect()
+    assert [(r["p"]["company_name"], r["p"]["location_raw"], r["p"]["snippet"]) for r in got] == [want for _, want in rows]
 
 
 def test_card_lines_take_the_fullest_element_up_to_the_card(spark):
@@ -114,9 +114,9 @@ def test_card_lines_take_the_fullest_element_up_to_the_card(spark):
         ([("div", "T\na"), ("div", "T\na\nb"), ("div", "T\nc\nd")], ["a", "b"]),
         ([], None),
     ]
-    frame = spark.createDataFrame([(i, levels) for i, (levels, _) in enumerate(rows)], "i int, levels array<struct<tag:string,text:string>>")
+    frame = spark.createDataFrame([(i, [(*x, x[1]) for x in levels]) for i, (levels, _) in enumerate(rows)], "i int, levels array<struct<tag:string,text:string,plain:string>>")
     got = frame.select("i", mail.card_lines(F.col("levels"), F.lit("T")).alias("l")).orderBy("i").collect()
-    assert [r["l"] for r in got] == [want for _, want in rows]
+    assert [None if r["l"] is None else [x["line"] for x in r["l"]] for r in got] == [want for _, want in rows]
 
 
 def test_seeds(spark, tmp_path):
