@@ -394,8 +394,8 @@ def decode(encoded: DataFrame, ranks_path: str, pattern: str = "") -> DataFrame:
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES) -> DataFrame:
-    """Encode, decode again and return digests of both, in one pass over the rows.
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", max_states: int = MAX_STATES, max_pieces: int = MAX_PIECES, with_ids: bool = False) -> DataFrame:
+    """Encode, decode again and return digests of both, in one pass over the rows; ``with_ids``: the ids as well.
 
     ``max_states`` and ``max_pieces`` trade memory for speed; results don't depend on them.
     """
@@ -405,16 +405,20 @@ def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         codec = _codec(shared.value, pattern, max_states, max_pieces)
         for batch in batches:
             for part in slices(batch):
-                counts, encoded, decoded = [], [], []
+                counts, encoded, decoded, kept = [], [], [], []
                 with uncollected():
                     for text in texts(part.column(1)):
                         ids = codec.encode(text)
+                        if with_ids:
+                            kept.append(ids)
                         digest = hashlib.sha256()
                         for chunk in codec.decode(ids):
                             digest.update(chunk)
                         counts.append(len(ids) // 4)
                         encoded.append(hashlib.sha256(ids).hexdigest())
                         decoded.append(digest.hexdigest())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())], DIGESTS.fieldNames())
+                columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(encoded, pa.string()), pa.array(decoded, pa.string())]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(kept, pa.binary())] if with_ids else columns, schema.fieldNames())
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, DIGESTS)
+    schema = T.StructType([*DIGESTS.fields, T.StructField("ids", T.BinaryType())]) if with_ids else DIGESTS
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).mapInArrow(run, schema)

@@ -29,15 +29,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests
-    on one machine) a temporary folder is chosen.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the
+    master is local (tests on one machine) a temporary folder is chosen.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-checkpoint-"))
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared file system."""
     jvm = spark.sparkContext._jvm
@@ -123,7 +131,10 @@ BATCH_ROWS = 1024
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches sized for rows that carry whole texts."""
+    """The session, with Arrow batches sized for rows that carry whole texts.
+
+    The setting stays with the session: frames are lazy, and it counts when they run.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return spark
 

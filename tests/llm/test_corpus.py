@@ -848,3 +848,139 @@ def test_pipeline_stages(spark, tmp_path):
     assert all(d.columns == ["doc_id", "text", "lang", "source", "n_chars"] for d in seen[:4])
     direct = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert Counter(map(tuple, direct)) == Counter(map(tuple, seen[4].collect())) and len(direct) == seen[3].count()
+
+
+def test_pipeline_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    rows = [(i, f"Trees grow in the valley {i} and rivers run {i * 7} miles", f"src{i % 2}") for i in range(40)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, [(i, 1, 0) for i in range(40)]).write.parquet(f"{tmp_path}/labels.parquet")
+    ran = []
+
+    def counted(name, stage, fails=False):
+        def run(*args):
+            ran.append(name)
+            if fails:
+                raise RuntimeError("an executor too many was lost")
+            return stage(*args)
+
+        return name, run
+
+    stages = corpus_pipeline.STAGES
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s, fails=k == 3) for k, s in enumerate(stages)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, str(tmp_path), "again")
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [counted(*s) for s in stages])
+    got = corpus_pipeline.run(spark, str(tmp_path), "again").collect()
+    assert ran == [n for n, _ in stages[:4]] + [n for n, _ in stages[3:]]
+    assert all(len(r["ids"]) == 4 * r["n_tokens"] and hashlib.sha256(r["ids"]).hexdigest() == r["ids_sha256"] for r in got) and got
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_pipeline_of_edges(spark, tmp_path, labelled):
+    """No documents at all, or no labels and odd rows: every stage has a defined result."""
+    import corpus_pipeline
+
+    rows = [] if labelled else [(1, None), (2, ""), (3, "a text of some words"), (3, "a text of some words"), (3, "quite another text"), (None, "no id")]
+    documents(spark, rows, extra=("copies", "keep_id")).write.parquet(f"{tmp_path}/documents.parquet")
+    labels_of(spark, [(1, 1, 0)] if labelled else []).write.parquet(f"{tmp_path}/labels.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert (len(got) == 0) == labelled
+    if rows:
+        # without labels everything scores 0.5 and stays; null and empty are one text
+        assert {r["doc_id"] for r in got} <= {1, 3, None} and sum(r["n_tokens"] for r in got) > 0
+
+
+# -- 5, against brute force
+
+
+def plain_alignment(a, b):
+    """Patience diff by its definition: equal ends, then unique common lines in longest rising order, then a common subsequence."""
+    out, tail = [], []
+    while a and b and a[0][1] == b[0][1]:
+        out.append((a[0][0], b[0][0]))
+        a, b = a[1:], b[1:]
+    while a and b and a[-1][1] == b[-1][1]:
+        tail.insert(0, (a[-1][0], b[-1][0]))
+        a, b = a[:-1], b[:-1]
+    if not a or not b:
+        return out + tail
+    once = lambda side: {line: i for i, line in side if [x for _, x in side].count(line) == 1}
+    in_a, in_b = once(a), once(b)
+    common = sorted((in_a[x], in_b[x]) for x in in_a.keys() & in_b.keys())
+    best = []
+    for k, (_, j) in enumerate(common):
+        longest = max((best[m] for m in range(k) if common[m][1] < j), key=len, default=[])
+        best.append([*longest, common[k]])
+    anchors = max(best, key=len, default=[])
+    if not anchors:
+        return out + [(a[i][0], b[j][0]) for i, j in line_dedup.lcs([x for _, x in a], [x for _, x in b])] + tail
+    out += anchors
+    bounds = [(a[0][0] - 1, b[0][0] - 1), *anchors, (a[-1][0] + 1, b[-1][0] + 1)]
+    for (i0, j0), (i1, j1) in itertools.pairwise(bounds):
+        out += plain_alignment([x for x in a if i0 < x[0] < i1], [x for x in b if j0 < x[0] < j1])
+    return out + tail
+
+
+def plain_dedup(rows):
+    """Places that each document loses: against the first document of each of its long lines."""
+    lines = {i: [line.strip() for line in text.split("\n")] for i, text in rows}
+    is_long = lambda line: len(line.split()) >= 5
+    first = {}
+    for i in sorted(lines):
+        for line in lines[i]:
+            if is_long(line):
+                first.setdefault(line, i)
+    lost = {}
+    for i, mine in lines.items():
+        gone = set()
+        for other in {first[x] for x in mine if is_long(x) and first[x] < i}:
+            theirs = lines[other]
+            pairs = sorted(plain_alignment(list(enumerate(theirs)), list(enumerate(mine))))
+            blocks, here = [], set()
+            for x, y in pairs:
+                if blocks and blocks[-1][-1] == (x - 1, y - 1):
+                    blocks[-1].append((x, y))
+                else:
+                    blocks.append([(x, y)])
+            for block in blocks:
+                if any(is_long(mine[y]) for _, y in block):
+                    here |= {y for _, y in block}
+            for y, line in enumerate(mine):  # what moved or repeats, with the equal lines around it
+                if y in here or not is_long(line) or line not in theirs:
+                    continue
+                x = theirs.index(line)
+                up = 0
+                while y - up - 1 >= 0 and y - up - 1 not in here and x - up - 1 >= 0 and theirs[x - up - 1] == mine[y - up - 1]:
+                    up += 1
+                down = 0
+                while y + down + 1 < len(mine) and y + down + 1 not in here and x + down + 1 < len(theirs) and theirs[x + down + 1] == mine[y + down + 1]:
+                    down += 1
+                here |= set(range(y - up, y + down + 1))
+            gone |= here
+        lost[i] = sorted(gone)
+    return lost
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_line_dedup_against_brute_force(spark, seed):
+    rnd = random.Random(seed)
+    pool = [f"line {k} with five words or more" for k in range(25)] + ["short", "", "x y", "ok then"]
+    rows = []
+    for i in range(60):
+        text = [rnd.choice(pool) for _ in range(rnd.randint(1, 9))]
+        if rows and rnd.random() < 0.5:  # a passage of an earlier document
+            old = rnd.choice(rows)[1].split("\n")
+            at = rnd.randrange(len(old))
+            text[rnd.randrange(len(text) + 1) : 0] = old[at : at + rnd.randint(1, 6)]
+        rows.append((i, "\n".join(text)))
+    got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.deduplicated_lines(documents(spark, rows)).collect()}
+    assert got == plain_dedup(rows)
+
+
+def test_line_dedup_of_a_very_long_document(spark):
+    long = "\n".join(f"line number {i} of a long document" for i in range(30_000))
+    rows = [(1, long), (2, "line number 7 of a long document\nonly here"), (3, long + "\nnew line of more than five words")]
+    got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.deduplicated_lines(documents(spark, rows)).collect()}
+    assert got[1] == [] and got[2] == [0] and got[3] == list(range(30_000))
