@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.session import shared_folder
 from millrace.settings import DEFAULT, GATES, Settings
 
 
@@ -23,22 +25,25 @@ def cohen_kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return total.join(F.broadcast(chance)).select(kappa.alias("kappa"))
 
 
-def average_rank(value: Column) -> Column:
-    """Rank with ties sharing their mean, over all rows."""
-    return F.rank().over(Window.orderBy(value)) + (F.count("*").over(Window.partitionBy(value)) - 1) / 2.0
-
-
 def ranked(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Average ranks without a global window: counts by value, then their running sum.
+    """Average ranks, ties sharing their mean, without a window over all rows.
 
-    The running sum covers the different values only, in range partitions: each
-    partition sums on its own and gets the total of those before it.
+    The different values are counted, sorted in range partitions and written to
+    the shared folder, which fixes the partitions; each adds up on its own, and the
+    driver gets one total per partition.
     """
-    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n")).repartitionByRange(F.col("_v")).withColumn("_p", F.spark_partition_id())
-    within = counts.withColumn("_up", F.sum("_n").over(Window.partitionBy("_p").orderBy("_v")))
-    totals = within.groupBy("_p").agg(F.sum("_n").alias("_t"))
-    earlier = totals.alias("x").join(totals.alias("y"), F.col("y._p") < F.col("x._p"), "left").groupBy(F.col("x._p").alias("_q")).agg(F.coalesce(F.sum("y._t"), F.lit(0)).alias("_before"))
-    placed = within.join(F.broadcast(earlier), F.col("_p") == F.col("_q")).select("_v", (F.col("_before") + F.col("_up") - (F.col("_n") - 1) / 2.0).alias(out))
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
+    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    counts.orderBy("_v").withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    counts = spark.read.parquet(path)
+    before, starts = 0, []
+    for row in counts.groupBy("_p").agg(F.sum("_n").alias("t")).orderBy("_p").collect():
+        starts.append((row["_p"], before))
+        before += row["t"]
+    earlier = spark.createDataFrame(starts, "_q int, _before long")
+    up = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
+    placed = counts.withColumn("_up", up).join(F.broadcast(earlier), F.col("_p") == F.col("_q")).select("_v", (F.col("_before") + F.col("_up") - (F.col("_n") - 1) / 2.0).alias(out))
     return rows.join(placed, rows[value].eqNullSafe(placed["_v"])).drop("_v")
 
 

@@ -14,6 +14,7 @@ from millrace.functions.text import numeric
 from millrace.settings import DEFAULT, HARD_KINDS, NICE_KINDS, Settings
 
 SCORED_KINDS = (*HARD_KINDS, *NICE_KINDS)
+MOST_LEVELS = 500_000
 MOST_VARIANTS = 10_000
 
 
@@ -96,12 +97,15 @@ def levels(requirements: DataFrame, variants: DataFrame, bullet_rows: DataFrame,
 
     ``requirements``: posting_id, requirement_id, kind, text, normalised_skill,
     weight, ordinal.  ``variants``: variant_id, skill_set.  ``skills``: token,
-    label, family, members, credit.  The requirements aren't shuffled: the table
-    of levels has the size of the vocabulary times the variants.
+    label, family, members, credit.  The requirements aren't shuffled while the
+    table of levels, the vocabulary times the variants, has at most ``MOST_LEVELS``
+    rows; a larger one is joined by token.
     """
     known = level_table(variants, bullet_rows, skills, settings).select(F.col("variant_id").alias("k_variant"), F.col("token").alias("k_token"), "level", "note", "evidence")
-    rows = _for_each(requirements.filter(F.col("kind").isin(*SCORED_KINDS)), variant_ids(variants), variants.schema["variant_id"].dataType)
-    joined = rows.join(F.broadcast(known), (rows["normalised_skill"] == F.col("k_token")) & (rows["variant_id"] == F.col("k_variant")), "left")
+    ids = variant_ids(variants)
+    rows = _for_each(requirements.filter(F.col("kind").isin(*SCORED_KINDS)), ids, variants.schema["variant_id"].dataType)
+    small = F.broadcast(known) if len(ids) * skills.count() <= MOST_LEVELS else known
+    joined = rows.join(small, (rows["normalised_skill"] == F.col("k_token")) & (rows["variant_id"] == F.col("k_variant")), "left")
     unresolved = F.when(F.col("normalised_skill").isNull(), F.lit("Requirement did not resolve to a vocabulary token."))
     return joined.select("posting_id", "variant_id", "requirement_id", "kind", "text", "weight", "ordinal", F.coalesce("level", F.lit("missing")).alias("level"), F.coalesce("note", unresolved).alias("note"), "evidence")
 

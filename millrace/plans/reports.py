@@ -54,7 +54,11 @@ def failure_summary(results: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 
 
 def results_payload(results: DataFrame, by: tuple[str, ...]) -> DataFrame:
-    """Per-source results of each run as an array ordered by source."""
+    """Per-source results of each run as an array ordered by source.
+
+    One run has at most one entry for each registered source, hundreds of them; for
+    anything that isn't so bounded keep the rows and use ``folded_results``.
+    """
     fields = [c for c in results.columns if c not in by]
     entry = F.struct("source_id", F.struct(*fields).alias("r"))
     return results.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["r"]).alias("source_results"))

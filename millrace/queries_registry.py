@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,12 +11,12 @@ from pyspark.sql import functions as F
 from millrace.catalog import query, table, with_
 from millrace.functions import scores, text
 from millrace.operators import evaluation, ingest, matching, requirements, screen, scoring, variants
-from millrace.operators.vocabulary import Skill, Vocabulary, rebound_version
+from millrace.operators.vocabulary import Skill, Vocabulary, duplicate_aliases, rebound_version, unresolved_composites
 from millrace.plans import diagnostics, funnel, reports, standins
 from millrace.plans.standins import run
 from millrace.session import shared_folder
 from millrace.settings import GATES
-from millrace.sources import sinks
+from millrace.sources import seeds, sinks
 
 # ---------------------------------------------------------------- sources and companies
 
@@ -656,3 +657,60 @@ WHERE words BETWEEN 60 AND 400 AND (title LIKE '%Engineer%' OR title LIKE '%Anal
 def slice_candidates(spark, sf_dir):
     postings = run(spark, sf_dir, standins.POSTINGS).withColumn("first_seen_at", F.col("first_seen_day"))
     return diagnostics.slice_candidates(postings, ("engineer", "analyst"), 60, 400).select("company_id", "id")
+
+
+# ---------------------------------------------------------------- seeds
+
+
+@query("alias_conflicts", "SELECT lower(p_name) AS alias, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS tokens FROM part WHERE p_size <= 3 GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+def alias_conflicts(spark, sf_dir):
+    surfaces = table(spark, sf_dir, "part").filter("p_size <= 3").select(F.col("p_brand").alias("token"), F.upper("p_name").alias("surface"))
+    return duplicate_aliases(surfaces).select("alias", F.array_join("tokens", ",").alias("tokens"))
+
+
+@query("absent_members", "SELECT DISTINCT p_brand AS token, p_type AS member FROM part WHERE p_type NOT IN ('LARGE', 'SMALL')")
+def absent_members(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    composites = p.groupBy(F.col("p_brand").alias("token")).agg(F.collect_set("p_type").alias("members"))
+    plain = p.filter("p_type in ('LARGE', 'SMALL')").select(F.col("p_type").alias("token")).distinct().withColumn("members", F.array().cast("array<string>"))
+    return unresolved_composites(composites.unionByName(plain))
+
+
+@query("seeded_files", """SELECT 'company' AS kind, lower(n_name) AS key, CAST(n_nationkey % 3 AS STRING) AS detail FROM nation UNION ALL SELECT 'source', lower(n_name), 'board' || n_nationkey FROM nation WHERE n_nationkey % 3 > 0
+UNION ALL SELECT 'claim', lower(r_name), 'yes' FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT 'tag', 'b' || r_regionkey, 'sql' FROM region UNION ALL SELECT 'case', lower(r_name), 'Text of ' || r_name FROM region UNION ALL SELECT 'variant', lower(r_name), 'sql' FROM region""")
+def seeded_files(spark, sf_dir):
+    """Seed files of companies, claims, tags, cases and variants, written and loaded; each is a file of settings, a few rows."""
+    import json
+    import tempfile
+    from pathlib import Path
+
+    folder = Path(tempfile.mkdtemp(prefix="millrace-seeds-"))
+    nations = [(r["n_nationkey"], r["n_name"]) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(100).collect()]
+    regions = [(r["r_regionkey"], r["r_name"]) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").limit(100).collect()]
+    companies = [{"slug": n.lower(), "name": n, "tier": str(k % 3), "sources": [{"adapter": "lever", "config": {"site": f"board{k}"}}] * (k % 3 > 0)} for k, n in nations]
+    (folder / "companies.json").write_text(json.dumps({"companies": companies}))
+    (folder / "claims.json").write_text(json.dumps({"claims": [{"key": n.lower(), "statement": f"Sold in {n}", "verdict": "yes" if k % 2 == 0 else "no"} for k, n in regions]}))
+    (folder / "tags.json").write_text(json.dumps({"bullets": {f"b{k}": {"skills": ["sql"], "claims": [], "text": n} for k, n in regions}}))
+    for name in ("cases", "variants"):
+        (folder / name).mkdir()
+    for _, n in regions:
+        (folder / "cases" / f"{n}.yaml").write_text(f"id: '{n.lower()}'\nslice: terse\njd_text_file: {n}.txt\n")
+        (folder / "cases" / f"{n}.txt").write_text(f"Text of {n}")
+        (folder / "variants" / f"{n.lower()}.json").write_text(json.dumps({"experience": [], "projects": [], "skills": [{"label": "Tools", "items": ["sql"]}]}))
+    loaded, sources = seeds.load_companies(spark, folder / "companies.json")
+    sources = sources.join(loaded.select(F.col("id").alias("company_id"), "slug"), "company_id")
+    row = lambda df, kind, key, detail: df.select(F.lit(kind).alias("kind"), key.alias("key"), detail.cast("string").alias("detail"))
+    parts = [
+        row(loaded, "company", F.col("slug"), F.col("tier")),
+        row(sources, "source", F.col("slug"), F.col("config")["site"]),
+        row(seeds.load_claims(spark, folder / "claims.json"), "claim", F.col("key"), F.col("verdict")),
+        row(seeds.load_tags(spark, folder / "tags.json"), "tag", F.col("bullet_id"), F.col("skills")[0]),
+        row(seeds.load_cases(spark, folder / "cases"), "case", F.col("id"), F.col("text")),
+        row(seeds.load_variants(spark, str(folder / "variants")), "variant", F.col("key"), F.col("content.skills")[0]["items"][0]),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query("rows_as_json", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
+def rows_as_json(spark, sf_dir):
+    return sinks.as_json(table(spark, sf_dir, "nation"))

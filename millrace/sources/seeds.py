@@ -53,7 +53,8 @@ def load_companies(spark: SparkSession, path: str | Path) -> tuple[DataFrame, Da
 def load_variants(spark: SparkSession, folder: str) -> DataFrame:
     """key, content of the JSON files of a folder."""
     rows = spark.read.text(folder, wholetext=True).withColumn("_file", F.input_file_name())
-    return rows.select(F.regexp_extract("_file", r"([^/]+)\.json$", 1).alias("key"), F.from_json("value", CONTENT).alias("content"))
+    name = F.replace(F.regexp_extract("_file", r"([^/]+)\.json$", 1), F.lit("+"), F.lit("%2B"))  # escaped, as in a URL
+    return rows.select(F.url_decode(name).alias("key"), F.from_json("value", CONTENT).alias("content"))
 
 
 def load_claims(spark: SparkSession, path: str | Path) -> DataFrame:
