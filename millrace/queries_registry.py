@@ -12,7 +12,7 @@ from millrace.catalog import query, table, with_
 from millrace.functions import scores, text
 from millrace.operators import evaluation, ingest, matching, requirements, screen, scoring, variants
 from millrace.operators.vocabulary import Skill, Vocabulary, duplicate_aliases, rebound_version, unresolved_composites
-from millrace.plans import diagnostics, funnel, reports, standins
+from millrace.plans import diagnostics, fetching, funnel, reports, standins
 from millrace.plans.standins import run
 from millrace.session import shared_folder
 from millrace.settings import GATES
@@ -249,6 +249,48 @@ def result_of_source(spark, sf_dir):
     return reports.result_of(_runs(spark, sf_dir), 2).select("id", F.col("result.fetched").alias("fetched"))
 
 
+# ---------------------------------------------------------------- fetching
+
+#: Attempts of a downloader: a bucket per user, four events to a request, statuses by type and value.
+ATTEMPTS = """
+SELECT user_id % 20 AS bucket, 1 AS run_id, CAST(floor(event_id / 4) AS BIGINT) AS request, CAST(event_id % 4 AS INT) AS attempt,
+  CASE event_type WHEN 'view' THEN 200 WHEN 'click' THEN 503 WHEN 'signup' THEN NULL WHEN 'purchase' THEN 429 ELSE 404 END AS status
+FROM (SELECT event_id, event_type, first_value(user_id) OVER (PARTITION BY CAST(floor(event_id / 4) AS BIGINT) ORDER BY event_id) AS user_id FROM events) e
+"""
+_FETCHED = with_(a=ATTEMPTS, r="SELECT bucket, request, count(*) AS attempts, arg_max(coalesce(status, -1), attempt) AS last FROM a GROUP BY 1, 2") + """, f AS (SELECT bucket, request, attempts, nullif(last, -1) AS status,
+CASE WHEN last BETWEEN 200 AND 299 THEN 'ok' WHEN last IN (-1, 503, 429) THEN CASE WHEN attempts >= 4 THEN 'exhausted' ELSE 'given_up' END ELSE 'refused' END AS outcome FROM r) """
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    return fetching.requests(run(spark, sf_dir, ATTEMPTS))
+
+
+@query("fetch_outcomes", _FETCHED + "SELECT bucket, request, attempts - 1 AS retries, status, outcome FROM f")
+def fetch_outcomes(spark, sf_dir):
+    return _requests(spark, sf_dir).select("bucket", "request", "retries", "status", "outcome")
+
+
+@query("fetch_breaker", _FETCHED + """, s AS (SELECT *, sum(CASE outcome WHEN 'ok' THEN 1 ELSE 0 END) OVER (PARTITION BY bucket ORDER BY request) AS streak, CASE WHEN status IS NULL OR status >= 500 THEN 1 ELSE 0 END AS failed FROM f),
+c AS (SELECT *, sum(failed) OVER (PARTITION BY bucket, streak ORDER BY request) AS failures FROM s)
+SELECT bucket, request, CAST(failures AS BIGINT) AS failures, coalesce(max(failures) OVER (PARTITION BY bucket ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) >= 5, false) AS short_circuited FROM c""")
+def fetch_breaker(spark, sf_dir):
+    return fetching.breaker(_requests(spark, sf_dir), 5).select("bucket", "request", F.col("failures").cast("long").alias("failures"), "short_circuited")
+
+
+@query("repaired_answers", "SELECT l_orderkey AS posting_id, min(l_linenumber - 1) FILTER (l_linenumber <= 3 AND l_discount >= 0.05) IS NOT NULL AS ok, CAST(coalesce(min(l_linenumber - 1) FILTER (l_linenumber <= 3 AND l_discount >= 0.05), max(l_linenumber - 1) FILTER (l_linenumber <= 3)) AS INT) AS repairs FROM lineitem GROUP BY 1 HAVING count(*) FILTER (l_linenumber <= 3) > 0")
+def repaired_answers(spark, sf_dir):
+    answers = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("posting_id"), (F.col("l_linenumber") - 1).alias("attempt"), F.col("l_discount").alias("answer"))
+    rows = fetching.repaired(answers, F.col("answer") >= 0.05)
+    return rows.select("posting_id", (F.col("outcome") == "ok").alias("ok"), F.col("repairs").cast("int").alias("repairs"))
+
+
+@query("coalesced_fires", """WITH w AS (SELECT user_id AS job, event_id, CAST(epoch_us(ts) // 1000000 AS BIGINT) AS s, lag(CAST(epoch_us(ts) // 1000000 AS BIGINT)) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events)
+SELECT job, s, s // 3600 - p // 3600 AS coalesced, s % 3600 <= 900 AS runs FROM w WHERE s // 3600 > p // 3600""")
+def coalesced_fires(spark, sf_dir):
+    moments = table(spark, sf_dir, "events").select(F.col("user_id").alias("job"), F.col("ts").cast("timestamp").alias("at"))
+    return fetching.fires(moments, 60, 900).select("job", F.unix_seconds("at").alias("s"), "coalesced", "runs")
+
+
 # ---------------------------------------------------------------- claims and artifacts
 
 CLAIMS = """

@@ -83,18 +83,18 @@ def whole_days(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", dates.whole_days(F.lit("2024-02-01 06:00:00").cast("timestamp"), F.col("ts").cast("timestamp")).cast("long").alias("days"))
 
 
-@query("retry_waits", "SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 90 WHEN 1 THEN greatest(0, CAST(epoch_us(ts) // 1000000 AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-15 00:00:00') AS BIGINT)) END AS wait, CAST(least(60, pow(2, user_id % 8)) AS DOUBLE) AS longest FROM events")
+@query("retry_waits", "SELECT event_id, CAST(CASE event_id % 4 WHEN 0 THEN event_id % 90 + 0.5 WHEN 1 THEN greatest(0, CAST(epoch_us(ts) // 1000000 AS BIGINT) - CAST(epoch(TIMESTAMP '2024-01-15 00:00:00') AS BIGINT)) END AS DOUBLE) AS wait, CAST(least(30, pow(2, user_id % 8)) AS DOUBLE) AS longest FROM events")
 def retry_waits(spark, sf_dir):
     k, moment = F.col("event_id") % 4, F.col("ts").cast("timestamp")
     date = F.concat(F.date_format(moment, "EEE, dd MMM yyyy HH:mm:ss"), F.lit(" GMT"))
-    header = F.when(k == 0, F.concat(F.lit(" "), (F.col("event_id") % 90).cast("string"))).when(k == 1, date).when(k == 2, "later")
+    header = F.when(k == 0, F.concat(F.lit(" "), (F.col("event_id") % 90).cast("string"), F.lit(".5"))).when(k == 1, date).when(k == 2, "later")
     return table(spark, sf_dir, "events").select("event_id", retry.retry_after_s(header, F.lit("2024-01-15").cast("timestamp")).alias("wait"), retry.longest_wait(F.col("user_id") % 8).alias("longest"))
 
 
 @query("bounded_waits", "SELECT event_id, true AS bounded FROM events")
 def bounded_waits(spark, sf_dir):
     asked = F.when(F.col("event_id") % 3 == 0, F.col("event_id") % 200)
-    wait, most = retry.jittered_wait(F.col("user_id") % 8, asked, 7), F.when(asked.isNotNull(), F.least(asked, F.lit(60))).otherwise(retry.longest_wait(F.col("user_id") % 8))
+    wait, most = retry.jittered_wait(F.col("user_id") % 8, asked, 7), F.when(asked.isNotNull(), F.least(asked, F.lit(30))).otherwise(retry.longest_wait(F.col("user_id") % 8))
     return table(spark, sf_dir, "events").select("event_id", (wait >= 0).alias("a"), (wait <= most).alias("b")).select("event_id", (F.col("a") & F.col("b")).alias("bounded"))
 
 

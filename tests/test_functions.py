@@ -163,6 +163,6 @@ def test_ids_tokens_and_waits(spark):
     assert values(spark, text.is_ulid, ["01ARZ3NDEKTSV4RRFFQ69G5FAV", "81ARZ3NDEKTSV4RRFFQ69G5FAV", "short", None]) == [True, False, False, None]
     assert values(spark, text.search_tokens, ["The café, the CAFÉ"]) == [["the", "café"]]
     now = F.lit("2024-03-01 10:00:00").cast("timestamp")
-    assert values(spark, lambda c: retry.retry_after_s(c, now), ["7", "Fri, 01 Mar 2024 10:00:30 GMT", "Fri, 01 Mar 2024 09:00:00 GMT", "x", None]) == [7, 30, 0, None, None]
-    assert values(spark, retry.longest_wait, [0, 3, 30], "int") == [1.0, 8.0, 60.0]
+    assert values(spark, lambda c: retry.retry_after_s(c, now), ["7", "Fri, 01 Mar 2024 10:00:30 GMT", "Fri, 01 Mar 2024 09:00:00 GMT", "x", None, "1.5", "-3"]) == [7, 30, 0, None, None, 1.5, 0]
+    assert values(spark, retry.longest_wait, [0, 3, 30], "int") == [1.0, 8.0, 30.0]
     assert all(0 <= v <= 8 for v in values(spark, lambda c: retry.jittered_wait(c, F.lit(None).cast("long"), 1), [3, 3], "int"))

@@ -154,6 +154,17 @@ def test_sinks(spark, tmp_path):
     assert sinks.as_table(scores).splitlines()[0] == "prompt_version  s"
 
 
+def test_run_lock(spark, tmp_path):
+    path = f"{tmp_path}/lock"
+    with sinks.run_lock(spark, path):
+        with pytest.raises(RuntimeError), sinks.run_lock(spark, path):
+            pass
+        with sinks.run_lock(spark, path, stale_s=-1):  # its holder counts as gone
+            pass
+    with sinks.run_lock(spark, path):
+        pass
+
+
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(i, f"k{i % 4}", ["submitted", "acknowledged", "offer", "rejected"][i % 4 if i % 5 else 0], dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(40)]
     frame = spark.createDataFrame(rows, "id long, application_id string, status string, occurred_at timestamp")
