@@ -81,6 +81,8 @@ WORD_RIDGE = 0.01
 BUCKET_TOKENS = 1 << 20
 #: Tokens and documents that a task holds before it deals their features to the buckets.
 BLOCK_TOKENS, BLOCK_DOCS = 1 << 19, 1 << 15
+#: What a bucket adds to a text's score is a multiple of this, in log10.
+GAIN_UNIT = 1 / (1 << 16)
 #: Map tasks whose statistics are added up before the blocks of all meet.
 ADDED_TOGETHER = 32
 #: Different words that one task counts before it hands on what it has.
@@ -331,7 +333,7 @@ def train_classes(table: DataFrame, iterations: int = ITERATIONS, ridge: float =
 
 
 _ENTRIES = "bucket long, uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<long>, rare_counts array<int>, n_texts int, keys binary, holders binary, texts binary, times binary, shares binary, copies binary"
-_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<long>, rare_counts array<int>, n_texts int, gains binary"
+_SUMS = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, score double, rare_words array<long>, rare_counts array<int>, n_texts int, places binary, gains binary"
 _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.int32(), *[pa.binary()] * 6]
 
 
@@ -511,15 +513,17 @@ def _bucket_gains(iterations: int):
         weights, normalisers = fit_words(keys[order][first] >> np.uint64(24), np.add.reduceat(trained[order], first), 10.0 ** -shares[order][first].astype(np.float64), iterations)
         values = np.empty(len(keys))
         values[order] = np.repeat((weights - normalisers) / np.log(10), np.diff(np.append(first, len(keys)))) * times[order]
-        uids, sizes, sums, at = [], [], [], 0
+        rows, at = [], 0
         for block, t in zip(blocks, texts):
-            total = np.bincount(t & (BLOCK_DOCS - 1), values[at : at + len(t)], block[1])
+            own = t & (BLOCK_DOCS - 1)
+            total = np.bincount(own, values[at : at + len(t)], block[1])
             at += len(t)
-            # whole multiples of 2 ** -30, so that sums agree in any order
-            sums.append(np.rint(total * (1 << 30)).astype("<i8").tobytes())
-            uids.append(block[0])
-            sizes.append(block[1])
-        return empty(uids, sizes, sums)
+            # of the texts that the bucket knows; whole multiples, so that sums agree in any order
+            places = np.flatnonzero(np.bincount(own, minlength=block[1]))
+            units = np.rint(total[places] / GAIN_UNIT).astype(np.int64)
+            width = "<i4" if abs(units).max(initial=0) < 1 << 31 else "<i8"
+            rows.append((block[0], block[1], np.diff(places, prepend=0).astype("<u2").tobytes(), units.astype(width).tobytes()))
+        return sums_of(rows)
 
     def copies_of(n: int, texts: np.ndarray, copies: bytes) -> np.ndarray:
         """How many training documents have each of a run's texts."""
@@ -529,9 +533,9 @@ def _bucket_gains(iterations: int):
         out[several[:, 0]] = several[:, 1]
         return out
 
-    def empty(uids: list, sizes: list, sums: list) -> pa.RecordBatch:
-        n = len(uids)
-        columns = [pa.array(uids, pa.int64()), *(pa.nulls(n, kind) for kind in _KINDS[2:10]), pa.array(sizes, pa.int32()), pa.array(sums, pa.binary())]
+    def sums_of(rows: list[tuple]) -> pa.RecordBatch:
+        uids, sizes, places, units = zip(*rows)
+        columns = [pa.array(uids, pa.int64()), *(pa.nulls(len(rows), kind) for kind in _KINDS[2:10]), pa.array(sizes, pa.int32()), pa.array(places, pa.binary()), pa.array(units, pa.binary())]
         return pa.RecordBatch.from_arrays(columns, [field.split(" ")[0] for field in _SUMS.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -542,7 +546,7 @@ def _bucket_gains(iterations: int):
             rows = int(np.searchsorted(buckets, 0))
             if rows:
                 plain = batch.slice(0, rows)
-                yield pa.RecordBatch.from_arrays([*plain.columns[1:10], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], [field.split(" ")[0] for field in _SUMS.split(", ")])
+                yield pa.RecordBatch.from_arrays([*plain.columns[1:10], pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary()), pa.nulls(rows, pa.binary())], [field.split(" ")[0] for field in _SUMS.split(", ")])
             dealt = batch.slice(rows)
             for at, *block in zip(buckets[rows:].tolist(), *(dealt.column(i).to_pylist() for i in (1, 10, 11, 12, 13, 14, 15, 16))):
                 if at != bucket and held:
@@ -557,14 +561,15 @@ def _bucket_gains(iterations: int):
 
 
 def _gain_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(uid of the first text, n_texts, gains) to one row per text; runs meet in one task."""
+    """(uid of the first text, n_texts, places, gains) to one row per text; runs meet in one task."""
     sums: dict[int, np.ndarray] = {}
     for batch in batches:
-        for uid, n, content in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            sums.setdefault(uid, np.zeros(n, np.int64))
-            sums[uid] += np.frombuffer(content, "<i8")
+        for uid, n, places, content in zip(*(batch.column(i).to_pylist() for i in range(4))):
+            at = np.cumsum(np.frombuffer(places, "<u2"), dtype=np.int64)
+            if len(at):
+                sums.setdefault(uid, np.zeros(n, np.int64))[at] += np.frombuffer(content, f"<i{len(content) // len(at)}")
     for uid, total in sums.items():
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(total))), pa.array(total / (1 << 30))], ["uid", "gain"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(uid, uid + len(total))), pa.array(total * GAIN_UNIT)], ["uid", "gain"])
 
 
 def scored(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str = "doc_id", text_col: str = "text", top: int = TOP_WORDS, iterations: int = ITERATIONS, word_iterations: int = WORD_ITERATIONS, bucket_tokens: int = BUCKET_TOKENS) -> DataFrame:
@@ -583,7 +588,7 @@ def scored(docs: DataFrame, modulus: int = 10, held_out: int = 0, id_col: str =
     rare = plain.select("uid", F.explode(F.arrays_zip("rare_words", "rare_counts")).alias("r")).select("uid", F.col("r.rare_words").alias("rare_hash"), F.col("r.rare_counts").alias("times"))
     found = rare.join(counts.select(F.xxhash64("word").alias("word_hash"), "c"), F.col("rare_hash") == F.col("word_hash"), "left")
     zero = F.lit(0.0)
-    gains = local.filter("gains is not null").select("uid", "n_texts", "gains").repartition("uid").mapInArrow(stateless(_gain_rows), "uid long, gain double")
+    gains = local.filter("gains is not null").select("uid", "n_texts", "places", "gains").repartition("uid").mapInArrow(stateless(_gain_rows), "uid long, gain double")
     parts = found.select(
         "uid",
         (F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + ADDED)).alias("log"),
