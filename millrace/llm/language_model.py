@@ -73,6 +73,8 @@ ITERATIONS = 12
 RIDGE = 2.0
 #: Words before, of so high a rank that their histories are told apart by one word more.
 FREQUENT = 128
+#: Bits of a feature's key that tell the words after one history apart.
+WORD_BITS = 16
 #: Words are told apart by their XXH64 with this seed, the one of Spark's function.
 HASH_SEED = 42
 WORD_ITERATIONS = 16
@@ -338,7 +340,7 @@ _KINDS = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64()
 
 
 def feature_keys(hashes: np.ndarray, kinds: np.ndarray, codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Hashed word feature of each token: 40 bits of history and class, 24 of the word.
+    """Hashed word feature of each token: 40 bits of history and class, 16 of the word.
 
     The history is the word before, and after a frequent one the two words before.
     """
@@ -351,7 +353,7 @@ def feature_keys(hashes: np.ndarray, kinds: np.ndarray, codes: np.ndarray, start
     two[after[after < len(hashes)]] = 0
     history = np.where(frequent, mixed(one + np.uint64(3) * two + np.uint64(1)), one)
     group = mixed(history ^ mixed(kinds.astype(np.uint64) + np.uint64(1)))
-    return (group >> np.uint64(24) << np.uint64(24)) | (mixed(hashes) >> np.uint64(40))
+    return (group >> np.uint64(24) << np.uint64(WORD_BITS)) | (mixed(hashes) >> np.uint64(64 - WORD_BITS))
 
 
 class _Block:
@@ -400,7 +402,7 @@ class _Block:
         texts = texts | np.where(trained[texts] > 0, BLOCK_DOCS, 0)
         several = np.flatnonzero(trained > 1)
         copies = np.column_stack([several, trained[several]]).astype("<u4").tobytes()
-        buckets = (keys >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
+        buckets = (keys >> np.uint64(40 + WORD_BITS - self.bits)).astype(np.int64) if self.bits else np.zeros(len(keys), np.int64)
         cuts = [*np.flatnonzero(np.diff(buckets, prepend=-1)).tolist(), len(keys)]
         for start, end in zip(cuts, cuts[1:]):
             steps = np.diff(keys[start:end], prepend=np.uint64(0))
@@ -510,7 +512,7 @@ def _bucket_gains(iterations: int):
         trained = np.concatenate([copies_of(b[1], t, b[7])[t & (BLOCK_DOCS - 1)] for b, t in zip(blocks, texts)]) * times
         order = np.argsort(keys, kind="stable")
         first = np.flatnonzero(np.concatenate([[True], keys[order][1:] != keys[order][:-1]]))
-        weights, normalisers = fit_words(keys[order][first] >> np.uint64(24), np.add.reduceat(trained[order], first), 10.0 ** -shares[order][first].astype(np.float64), iterations)
+        weights, normalisers = fit_words(keys[order][first] >> np.uint64(WORD_BITS), np.add.reduceat(trained[order], first), 10.0 ** -shares[order][first].astype(np.float64), iterations)
         values = np.empty(len(keys))
         values[order] = np.repeat((weights - normalisers) / np.log(10), np.diff(np.append(first, len(keys)))) * times[order]
         rows, at = [], 0
