@@ -261,9 +261,18 @@ def resolve_exact(spark, sf_dir):
     return resolved(phrases, _vocabulary(), "phrase").select("id", "token")
 
 
-@query("resolve_containment", f"WITH words AS (SELECT DISTINCT p_partkey, unnest(string_split(p_name, ' ')) AS token FROM part) SELECT token, count(*) AS n FROM words WHERE list_contains({_COLOURS}, token) AND token NOT IN ('coral', 'ivory') GROUP BY token")
+#: Nouns of parts that are skills; "rod" is of a family that is never looked for within text.
+_NOUNS = ("ring", "widget", "bolt", "gear", "gizmo", "plate", "anvil")
+_ORDERED = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN string_agg(p_name, '-') ELSE string_agg(p_name, ' plus ') END AS text FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey"
+
+
+@query("resolve_containment", with_(t=_ORDERED, n=f"SELECT unnest([{', '.join(repr(n) for n in _NOUNS)}]) AS token") + r"SELECT token, count(*) AS n FROM t JOIN n ON regexp_matches(text, '\b' || token || '\b') GROUP BY 1")
 def resolve_containment(spark, sf_dir):
-    return containment_report(table(spark, sf_dir, "part").select(F.concat(F.lit("We use "), "p_name", F.lit(".")).alias("text")), _vocabulary())
+    skills = Vocabulary("v1", tuple(Skill(n, n.title(), "hardware") for n in _NOUNS) + (Skill("bol", "Bol", "hardware"),))
+    names = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("p_partkey")).join(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_partkey")
+    glue = F.when(F.first("id") % 2 == 0, "-").otherwise(" PLUS ")
+    texts = names.groupBy("id").agg(F.array_join(F.collect_list(F.upper("p_name")), "\x1f").alias("t"), glue.alias("glue")).select(F.replace("t", F.lit("\x1f"), F.col("glue")).alias("text"))
+    return containment_report(texts, skills)
 
 
 _TEXTS = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Strong Communication Skills and a fast-paced team' WHEN 1 THEN 'A bachelor''s degree in any field of study' WHEN 2 THEN 'Fluency in English' ELSE 'Knows ' || p_name END AS text FROM part"
@@ -275,10 +284,13 @@ def boilerplate_counts(spark, sf_dir):
     return requirements.boilerplate_counts(run(spark, sf_dir, _TEXTS))
 
 
-@query("technical_lines", with_(texts=_TEXTS.replace("'Knows ' || p_name", "'Knows sql and ' || p_name")) + "SELECT p_partkey AS id FROM texts WHERE lower(text) LIKE '%sql%'")
+#: Lines with technical words whole, in capitals, as parts of other words, or not at all.
+_LINES = "SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN 'Owns the Backend of a ' || p_name WHEN 1 THEN 'Javanese ' || p_name WHEN 2 THEN 'SQL, ' || p_name WHEN 3 THEN 'Apis and backends' WHEN 4 THEN p_name || ' (API)' WHEN 5 THEN 'going to ' || p_name ELSE p_name || ' go' END AS text FROM part"
+
+
+@query("technical_lines", with_(texts=_LINES) + r"SELECT p_partkey AS id FROM texts WHERE regexp_matches(lower(text), '\b(python|java|typescript|javascript|go|rust|sql|postgres|kubernetes|docker|aws|azure|gcp|terraform|react|api|backend|frontend|distributed|latency|throughput|pipeline|microservice|database|infrastructure)\b')")
 def technical_lines(spark, sf_dir):
-    rows = run(spark, sf_dir, _TEXTS.replace("'Knows ' || p_name", "'Knows sql and ' || p_name"))
-    return rows.filter(text.technical(F.col("text"))).select(F.col("p_partkey").alias("id"))
+    return run(spark, sf_dir, _LINES).filter(text.technical(F.col("text"))).select(F.col("p_partkey").alias("id"))
 
 
 # ---------------------------------------------------------------- scoring
