@@ -115,18 +115,22 @@ def verdicts(postings: DataFrame, settings: Settings = DEFAULT, chain: Sequence[
     """``postings`` with ``reason``: the first rejection, null for a pass.
 
     COALESCE stops at the first reason.  What is costly to know (markers in the
-    text, years of experience) is prepared for the rows that are still open.  The
-    reason passes through a generator, so that filters on it aren't pushed below
-    and the chain isn't evaluated once more for each.
+    text, years of experience) is prepared for the rows that are still open.  What
+    is prepared and the reason pass through generators, so that nothing that
+    refers to them is merged with them or pushed below, and each is evaluated once.
     """
+
+    def once(value: Column) -> Column:
+        return F.explode(F.array(value))
+
     rows, waiting = postings.withColumn("reason", F.lit(None).cast("string")), []
     for _, predicate in chain:
         if predicate in PREPARED:
             name, prepare = PREPARED[predicate]
-            rows = rows.withColumn("reason", F.coalesce("reason", *waiting))
-            rows, waiting = rows.withColumn(name, prepare(settings, F.col("reason").isNull())), []
+            rows = rows.withColumn("reason", once(F.coalesce("reason", *waiting)))
+            rows, waiting = rows.withColumn(name, once(prepare(settings, F.col("reason").isNull()))), []
         waiting.append(predicate(settings))
-    return rows.withColumn("reason", F.explode(F.array(F.coalesce("reason", *waiting))))
+    return rows.withColumn("reason", once(F.coalesce("reason", *waiting)))
 
 
 def with_company(postings: DataFrame, companies: DataFrame) -> DataFrame:
