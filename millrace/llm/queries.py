@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, chat, exact_dedup, fill_in_middle, language_model, line_dedup, media, mixing, quality, simhash, toxicity
+from millrace.llm import bpe, chat, exact_dedup, fill_in_middle, importance, language_model, license_scan, line_dedup, media, mixing, quality, simhash, toxicity
 from millrace.llm.common import read_table
 
 
@@ -96,6 +96,79 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.scored(read_table(spark, sf_dir, "documents"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+#: crc32 as SQL: the table of bytes by eight halvings, then a fold over the bytes of a word.
+OP11_SQL = r"""
+WITH RECURSIVE halved AS (
+  SELECT i AS byte, i AS v, 0 AS k FROM range(256) t(i)
+  UNION ALL SELECT byte, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM halved WHERE k < 8
+), crc AS (SELECT list(v ORDER BY byte) AS lookup FROM halved WHERE k = 8),
+texts AS (
+  SELECT 0 AS side, row_number() OVER () AS row_id, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+  UNION ALL SELECT 1, row_number() OVER (), NULL, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') FROM benchmark
+), words AS (
+  SELECT side, row_id, unnest(regexp_extract_all(body, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM texts
+), buckets AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(length(hex(word)) // 2), lambda i: CAST('0x' || substr(hex(word), 2 * i + 1, 2) AS BIGINT))),
+                               lambda a, b: xor(a >> 8, lookup[xor(a & 255, b) + 1])), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM words), crc
+), counts AS (
+  SELECT bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t FROM words JOIN buckets USING (word) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * ((SELECT sum(s) FROM counts) + 10000)::DOUBLE / ((s + 1)::DOUBLE * ((SELECT sum(t) FROM counts) + 10000)::DOUBLE))) AS BIGINT) AS gain FROM counts
+), weights AS (
+  SELECT row_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM words JOIN buckets USING (word) JOIN gains USING (bucket) WHERE side = 0 GROUP BY row_id
+), scored AS (
+  SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8] AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM texts LEFT JOIN weights USING (row_id) WHERE side = 0
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_features >= 20 ORDER BY score DESC, doc_id NULLS LAST, n_features) AS place, count(*) FILTER (n_features >= 20) OVER () AS able FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_features >= 20 AND place <= 10 * able // 100 THEN place END AS rank FROM placed
+"""
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scanned(read_table(spark, sf_dir, "documents")).drop("spans")
+
+
+def _template_values() -> str:
+    """The runs of the templates as SQL rows."""
+    rows = []
+    for number, t in enumerate(license_scan.TEMPLATES):
+        rows += [f"('{run}', {number}, {place}, '{t.label}', {t.base}, {t.gap}, {t.share}::DOUBLE, {len(t.runs)})" for place, run in enumerate(t.runs)]
+    return ", ".join(rows)
+
+
+OP12_SQL = rf"""
+WITH templates(run, template, place, label, base, gap, share, runs) AS (VALUES {_template_values()}),
+texts AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), rolled AS (SELECT row_id, w, unnest(range(0, len(w) - {license_scan.K - 1})) AS pos FROM texts),
+voted AS (
+  SELECT row_id, template, label, base, gap, share, runs, pos, pos - place AS diagonal, 1::BIGINT << place AS bit FROM rolled JOIN templates ON array_to_string(w[pos + 1:pos + {license_scan.K}], ' ') = run
+), diagonals AS (
+  SELECT row_id, template, label, base, gap, share, runs, diagonal, bit_or(bit) AS bits, min(pos) AS first, max(pos) AS last FROM voted GROUP BY ALL
+), opened AS (
+  SELECT *, CASE WHEN diagonal - lag(diagonal) OVER (PARTITION BY row_id, template ORDER BY diagonal) <= gap THEN 0 ELSE 1 END AS opens FROM diagonals
+), numbered AS (SELECT *, sum(opens) OVER (PARTITION BY row_id, template ORDER BY diagonal) AS span FROM opened),
+spans AS (
+  SELECT row_id, template, label, base, share, runs, span, bit_count(bit_or(bits)) AS hits, min(first) AS first, max(last) + {license_scan.K} AS past FROM numbered GROUP BY row_id, template, label, base, share, runs, span
+), verified AS (SELECT *, hits / runs::DOUBLE AS found, base AND found >= share AS is_base, found >= share AS labelled FROM spans WHERE past - first <= 2 * (runs + {license_scan.K - 1})),
+by_row AS (
+  SELECT row_id, count(*) FILTER (is_base) AS n_base, min(first) FILTER (is_base) AS first_word, max(first) FILTER (is_base) AS last_word,
+         string_agg(DISTINCT label, ',' ORDER BY label) FILTER (is_base) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (labelled) AS labels, max(found) AS score
+  FROM verified GROUP BY row_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM texts LEFT JOIN by_row USING (row_id)
+"""
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(fill_in_middle.transformed(read_table(spark, sf_dir, "documents")))
 
@@ -128,9 +201,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
+        "op11_importance": op11_importance,
+        "op12_license_scan": op12_license_scan,
         "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op13_fill_in_middle": OP13_SQL}
+    return {"op1_chat_formatting": OP1_SQL, "op10_exact_dedup": OP10_SQL, "op11_importance": OP11_SQL, "op12_license_scan": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
