@@ -93,10 +93,10 @@ def template_table(docs: DataFrame, templates: tuple[Template, ...]) -> DataFram
     """A row for each run of each template, and one for the marker of a text (template -1)."""
     if bad := [t.words for t in templates if not K <= len(t.words.split()) <= K + 62]:
         raise ValueError(f"templates of {K} to {K + 62} words are needed, not {bad}")
-    rows = [("", -1, 0, None, False, 0, 0.0, 0)]
+    rows = [("", -1, 0, 1, None, False, 0, 0.0, 0)]
     for number, t in enumerate(templates):
-        rows += [(run, number, place, t.label, t.base, t.gap, t.share, len(t.runs)) for place, run in enumerate(t.runs)]
-    table = docs.sparkSession.createDataFrame(rows, "t_run string, template int, place int, label string, base boolean, gap int, share double, runs int")
+        rows += [(run, number, place, 1 << place, t.label, t.base, t.gap, t.share, len(t.runs)) for place, run in enumerate(t.runs)]
+    table = docs.sparkSession.createDataFrame(rows, "t_run string, template int, place int, bit long, label string, base boolean, gap int, share double, runs int")
     return table.withColumn("t_hash", F.xxhash64("t_run"))
 
 
@@ -110,7 +110,7 @@ def scanned(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, id_col
     rolled = rows.select(*row[:-1], F.size("words").alias("n_words"), F.posexplode(runs).alias("at", "run")).withColumn("hash", F.xxhash64("run"))
     table = template_table(docs, templates)
     voted = rolled.join(F.broadcast(table), (F.col("hash") == F.col("t_hash")) & (F.col("run") == F.col("t_run")))
-    votes = voted.select(*row, "template", "label", "base", "gap", "share", "runs", (F.col("at") - 1).alias("at"), (F.col("at") - 1 - F.col("place")).alias("diagonal"), F.shiftleft(F.lit(1).cast("long"), F.col("place")).alias("bit"))
+    votes = voted.select(*row, "template", "label", "base", "gap", "share", "runs", (F.col("at") - 1).alias("at"), (F.col("at") - 1 - F.col("place")).alias("diagonal"), "bit")
     kind = ["template", "label", "base", "gap", "share", "runs"]
     # dealt by row once; all that follows groups within rows
     diagonals = votes.repartition(*row).groupBy(*row, *kind, "diagonal").agg(F.bit_or("bit").alias("bits"), F.min("at").alias("first"), F.max("at").alias("last"), F.count("*").alias("n"))
