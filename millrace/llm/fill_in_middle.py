@@ -10,8 +10,8 @@ id, and is rearranged so that the piece between the cuts comes last:
 
 Where the units of a text end does not depend on the document, so identical texts
 share one index entry.  Texts are grouped by SHA-256; that the rows of a group
-have one content is verified on the texts themselves (their smallest and largest
-are equal, else the query fails).  Documents join the groups by the digest alone,
+have one content is verified on the texts themselves (the set of a group's texts
+has one element, else the query fails).  Documents join the groups by the digest alone,
 and where a group begins its entry is computed, once: the ends as an Elias-Fano
 list, some four bits a unit, with every ``SAMPLE``-th place of its upper half, so
 that one end is read without decoding the others.  Each document of the group
@@ -147,8 +147,8 @@ def _cut(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
 
 def different_texts(rows: DataFrame) -> DataFrame:
     """(digest, text) rows to one row per different text: own, text; fails where texts of one digest differ."""
-    one = rows.groupBy(F.col("digest").alias("own")).agg(F.min("text").alias("text"), F.max("text").alias("other"))
-    verified = F.when(F.col("text") == F.col("other"), F.col("text")).otherwise(F.raise_error(F.lit("texts of one digest differ")).cast("string"))
+    one = rows.groupBy(F.col("digest").alias("own")).agg(F.collect_set("text").alias("texts"))
+    verified = F.when(F.size("texts") == 1, F.get("texts", F.lit(0))).otherwise(F.raise_error(F.lit("texts of one digest differ")).cast("string"))
     return one.select("own", verified.alias("text"))
 
 
