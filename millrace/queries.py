@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.catalog import ORACLES, QUERIES, query, table, with_
 from millrace.functions import dates, html, prompts, scores, text, urls
 from millrace.operators import evaluation, ingest, matching, requirements, screen, scoring
-from millrace.operators.vocabulary import Skill, Vocabulary, containment_report, resolved
+from millrace.operators.vocabulary import Skill, Vocabulary, alternatives_within, containment_report, resolved
 from millrace.plans import diagnostics, funnel, reports, standins
 from millrace.plans.standins import run
 from millrace.session import shared_folder
@@ -275,6 +275,19 @@ def resolve_containment(spark, sf_dir):
     return containment_report(texts, skills)
 
 
+#: Families of nouns; those of tools are not substitutes for one another.
+_KINDS = {"ring": "cloud", "bolt": "cloud", "gear": "cloud", "widget": "language", "gizmo": "language", "plate": "tools", "anvil": "tools"}
+_ASKED = "SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'Knows ' WHEN 1 THEN 'at least one of ' WHEN 2 THEN 'two or more of ' WHEN 3 THEN 'Either way, ' ELSE 'or else ' END AS opening, CASE o_custkey % 3 WHEN 0 THEN ', ' WHEN 1 THEN ' or ' ELSE '/' END AS glue, split_part(p_name, ' ', 2) AS noun FROM orders JOIN lineitem ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey"
+
+
+@query("alternatives_within_texts", with_(a=_ASKED, k=f"SELECT * FROM (VALUES {', '.join(f'({t!r}, {f!r})' for t, f in _KINDS.items())}) t(noun, kind)") + """SELECT id, CASE WHEN count(DISTINCT kind) = 1 AND min(kind) <> 'tools' AND count(DISTINCT a.noun) FILTER (kind IS NOT NULL) > 1 AND min(opening) <> 'two or more of '
+AND (min(glue) <> ', ' OR min(opening) IN ('at least one of ', 'Either way, ')) THEN string_agg(DISTINCT a.noun, '+' ORDER BY a.noun) FILTER (kind IS NOT NULL) END AS tokens FROM a LEFT JOIN k USING (noun) GROUP BY id""")
+def alternatives_within_texts(spark, sf_dir):
+    skills = Vocabulary("v1", tuple(Skill(noun, noun.title(), family) for noun, family in _KINDS.items()))
+    asked = run(spark, sf_dir, _ASKED).groupBy("id").agg(F.concat(F.first("opening"), F.array_join(F.array_sort(F.collect_list(F.initcap("noun"))), "|")).alias("text"), F.first("glue").alias("glue"))
+    return asked.select("id", F.array_join(alternatives_within(F.replace("text", F.lit("|"), F.col("glue")), skills), "+").alias("tokens"))
+
+
 _TEXTS = "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Strong Communication Skills and a fast-paced team' WHEN 1 THEN 'A bachelor''s degree in any field of study' WHEN 2 THEN 'Fluency in English' ELSE 'Knows ' || p_name END AS text FROM part"
 
 

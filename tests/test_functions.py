@@ -1,13 +1,15 @@
 """Scalar functions, most of them by worked values."""
 
 import datetime as dt
+import random
+import re
 import urllib.parse
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.functions import dates, html, location, prompts, scores, text, urls
+from millrace.functions import dates, html, location, phrases, prompts, scores, text, urls
 
 
 def values(spark, function, inputs, kind="string"):
@@ -166,3 +168,17 @@ def test_ids_tokens_and_waits(spark):
     assert values(spark, lambda c: retry.retry_after_s(c, now), ["7", "Fri, 01 Mar 2024 10:00:30 GMT", "Fri, 01 Mar 2024 09:00:00 GMT", "x", None, "1.5", "-3"]) == [7, 30, 0, None, None, 1.5, 0]
     assert values(spark, retry.longest_wait, [0, 3, 30], "int") == [1.0, 8.0, 30.0]
     assert all(0 <= v <= 8 for v in values(spark, lambda c: retry.jittered_wait(c, F.lit(None).cast("long"), 1), [3, 3], "int"))
+
+
+def test_phrases_against_patterns(spark):
+    """The index finds what a pattern for each phrase finds."""
+    rnd = random.Random(3)
+    vocabulary = ["go", "c++", ".net", "node.js", "machine learning", "machine", "learning curve", "é", "ci/cd", "a b c", "#x", "x"]
+    bits = ["go", "c", "+", "++", ".", "net", "node", "js", " ", "  ", "machine", "learning", "curve", "É", "ci", "/", "cd", "a", "b", "#", "x", "_", "\n", "7"]
+    texts = ["".join(rnd.choice(bits) for _ in range(rnd.randint(0, 25))) for _ in range(400)] + ["", None]
+    got = values(spark, lambda c: F.transform(phrases.places(phrases.pieces(c), vocabulary), lambda p: F.concat_ws(":", p["place"].cast("string"), p["phrase"])), texts)
+    for text, found in zip(texts, got):
+        cut = re.findall(r"\w+|\W", (text or "").lower())
+        starts = {sum(map(len, cut[:i])): i for i in range(len(cut))}
+        want = {f"{starts[m.start()]}:{p}" for p in vocabulary for m in re.finditer(rf"(?<!\w)(?={re.escape(p)}(?!\w))", (text or "").lower())}
+        assert set(found) == want and len(found) == len(want), text

@@ -134,9 +134,13 @@ def skills():
 
 def test_vocabulary(spark):
     v = skills()
-    assert v.within("We use C++, AWS or Google Cloud, and Agile") == ["aws", "cpp", "gcp"]
-    assert v.alternatives("AWS or GCP") == ["aws", "gcp"] and v.alternatives("one of: AWS, GCP") == ["aws", "gcp"]
-    assert v.alternatives("both AWS or GCP") is None and v.alternatives("AWS and GCP") is None and v.alternatives("Python or AWS") is None
+    sentences = {
+        "We use C++, AWS or Google Cloud, and Agile": (["aws", "cpp", "gcp"], None), "AWS or GCP": (["aws", "gcp"], ["aws", "gcp"]), "one of: AWS, GCP": (["aws", "gcp"], ["aws", "gcp"]),
+        "both AWS or GCP": (["aws", "gcp"], None), "AWS and GCP": (["aws", "gcp"], None), "Python or AWS": (["aws", "python"], None), "or: AWS, GCP": (["aws", "gcp"], None),
+        "two or more of AWS/GCP": (["aws", "gcp"], None), "C++/Python": (["cpp", "python"], ["cpp", "python"]), "xC++ C++y AWSome google  cloud": ([], None), "": ([], None), None: ([], None), "AWS": (["aws"], None),
+    }
+    told = spark.createDataFrame([(x,) for x in sentences], "x string").select("x", vocabulary.tokens_within(F.col("x"), v), vocabulary.alternatives_within(F.col("x"), v)).collect()
+    assert {x: (found, either) for x, found, either in told} == sentences
     rows = spark.createDataFrame([("PYTHON!", None), ("unknown", "C++"), ("Google  Cloud", "go"), (None, None)], "text string, hint string")
     assert [r["token"] for r in vocabulary.resolved_with_hint(rows, v, "text", "hint").collect()] == ["python", "cpp", "gcp", None]
     for bad in ((vocabulary.Skill("a", "X"), vocabulary.Skill("b", "x")), (vocabulary.Skill("a", "A", members=("zz",)),), (vocabulary.Skill("a", "A"), vocabulary.Skill("a", "B"))):
