@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from millrace.functions.text import bounded_description, content_hash, lookup, title_key
 from millrace.operators.screen import SUPERSEDED
 from millrace.settings import DEFAULT, FIDELITY, SEEN_STATUSES, Settings
+from millrace.sources.keyed import KeyedTable
+from millrace.sources.lease import Lease
 
 KEY = ("source_id", "external_id")
 
@@ -97,6 +99,23 @@ def upserted(stored: DataFrame, plan: DataFrame, now: Column) -> DataFrame:
     return joined.select(*out)
 
 
+#: How the versions of a stored posting merge in a keyed table.
+MERGE_RULES = {"id": "first", "first_seen_at": "first"} | {c: "written" for c in UPDATED if c not in ("last_seen_at", "closed_at", "missed_runs")}
+
+
+def persisted(table: KeyedTable, fetched: DataFrame, now: Column, settings: Settings = DEFAULT, overrides: DataFrame | None = None, stream: str | None = None, batch: int | None = None, lease: Lease | None = None) -> DataFrame:
+    """Stores what was fetched, as deltas of the buckets it falls into; the number of rows by change.
+
+    Only those buckets are read for the comparison.  Unchanged rows are sightings: they
+    move when a posting was last seen, reopen it, and leave the rest as it is.
+    """
+    plan = classified(fetched, table.read_for(fetched), settings, overrides)
+    version = plan.withColumns({"first_seen_at": now, "last_seen_at": now, "missed_runs": F.lit(0), "closed_at": F.lit(None).cast("timestamp")})
+    counts = change_counts(plan)
+    table.upsert(version, F.col("change") != "unchanged", stream, batch, lease=lease)
+    return counts
+
+
 def advances(status: Column) -> Column:
     """Whether a source's run counts towards closing what it didn't show."""
     return status.isin(*SEEN_STATUSES)

@@ -13,7 +13,7 @@ from millrace.plans import diagnostics, funnel, reports, standins
 from millrace.plans.standins import run
 from millrace.session import shared_folder
 from millrace.settings import BOILERPLATE, DEFAULT, ROLE_MARKERS
-from millrace.streaming import events
+from millrace.streaming import closing, events
 
 # ---------------------------------------------------------------- screening
 
@@ -696,11 +696,25 @@ def stream_event_dedupe(spark, sf_dir):
     return events.drained(once, _stream_folder(spark), "append").select("application_id")
 
 
-@query("stream_close_rule", """SELECT CAST(user_id AS STRING) AS external_id, max(event_id) AS run, CAST(count(*) FILTER (event_id > coalesce(last_seen, -1)) AS INT) AS missed_runs, count(*) FILTER (event_id > coalesce(last_seen, -1)) >= 2 AS closed
-FROM (SELECT *, max(event_id) FILTER (event_type = 'view') OVER (PARTITION BY user_id) AS last_seen FROM events) GROUP BY user_id""")
+#: A run of each of eight sources every day; its postings are the users with events on that day.
+_SIGHTINGS = "SELECT DISTINCT user_id % 8 AS source_id, CAST(user_id AS STRING) AS external_id, CAST(ts AS DATE) AS day FROM events"
+_RUN_FAILED = "(source_id + (day - DATE '2024-01-01')) % 5 = 0"
+
+
+@query("stream_close_rule", with_(s=_SIGHTINGS, runs=f"SELECT source_id, day, row_number() OVER (PARTITION BY source_id ORDER BY day) AS n FROM (SELECT DISTINCT source_id, day FROM s) WHERE NOT {_RUN_FAILED}",
+    shown="SELECT source_id, external_id, n, lead(n) OVER (PARTITION BY source_id, external_id ORDER BY n) AS again FROM s JOIN runs USING (source_id, day)") + """SELECT source_id, external_id, CAST(day AS TIMESTAMP) AS run, m AS missed_runs, m = 2 AS closed FROM (SELECT *, unnest([0, 1, 2]) AS m FROM shown) x JOIN runs r USING (source_id) WHERE r.n = x.n + m AND (again IS NULL OR r.n < again)""")
 def stream_close_rule(spark, sf_dir):
-    rows = _event_stream(spark, sf_dir).select(F.col("application_id").cast("string").alias("external_id"), F.col("id").alias("run"), (F.col("status") == "submitted").alias("seen"))
-    return events.drained(events.close_stream(rows), _stream_folder(spark), "update").drop("batch")
+    """Four files of sightings and ends of runs, in order of time; failed runs show nothing and don't count."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("source_id"), F.col("user_id").cast("string").alias("external_id"), F.to_date("ts").alias("day"))
+    ends = e.select("source_id", F.lit(None).cast("string").alias("external_id"), "day").distinct()
+    failed = (F.col("source_id") + F.date_diff("day", F.lit("2024-01-01").cast("date"))) % 5 == 0
+    rows = e.distinct().filter(~failed).unionByName(ends).withColumn("status", F.when(F.col("external_id").isNull(), F.when(failed, "http_error").otherwise("ok"))).withColumn("run_at", F.col("day").cast("timestamp")).drop("day")
+    path = _stream_folder(spark)
+    week = F.least(F.floor(F.day("run_at") / 8), F.lit(3))
+    for k in range(4):
+        rows.filter(week == k).coalesce(1).write.parquet(f"{path}/in/{k}")
+    stream = events.file_stream(spark, f"{path}/in/*/*.parquet", rows.schema, 1)
+    return events.drained(closing.close_stream(stream, shards=2), f"{path}/close", "update").drop("batch")
 
 
 # the queries of sources, texts and the registry register themselves

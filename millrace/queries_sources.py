@@ -7,15 +7,18 @@ rows in a new folder below the shared one.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.catalog import query, table, with_
 from millrace.functions import html
+from millrace.operators import ingest
 from millrace.plans.standins import run
 from millrace.session import shared_folder
-from millrace.sources import boards, mail
+from millrace.settings import DEFAULT
+from millrace.sources import boards, keyed, mail
 from millrace.streaming import events
 
 #: Jobs of boards of two hundred: where, what and how by the remainders of the id.
@@ -237,17 +240,29 @@ def stream_late_rows(spark, sf_dir):
 
 @query("stream_upsert", "SELECT user_id AS id, max(event_id) AS last FROM events GROUP BY 1")
 def stream_upsert(spark, sf_dir):
-    """Batches upserted into a versioned table, the newest row of each key."""
-    from millrace.sources import sinks
-
+    """Batches upserted into a keyed table, the newest row of each key; buckets with many deltas are merged on the way."""
     path = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("last"))
     e.repartition(3).write.parquet(f"{path}/in")
-    sinks.swapped(e.limit(0), f"{path}/table")
-
-    def upsert(batch: DataFrame, number: int) -> None:
-        both = sinks.current(spark, f"{path}/table").unionByName(batch)
-        sinks.swapped(both.groupBy("id").agg(F.max("last").alias("last")), f"{path}/table")
-
-    events.upsert_stream(events.file_stream(spark, f"{path}/in/*.parquet", e.schema, 1), upsert, f"{path}/checkpoint").awaitTermination()
-    return sinks.current(spark, f"{path}/table")
+    stored = keyed.KeyedTable.create(spark, f"{path}/table", e.groupBy("id").agg(F.max("last").alias("last")).schema, ["id"], buckets=8)
+    # the newest event is the one with the largest id, in whatever batch it came
+    newest = lambda rows: rows.unionByName(stored.read_for(rows)).groupBy("id").agg(F.max("last").alias("last"))
+    apply = keyed.upsert_batches(stored, "events", compact_at=1)
+    events.upsert_stream(events.file_stream(spark, f"{path}/in/*.parquet", e.schema, 1), lambda rows, batch: apply(newest(rows), batch), f"{path}/checkpoint").awaitTermination()
+    return stored.read()
+
+
+@query("persisted_postings", """SELECT doc_id AS external_id, 1 AS first_day, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END AS last_day, md5(regexp_replace(coalesce(text, ''), '\r', '', 'g') || CASE WHEN doc_id % 3 <> 0 AND doc_id % 5 = 0 THEN ' more' ELSE '' END) AS digest, true AS own_id FROM documents""")
+def persisted_postings(spark, sf_dir):
+    """Two fetches of a board stored one after the other: the second shows two thirds of the postings, some with another text."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.substring("source", 4, 9).cast("long").alias("source_id"), F.col("doc_id").cast("string").alias("external_id"), F.lit(1).cast("long").alias("company_id"), F.col("lang").alias("title"), F.regexp_replace(F.coalesce("text", F.lit("")), "\r", "").alias("description_text"), F.lit(0).alias("ordinal"), "doc_id")
+    again = rows.filter("doc_id % 3 <> 0").withColumn("description_text", F.when(F.col("doc_id") % 5 == 0, F.concat("description_text", F.lit(" more"))).otherwise(F.col("description_text")))
+    schema = rows.drop("ordinal", "doc_id").schema
+    for name, kind in (("id", "string"), ("content_hash", "string"), ("first_seen_at", "timestamp"), ("last_seen_at", "timestamp"), ("closed_at", "timestamp"), ("missed_runs", "integer")):
+        schema = schema.add(name, kind)
+    stored = keyed.KeyedTable.create(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", schema, ingest.KEY, {k: v for k, v in ingest.MERGE_RULES.items() if k in schema.fieldNames()}, 8)
+    for day, fetched in ((1, rows), (2, again)):
+        ingest.persisted(stored, fetched, F.lit(f"2024-03-0{day} 00:00:00").cast("timestamp"), replace(DEFAULT, max_description_chars=100_000_000))
+    out = stored.read()
+    return out.select(F.col("external_id").cast("long").alias("external_id"), F.day("first_seen_at").alias("first_day"), F.day("last_seen_at").alias("last_day"), F.md5(F.col("description_text").cast("binary")).alias("digest"), (F.col("id") == ingest.posting_id(F.col("source_id"), F.col("external_id"))).alias("own_id"))

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import contextlib
-import time
 import uuid
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,25 +56,18 @@ def current(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{version}")
 
 
-@contextlib.contextmanager
-def run_lock(spark: SparkSession, path: str, stale_s: int = 3600):
-    """Holds a file that only one run can create; a holder that has been gone for ``stale_s`` is replaced."""
-    fs, place = _fs(spark, path)
-    if fs.exists(place) and time.time() - fs.getFileStatus(place).getModificationTime() / 1000 > stale_s:
-        fs.delete(place, False)
-    try:
-        fs.create(place, False).close()
-    except Py4JJavaError as error:
-        raise RuntimeError(f"another run holds {path}") from error
-    try:
-        yield
-    finally:
-        fs.delete(place, False)
-
-
 def replace_partitions(df: DataFrame, path: str, partition: str) -> None:
-    """Replaces the partitions (score versions, for example) that ``df`` has rows of."""
-    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+    """A versioned table with the partitions (score versions, for example) that ``df`` has rows of replaced.
+
+    The new version is complete before one rename makes it the present one; the driver
+    gets the values of the partitions.
+    """
+    spark = df.sparkSession
+    if _pointer(spark, path) is None:
+        return swapped(df, path, (partition,))
+    values = [row[0] for row in df.select(partition).distinct().collect()]
+    kept = current(spark, path).filter(~F.coalesce(F.col(partition).isin(values), F.lit(None in values)))
+    swapped(kept.select(*df.columns).unionByName(df), path, (partition,))
 
 
 def append(df: DataFrame, path: str) -> None:

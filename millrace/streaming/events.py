@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -37,35 +36,6 @@ def status_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("application_id").agg(F.coalesce(ended, far).alias("status"))
 
 
-CLOSE_OUTPUT = "external_id string, run long, missed_runs int, closed boolean"
-CLOSE_STATE = "missed_runs int, last_run long, closed boolean"
-
-
-def close_rule(threshold: int = 2) -> Callable:
-    """State function over (external_id, run, seen): counts runs that didn't show a posting.
-
-    Each counted run of a source sends one row per known posting, seen or not, as
-    absence alone never reaches a keyed state.
-    """
-
-    def step(key, batches, state):
-        missed, last, closed = state.get if state.exists else (0, -1, False)
-        for run, seen in sorted((int(r), bool(s)) for pdf in batches for r, s in zip(pdf["run"], pdf["seen"])):
-            if run <= last:
-                continue
-            missed = 0 if seen else missed + 1
-            last, closed = run, missed >= threshold
-        state.update((missed, last, closed))
-        yield pd.DataFrame({"external_id": [key[0]], "run": [last], "missed_runs": [missed], "closed": [closed]})
-
-    return step
-
-
-def close_stream(seen: DataFrame, threshold: int = 2) -> DataFrame:
-    """external_id, run, missed_runs, closed after each batch; failed runs send no rows."""
-    return seen.groupBy("external_id").applyInPandasWithState(close_rule(threshold), CLOSE_OUTPUT, CLOSE_STATE, "update", "NoTimeout")
-
-
 def upsert_stream(stream: DataFrame, upsert: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Applies each batch to a table; ``availableNow`` drains what has landed and stops."""
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

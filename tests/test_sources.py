@@ -3,12 +3,13 @@
 import base64
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.sources import boards, mail, plugin, seeds, sinks
-from millrace.streaming import events
+from millrace.streaming import closing, events
 
 TEXT = "&lt;p&gt;We build tools.&lt;/p&gt;&lt;ul&gt;&lt;li&gt;Python&lt;/li&gt;&lt;/ul&gt;"
 
@@ -154,17 +155,6 @@ def test_sinks(spark, tmp_path):
     assert sinks.as_table(scores).splitlines()[0] == "prompt_version  s"
 
 
-def test_run_lock(spark, tmp_path):
-    path = f"{tmp_path}/lock"
-    with sinks.run_lock(spark, path):
-        with pytest.raises(RuntimeError), sinks.run_lock(spark, path):
-            pass
-        with sinks.run_lock(spark, path, stale_s=-1):  # its holder counts as gone
-            pass
-    with sinks.run_lock(spark, path):
-        pass
-
-
 def test_streams_equal_batches(spark, tmp_path):
     rows = [(i, f"k{i % 4}", ["submitted", "acknowledged", "offer", "rejected"][i % 4 if i % 5 else 0], dt.datetime(2024, 1, 1) + dt.timedelta(hours=i)) for i in range(40)]
     frame = spark.createDataFrame(rows, "id long, application_id string, status string, occurred_at timestamp")
@@ -179,12 +169,28 @@ def test_streams_equal_batches(spark, tmp_path):
 
 
 def test_streamed_close_rule(spark, tmp_path):
-    for run, seen in enumerate([{"a": True, "b": True}, {"a": True, "b": False}, {"a": False, "b": False}]):
-        spark.createDataFrame([(k, run, s) for k, s in seen.items()], "external_id string, run long, seen boolean").coalesce(1).write.parquet(f"{tmp_path}/in/r{run}")
-    stream = events.file_stream(spark, f"{tmp_path}/in/*/*.parquet", "external_id string, run long, seen boolean", 1)
-    got = events.drained(events.close_stream(stream), f"{tmp_path}/c", "update").collect()
-    assert {(r["external_id"], r["run"]): (r["missed_runs"], r["closed"]) for r in got}[("b", 2)] == (2, True)
-    assert max((r["run"], r["missed_runs"]) for r in got if r["external_id"] == "a") == (2, 1)
+    """Against a loop over the runs: failed runs freeze, closed postings leave and may come again."""
+    rnd, day = random.Random(4), dt.datetime(2024, 1, 1)
+    runs = [{source: (rnd.choice(["ok", "empty", "http_error", "ok"]), sorted(rnd.sample("abcdefgh", rnd.randint(0, 6)))) for source in (1, 2)} for _ in range(9)]
+    want, missed = set(), {1: {}, 2: {}}
+    for n, run in enumerate(runs):
+        at = day + dt.timedelta(days=n)
+        rows = []
+        for source, (status, seen) in run.items():
+            if status != "http_error":
+                rows += [(source, x, at, None) for x in seen]
+                for x in set(missed[source]) | set(seen):
+                    before = missed[source].get(x, 0)
+                    after = 0 if x in seen else before + 1
+                    want.add((source, x, at, after, after >= 2))
+                    missed[source][x] = after
+                    if after >= 2:
+                        del missed[source][x]
+            rows.append((source, None, at, status))
+        spark.createDataFrame(rows, "source_id long, external_id string, run_at timestamp, status string").coalesce(1).write.parquet(f"{tmp_path}/in/r{n}")
+    stream = events.file_stream(spark, f"{tmp_path}/in/*/*.parquet", "source_id long, external_id string, run_at timestamp, status string", 2)
+    got = events.drained(closing.close_stream(stream, shards=3), f"{tmp_path}/c", "update").drop("batch").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_upsert_stream(spark, tmp_path):
