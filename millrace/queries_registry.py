@@ -638,7 +638,7 @@ def scores_replaced(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("version"), F.lit(1).alias("score"))
     sinks.replace_partitions(rows, path, "version")
     sinks.replace_partitions(rows.filter("version = 'O' and id % 2 = 0").withColumn("score", F.lit(2)), path, "version")
-    return spark.read.parquet(path).groupBy("version").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
+    return sinks.current(spark, path).groupBy("version").agg(F.count("*").alias("n"), F.sum("score").alias("total"))
 
 
 @query("table_swapped", "SELECT c_mktsegment AS segment, count(*) AS n FROM customer WHERE c_custkey % 3 <> 0 GROUP BY 1")

@@ -18,7 +18,7 @@ from millrace.operators import ingest
 from millrace.plans.standins import run
 from millrace.session import shared_folder
 from millrace.settings import DEFAULT
-from millrace.sources import boards, keyed, mail
+from millrace.sources import boards, keyed, mail, plugin
 from millrace.streaming import events
 
 #: Jobs of boards of two hundred: where, what and how by the remainders of the id.
@@ -216,6 +216,49 @@ def alert_misses(spark, sf_dir):
     return mail.parse_misses(mail.messages(_mails(spark, sf_dir), senders, F.lit("2024-01-01").cast("timestamp"))).select("message_id")
 
 
+def _mail_folder(spark, sf_dir, parts: int = 1) -> str:
+    """Messages as a mailbox lands them: a folder for each sender and day, a file for each of ``parts``."""
+    path = f"{shared_folder(spark)}/mailbox-{uuid.uuid4().hex}"
+    rows = _mails(spark, sf_dir).filter("get_json_object(value, '$.id') like '%-0'")
+    sender = F.lower(F.regexp_extract("value", "<(Alerts@[a-z.]+)>", 1))
+    day = F.to_date(F.timestamp_millis(F.get_json_object("value", "$.internalDate").cast("long")))
+    rows = rows.select("value", sender.alias("sender"), day.alias("day"), F.pmod(F.hash("value"), F.lit(parts)).alias("_part"))
+    for k in range(parts):
+        rows.filter(F.col("_part") == k).drop("_part").repartition("sender", "day").write.mode("append").partitionBy("sender", "day").text(path)
+    return path
+
+
+_SENDER = "'alerts@' || CASE sender WHEN 0 THEN 'linkedin' WHEN 1 THEN 'indeed' WHEN 2 THEN 'naukri' ELSE 'spam' END || '.com'"
+
+
+@query("mail_source", with_(m=MAILS) + f"SELECT {_SENDER} AS sender, 'from:(alerts@indeed.com OR alerts@naukri.com) after:1709290200' AS asked, count(*) AS n, CAST(sum(came) AS BIGINT) AS received FROM m WHERE sender IN (1, 2) AND came >= 1709290200 GROUP BY 1")
+def mail_source(spark, sf_dir):
+    """A filter on sender and time reaches the reader: it chooses folders and tells what a mailbox would be asked."""
+    found = plugin.registered(spark).read.format("millrace_mail").load(_mail_folder(spark, sf_dir))
+    wanted = found.filter(F.col("sender").isin("alerts@indeed.com", "alerts@naukri.com") & (F.col("received_at") >= F.timestamp_seconds(F.lit(1709290200))))
+    return wanted.groupBy("sender", "asked").agg(F.count("*").alias("n"), F.sum(F.unix_seconds("received_at")).alias("received"))
+
+
+@query("mail_source_stream", with_(m=MAILS) + f"SELECT 'm' || id || '-0' AS message_id, {_SENDER} AS sender FROM m WHERE sender IN (0, 1) AND came >= 1709290200")
+def mail_source_stream(spark, sf_dir):
+    """The same source as a stream: every file once, by offsets over what has landed."""
+    path = _mail_folder(spark, sf_dir, 2)
+    stream = plugin.registered(spark).readStream.format("millrace_mail").options(since="2024-03-01T10:50:00+00:00", senders="alerts@linkedin.com, alerts@indeed.com").load(path)
+    return events.drained(stream.select("message_id", "sender"), f"{path}-out", "append")
+
+
+@query("board_source", "SELECT CAST(substr(source, 4) AS BIGINT) AS source_id, count(*) AS n FROM documents WHERE CAST(substr(source, 4) AS INT) IN (1, 3) GROUP BY 1")
+def board_source(spark, sf_dir):
+    """Landed pages of boards, read for two sources only."""
+    path = f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.substring("source", 4, 9).cast("long").alias("source_id"), F.lit("greenhouse").alias("adapter"), F.struct("doc_id", "text").alias("job"), F.floor(F.col("doc_id") / 50).alias("number"))
+    pages = d.groupBy("source_id", "adapter", "number").agg(F.collect_list("job").alias("jobs"))
+    value = F.to_json(F.struct(F.lit(1709287200000).alias("fetched_ms"), F.struct("jobs").alias("page")))
+    pages.select("source_id", "adapter", value.alias("value")).repartition("source_id").write.partitionBy("source_id", "adapter").text(path)
+    found = plugin.registered(spark).read.format("millrace_board").schema("source_id long, value string").load(path).filter(F.col("source_id").isin(1, 3))
+    return found.select("source_id", F.explode(F.from_json("value", "jobs array<struct<doc_id:bigint>>")["jobs"])).groupBy("source_id").agg(F.count("*").alias("n"))
+
+
 # ---------------------------------------------------------------- streams
 
 

@@ -64,14 +64,59 @@ def test_ashby(spark, tmp_path):
     assert [tuple(r) for r in boards.skipped(spark, str(tmp_path), "ashby").collect()] == [("unlisted", 1)]
 
 
-def test_adapters_and_data_source(spark, tmp_path):
+def test_adapters():
     assert boards.reader_of("lever") is boards.lever
     with pytest.raises(ValueError):
         boards.reader_of("nope")
-    landed(tmp_path, {"jobs": [{"id": 5, "title": "t"}]})
-    spark.dataSource.register(plugin.BoardSource)
-    rows = spark.read.format("millrace_board").option("adapter", "greenhouse").option("path", str(tmp_path)).load().collect()
-    assert [(r["external_id"], json.loads(r["item"])["title"]) for r in rows] == [("5", "t")]
+
+
+def mailbox(path, mails):
+    """Lands (sender, day, id, millis) as files of their folders."""
+    for sender, day, id, millis in mails:
+        folder = path / f"sender={sender}" / f"day={day}"
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / f"{id}.json").write_text(json.dumps({"id": id, "internalDate": str(millis)}) + "\n")
+
+
+def test_sources_take_predicates_over(spark, tmp_path):
+    day = 1709251200000  # 2024-03-01
+    mailbox(tmp_path, [(s, f"2024-03-0{d + 1}", f"{s}{d}", day + d * 86_400_000 + 3_600_000) for s in "abc" for d in range(4)])
+    (tmp_path / "sender=a" / "day=2024-03-04" / "_half").write_text("{")  # still being written
+    mails = plugin.registered(spark).read.format("millrace_mail").load(str(tmp_path))
+    assert mails.count() == 12 and mails.rdd.getNumPartitions() == 12
+    since = dt.datetime(2024, 3, 2, 1, 0, 0)
+    wanted = mails.filter(F.col("sender").isin("a", "b") & (F.col("received_at") >= F.lit(since)))
+    assert wanted.rdd.getNumPartitions() == 6  # folders of other senders and earlier days were not opened
+    assert {r["message_id"] for r in wanted.collect()} == {"a1", "a2", "a3", "b1", "b2", "b3"}
+    assert wanted.first()["asked"] == f"from:(a OR b) after:{(day + 86_400_000 + 3_600_000) // 1000}"
+    assert "Filter" not in wanted._jdf.queryExecution().executedPlan().toString().split("BatchScan")[0]  # nothing is left to do above the scan
+    later = mails.filter((F.col("sender") == "c") & (F.col("received_at") > F.lit(since)) & (F.col("message_id") != "c3"))
+    assert {r["message_id"] for r in later.collect()} == {"c2"}
+    narrow = plugin.registered(spark).read.format("millrace_mail").schema("message_id string").load(str(tmp_path))
+    assert narrow.columns == ["message_id"] and narrow.count() == 12
+    assert plugin.registered(spark).read.format("millrace_mail").load(f"{tmp_path}/none").count() == 0
+
+
+def test_source_streams_go_on_where_they_stopped(spark, tmp_path):
+    box = tmp_path / "box"
+    mailbox(box, [("a", "2024-03-01", "one", 1709251200000), ("b", "2024-03-01", "two", 1709251200000)])
+
+    def run():
+        stream = plugin.registered(spark).readStream.format("millrace_mail").options(senders="a").load(str(box)).select("message_id")
+        return [r["message_id"] for r in events.drained(stream, f"{tmp_path}/c", "append").collect()]
+
+    assert run() == ["one"]
+    mailbox(box, [("a", "2024-03-02", "three", 1709337600000), ("b", "2024-03-02", "four", 1709337600000)])
+    assert sorted(run()) == ["one", "three"] and sorted(run()) == ["one", "three"]
+
+
+def test_landed_boards_by_source(spark, tmp_path):
+    for source in (5, 6):
+        folder = tmp_path / f"source_id={source}" / "adapter=lever"
+        folder.mkdir(parents=True)
+        (folder / "1.json").write_text(json.dumps({"fetched_ms": 1709251200000, "page": [{"id": source}]}))
+    rows = plugin.registered(spark).read.format("millrace_board").load(str(tmp_path)).filter("source_id = 6 and adapter = 'lever'")
+    assert [(r["source_id"], r["adapter"], json.loads(r["value"]), r["asked"]) for r in rows.collect()] == [(6, "lever", [{"id": 6}], "")] and rows.rdd.getNumPartitions() == 1
 
 
 CARD = """<html><style>x</style><table><tr><td><a href="https://www.linkedin.com/help">Help</a><a href="https://www.linkedin.com/jobs/view/1"></a></td></tr></table>
@@ -150,7 +195,7 @@ def test_sinks(spark, tmp_path):
     scores = spark.createDataFrame([("v1", 1), ("v2", 2)], "prompt_version string, s int")
     sinks.replace_partitions(scores, f"{tmp_path}/s", "prompt_version")
     sinks.replace_partitions(scores.filter("s = 2").withColumn("s", F.lit(9)), f"{tmp_path}/s", "prompt_version")
-    assert sorted(r["s"] for r in spark.read.parquet(f"{tmp_path}/s").collect()) == [1, 9]
+    assert sorted(r["s"] for r in sinks.current(spark, f"{tmp_path}/s").collect()) == [1, 9]
     assert sinks.as_json(scores).orderBy("value").first()[0] == '{"prompt_version":"v1","s":1}'
     assert sinks.as_table(scores).splitlines()[0] == "prompt_version  s"
 
