@@ -18,7 +18,7 @@ from millrace.operators import ingest
 from millrace.plans.standins import run
 from millrace.session import shared_folder
 from millrace.settings import DEFAULT
-from millrace.sources import boards, keyed, mail, plugin
+from millrace.sources import boards, contracts, files, keyed, landing, mail, plugin
 from millrace.streaming import events
 
 #: Jobs of boards of two hundred: where, what and how by the remainders of the id.
@@ -125,6 +125,62 @@ def boards_by_adapter(spark, sf_dir):
     return counts[0].unionByName(counts[1])
 
 
+# ---------------------------------------------------------------- landed runs, row contracts
+
+
+def _runs(spark, sf_dir) -> str:
+    """Every source lands one run of lever pages with the texts of its documents; four of them go wrong in a way of their own."""
+    path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
+    d = table(spark, sf_dir, "documents").select(F.substring("source", 4, 9).cast("long").alias("source_id"), F.lit("r1").alias("run"), F.floor(F.col("doc_id") / 300).alias("page"), F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("text"), F.lit("https://l.example.com/x").alias("hostedUrl"), F.col("text").alias("descriptionPlain")).alias("post"))
+    pages = d.groupBy("source_id", "run", "page").agg(F.to_json(F.collect_list("post")).alias("value"))
+    cut = F.when((F.col("source_id") == 2) & (F.col("page") == 0), F.left("value", F.length("value") - 3)).otherwise(F.col("value"))
+    pages.withColumn("value", cut).repartition("source_id", "page").write.partitionBy("source_id", "run", "page").text(path)
+    # what a downloader writes last; one short text a source
+    folder = files.Folder(spark, path)
+    listed = F.collect_list(F.struct("name", "bytes"))
+    for row in landing.files(spark, path).groupBy("source_id").agg(F.to_json(F.struct(F.lit("lever").alias("adapter"), F.when(F.col("source_id") == 9, "http_error").otherwise("ok").alias("status"), F.when(F.col("source_id") == 5, F.concat(listed, F.array(F.struct(F.lit("gone.json").alias("name"), F.lit(1).cast("long").alias("bytes"))))).otherwise(listed).alias("files"))).alias("manifest")).collect():
+        if row["source_id"] != 7:
+            folder.create(f"source_id={row['source_id']}/run=r1/{landing.MANIFEST}", row["manifest"])
+    return path
+
+
+_SOURCE = "CAST(substr(source, 4) AS BIGINT)"
+
+
+@query("landed_runs", f"SELECT DISTINCT {_SOURCE} AS source_id, CASE {_SOURCE} WHEN 2 THEN 'schema_error' WHEN 5 THEN 'incomplete' WHEN 7 THEN 'incomplete' WHEN 9 THEN 'http_error' ELSE 'ok' END AS status, CASE {_SOURCE} WHEN 2 THEN 'doesn''t parse' WHEN 5 THEN 'gone.json absent' WHEN 7 THEN 'no manifest' END AS detail FROM documents")
+def landed_runs(spark, sf_dir):
+    ended = landing.postings(spark, _runs(spark, sf_dir))[1]
+    return ended.select("source_id", "status", F.regexp_replace("detail", "^page=.* (?=doesn't)", "").alias("detail"))
+
+
+@query("landed_postings", f"SELECT {_SOURCE} AS source_id, CAST(doc_id AS STRING) AS external_id, lang AS title, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM documents WHERE {_SOURCE} NOT IN (2, 5, 7, 9) AND regexp_matches(text, '\\S')".replace("\\\\", "\\"))
+def landed_postings(spark, sf_dir):
+    """Whole texts through the scan of all sources; those that went wrong have no rows, the others all of theirs."""
+    rows = landing.postings(spark, _runs(spark, sf_dir), replace(DEFAULT, max_description_chars=100_000_000))[0]
+    return rows.select("source_id", "external_id", "title", F.md5(F.col("description_text").cast("binary")).alias("text"))
+
+
+_GIVEN = """SELECT doc_id AS n, CASE WHEN doc_id % 7 <> 1 THEN CAST(doc_id AS STRING) ELSE CASE WHEN doc_id % 2 = 0 THEN '' END END AS external_id, CASE WHEN doc_id % 5 = 2 THEN source ELSE 'https://jobs.example.com/' || source END AS url,
+  CASE WHEN doc_id % 11 = 3 THEN repeat(lang, 300) ELSE lang END AS title, text AS description_text, CASE doc_id % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'Germany' END AS location_country,
+  CASE doc_id % 6 WHEN 0 THEN 'full_time' WHEN 1 THEN 'gig' END AS employment_type, CASE doc_id % 9 WHEN 0 THEN TIMESTAMP '1969-12-31 00:00:00' WHEN 1 THEN TIMESTAMP '2024-05-01 00:00:00' END AS posted_at, CASE WHEN doc_id % 13 = 0 THEN 'x' END AS salary FROM documents"""
+_WRONG = """list_filter([CASE WHEN salary IS NOT NULL THEN 'salary: not in the contract' END, CASE WHEN external_id IS NULL THEN 'external_id: missing' WHEN external_id = '' THEN 'external_id: too short' END, CASE WHEN n % 5 = 2 THEN 'url: malformed' END, CASE WHEN length(title) > 512 THEN 'title: too long' END,
+CASE WHEN description_text IS NULL THEN 'description_text: missing' WHEN description_text = '' THEN 'description_text: too short' END, CASE WHEN n % 4 = 1 THEN 'location_country: malformed' END, CASE WHEN n % 6 = 1 THEN 'employment_type: unknown value' END, CASE WHEN n % 9 = 0 THEN 'posted_at: out of time' END], lambda x: x IS NOT NULL)"""
+
+
+@query("contract_violations", with_(g=_GIVEN) + f"SELECT n, array_to_string(w, '; ') AS wrong FROM (SELECT n, {_WRONG} AS w FROM g) WHERE len(w) > 0")
+def contract_violations(spark, sf_dir):
+    """What was wrong with the rows that go to quarantine."""
+    checked = contracts.POSTING.checked(run(spark, sf_dir, _GIVEN), ("n",))
+    return contracts.POSTING.quarantined(checked, ("n",)).select("n", F.array_join("violations", "; ").alias("wrong"))
+
+
+@query("contract_rows", with_(g=_GIVEN) + f"SELECT n, external_id, url, md5(description_text) AS text, upper(location_country) AS location_country, coalesce(employment_type, 'unknown') AS employment_type, 'unknown' AS seniority, false AS is_remote FROM g WHERE len({_WRONG}) = 0")
+def contract_rows(spark, sf_dir):
+    """The rows that go on, as the contract normalises them."""
+    rows = contracts.POSTING.good(contracts.POSTING.checked(run(spark, sf_dir, _GIVEN), ("n",)), ("n",))
+    return rows.select("n", "external_id", "url", F.md5(F.col("description_text").cast("binary")).alias("text"), "location_country", "employment_type", F.col("seniority_guess").alias("seniority"), "is_remote")
+
+
 # ---------------------------------------------------------------- alert mails
 
 #: A mail per customer: its platform, the job's key, what the card says, and when it came.

@@ -7,6 +7,7 @@ complete; these scans read that folder.  A file that doesn't parse fails the sca
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -35,6 +36,7 @@ LEVER = (
     "categories struct<commitment:string,department:string,team:string,location:string,allLocations:array<string>>,"
     "description string, descriptionPlain string, lists array<struct<text:string,content:string>>, additional string, additionalPlain string"
 )
+LEVER_ITEM = ",".join(re.sub(r"^(\w+) ", r"\1:", field.strip()) for field in re.split(r",(?![^<]*>)", LEVER))
 ASHBY = (
     "apiVersion string, jobs array<struct<id:string,title:string,jobUrl:string,applyUrl:string,department:string,team:string,employmentType:string,location:string,"
     "secondaryLocations:array<struct<location:string,address:variant>>,publishedAt:string,isListed:boolean,isRemote:boolean,descriptionHtml:string,descriptionPlain:string,compensation:variant>>"
@@ -54,16 +56,16 @@ def _some(value: Column) -> Column:
     return F.nullif(value, F.lit(""))
 
 
-def _posting(rows: DataFrame, settings: Settings, gazetteer: Gazetteer | None, **columns: Column) -> DataFrame:
+def _posting(rows: DataFrame, settings: Settings, gazetteer: Gazetteer | None, carried: tuple[str, ...], **columns: Column) -> DataFrame:
     """The shared tail: bounded text, parsed place, rows without text dropped."""
-    named = rows.select(*(value.alias(name) for name, value in columns.items()))
+    named = rows.select(*carried, *(value.alias(name) for name, value in columns.items()))
     named = named.filter("description_text <> ''")
     text, cut = bounded_description(F.col("description_text"), settings.max_description_chars)
     named = named.withColumn("_cut", cut).withColumn("description_text", text).withColumn("_place", parser(gazetteer)(F.col("location_raw")))
     named = named.withColumn("location_city", F.col("_place.city")).withColumn("location_country", F.col("_place.country"))
     named = named.withColumn("is_remote", F.col("_remote") | F.col("_place.is_remote")).withColumn("seniority_guess", seniority(F.col("title")))
     flagged = F.when(F.col("_cut"), F.regexp_replace("raw", r"\}$", ',"description_truncated":true}')).otherwise(F.col("raw"))
-    return named.withColumn("raw", flagged).select(*POSTING_COLUMNS)
+    return named.withColumn("raw", flagged).select(*POSTING_COLUMNS, *carried)
 
 
 def deepest_department(departments: Column) -> Column:
@@ -85,12 +87,20 @@ def employment_metadata(metadata: Column) -> Column:
 
 def greenhouse(spark: SparkSession, path: str, source_id: int, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None) -> DataFrame:
     """Postings of landed Greenhouse board responses."""
-    jobs = spark.read.schema(GREENHOUSE).option("mode", "FAILFAST").option("multiLine", True).json(path).select(F.explode("jobs").alias("j"))
+    return greenhouse_rows(_board(spark, path, GREENHOUSE, source_id), settings, gazetteer)
+
+
+def _board(spark: SparkSession, path: str, schema: str, source_id: int) -> DataFrame:
+    return spark.read.schema(schema).option("mode", "FAILFAST").option("multiLine", True).json(path).select(F.lit(source_id).alias("source_id"), F.explode("jobs").alias("j"))
+
+
+def greenhouse_rows(jobs: DataFrame, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of (source_id, j) rows."""
     j = F.col("j")
     offices = _array(j["offices"], "array<struct<id:bigint,name:string,parent_id:bigint,location:string>>")
     return _posting(
-        jobs, settings, gazetteer,
-        source_id=F.lit(source_id), external_id=j["id"].cast("string"), url=j["absolute_url"], title=j["title"],
+        jobs, settings, gazetteer, carried,
+        source_id=F.col("source_id"), external_id=j["id"].cast("string"), url=j["absolute_url"], title=j["title"],
         description_html=unescaped(_some(j["content"])), description_text=html_to_text(j["content"]),
         department=deepest_department(j["departments"]), location_raw=j["location"]["name"],
         _remote=F.exists(offices, lambda o: F.coalesce(F.contains(F.lower(o["name"]), F.lit("remote")), F.lit(False))),
@@ -122,14 +132,20 @@ def lever_text(rows: DataFrame) -> DataFrame:
 
 
 def lever(spark: SparkSession, path: str, source_id: int, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None) -> DataFrame:
-    """Postings of landed Lever pages; a posting that several pages repeat counts once."""
-    rows = spark.read.schema(LEVER).option("mode", "FAILFAST").option("multiLine", True).json(path).dropDuplicates(["id"])
-    rows = lever_text(rows).withColumn("_html", lever_html(F.struct("lists", "description", "additional")))
+    """Postings of landed Lever pages; a posting that several pages repeat counts once, as the first page has it."""
+    pages = spark.read.schema(LEVER).option("mode", "FAILFAST").option("multiLine", True).json(path)
+    return lever_rows(pages.select(F.lit(source_id).alias("source_id"), F.col("_metadata.file_name").alias("name"), F.lit(0).alias("at"), F.struct(*pages.columns).alias("j")), settings, gazetteer)
+
+
+def lever_rows(items: DataFrame, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Postings of (source_id, name of the page, at, j) rows."""
+    first = items.groupBy("source_id", *carried, F.col("j.id").alias("_id")).agg(F.min_by("j", F.struct("name", "at", F.to_json("j").alias("j"))).alias("j"))
+    rows = lever_text(first.select("source_id", *carried, "j.*")).withColumn("_html", lever_html(F.struct("lists", "description", "additional")))
     c = F.col("categories")
     everywhere = _array(c["allLocations"], "array<string>")
     return _posting(
-        rows, settings, gazetteer,
-        source_id=F.lit(source_id), external_id=F.col("id"), url=F.col("hostedUrl"), title=F.col("text"), description_html=F.col("_html"), description_text=F.col("description_text"),
+        rows, settings, gazetteer, carried,
+        source_id=F.col("source_id"), external_id=F.col("id"), url=F.col("hostedUrl"), title=F.col("text"), description_html=F.col("_html"), description_text=F.col("description_text"),
         department=F.coalesce(_some(c["team"]), c["department"]), location_raw=F.coalesce(_some(c["location"]), _first(everywhere)),
         _remote=F.lower(F.trim(F.coalesce("workplaceType", F.lit("")))) == "remote",
         employment_type=employment_type(c["commitment"]), posted_at=epoch_millis(F.col("createdAt")),
@@ -139,13 +155,17 @@ def lever(spark: SparkSession, path: str, source_id: int, settings: Settings = D
 
 def ashby(spark: SparkSession, path: str, source_id: int, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None) -> DataFrame:
     """Listed postings of landed Ashby boards."""
-    jobs = spark.read.schema(ASHBY).option("mode", "FAILFAST").option("multiLine", True).json(path).select(F.explode("jobs").alias("j"))
+    return ashby_rows(_board(spark, path, ASHBY, source_id), settings, gazetteer)
+
+
+def ashby_rows(jobs: DataFrame, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
+    """Listed postings of (source_id, j) rows."""
     j = F.col("j")
     jobs = jobs.filter(F.coalesce(j["isListed"], F.lit(True)))
     others = _array(j["secondaryLocations"], "array<struct<location:string,address:variant>>")
     return _posting(
-        jobs, settings, gazetteer,
-        source_id=F.lit(source_id), external_id=j["id"], url=j["jobUrl"], title=j["title"], description_html=j["descriptionHtml"],
+        jobs, settings, gazetteer, carried,
+        source_id=F.col("source_id"), external_id=j["id"], url=j["jobUrl"], title=j["title"], description_html=j["descriptionHtml"],
         description_text=html_to_text(F.coalesce(_some(j["descriptionPlain"]), j["descriptionHtml"])),
         department=F.coalesce(_some(j["team"]), j["department"]), location_raw=j["location"],
         _remote=F.coalesce(j["isRemote"], F.lit(False)) | F.exists(others, lambda o: remote(o["location"])),

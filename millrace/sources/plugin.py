@@ -103,7 +103,9 @@ class Landing:
         """The columns of one line, None where it isn't wanted."""
         raise NotImplementedError
 
-    def read(self, partition: LandedFile) -> Iterator[tuple]:
+    def read(self, partition: LandedFile | None) -> Iterator[tuple]:
+        if partition is None:  # there was no file at all
+            return
         for item in lines(partition.path, self.root):
             if (found := self.row(item, partition.parts, partition.wanted)) is not None:
                 yield tuple(found[name]() if callable(found[name]) else found[name] for name in self.names)

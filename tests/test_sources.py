@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.sources import boards, mail, plugin, seeds, sinks
+from millrace.sources import boards, contracts, landing, mail, plugin, seeds, sinks
 from millrace.streaming import closing, events
 
 TEXT = "&lt;p&gt;We build tools.&lt;/p&gt;&lt;ul&gt;&lt;li&gt;Python&lt;/li&gt;&lt;/ul&gt;"
@@ -243,3 +243,62 @@ def test_upsert_stream(spark, tmp_path):
     seen = []
     events.upsert_stream(events.file_stream(spark, f"{tmp_path}/in/*.parquet", "id long"), lambda df, n: seen.append(df.count()), f"{tmp_path}/c").awaitTermination()
     assert sum(seen) == 3
+
+
+def lands(tmp_path, source, run, adapter, pages, status="ok", files=None, manifest=True):
+    folder = tmp_path / f"source_id={source}" / f"run={run}"
+    folder.mkdir(parents=True)
+    for name, content in pages.items():
+        (folder / name).write_text(content if isinstance(content, str) else json.dumps(content), encoding="utf-8")
+    if manifest:
+        sizes = [{"name": name, "bytes": (folder / name).stat().st_size} for name in pages]
+        (folder / landing.MANIFEST).write_text(json.dumps({"adapter": adapter, "status": status, "files": sizes if files is None else files}))
+
+
+def test_one_source_fails_by_itself(spark, tmp_path):
+    job = lambda n: {"id": n, "absolute_url": f"https://b.io/{n}", "title": "Engineer", "content": "<p>x</p>"}
+    post = lambda n: {"id": n, "text": "Dev", "hostedUrl": "https://l.io/a", "descriptionPlain": f"text {n}"}
+    lands(tmp_path, 1, "r1", "greenhouse", {"p0.json": {"jobs": [job(1)]}, "p1.json": {"jobs": [job(2)]}})
+    lands(tmp_path, 2, "r1", "greenhouse", {"p0.json": {"jobs": [job(3)]}, "p1.json": '{"jobs": [{"id": 4, "tit'})
+    lands(tmp_path, 3, "r1", "lever", {"p0.json": [post("a"), post("b")], "p1.json": [post("b")]})
+    lands(tmp_path, 4, "r1", "lever", {"p0.json": [post("c"), {"text": "without id"}]})
+    lands(tmp_path, 5, "r1", "ashby", {"p0.json": {"jobs": []}}, status="empty")
+    lands(tmp_path, 6, "r1", "ashby", {"p0.json": {"jobs": []}}, files=[{"name": "p0.json", "bytes": 12}, {"name": "p9.json", "bytes": 5}])
+    lands(tmp_path, 7, "r1", "ashby", {"p0.json": {"jobs": []}}, manifest=False)
+    lands(tmp_path, 8, "r1", "lever", {"p0.json": []}, status="http_error")
+    lands(tmp_path, 9, "r1", "workday", {"p0.json": []})
+    lands(tmp_path, 10, "r1", "greenhouse", {"p0.json": {"jobs": [{"id": "five"}]}})
+    lands(tmp_path, 1, "r2", "greenhouse", {"p0.json": {"jobs": [job(1)]}}, files=[{"name": "p0.json", "bytes": 7}])
+    rows, ended = landing.postings(spark, str(tmp_path))
+    told = {(r["source_id"], r["run"]): (r["status"], r["detail"]) for r in ended.collect()}
+    assert told == {
+        (1, "r1"): ("ok", None), (1, "r2"): ("incomplete", "p0.json of another length"), (2, "r1"): ("schema_error", "p1.json doesn't parse"), (3, "r1"): ("ok", None), (4, "r1"): ("schema_error", "p0.json doesn't parse"), (5, "r1"): ("empty", None),
+        (6, "r1"): ("incomplete", "p9.json absent"), (7, "r1"): ("incomplete", "no manifest"), (8, "r1"): ("http_error", None), (9, "r1"): ("schema_error", "no adapter workday"), (10, "r1"): ("schema_error", "p0.json doesn't parse"),
+    }
+    assert sorted((r["source_id"], r["run"], r["external_id"]) for r in rows.collect()) == [(1, "r1", "1"), (1, "r1", "2"), (3, "r1", "a"), (3, "r1", "b")]
+
+
+def test_contract(spark):
+    good = ("x", "https://a.io/1", "t", "text", "in", "full_time", dt.datetime(2024, 1, 1), None)
+    kinds = "external_id string, url string, title string, description_text string, location_country string, employment_type string, posted_at timestamp, odd string"
+    bad = {
+        "external_id: too short": ("", *good[1:]), "external_id: too long": ("x" * 257, *good[1:]), "external_id: missing": (None, *good[1:]), "url: malformed": ("x", "ftp://a.io", *good[2:]), "title: too long": (*good[:2], "t" * 513, *good[3:]),
+        "description_text: too short": (*good[:3], "", *good[4:]), "description_text: missing": (*good[:3], None, *good[4:]), "location_country: malformed": (*good[:4], "IND", *good[5:]), "employment_type: unknown value": (*good[:5], "gig", *good[6:]),
+        "posted_at: out of time": (*good[:6], dt.datetime(1970, 1, 1), None), "odd: not in the contract": (*good[:7], "y"),
+    }
+    checked = contracts.POSTING.checked(spark.createDataFrame([good, *bad.values()], kinds))
+    assert [r["violations"] for r in checked.collect()] == [[], *([what] for what in bad)]
+    row = contracts.POSTING.good(checked).collect()
+    assert len(row) == 1 and (row[0]["location_country"], row[0]["is_remote"], row[0]["seniority_guess"], row[0]["raw"]) == ("IN", False, "unknown", "{}") and tuple(row[0].asDict()) == contracts.POSTING.names
+    kept = contracts.POSTING.quarantined(checked, ("external_id",)).collect()
+    assert len(kept) == len(bad) and all(json.loads(r["given"]).get("title") or r["external_id"] is None for r in kept)
+
+
+def test_contract_over_json(spark):
+    texts = ['{"external_id":"x","url":"https://a.io","title":"t","description_text":"d","posted_at":"2024-01-01T00:00:00Z"}', '{"external_id":"x","url":"https://a.io","title":"t","description_text":"d","salary":1,"age":2}', '{"external_id":"x","url":"https://a.io","title":"t","description_text":"d","is_remote":"maybe"}', "nonsense", None, "[1]"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "n int, value string")
+    checked = contracts.POSTING.of_json(rows, carried=("n",))
+    told = {r["n"]: r["violations"] for r in checked.collect()}
+    assert told[0] == [] and told[1] == ["age: not in the contract", "salary: not in the contract"] and told[2] == ["record: malformed"]
+    assert all(told[n][0] == "record: malformed" for n in (3, 4, 5))
+    assert [r["n"] for r in contracts.POSTING.good(checked, ("n",)).collect()] == [0]
