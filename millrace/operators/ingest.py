@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import bounded_description, content_hash, lookup, title_key
@@ -159,18 +161,30 @@ def collapse_candidates(postings: DataFrame, sources: DataFrame, touched: DataFr
     return rows.select("id", "company_id", "title", "location_city", "adapter", "source_id", "content_hash", "first_seen_at", "filtered_out", "filter_reason")
 
 
-def collapse_plan(candidates: DataFrame) -> DataFrame:
-    """Rows whose flags a collapse changes: id, winner_id, action.
+#: What postings of one role have in common; a missing city is a value like any other.
+ROLE = ("company_id", "title_key", "location_city")
+
+
+def _same_role(rows: DataFrame, other: DataFrame) -> Column:
+    return reduce(lambda a, b: a & b, (rows[name].eqNullSafe(other[f"g_{name}"]) for name in ROLE))
+
 
-    Within one company, title key and city (a missing city is a value like any
-    other) the most trusted, then oldest, then smallest id wins.  Others are
-    superseded if they come from another source or have the same text; rows that
-    no longer lose are restored.
+def by_role(candidates: DataFrame) -> DataFrame:
+    return candidates.withColumn("title_key", title_key(F.col("title")))
+
+
+def winners(rows: DataFrame) -> DataFrame:
+    """The role's columns and ``w``: the most trusted, then oldest, then smallest id of each role.
+
+    An aggregate, so a role with very many postings is combined where they are.
     """
-    rows = candidates.withColumn("title_key", title_key(F.col("title")))
-    group = Window.partitionBy("company_id", "title_key", "location_city").orderBy(F.desc(fidelity(F.col("adapter"))), "first_seen_at", "id")
-    best = F.first(F.struct("id", "source_id", "content_hash")).over(group)
-    rows = rows.withColumn("w", best)
+    order = F.struct((-fidelity(F.col("adapter"))).alias("trust"), "first_seen_at", "id")
+    return rows.groupBy(*ROLE).agg(F.min_by(F.struct("id", "source_id", "content_hash"), order).alias("w"))
+
+
+def _planned(rows: DataFrame, best: DataFrame) -> DataFrame:
+    named = best.select(*(F.col(name).alias(f"g_{name}") for name in ROLE), "w")
+    rows = rows.join(named, _same_role(rows, named))
     loses = (F.col("id") != F.col("w.id")) & ((F.col("source_id") != F.col("w.source_id")) | (F.col("content_hash") == F.col("w.content_hash")))
     was = F.col("filtered_out") & F.startswith(F.coalesce("filter_reason", F.lit("")), F.lit(SUPERSEDED))
     known = F.col("filtered_out") & F.col("filter_reason").eqNullSafe(F.concat(F.lit(SUPERSEDED), F.col("w.id").cast("string")))
@@ -178,6 +192,41 @@ def collapse_plan(candidates: DataFrame) -> DataFrame:
     return rows.withColumn("action", action).filter("action is not null").select("id", F.when(F.col("action") == "supersede", F.col("w.id")).alias("winner_id"), "action")
 
 
+def collapse_plan(candidates: DataFrame) -> DataFrame:
+    """Rows whose flags a collapse changes: id, winner_id, action.
+
+    Within one role the winner stays.  Others are superseded if they come from another
+    source or have the same text; rows that no longer lose are restored.
+    """
+    rows = by_role(candidates)
+    return _planned(rows, winners(rows))
+
+
+def winners_table(spark: SparkSession, path: str, candidates: DataFrame, buckets: int = 64) -> KeyedTable:
+    """A new table of the winners of all roles."""
+    best = winners(by_role(candidates))
+    table = KeyedTable.create(spark, path, best.schema, ROLE, buckets=buckets)
+    table.upsert(best)
+    return table
+
+
+def collapse_changed(table: KeyedTable, candidates: DataFrame, changed: DataFrame) -> DataFrame:
+    """The plan for the roles that ``changed`` postings are or were of; winners of those roles alone are computed anew.
+
+    ``changed``: company_id, title, location_city, with the old values of a posting that moved
+    as a row of its own.  Roles without a posting keep no winner.
+    """
+    touched = by_role(changed).select(*(F.col(name).alias(f"g_{name}") for name in ROLE)).distinct()
+    rows = by_role(candidates)
+    own = rows.join(touched, _same_role(rows, touched), "left_semi")
+    best = winners(own)
+    plain = touched.select(*(F.col(f"g_{name}").alias(name) for name in ROLE))
+    renamed = best.select(*(F.col(name).alias(f"g_{name}") for name in ROLE))
+    gone = plain.join(renamed, _same_role(plain, renamed), "left_anti").withColumn("w", F.lit(None).cast(best.schema["w"].dataType))
+    table.upsert(best.unionByName(gone))
+    return _planned(own, best)
+
+
 def collapse_delta(plan: DataFrame) -> DataFrame:
     """id, filtered_out, filter_reason, as ``screen.apply_delta`` takes them."""
     out = F.col("action") == "supersede"

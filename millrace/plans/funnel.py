@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions.scores import status_rank, terminal, wilson
+from millrace.plans.quantiles import exact_quantile
 
 
 def folded_status(events: DataFrame) -> DataFrame:
@@ -62,8 +63,8 @@ def first_response(applications: DataFrame, events: DataFrame, companies: DataFr
     """Median days to the first event besides submission, by tier."""
     first = events.filter("status <> 'submitted'").groupBy("application_id").agg(F.min("occurred_at").alias("at"))
     rows = applications.join(companies.select(F.col("id").alias("company_id"), "tier"), "company_id").join(first, F.col("id") == F.col("application_id"))
-    days = (F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("submitted_at").cast("timestamp"))) / 86_400_000_000.0
-    return rows.groupBy("tier").agg(F.expr("1").alias("_"), F.percentile(days, 0.5).alias("median_days"), F.count("*").alias("n")).drop("_")
+    micros = F.unix_micros(F.col("at").cast("timestamp")) - F.unix_micros(F.col("submitted_at").cast("timestamp"))
+    return exact_quantile(rows, ["tier"], micros).select("tier", (F.col("quantile") / 86_400_000_000.0).alias("median_days"), "n")
 
 
 def ghosted(applications: DataFrame, events: DataFrame, as_of: Column, after_days: int = 30) -> DataFrame:

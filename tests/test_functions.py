@@ -40,11 +40,17 @@ def test_title_keys(spark, title, key):
     assert values(spark, text.title_key, [title]) == [key]
 
 
-def test_title_rounds_reach_the_fixpoint(spark, monkeypatch):
-    titles = ["Engineer (a) (b) - Remote - Contract", "A - india", "Lead - (x)", "Plain"]
-    before = values(spark, text.title_key, titles)
-    monkeypatch.setattr(text, "TITLE_ROUNDS", text.TITLE_ROUNDS + 1)
-    assert values(spark, text.title_key, titles) == before
+def test_titles_lose_all_their_endings(spark):
+    """However many there are, and in whatever order."""
+    titles = ["Engineer" + " (x)" * 9, "Engineer" + " - remote (a) (b) – India - R12345" * 4, "Dev - Remote - Contract (3) ", "(Remote)", "Engineer (a) tools (b)", "Plain - tools", "Engineer (a) (b) - Remote - Contract", "A - india", "Lead - (x)"]
+    assert values(spark, text.title_key, titles) == ["engineer", "engineer", "dev", "", "engineer a tools", "plain tools", "engineer", "a", "lead"]
+
+
+def test_years_take_any_white_space(spark):
+    asked = ["5\u00a0years of experience", "7+\u2009yrs\u00a0experience", "experience: 4 –\u00a06 years, or 3\u00a0years", "😀 " * 200 + "9 years building", "2 years " + "x" * 81 + " experience", None, "in\u00a0a\u00a0similar role, 6 years"]
+    assert values(spark, text.experience_years, asked) == [5, 7, 3, 9, None, None, 6]
+    many = ", ".join(f"{n} years" for n in range(60, 0, -1)) + " of experience"
+    assert values(spark, text.experience_years, [many]) == [1]
 
 
 def test_company_keys(spark):

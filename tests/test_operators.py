@@ -119,6 +119,26 @@ def test_similar_names_equal_the_cross_product(spark):
     assert a.limit(1).select(matching.similarity(F.lit("Acme Corp"), F.lit("Acme Corporation"))).first()[0] == 0.5
 
 
+def test_collapse_of_changed_roles(spark, tmp_path):
+    """Winners of changed roles equal those of a collapse of everything; other roles are not touched."""
+    rnd = random.Random(12)
+
+    def posting(i):
+        return (str(i), rnd.choice([1, 2]), rnd.choice(["Dev", "dev (Remote)", "Ops"]), rnd.choice(["Pune", None]), rnd.choice(["ashby", "lever", "mail_alert"]), rnd.choice([1, 2, 3]), rnd.choice(["h1", "h2"]), rnd.randint(1, 5), False, None)
+
+    before = {i: posting(i) for i in range(60)}
+    after = {i: (posting(i) if i % 7 == 0 else row) for i, row in before.items() if i % 11} | {100 + i: posting(100 + i) for i in range(5)}
+    frame = lambda rows: spark.createDataFrame(list(rows), CANDIDATE)
+    table = ingest.winners_table(spark, f"{tmp_path}/w", frame(before.values()), 4)
+    moved = [row for i, row in before.items() if after.get(i) != row] + [row for i, row in after.items() if before.get(i) != row]
+    plan = ingest.collapse_changed(table, frame(after.values()), frame(moved))
+    whole = ingest.winners(ingest.by_role(frame(after.values())))
+    assert sorted(map(repr, table.read().filter("w is not null").collect())) == sorted(map(repr, whole.select(*table.read().columns).collect()))
+    every = {r["id"]: (r["action"], r["winner_id"]) for r in ingest.collapse_plan(frame(after.values())).collect()}
+    part = {r["id"]: (r["action"], r["winner_id"]) for r in plan.collect()}
+    assert part and part.items() <= every.items()
+
+
 def test_leads(spark):
     companies = spark.createDataFrame([(1, "Acme", "acme", None), (2, "Unmatched", "unmatched", None)], "id long, name string, slug string, deleted_at timestamp")
     leads = spark.createDataFrame([("x", "ACME Corp. Ltd"), ("y", "Zebra GmbH"), ("z", "  ")], "external_id string, company_name string")

@@ -2,12 +2,15 @@
 
 import datetime as dt
 import json
+import random
 from decimal import Decimal
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import ingest, requirements
-from millrace.plans import diagnostics, funnel, reports
+from millrace.plans import diagnostics, funnel, quantiles, reports
 
 D = dt.datetime
 
@@ -103,3 +106,13 @@ def test_slices_and_follow_ups(spark):
 def test_error_codes(spark):
     rows = spark.createDataFrame([("http.500",), ("timeout",), ("policy.host",), ("odd",), (None,)], "c string")
     assert [r[0] for r in rows.select(ingest.status_of_error(F.col("c"))).collect()] == ["http_error", "timeout", "denied_by_policy", "error", "ok"]
+
+
+@pytest.mark.parametrize("q", [0.5, 0.0, 1.0, 0.9])
+def test_exact_quantiles(spark, q):
+    """As numpy has them, with ties, both ends of the longs and a group without a name."""
+    rnd = random.Random(8)
+    groups = {"a": [rnd.randrange(-(10**12), 10**12) for _ in range(301)], "b": [5] * 40 + [7] * 41, None: [3, 4], "c": [-(2**52), 2**52, 0], "d": [9]}
+    rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v long")
+    got = {r["g"]: (r["quantile"], r["n"]) for r in quantiles.exact_quantile(rows, ["g"], F.col("v"), q).collect()}
+    assert got == {g: (pytest.approx(float(np.quantile(vs, q)), rel=1e-12), len(vs)) for g, vs in groups.items()}
