@@ -1,27 +1,20 @@
 """Line deduplication by pairwise alignment.
 
 Documents overlap when they share lines.  Lines of ``min_words`` words or more
-are hashed (128 bits, surrounding white space cut); a line found in two or more
-documents, however many, pairs each later document with the first one that has
-it.  Each pair is aligned by patience diff over the line
-hashes: lines unique in both sides are anchors, their longest increasing
-subsequence is kept, and the stretches between are aligned alike; a stretch
-without anchors is aligned by a longest common subsequence.  Common blocks (runs
-of aligned lines with at least one line of ``min_words`` words) are deleted from
-the later document, the one with the larger id; the first keeps them.
-
-What the alignment leaves because its order is crossed or because it repeats is a
-moved block: a remaining line of ``min_words`` words that the first document has
-is deleted too, with the equal lines around it, as from its first place there.
-So no such line stays in two documents, and further rounds would find nothing:
-the first document of a line is compared with all others that have it.
-
-A line makes one pair for each later document, so pairs grow with the lines and
-never with the square of a line's frequency.  Those of one first document are
-dealt to ``SALTS`` tasks, each with a copy of its line hashes.
-
-Callers may set ``rare``: lines in more documents than that then make no pairs,
-and are deleted one by one, without short lines, from all but their first.
+are hashed (128 bits, surrounding white space cut).  A rare one, in at most ``rare``
+documents, pairs each of them with every earlier one.  A frequent one pairs each
+document with the first that has it, and with the first that has it beside the same
+line before or after, so that what stands around it is met too; that makes at most
+three pairs for each place, never the square of a line's frequency.  Pairs of one
+first document are dealt to ``SALTS`` tasks, each with a copy of its line hashes.
+
+Each pair is aligned by patience diff over the line hashes: lines unique in both
+sides are anchors, their longest increasing subsequence is kept, and the stretches
+between are aligned alike.  Long lines that this leaves, since their order is crossed
+or they repeat, are dealt into piles as in patience, each pile being an alignment in
+order of its own.  Common blocks (runs of aligned lines with at least one line of
+``min_words`` words) are deleted from the later document, the one with the larger
+id; the earlier keeps them.  Nothing is deleted that was not aligned.
 
 Documents are told apart by id.  Rows with a null id neither lose lines nor take
 any from others.  Rows that repeat an id are one document for the comparison, and
@@ -32,11 +25,10 @@ text.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -47,6 +39,8 @@ from millrace.llm.common import checkpointed, slices, stateless, texts
 MIN_WORDS = 5
 #: Parts into which the later documents of one first document are dealt.
 SALTS = 256
+#: Documents that a line is in at most to pair all of them; of other lines the first holders stand for all.
+RARE = 8
 
 
 def line_keys(text: str, min_words: int = MIN_WORDS) -> list[bytes]:
@@ -79,58 +73,8 @@ def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out[::-1]
 
 
-def _lcs_lengths(a: Sequence[bytes], b: Sequence[bytes]) -> np.ndarray:
-    """Length of the longest common subsequence of ``a`` and each start of ``b``; bit-parallel."""
-    places: dict[bytes, list[int]] = {}
-    for j, key in enumerate(b):
-        places.setdefault(key, []).append(j)
-    kept: dict[bytes, int] = {}
-
-    def mask(key: bytes) -> int:
-        """Bits of the places of ``key``; kept for the few common keys alone, since each is as long as ``b``."""
-        if key in kept:
-            return kept[key]
-        bits = bytearray(len(b) // 8 + 1)
-        for j in places.get(key, ()):
-            bits[j >> 3] |= 1 << (j & 7)
-        found = int.from_bytes(bits, "little")
-        if len(places.get(key, ())) * 256 > len(b):
-            kept[key] = found
-        return found
-
-    full = (1 << len(b)) - 1
-    state = full
-    for key in a:
-        hits = state & mask(key)
-        state = ((state + hits) | (state - hits)) & full
-    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
-    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
-
-
-def lcs(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
-    """Positions of a longest common subsequence, in memory that grows with the lengths (Hirschberg)."""
-    in_a, in_b = set(a), set(b)
-    left, right = [i for i, key in enumerate(a) if key in in_b], [j for j, key in enumerate(b) if key in in_a]
-    out: list[tuple[int, int]] = []
-    todo = [(left, right)]
-    while todo:
-        left, right = todo.pop()
-        if not left or not right:
-            continue
-        if len(left) == 1:
-            out.extend((left[0], j) for j in [j for j in right if b[j] == a[left[0]]][:1])
-            continue
-        middle = len(left) // 2
-        ours = [b[j] for j in right]
-        lengths = _lcs_lengths([a[i] for i in left[:middle]], ours) + _lcs_lengths([a[i] for i in reversed(left[middle:])], ours[::-1])[::-1]
-        cut = int(lengths.argmax())
-        if lengths[cut]:
-            todo += [(left[:middle], right[:cut]), (left[middle:], right[cut:])]
-    return sorted(out)
-
-
-def patience(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
-    """Aligned positions of two sequences, in order."""
+def _in_order(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
+    """Patience diff: lines unique in both sides anchor, in longest rising order; the stretches between are aligned alike."""
     out: list[tuple[int, int]] = []
     todo = [(0, len(a), 0, len(b))]
     while todo:
@@ -146,56 +90,121 @@ def patience(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
         in_a, in_b = Counter(a[a0:a1]), Counter(b[b0:b1])
         place = {key: j for j, key in enumerate(b[b0:b1], b0) if in_b[key] == 1}
         anchors = _increasing([(i, place[key]) for i, key in enumerate(a[a0:a1], a0) if in_a[key] == 1 and key in place])
-        if not anchors:
-            out.extend((a0 + i, b0 + j) for i, j in lcs(a[a0:a1], b[b0:b1]))
-            continue
         out.extend(anchors)
         left = (a0, b0)
-        for i, j in [*anchors, (a1, b1)]:
+        for i, j in [*anchors, (a1, b1)] if anchors else ():
             if i > left[0] and j > left[1]:
                 todo.append((left[0], i, left[1], j))
             left = (i + 1, j + 1)
     return sorted(out)
 
 
-def common_blocks(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
-    """(start, length) in ``b`` of the aligned blocks that have a line of enough words."""
-    blocks, run = [], []
-    for i, j in [*patience(a, b), (-1, -1)]:
-        if run and (i, j) == (run[-1][0] + 1, run[-1][1] + 1):
-            run.append((i, j))
-            continue
-        if any(len(b[y]) == 16 for _, y in run):
-            blocks.append((run[0][1], len(run)))
-        run = [(i, j)]
-    return blocks
+def _piles(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Pairs, rising in their second, dealt into as few alignments as can be: each goes behind the nearest smaller first, as cards are dealt in patience."""
+    tops: list[int] = []  # negated firsts of the last pairs, ascending
+    out: list[list[tuple[int, int]]] = []
+    for i, j in pairs:
+        at = bisect_right(tops, -i)
+        if at == len(tops):
+            tops.append(-i)
+            out.append([(i, j)])
+        else:
+            tops[at] = -i
+            out[at].append((i, j))
+    return out
+
 
+def patience(a: Sequence[bytes], b: Sequence[bytes]) -> list[list[tuple[int, int]]]:
+    """Alignments of two sequences: that of the patience diff, then those of the long lines whose order is crossed or that repeat.
 
-def shared_blocks(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
-    """``common_blocks`` and, of what they leave of ``b``, the blocks that moved or repeat."""
-    blocks = common_blocks(a, b)
-    gone = {j for start, length in blocks for j in range(start, start + length)}
-    place: dict[bytes, int] = {}
+    A long line of ``b`` that the diff leaves is paired with the place behind its
+    predecessor's, or else with the occurrence in ``a`` of the same number, or the last.
+    """
+    first = _in_order(a, b)
+    places: dict[bytes, list[int]] = {}
     for i, key in enumerate(a):
-        place.setdefault(key, i)
+        if len(key) == 16:
+            places.setdefault(key, []).append(i)
+    paired = {j: i for i, j in first}
+    seen: Counter = Counter()
+    rest = []
     for j, key in enumerate(b):
-        if j in gone or len(key) != 16 or key not in place:
+        if len(key) != 16 or key not in places:
+            continue
+        number = seen[key]
+        seen[key] += 1
+        if j in paired:
             continue
-        start, end, i = j, j + 1, place[key]
-        while start and start - 1 not in gone and i - (j - start) and a[i - (j - start) - 1] == b[start - 1]:
-            start -= 1
-        while end < len(b) and end not in gone and i + end - j < len(a) and a[i + end - j] == b[end]:
-            end += 1
-        blocks.append((start, end - start))
-        gone.update(range(start, end))
-    return blocks
+        behind = paired.get(j - 1, -2) + 1
+        i = behind if 0 <= behind < len(a) and a[behind] == key else places[key][min(number, len(places[key]) - 1)]
+        paired[j] = i
+        rest.append((i, j))
+    return [first, *_piles(rest)]
+
+
+def common_blocks(a: Sequence[bytes], b: Sequence[bytes]) -> list[tuple[int, int]]:
+    """(start, length) in ``b`` of the aligned blocks that have a line of enough words, in order.
+
+    A block of a later alignment takes the equal lines around it, as far as no earlier
+    block has them.
+    """
+    blocks: list[tuple[int, int]] = []
+    gone: set[int] = set()
+    for alignment in patience(a, b):
+        run: list[tuple[int, int]] = []
+        for i, j in [*alignment, (-1, -1)]:
+            if run and (i, j) == (run[-1][0] + 1, run[-1][1] + 1):
+                run.append((i, j))
+                continue
+            if any(len(b[y]) == 16 for _, y in run):
+                (x, start), end = run[0], run[-1][1] + 1
+                while start and start - 1 not in gone and x and a[x - 1] == b[start - 1]:
+                    x, start = x - 1, start - 1
+                x = run[-1][0] + 1
+                while end < len(b) and end not in gone and x < len(a) and a[x] == b[end]:
+                    x, end = x + 1, end + 1
+                new = [y for y in range(start, end) if y not in gone]
+                gone.update(new)
+                blocks.extend((y, 1) for y in new)
+            run = [(i, j)]
+    return _joined(blocks)
+
+
+def _joined(blocks: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Adjacent blocks as one."""
+    out: list[tuple[int, int]] = []
+    for start, length in sorted(blocks):
+        if out and sum(out[-1]) == start:
+            out[-1] = (out[-1][0], out[-1][1] + length)
+        else:
+            out.append((start, length))
+    return out
+
+
+def _hash(*parts: bytes) -> int:
+    return xxhash.xxh3_64_intdigest(b"|".join(parts)) - (1 << 63)
+
+
+def neighbourhoods(keys: Sequence[bytes]) -> list[dict]:
+    """Each different long line of a document with the hashes of the pairs that it makes with its neighbours there."""
+    found: dict[bytes, set[int]] = {}
+    for j, key in enumerate(keys):
+        if len(key) == 16:
+            pairs = found.setdefault(key, set())
+            if j:
+                pairs.add(_hash(keys[j - 1], key))
+            if j + 1 < len(keys):
+                pairs.add(_hash(key, keys[j + 1]))
+    return [{"key": key, "pairs": sorted(pairs)} for key, pairs in found.items()]
 
 
 def _sequences(min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([line_keys(text, min_words) for text in texts(part.column(1))], pa.list_(pa.binary()))], ["doc_id", "keys"])
+                keys = [line_keys(text, min_words) for text in texts(part.column(1))]
+                lines = pa.array([neighbourhoods(k) for k in keys], pa.list_(pa.struct([("key", pa.binary()), ("pairs", pa.list_(pa.int64()))])))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.list_(pa.binary())), lines], ["doc_id", "keys", "lines"])
 
     return run
 
@@ -210,7 +219,7 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batch, 256):
             ids, places, hashes = [], [], []
             for doc_id, first, keys in zip(*(part.column(i).to_pylist() for i in range(3))):
-                for start, length in shared_blocks(first, keys):
+                for start, length in common_blocks(first, keys):
                     for j in range(start, start + length):
                         ids.append(doc_id)
                         places.append(j)
@@ -218,44 +227,41 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())], ["doc_id", "place", "hash"])
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, keys, frequent) to the places of the frequent lines."""
-    for batch in batches:
-        for part in slices(batch, 256):
-            ids, places, hashes = [], [], []
-            for doc_id, keys, frequent in zip(*(part.column(i).to_pylist() for i in range(3))):
-                wanted = set(frequent)
-                for j, key in enumerate(keys):
-                    if key in wanted:
-                        ids.append(doc_id)
-                        places.append(j)
-                        hashes.append(_short(key))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(hashes, pa.int64())], ["doc_id", "place", "hash"])
+_PLACES = "doc_id long, place int, hash long"
 
 
-_PLACES = "doc_id long, place int, hash long"
+def _met(rows: DataFrame, key: str) -> DataFrame:
+    """(doc_id, key) rows to doc_id, first: the smallest id of each key with every other that has it."""
+    # written, so that the join deals both sides anew and a very common key can be split
+    owners = checkpointed(rows.groupBy(F.col(key).alias("owner")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1"))
+    return rows.join(owners, F.col(key) == F.col("owner")).filter("doc_id > first").select("doc_id", "first")
+
+
+def partners(sequences: DataFrame, rare: int = RARE) -> DataFrame:
+    """doc_id, first: each document with the earlier ones that it is compared with, once."""
+    lines = sequences.select("doc_id", F.explode("lines").alias("line")).select("doc_id", "line.key", "line.pairs")
+    owners = checkpointed(lines.groupBy(F.col("key").alias("owner")).agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1"))
+    shared = checkpointed(lines.join(owners, F.col("key") == F.col("owner")).select("doc_id", "key", "pairs", "n", "least"))
+    # at most ``rare`` holders a line, so lists and pairs are bounded
+    holders = shared.filter(F.col("n") <= rare).groupBy("key").agg(F.sort_array(F.collect_list("doc_id")).alias("ids")).select("ids", F.posexplode("ids").alias("at", "doc_id"))
+    among = holders.select("doc_id", F.explode(F.slice("ids", F.lit(1), F.col("at"))).alias("first")).filter("first < doc_id")
+    frequent = shared.filter(F.col("n") > rare)
+    to_first = frequent.filter("doc_id > least").select("doc_id", F.col("least").alias("first"))
+    beside = _met(frequent.select("doc_id", F.explode("pairs").alias("pair")), "pair")
+    return among.unionByName(to_first).unionByName(beside).distinct()
 
 
-def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int | None = None) -> DataFrame:
+def deletions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """doc_id, lines (array of struct place, hash): what each later document loses."""
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text")).filter("doc_id is not null")
-    sequences = checkpointed(rows.mapInArrow(stateless(_sequences(min_words)), "doc_id long, keys array<binary>"))
-    lines = sequences.select("doc_id", F.explode(F.array_distinct(F.filter("keys", lambda k: F.length(k) == 16))).alias("key"))
-    # written, so that the join below deals both sides anew and a very common line can be split
-    owners = checkpointed(lines.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).filter("n > 1").withColumnRenamed("key", "owner_key"))
-    later = checkpointed(lines.join(owners, F.col("key") == F.col("owner_key")).filter("doc_id > first").select("doc_id", "first", "key", "n"))
-    paired = later if rare is None else later.filter(F.col("n") <= rare)
-    pairs = checkpointed(paired.select("doc_id", "first").distinct().withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
+    sequences = checkpointed(rows.mapInArrow(stateless(_sequences(min_words)), "doc_id long, keys array<binary>, lines array<struct<key:binary,pairs:array<bigint>>>"))
+    pairs = checkpointed(partners(sequences, rare).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))))
     firsts = sequences.select(F.col("doc_id").alias("first_id"), F.col("keys").alias("first_keys"))
     mine = sequences.select(F.col("doc_id").alias("own_id"), "keys")
     # one copy of the first document for each of its salts, so that a very common one is spread
     wanted = pairs.select(F.col("first").alias("wanted_id"), F.col("salt").alias("wanted_salt")).distinct()
     copies = wanted.join(firsts, F.col("wanted_id") == F.col("first_id")).select("wanted_id", "wanted_salt", "first_keys")
     aligned = pairs.join(copies, (F.col("first") == F.col("wanted_id")) & (F.col("salt") == F.col("wanted_salt"))).join(mine, F.col("doc_id") == F.col("own_id")).select("doc_id", "first_keys", "keys").mapInArrow(stateless(_align), _PLACES)
-    if rare is not None:
-        # a document's frequent lines are at most its lines
-        frequent = later.filter(F.col("n") > rare).groupBy("doc_id").agg(F.collect_set("key").alias("frequent"))
-        aligned = aligned.unionByName(frequent.join(mine, F.col("doc_id") == F.col("own_id")).select("doc_id", "keys", "frequent").mapInArrow(stateless(_find), _PLACES))
     return aligned.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("place", "hash"))).alias("lines"))
 
 
@@ -280,7 +286,7 @@ def _apply(min_words: int):
     return run
 
 
-def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int | None = None) -> DataFrame:
+def deduplicated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, rare: int = RARE) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, deleted_lines (from 0), text without them."""
     gone = deletions(docs, id_col, text_col, min_words, rare).withColumnRenamed("doc_id", "gone_id")
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))

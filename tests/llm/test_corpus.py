@@ -449,12 +449,33 @@ def test_labelled_sample_is_bounded_after_the_join(spark):
 # -- 5
 
 
-def test_patience_alignment():
+def test_patience_alignment(monkeypatch):
     a, b = [bytes([x]) * 16 for x in b"abcdefg"], [bytes([x]) * 16 for x in b"xbcdyfgz"]
-    assert line_dedup.patience(a, b) == [(1, 1), (2, 2), (3, 3), (5, 5), (6, 6)]
+    assert line_dedup.patience(a, b) == [[(1, 1), (2, 2), (3, 3), (5, 5), (6, 6)]]
     assert line_dedup.common_blocks(a, b) == [(1, 3), (5, 2)]
     short = [b"x" * 8, *a[:2]]
     assert line_dedup.common_blocks(short, short) == [(0, 3)] and line_dedup.common_blocks([b"x" * 8], [b"x" * 8]) == []
+    crossed = line_dedup.patience(a, [*a[4:], *a[:4]])
+    assert crossed == [[(0, 3), (1, 4), (2, 5), (3, 6)], [(4, 0), (5, 1), (6, 2)]]
+    monkeypatch.setattr(line_dedup, "patience", lambda a, b: [])
+    assert line_dedup.common_blocks(a, b) == []  # what isn't aligned isn't deleted
+
+
+def test_alignments_rise_and_leave_no_long_line():
+    rnd = random.Random(3)
+    for _ in range(300):
+        a, b = ([bytes([rnd.choice(b"abcdefgh")]) * (16 if rnd.random() < 0.6 else 8) for _ in range(rnd.randint(0, 25))] for _ in range(2))
+        for alignment in line_dedup.patience(a, b):
+            assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(alignment)) and all(a[i] == b[j] for i, j in alignment)
+        gone = {j for start, length in line_dedup.common_blocks(a, b) for j in range(start, start + length)}
+        assert all(b[j] in a for j in gone) and all(j in gone for j, key in enumerate(b) if len(key) == 16 and key in a)
+
+
+def test_alignment_of_long_documents_is_quick():
+    keys = [i.to_bytes(16, "big") for i in range(60_000)]
+    assert line_dedup.common_blocks(keys, keys[::-1]) == [(0, 60_000)]
+    short = [b"s" * 8] * 400_000
+    assert line_dedup.common_blocks([*short, b"x" * 8], [b"y" * 8, *short]) == []
 
 
 def test_line_dedup_deletes_from_the_later_document(spark):
@@ -462,12 +483,12 @@ def test_line_dedup_deletes_from_the_later_document(spark):
     boiler = "this boilerplate line is in every one"
     docs = [(1, f"first own line is quite long\n{passage}\nyes\nlast"), (2, f"second own line is quite long\n{passage}\nyes\nother"), (3, "nothing shared in this document at all")]
     docs += [(100 + i, f"{boiler}\nunique line number {i} of this text") for i in range(50)] + [(None, passage), (200, None), (201, ""), (3, "nothing shared in this document at all")]
-    for rare in (32, 1):  # aligned pairs; owners alone
+    for rare in (32, 1):  # pairs of all holders; pairs with the first
         got = defaultdict(list)
         for r in line_dedup.deduplicated_lines(documents(spark, docs, extra=("lines", "place")), rare=rare).collect():
             got[r["doc_id"]].append(r)
         assert got[1][0]["deleted_lines"] == [] and got[3][0]["deleted_lines"] == [] == got[3][1]["deleted_lines"]
-        assert got[2][0]["deleted_lines"] == ([1, 2] if rare == 32 else [1])
+        assert got[2][0]["deleted_lines"] == [1, 2]
         assert got[100][0]["deleted_lines"] == [] and all(got[100 + i][0]["deleted_lines"] == [0] for i in range(1, 50))
         assert got[None][0]["text"] == passage and got[200][0]["text"] == got[201][0]["text"] == ""
         assert got[149][0]["text"] == "unique line number 49 of this text"
@@ -488,18 +509,6 @@ def test_frequent_lines_are_aligned_like_rare_ones(spark):
         assert got == {i: [1, 2] if i else [] for i in range(n)}
 
 
-def test_lcs_of_stretches_without_anchors():
-    rnd = random.Random(3)
-    for _ in range(60):
-        a, b = ([bytes([rnd.choice(b"abc")]) * 16 for _ in range(rnd.randint(0, 40))] for _ in range(2))
-        best = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i, j in itertools.product(range(len(a)), range(len(b))):
-            best[i + 1, j + 1] = best[i, j] + 1 if a[i] == b[j] else max(best[i, j + 1], best[i + 1, j])
-        got = line_dedup.lcs(a, b)
-        assert len(got) == best[-1, -1] and all(a[i] == b[j] for i, j in got)
-        assert all(x[0] < y[0] and x[1] < y[1] for x, y in itertools.pairwise(got))
-
-
 def test_no_long_line_stays_in_two_documents(spark):
     p, q = "a passage of more than five words", "another passage of more than five words"
     docs = [(1, f"x\n{p}\ny\n{p}\nz\n{q}\nyes"), (2, f"u\n{p}\nv"), (3, f"s\n{p}\nt"), (4, f"{q}\nyes\n{p}\n{p}\nw"), (5, f"k\n{q}\n{p}")]
@@ -895,88 +904,61 @@ def test_pipeline_of_edges(spark, tmp_path, labelled):
 # -- 5, against brute force
 
 
-def plain_alignment(a, b):
-    """Patience diff by its definition: equal ends, then unique common lines in longest rising order, then a common subsequence."""
-    out, tail = [], []
-    while a and b and a[0][1] == b[0][1]:
-        out.append((a[0][0], b[0][0]))
-        a, b = a[1:], b[1:]
-    while a and b and a[-1][1] == b[-1][1]:
-        tail.insert(0, (a[-1][0], b[-1][0]))
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return out + tail
-    once = lambda side: {line: i for i, line in side if [x for _, x in side].count(line) == 1}
-    in_a, in_b = once(a), once(b)
-    common = sorted((in_a[x], in_b[x]) for x in in_a.keys() & in_b.keys())
-    best = []
-    for k, (_, j) in enumerate(common):
-        longest = max((best[m] for m in range(k) if common[m][1] < j), key=len, default=[])
-        best.append([*longest, common[k]])
-    anchors = max(best, key=len, default=[])
-    if not anchors:
-        return out + [(a[i][0], b[j][0]) for i, j in line_dedup.lcs([x for _, x in a], [x for _, x in b])] + tail
-    out += anchors
-    bounds = [(a[0][0] - 1, b[0][0] - 1), *anchors, (a[-1][0] + 1, b[-1][0] + 1)]
-    for (i0, j0), (i1, j1) in itertools.pairwise(bounds):
-        out += plain_alignment([x for x in a if i0 < x[0] < i1], [x for x in b if j0 < x[0] < j1])
-    return out + tail
-
-
-def plain_dedup(rows):
-    """Places that each document loses: against the first document of each of its long lines."""
+def plain_dedup(rows, rare):
+    """Places that each document loses, for documents without repeated lines: long lines that a partner has, with the equal lines around them in both."""
     lines = {i: [line.strip() for line in text.split("\n")] for i, text in rows}
     is_long = lambda line: len(line.split()) >= 5
-    first = {}
+    holders, beside = defaultdict(list), defaultdict(list)
     for i in sorted(lines):
         for line in lines[i]:
             if is_long(line):
-                first.setdefault(line, i)
+                holders[line].append(i)
+    for i in sorted(lines):
+        for pair in set(itertools.pairwise(lines[i])):
+            if any(is_long(line) and len(holders[line]) > rare for line in pair):
+                beside[pair].append(i)
     lost = {}
     for i, mine in lines.items():
+        others = {o for line in mine if is_long(line) for o in (holders[line] if len(holders[line]) <= rare else holders[line][:1])}
+        others |= {beside[pair][0] for pair in itertools.pairwise(mine) if pair in beside}
         gone = set()
-        for other in {first[x] for x in mine if is_long(x) and first[x] < i}:
+        for other in others:
             theirs = lines[other]
-            pairs = sorted(plain_alignment(list(enumerate(theirs)), list(enumerate(mine))))
-            blocks, here = [], set()
-            for x, y in pairs:
-                if blocks and blocks[-1][-1] == (x - 1, y - 1):
-                    blocks[-1].append((x, y))
-                else:
-                    blocks.append([(x, y)])
-            for block in blocks:
-                if any(is_long(mine[y]) for _, y in block):
-                    here |= {y for _, y in block}
-            for y, line in enumerate(mine):  # what moved or repeats, with the equal lines around it
-                if y in here or not is_long(line) or line not in theirs:
+            for y, line in enumerate(mine):
+                if other >= i or not is_long(line) or line not in theirs:
                     continue
                 x = theirs.index(line)
-                up = 0
-                while y - up - 1 >= 0 and y - up - 1 not in here and x - up - 1 >= 0 and theirs[x - up - 1] == mine[y - up - 1]:
-                    up += 1
-                down = 0
-                while y + down + 1 < len(mine) and y + down + 1 not in here and x + down + 1 < len(theirs) and theirs[x + down + 1] == mine[y + down + 1]:
-                    down += 1
-                here |= set(range(y - up, y + down + 1))
-            gone |= here
+                up = next(k for k in itertools.count(1) if y - k < 0 or x - k < 0 or mine[y - k] != theirs[x - k])
+                down = next(k for k in itertools.count(1) if y + k >= len(mine) or x + k >= len(theirs) or mine[y + k] != theirs[x + k])
+                gone |= set(range(y - up + 1, y + down))
         lost[i] = sorted(gone)
     return lost
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_line_dedup_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, rare", [(1, 1000), (2, 3), (3, 1)])
+def test_line_dedup_against_brute_force(spark, seed, rare):
+    """With every earlier document as a partner, and with the partners of frequent lines."""
     rnd = random.Random(seed)
-    pool = [f"line {k} with five words or more" for k in range(25)] + ["short", "", "x y", "ok then"]
+    pool = [f"line {k} with five words or more" for k in range(25)] + [f"short {k}" for k in range(12)]
     rows = []
     for i in range(60):
-        text = [rnd.choice(pool) for _ in range(rnd.randint(1, 9))]
-        if rows and rnd.random() < 0.5:  # a passage of an earlier document
+        text = rnd.sample(pool, rnd.randint(1, 9))
+        if rows and rnd.random() < 0.6:  # a passage of an earlier document
             old = rnd.choice(rows)[1].split("\n")
             at = rnd.randrange(len(old))
             text[rnd.randrange(len(text) + 1) : 0] = old[at : at + rnd.randint(1, 6)]
-        rows.append((i, "\n".join(text)))
-    got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.deduplicated_lines(documents(spark, rows)).collect()}
-    assert got == plain_dedup(rows)
+        rows.append((i, "\n".join(dict.fromkeys(text))))
+    got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.deduplicated_lines(documents(spark, rows), rare=rare).collect()}
+    want = plain_dedup(rows, rare)
+    assert got == want and sum(map(len, want.values())) > 100
+
+
+def test_line_dedup_meets_later_partners_of_a_common_line(spark):
+    line, short = "one line that very many documents have", "ok then"
+    for others in (0, 40):  # a rare line and a frequent one
+        docs = [(1, f"a\n{line}"), (2, f"b\n{line}\n{short}\nc"), (3, f"d\n{line}\n{short}\ne"), *((100 + i, f"{line}\nx{i}") for i in range(others))]
+        got = {r["doc_id"]: r["deleted_lines"] for r in line_dedup.deduplicated_lines(documents(spark, docs)).collect()}
+        assert (got[1], got[2], got[3]) == ([], [1], [1, 2])
 
 
 def test_line_dedup_of_a_very_long_document(spark):
