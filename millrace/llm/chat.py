@@ -13,7 +13,8 @@ separators; it is given as runs of (masked in, length) over the formatted string
 
 Conversations are put together in two steps, first blocks of ``BLOCK`` turn
 numbers, then whole conversations, so that a very long one is sorted, folded and
-escaped in many tasks and only its pieces meet.
+escaped in many tasks and only its pieces meet.  Turns that share a turn number, or
+have none, are one block; like all blocks it is folded ``BLOCK`` turns at a time.
 
 Null texts and roles are empty.  Turns are ordered by turn (nulls first), then
 role and text, so that ties and repeated rows have one order and all stay.  Rows
@@ -56,6 +57,12 @@ def _fold(turns: Column) -> Column:
     return F.aggregate(turns, F.array().cast(_RUNS), add)
 
 
+def _runs_of(turns: Column) -> Column:
+    """Runs of sorted turns, folded ``BLOCK`` at a time; a role may go on from one fold to the next."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(turns) - 1) / BLOCK).cast("int"))
+    return F.flatten(F.transform(starts, lambda k: _fold(F.slice(turns, k * BLOCK + 1, F.lit(BLOCK)))))
+
+
 def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, formatted, loss_runs (array of struct masked, length)."""
     turns = conversations.select(
@@ -66,7 +73,7 @@ def formatted(conversations: DataFrame, conv_col: str = "conv_id", turn_col: str
     )
     block = F.floor(F.col("turn") / BLOCK)
     blocks = turns.groupBy("conv_id", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    blocks = blocks.select("conv_id", "block", _fold(F.col("turns")).alias("runs"))
+    blocks = blocks.select("conv_id", "block", _runs_of(F.col("turns")).alias("runs"))
     whole = blocks.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("block", "runs"))).alias("blocks"))
     whole = whole.select("conv_id", F.flatten(F.transform("blocks", lambda b: b["runs"])).alias("runs"))
 

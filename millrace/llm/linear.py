@@ -63,32 +63,33 @@ def fit(rows: Sequence[Sparse], labels: Sequence[int], dimensions: int, epochs:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text, label of at most ``most`` labelled documents outside the held-out fold.
 
-    Chosen by the hash of the id, so reruns agree.  Only this bounded sample of
+    Chosen by the hash of the id among the labels whose documents are there, so reruns
+    agree and labels of other documents take no place.  Only this bounded sample of
     ids is broadcast against the documents.  Rows with a null id or label are
     left out, repeated labels count once, and of the rows that repeat an id the
     one with the smallest text (a null text is empty).
     """
     known = labels.select(labels["doc_id"].cast("long").alias("label_id"), labels[label_col].cast("int").alias("label")).filter("label_id is not null and label is not null")
     known = known.filter(crc_fold(F.col("label_id"), modulus) != held_out).groupBy("label_id").agg(F.max("label").alias("label"))
-    chosen = known.orderBy(F.xxhash64("label_id"), "label_id").limit(most)
+    there = docs.select(docs[id_col].cast("long").alias("doc_id"))
+    chosen = checkpointed(known.join(there, F.col("doc_id") == F.col("label_id"), "left_semi").orderBy(F.xxhash64("label_id"), "label_id").limit(most))
     texts = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
     joined = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     return joined.groupBy("doc_id", "label").agg(F.min("text").alias("text")).select("doc_id", "text", "label")
 
 
 def collected(featured: DataFrame, size: Column, most: int) -> list:
-    """The rows of a sample by the hash of their id, as many as have at most ``most`` features together.
+    """The rows of a sample by the hash of their id, as many as fit into ``most`` features together.
 
-    What the driver gets first is one size per row of the sample, which is bounded.
+    A row that doesn't fit any more is passed over, and those after it are still
+    taken where they do.  What the driver gets first is one size per row of the
+    sample, which is bounded.
     """
-    kept = checkpointed(featured.withColumn("size", size).withColumn("place", F.struct(F.xxhash64("doc_id").alias("h"), "doc_id")))
-    total, last = 0, None
-    for row in sorted(kept.select("place", "size").collect()):
-        total += row["size"]
-        if total > most:
-            break
-        last = row["place"]
-    if last is None:
-        return []
-    within = F.col("place") <= F.struct(F.lit(last["h"]).alias("h"), F.lit(last["doc_id"]).alias("doc_id"))
-    return sorted(kept.filter(within).collect(), key=lambda row: row["doc_id"])
+    kept = checkpointed(featured.withColumn("size", size).withColumn("place", F.xxhash64("doc_id")))
+    total, fitting = 0, []
+    for row in sorted(kept.select("place", "doc_id", "size").collect()):
+        if total + row["size"] <= most:
+            total += row["size"]
+            fitting.append((row["doc_id"],))
+    taken = kept.sparkSession.createDataFrame(fitting, "fitting_id long")
+    return sorted(kept.join(F.broadcast(taken), F.col("doc_id") == F.col("fitting_id")).collect(), key=lambda row: row["doc_id"])

@@ -16,6 +16,7 @@ is 0.5.  Repeated rows score alike, rows without an id are scored as well.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -76,7 +77,12 @@ def counterfactuals(found: set[str], lists: Sequence[Sequence[str]] = IDENTITY_T
     swapped, all of them could share one high weight.  One term at a time, so that
     a text that names two groups of a list does not become itself.
     """
-    return [(found - {term}) | other for terms in lists for term in terms if term in found for other in [set(), *({x} for x in terms if x != term)]]
+    return [(found - {term}) | ({other} if other else set()) for term, other in exchanges(found, lists)]
+
+
+def exchanges(found: set[str], lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[tuple[str, str | None]]:
+    """(term, what stands in its place) for every term of the lists among the words, None being nothing."""
+    return [(term, other) for terms in lists for term in terms if term in found for other in [None, *(x for x in terms if x != term)]]
 
 
 def _slots(word: str) -> tuple[int, ...]:
@@ -93,6 +99,18 @@ def features(found: set[str]) -> np.ndarray:
     return np.unique(np.array([slot for word in found for slot in _slots(word)], np.uint64))
 
 
+def moved(found: set[str], lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each counterfactual, the features that go and those that come; a handful, however long the text."""
+    pairs = exchanges(found, lists)
+    held = Counter(slot for word in found for slot in _slots(word)) if pairs else {}
+    out = []
+    for term, other in pairs:
+        old, new = set(_slots(term)), set(_slots(other)) if other and other not in found else set()
+        stays = {slot for slot in old | new if held.get(slot, 0) > (slot in old)}
+        out.append(tuple(np.array(sorted(side - stays), np.uint64) for side in (old - new, new - old)))
+    return out
+
+
 def fit(rows: Sequence[set[str]], labels: Sequence[int], epochs: int = 12, alpha: float = 4.0, beta: float = 1.0, l1: float = L1, l2: float = 0.1, penalty: float = PENALTY, seed: int = 11, lists: Sequence[Sequence[str]] = IDENTITY_TERMS) -> Weights:
     """Weights of log loss plus ``penalty`` times the mean squared score difference of the counterfactuals.
 
@@ -102,32 +120,37 @@ def fit(rows: Sequence[set[str]], labels: Sequence[int], epochs: int = 12, alpha
     number, to half at most.
     """
     own = [features(found) for found in rows]
-    others = [[features(x) for x in counterfactuals(found, lists)] for found in rows]
-    every, counts = np.unique(np.concatenate([np.empty(0, np.uint64), *own, *(x for xs in others for x in xs)]), return_counts=True)
-    every = every[counts > 1]
+    # of each counterfactual only what it changes is kept: the features that go, and those that come
+    swaps = [moved(found, lists) for found in rows]
+    none = np.empty(0, np.uint64)
+    every, which = np.unique(np.concatenate([none, *own, *(x for xs in swaps for pair in xs for x in pair)]), return_inverse=True)
+    times = np.concatenate([np.empty(0), *(np.full(len(x), 1.0 + len(xs)) for x, xs in zip(own, swaps)), *(np.full(len(x), sign) for xs in swaps for pair in xs for x, sign in zip(pair, (-1.0, 1.0)))])
+    every = every[np.bincount(which, times, len(every)) > 1]
     bias = len(every)
 
     def placed(row: np.ndarray) -> np.ndarray:
         at = np.searchsorted(every, row)
         at = at[at < bias]
-        return np.append(at[np.isin(every[at], row, assume_unique=True)], bias)
+        return at[np.isin(every[at], row, assume_unique=True)]
 
-    def changes(row: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Features that only one of the two has, and the sign of their part in the difference."""
-        moved = np.setxor1d(row, other, assume_unique=True)
-        return moved, np.where(np.isin(moved, row, assume_unique=True), 1.0, -1.0)
+    def change(gone: np.ndarray, come: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Features that only one of the two texts has, and the sign of their part in the difference."""
+        gone, come = placed(gone), placed(come)
+        at = np.concatenate([gone, come])
+        order = np.argsort(at)
+        return at[order], np.concatenate([np.ones(len(gone)), -np.ones(len(come))])[order]
 
-    own = [placed(x) for x in own]
-    swaps = [[changes(row, placed(x)) for x in xs] for row, xs in zip(own, others)]
+    own = [np.append(placed(x), bias) for x in own]
+    swaps = [[change(*pair) for pair in xs] for xs in swaps]
     model = Ftrl(bias + 1, alpha, beta, l1 * max(0.25, min(1.0, len(rows) / MAX_LABELLED)) ** 0.5, l2, rising=bias)
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         for i in order.permutation(len(rows)):
             score = float(model.weights(own[i]).sum())
             model.update(own[i], np.full(len(own[i]), sigmoid(score) - labels[i]))
-            for moved, change in swaps[i]:
-                difference = float(model.weights(moved) @ change)
-                model.update(moved, 2 * penalty / len(swaps[i]) * difference * change)
+            for index, sign in swaps[i]:
+                difference = float(model.weights(index) @ sign)
+                model.update(index, 2 * penalty / len(swaps[i]) * difference * sign)
     weights = model.weights()
     kept = np.flatnonzero(weights[:-1])
     return {int(every[i]): float(weights[i]) for i in kept}, float(weights[-1])

@@ -446,6 +446,44 @@ def test_labelled_sample_is_bounded_after_the_join(spark):
     assert sum(len(r["text"]) for r in linear.collected(sample, F.length("text"), 30)) <= 30
 
 
+def test_labels_of_other_documents_take_no_place(spark):
+    docs = documents(spark, [(10_000 + i, f"text {i}") for i in range(20)], extra=("label", "label_id"))
+    labels = labels_of(spark, [(i, 1, 0) for i in range(500)] + [(10_000 + i, 1, 0) for i in range(20)])
+    assert linear.labelled_sample(docs, labels, "quality", 1, 5, 30).count() == 20
+    weights = toxicity.train(documents(spark, []), labels)
+    assert toxicity.scored(docs, weights).filter("score <> 0.5").count() == 0 and toxicity.scored(documents(spark, []), weights).count() == 0
+
+
+def test_a_row_that_is_too_large_is_passed_over(spark):
+    sizes = [90, 5, 7, 40, 3, 60]
+    for big in range(6):  # wherever the large one stands in the order of the hashes
+        lengths = [1000 if i == big else n for i, n in enumerate(sizes)]
+        sample = spark.createDataFrame([(i, 0, "x" * n) for i, n in enumerate(lengths)], "doc_id long, label int, text string")
+        taken = [len(r["text"]) for r in linear.collected(sample, F.length("text"), 300)]
+        assert len(taken) == 5 and max(taken) < 1000
+
+
+def test_counterfactuals_keep_only_what_they_change():
+    rnd = random.Random(5)
+    vocabulary = [*(t for terms in toxicity.IDENTITY_TERMS for t in terms), "womenfolk", "gayness", "tree", "men"]
+    for _ in range(200):
+        found = set(rnd.sample(vocabulary, rnd.randint(0, 12)))
+        own = set(toxicity.features(found).tolist())
+        told = toxicity.moved(found)
+        assert len(told) == len(toxicity.counterfactuals(found))
+        for (gone, come), other in zip(told, toxicity.counterfactuals(found)):
+            theirs = set(toxicity.features(other).tolist())
+            assert set(gone.tolist()) == own - theirs and set(come.tolist()) == theirs - own and len(gone) + len(come) <= 6
+
+
+def test_chat_with_many_turns_of_one_number(spark):
+    rows = [(1, 0 if i % 2 else None, "user" if i % 5 else "assistant", f"{i:05d}") for i in range(20_000)]
+    got = chat.digests(chat.formatted(conversations(spark, rows))).first()
+    turns = sorted(((-1 if t is None else t), r, x) for _, t, r, x in rows)
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
+    assert got["loss_sha256"] == hashlib.sha256("".join(x for _, r, x in turns if r == "assistant").encode()).hexdigest()
+
+
 # -- 5
 
 
