@@ -22,7 +22,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterable, Mapping, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,6 +48,11 @@ class Manifest:
     files: dict[str, list[str]] = field(default_factory=dict)  # runs of each bucket, the base first
     batches: dict[str, int] = field(default_factory=dict)  # last batch of each stream
     lease: int = 0  # highest number of a lease that has written
+    by: tuple[str, ...] = ()  # columns of the key that choose the bucket, all of them if none
+
+    def after(self, files: dict[str, list[str]], lease: "Lease | None", batches: dict[str, int] | None = None) -> "Manifest":
+        """The next version, with other files."""
+        return replace(self, version=self.version + 1, files=files, batches=self.batches if batches is None else batches, lease=max(self.lease, lease.number if lease else 0))
 
     @property
     def struct(self) -> T.StructType:
@@ -62,13 +67,17 @@ class KeyedTable:
         self.manifests, self.data = Folder(spark, f"{path}/manifests"), Folder(spark, f"{path}/data")
 
     @classmethod
-    def create(cls, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], rules: Mapping[str, str] | None = None, buckets: int = 64) -> "KeyedTable":
-        """``rules`` by column; those without one, and not in the key, are ``last``."""
+    def create(cls, spark: SparkSession, path: str, schema: T.StructType, key: Sequence[str], rules: Mapping[str, str] | None = None, buckets: int = 64, by: Sequence[str] = ()) -> "KeyedTable":
+        """``rules`` by column; those without one, and not in the key, are ``last``.
+
+        ``by``: columns of the key that choose the bucket, where a reader knows only those.
+        """
         table = cls(spark, path)
+        schema = spark.createDataFrame([], schema.simpleString()).schema  # whatever a later version brings may be null
         every = {name: (rules or {}).get(name, "last") for name in schema.fieldNames() if name not in key}
-        if bad := [name for name, rule in every.items() if rule not in RULES] + [name for name in (*key, *(rules or {})) if name not in schema.fieldNames()]:
+        if bad := [name for name, rule in every.items() if rule not in RULES] + [name for name in (*key, *(rules or {})) if name not in schema.fieldNames()] + [name for name in by if name not in key]:
             raise ValueError(f"no such rule or column: {bad}")
-        table._commit(Manifest(1, tuple(key), buckets, every, json.loads(schema.json())))
+        table._commit(Manifest(1, tuple(key), buckets, every, json.loads(schema.json()), by=tuple(by)))
         return table
 
     # -- manifests
@@ -78,7 +87,7 @@ class KeyedTable:
         if not names:
             raise FileNotFoundError(f"no table at {self.path}")
         found = json.loads(self.manifests.read(names[-1]))
-        return Manifest(**found | {"key": tuple(found["key"])})
+        return Manifest(**found | {"key": tuple(found["key"]), "by": tuple(found["by"])})
 
     def _commit(self, new: Manifest) -> None:
         if not self.manifests.create(f"{new.version:012d}.json", json.dumps(new.__dict__)):
@@ -87,7 +96,7 @@ class KeyedTable:
     # -- writing
 
     def bucket_of(self, manifest: Manifest) -> Column:
-        return F.pmod(F.xxhash64(*(F.col(name).cast("string") for name in manifest.key)), F.lit(manifest.buckets)).cast("int")
+        return F.pmod(F.xxhash64(*(F.col(name).cast("string") for name in manifest.by or manifest.key)), F.lit(manifest.buckets)).cast("int")
 
     def upsert(self, rows: DataFrame, written: Column | None = None, stream: str | None = None, batch: int | None = None, order: Column | None = None, lease: Lease | None = None) -> list[int]:
         """Commits ``rows`` as the latest version of their keys; the buckets it wrote to.
@@ -114,7 +123,7 @@ class KeyedTable:
         batches = now.batches if batch is None else now.batches | {stream or "": batch}
         if lease:
             lease.check()
-        self._commit(Manifest(now.version + 1, now.key, now.buckets, now.rules, now.schema, files, batches, max(now.lease, lease.number if lease else 0)))
+        self._commit(now.after(files, lease, batches))
         return buckets
 
     def _write(self, versions: DataFrame, manifest: Manifest, run: str) -> None:
@@ -142,10 +151,11 @@ class KeyedTable:
         out = versions.groupBy(*manifest.key).agg(*(value(name, rule) for name, rule in manifest.rules.items()), F.bool_or("_written").alias("_written"), F.max("_version").alias("_version"))
         return out.select(*manifest.struct.fieldNames(), "_written", "_version")
 
-    def read(self, buckets: Iterable[int] | None = None) -> DataFrame:
-        """The rows of the present version, of some buckets only where given."""
+    def read(self, buckets: Iterable[int] | None = None, keys: Column | None = None) -> DataFrame:
+        """The rows of the present version, of some buckets and of keys that meet a condition only where given."""
         now = self.manifest()
-        return self._merged(self._versions(now, buckets), now).drop("_written", "_version")
+        versions = self._versions(now, buckets)
+        return self._merged(versions if keys is None else versions.filter(keys), now).drop("_written", "_version")
 
     def read_for(self, rows: DataFrame) -> DataFrame:
         """The stored rows of the buckets that ``rows`` fall into; the driver gets the numbers of those."""
@@ -165,7 +175,7 @@ class KeyedTable:
         run = f"run={now.version + 1:012d}-{uuid.uuid4().hex}"
         self._write(self._merged(self._versions(now, full), now), now, run)
         files = now.files | {str(b): [run] for b in full}
-        self._commit(Manifest(now.version + 1, now.key, now.buckets, now.rules, now.schema, files, now.batches, max(now.lease, lease.number if lease else 0)))
+        self._commit(now.after(files, lease))
         return full
 
     def vacuum(self, keep: int = 2) -> list[str]:
