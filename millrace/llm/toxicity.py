@@ -122,10 +122,15 @@ def fit(rows: Sequence[set[str]], labels: Sequence[int], epochs: int = 12, alpha
     own = [features(found) for found in rows]
     # of each counterfactual only what it changes is kept: the features that go, and those that come
     swaps = [moved(found, lists) for found in rows]
-    none = np.empty(0, np.uint64)
-    every, which = np.unique(np.concatenate([none, *own, *(x for xs in swaps for pair in xs for x in pair)]), return_inverse=True)
-    times = np.concatenate([np.empty(0), *(np.full(len(x), 1.0 + len(xs)) for x, xs in zip(own, swaps)), *(np.full(len(x), sign) for xs in swaps for pair in xs for x, sign in zip(pair, (-1.0, 1.0)))])
-    every = every[np.bincount(which, times, len(every)) > 1]
+    every, times = np.unique(np.concatenate([np.empty(0, np.uint64), *own, *(come for xs in swaps for _, come in xs)]), return_counts=True)
+    for row, xs in zip(own, swaps):
+        # each counterfactual has the row's features once more, but for those that go
+        if xs:
+            times[np.searchsorted(every, row)] += len(xs)
+        for gone, _ in xs:
+            times[np.searchsorted(every, gone)] -= 1
+    every = every[times > 1]
+    del times
     bias = len(every)
 
     def placed(row: np.ndarray) -> np.ndarray:
