@@ -16,7 +16,7 @@ from millrace.plans import diagnostics, fetching, funnel, reports, standins
 from millrace.plans.standins import run
 from millrace.session import shared_folder
 from millrace.settings import GATES
-from millrace.sources import seeds, sinks
+from millrace.sources import files, seeds, sinks
 
 # ---------------------------------------------------------------- sources and companies
 
@@ -80,9 +80,9 @@ def unmatched_leads(spark, sf_dir):
     return reports.unmatched_leads(run(spark, sf_dir, standins.POSTINGS), owners)
 
 
-@query("counts_in_one_row", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM pages WHERE page_id < 0) AS gone")
+@query("counts_in_one_row", "SELECT (SELECT count(*) FROM orders) AS orders, (SELECT count(*) FROM events) AS events, (SELECT count(*) FROM pages) AS pages")
 def counts_in_one_row(spark, sf_dir):
-    return reports.counts_in_one_row({"orders": table(spark, sf_dir, "orders"), "events": table(spark, sf_dir, "events"), "gone": table(spark, sf_dir, "pages").filter("page_id < 0")})
+    return reports.counts_in_one_row({"orders": table(spark, sf_dir, "orders"), "events": table(spark, sf_dir, "events"), "pages": table(spark, sf_dir, "pages")})
 
 
 _CONFIG = "SELECT s_suppkey AS id, 'board_' || CAST(s_suppkey % 9 AS STRING) AS token, s_suppkey % 3 AS shape, s_nationkey AS company_id FROM supplier"
@@ -530,12 +530,15 @@ def tagged_bullets(spark, sf_dir):
 # ---------------------------------------------------------------- matching and evaluation
 
 
-@query("resolved_leads", with_(leads="SELECT o_orderkey AS id, CASE o_orderkey % 3 WHEN 0 THEN 'Acme' ELSE c_name END AS company_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_custkey < 40") + """
-SELECT l.id AS external_id, CASE WHEN company_name = 'Acme' THEN (SELECT max(c_custkey) + 1 FROM customer WHERE c_custkey < 40) ELSE c_custkey END AS company_id FROM leads l LEFT JOIN customer ON c_name = company_name""")
+#: Names with equal sets of trigrams are equally like a lead; the smallest id of them is its company.
+_ALIKE = "SELECT c_custkey, c_name, min(c_custkey) OVER (PARTITION BY list_sort(list_distinct(flatten(list_transform(string_split(lower(replace(c_name, '#', ' ')), ' '), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', CAST(i AS INT), 3))))))) AS best FROM customer"
+
+
+@query("resolved_leads", with_(alike=_ALIKE) + """SELECT o_orderkey AS external_id, CASE o_orderkey % 3 WHEN 0 THEN (SELECT max(c_custkey) + 1 FROM customer) ELSE best END AS company_id FROM orders JOIN alike ON o_custkey = c_custkey""")
 def resolved_leads(spark, sf_dir):
-    c = table(spark, sf_dir, "customer").filter("c_custkey < 40").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lower("c_name").alias("slug"), F.lit("volume").alias("tier"), F.lit("tracking").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.lower("c_name").alias("slug"), F.lit("volume").alias("tier"), F.lit("tracking").alias("status"), F.lit(None).cast("timestamp").alias("deleted_at"))
     companies = matching.with_reserved_company(c)
-    orders = table(spark, sf_dir, "orders").filter("o_custkey < 40").join(c.select(F.col("id").alias("o_custkey"), F.col("name").alias("c_name")), "o_custkey")
+    orders = table(spark, sf_dir, "orders").join(c.select(F.col("id").alias("o_custkey"), F.col("name").alias("c_name")), "o_custkey")
     leads = orders.select(F.col("o_orderkey").alias("external_id"), F.when(F.col("o_orderkey") % 3 == 0, "Acme").otherwise(F.concat("c_name", F.lit(" Pvt. Ltd."))).alias("company_name"))
     return matching.resolved_leads(leads, companies)
 
@@ -704,9 +707,9 @@ def slice_candidates(spark, sf_dir):
 # ---------------------------------------------------------------- seeds
 
 
-@query("alias_conflicts", "SELECT lower(p_name) AS alias, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS tokens FROM part WHERE p_size <= 3 GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
+@query("alias_conflicts", "SELECT lower(p_name) AS alias, string_agg(DISTINCT p_brand, ',' ORDER BY p_brand) AS tokens FROM part GROUP BY 1 HAVING count(DISTINCT p_brand) > 1")
 def alias_conflicts(spark, sf_dir):
-    surfaces = table(spark, sf_dir, "part").filter("p_size <= 3").select(F.col("p_brand").alias("token"), F.upper("p_name").alias("surface"))
+    surfaces = table(spark, sf_dir, "part").select(F.col("p_brand").alias("token"), F.upper("p_name").alias("surface"))
     return duplicate_aliases(surfaces).select("alias", F.array_join("tokens", ",").alias("tokens"))
 
 
@@ -721,34 +724,31 @@ def absent_members(spark, sf_dir):
 @query("seeded_files", """SELECT 'company' AS kind, lower(n_name) AS key, CAST(n_nationkey % 3 AS STRING) AS detail FROM nation UNION ALL SELECT 'source', lower(n_name), 'board' || n_nationkey FROM nation WHERE n_nationkey % 3 > 0
 UNION ALL SELECT 'claim', lower(r_name), 'yes' FROM region WHERE r_regionkey % 2 = 0 UNION ALL SELECT 'tag', 'b' || r_regionkey, 'sql' FROM region UNION ALL SELECT 'case', lower(r_name), 'Text of ' || r_name FROM region UNION ALL SELECT 'variant', lower(r_name), 'sql' FROM region""")
 def seeded_files(spark, sf_dir):
-    """Seed files of companies, claims, tags, cases and variants, written and loaded; each is a file of settings, a few rows."""
-    import json
-    import tempfile
-    from pathlib import Path
-
-    folder = Path(tempfile.mkdtemp(prefix="millrace-seeds-"))
-    nations = [(r["n_nationkey"], r["n_name"]) for r in table(spark, sf_dir, "nation").orderBy("n_nationkey").limit(100).collect()]
-    regions = [(r["r_regionkey"], r["r_name"]) for r in table(spark, sf_dir, "region").orderBy("r_regionkey").limit(100).collect()]
-    companies = [{"slug": n.lower(), "name": n, "tier": str(k % 3), "sources": [{"adapter": "lever", "config": {"site": f"board{k}"}}] * (k % 3 > 0)} for k, n in nations]
-    (folder / "companies.json").write_text(json.dumps({"companies": companies}))
-    (folder / "claims.json").write_text(json.dumps({"claims": [{"key": n.lower(), "statement": f"Sold in {n}", "verdict": "yes" if k % 2 == 0 else "no"} for k, n in regions]}))
-    (folder / "tags.json").write_text(json.dumps({"bullets": {f"b{k}": {"skills": ["sql"], "claims": [], "text": n} for k, n in regions}}))
-    for name in ("cases", "variants"):
-        (folder / name).mkdir()
-    for _, n in regions:
-        (folder / "cases" / f"{n}.yaml").write_text(f"id: '{n.lower()}'\nslice: terse\njd_text_file: {n}.txt\n")
-        (folder / "cases" / f"{n}.txt").write_text(f"Text of {n}")
-        (folder / "variants" / f"{n.lower()}.json").write_text(json.dumps({"experience": [], "projects": [], "skills": [{"label": "Tools", "items": ["sql"]}]}))
-    loaded, sources = seeds.load_companies(spark, folder / "companies.json")
+    """Seed files of companies, claims, tags, cases and variants, written to the shared folder and loaded; each is a file of settings."""
+    folder = f"{shared_folder(spark)}/seeds-{uuid.uuid4().hex}"
+    out = files.Folder(spark, folder)
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    site = F.array(F.struct(F.lit("lever").alias("adapter"), F.create_map(F.lit("site"), F.concat(F.lit("board"), F.col("n_nationkey").cast("string"))).alias("config")))
+    company = F.struct(F.lower("n_name").alias("slug"), F.col("n_name").alias("name"), (F.col("n_nationkey") % 3).cast("string").alias("tier"), F.when(F.col("n_nationkey") % 3 > 0, site).alias("sources"))
+    claim = F.struct(F.lower("r_name").alias("key"), F.concat(F.lit("Sold in "), "r_name").alias("statement"), F.when(F.col("r_regionkey") % 2 == 0, "yes").otherwise("no").alias("verdict"))
+    tag = F.struct(F.concat(F.lit("b"), F.col("r_regionkey").cast("string")), F.struct(F.array(F.lit("sql")).alias("skills"), F.array().cast("array<string>").alias("claims"), F.col("r_name").alias("text")))
+    out.create("companies.json", n.agg(F.to_json(F.struct(F.collect_list(company).alias("companies")))).first()[0])
+    out.create("claims.json", r.agg(F.to_json(F.struct(F.collect_list(claim).alias("claims")))).first()[0])
+    out.create("tags.json", r.agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(tag)).alias("bullets")))).first()[0])
+    for name in (row[0] for row in r.select("r_name").collect()):
+        out.create(f"cases/{name}.yaml", f"id: '{name.lower()}'\nslice: terse\njd_text_file: {name}.txt\n")
+        out.create(f"cases/{name}.txt", f"Text of {name}")
+        out.create(f"variants/{name.lower()}.json", '{"experience": [], "projects": [], "skills": [{"label": "Tools", "items": ["sql"]}]}')
+    loaded, sources = seeds.load_companies(spark, f"{folder}/companies.json")
     sources = sources.join(loaded.select(F.col("id").alias("company_id"), "slug"), "company_id")
     row = lambda df, kind, key, detail: df.select(F.lit(kind).alias("kind"), key.alias("key"), detail.cast("string").alias("detail"))
     parts = [
         row(loaded, "company", F.col("slug"), F.col("tier")),
         row(sources, "source", F.col("slug"), F.col("config")["site"]),
-        row(seeds.load_claims(spark, folder / "claims.json"), "claim", F.col("key"), F.col("verdict")),
-        row(seeds.load_tags(spark, folder / "tags.json"), "tag", F.col("bullet_id"), F.col("skills")[0]),
-        row(seeds.load_cases(spark, folder / "cases"), "case", F.col("id"), F.col("text")),
-        row(seeds.load_variants(spark, str(folder / "variants")), "variant", F.col("key"), F.col("content.skills")[0]["items"][0]),
+        row(seeds.load_claims(spark, f"{folder}/claims.json"), "claim", F.col("key"), F.col("verdict")),
+        row(seeds.load_tags(spark, f"{folder}/tags.json"), "tag", F.col("bullet_id"), F.col("skills")[0]),
+        row(seeds.load_cases(spark, f"{folder}/cases"), "case", F.col("id"), F.col("text")),
+        row(seeds.load_variants(spark, f"{folder}/variants"), "variant", F.col("key"), F.col("content.skills")[0]["items"][0]),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -44,11 +44,11 @@ def city_keys(spark, sf_dir):
     return _placed(spark, sf_dir).groupBy(key.alias("city_key")).agg(F.count("*").alias("n"))
 
 
-@query("remote_markers", r"SELECT doc_id AS id, regexp_matches(lower(t), '\b(remote|work\s+from\s+home|wfh|virtual|anywhere|distributed)\b') AS remote FROM (SELECT doc_id, left(coalesce(text, ''), 60) || CASE doc_id % 6 WHEN 0 THEN ' Fully Remote.' WHEN 1 THEN ' remotely' WHEN 2 THEN ' (WFH)' WHEN 3 THEN ' non-virtual' ELSE '' END AS t FROM documents)")
+@query("remote_markers", r"SELECT doc_id AS id, regexp_matches(lower(t), '\b(remote|work\s+from\s+home|wfh|virtual|anywhere|distributed)\b') AS remote FROM (SELECT doc_id, coalesce(text, '') || CASE doc_id % 6 WHEN 0 THEN ' Fully Remote.' WHEN 1 THEN ' remotely' WHEN 2 THEN ' (WFH)' WHEN 3 THEN ' non-virtual' ELSE '' END AS t FROM documents)")
 def remote_markers(spark, sf_dir):
     k = F.col("doc_id") % 6
     tail = F.when(k == 0, " Fully Remote.").when(k == 1, " remotely").when(k == 2, " (WFH)").when(k == 3, " non-virtual").otherwise("")
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), location.remote(F.concat(F.left(F.coalesce("text", F.lit("")), F.lit(60)), tail)).alias("remote"))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), location.remote(F.concat(F.coalesce("text", F.lit("")), tail)).alias("remote"))
 
 
 # ---------------------------------------------------------------- dates
@@ -208,10 +208,11 @@ def indexed_search(spark, sf_dir):
     return search.found(index, "License, the").select("id", F.round("score", 6).alias("score"))
 
 
-@query("posting_ids", "SELECT count(*) AS n, count(DISTINCT (source, doc_id % 900)) AS ids, true AS valid FROM documents")
+@query("posting_ids", r"SELECT doc_id, translate(d[1:1], '89ABCDEF', '01234567') || d[2:] AS id, true AS valid FROM (SELECT doc_id, upper(left(sha256(CAST(CAST(substr(source, 4) AS INT) AS VARCHAR) || '|x' || doc_id % 900), 26)) AS d FROM documents)")
 def posting_ids(spark, sf_dir):
-    ids = table(spark, sf_dir, "documents").select(ingest.posting_id(F.substring("source", 4, 9).cast("int"), F.concat(F.lit("x"), (F.col("doc_id") % 900).cast("string"))).alias("id"))
-    return ids.agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.every(text.is_ulid(F.col("id"))).alias("valid"))
+    """The same source and external id have the same id, whenever it is computed, and each is a ULID."""
+    ids = table(spark, sf_dir, "documents").select("doc_id", ingest.posting_id(F.substring("source", 4, 9).cast("int"), F.concat(F.lit("x"), (F.col("doc_id") % 900).cast("string"))).alias("id"))
+    return ids.withColumn("valid", text.is_ulid(F.col("id")))
 
 
 @query("raw_flags", """SELECT doc_id AS id, '{"source":"' || source || '"' || CASE WHEN doc_id % 2 = 0 THEN ',"lang":"' || lang || '"' ELSE '' END || CASE WHEN n_chars > 500 THEN ',"description_truncated":"true","description_original_chars":"' || n_chars || '"' ELSE '' END || '}' AS raw FROM documents""")

@@ -38,6 +38,7 @@ class Folder:
         stream = self._fs.create(self._place(aside), False)
         stream.write(bytearray(content, "utf-8"))
         stream.close()
+        self._fs.mkdirs(self._place(name).getParent())
         options = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
         options[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.NONE
         try:

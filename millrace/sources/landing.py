@@ -26,7 +26,7 @@ PAGES = {"greenhouse": boards.GREENHOUSE, "ashby": boards.ASHBY, "lever": f"item
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """source_id, run, name (below the run), bytes, value of all landed files; a page is one row."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", True).text(path)
+    rows = spark.read.option("pathGlobFilter", "*.{json,txt}").option("recursiveFileLookup", True).text(path, wholetext=True)
     place = lambda part: F.regexp_extract("_metadata.file_path", "/source_id=([0-9]+)/run=([^/]+)/(.+)$", part)
     return rows.select(place(1).try_cast("long").alias("source_id"), place(2).alias("run"), place(3).alias("name"), F.col("_metadata.file_size").alias("bytes"), "value").filter("source_id is not null")
 

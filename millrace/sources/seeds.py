@@ -1,14 +1,20 @@
-"""Small seed files, read on the driver: YAML or JSON to checked DataFrames."""
+"""Seed files, in YAML or JSON, to checked DataFrames.
+
+Files are read by Spark, wherever it can read; YAML becomes JSON in the task that
+read it, and everything behind is columns.  What must not be is looked for with
+joins and counts; the driver hears of the first few offenders.
+"""
 
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Mapping
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from millrace.operators.variants import CONTENT
 from millrace.operators.vocabulary import Vocabulary
@@ -18,69 +24,81 @@ class SeedError(ValueError):
     """A seed file that must not be loaded."""
 
 
-def document(path: str | Path) -> Mapping:
-    text = Path(path).read_text(encoding="utf-8")
-    if str(path).endswith(".json"):
-        return json.loads(text)
+@F.pandas_udf(T.StringType())
+def _as_json(texts: pd.Series) -> pd.Series:
     import yaml
 
-    return yaml.safe_load(text) or {}
+    return texts.map(lambda text: json.dumps(yaml.safe_load(text) or {}, default=str), na_action="ignore")
+
+
+def documents(spark: SparkSession, path: str | Path, suffixes: tuple[str, ...] = ("json", "yaml", "yml")) -> DataFrame:
+    """file, folder, value (JSON) of the files at or below a path."""
+    rows = spark.read.option("pathGlobFilter", f"*.{{{','.join(suffixes)}}}").text(str(path), wholetext=True)
+    rows = rows.select(F.col("_metadata.file_path").alias("place"), "value")
+    value = F.when(F.endswith("place", F.lit(".json")), F.col("value")).otherwise(_as_json(F.when(~F.endswith("place", F.lit(".json")), F.col("value"))))
+    decoded = F.url_decode(F.replace("place", F.lit("+"), F.lit("%2B")))
+    return rows.select(F.regexp_extract(decoded, "([^/]+)$", 1).alias("file"), F.regexp_extract(decoded, "^(.*)/[^/]+$", 1).alias("folder"), value.alias("value"))
+
+
+def document(spark: SparkSession, path: str | Path) -> Mapping:
+    """One small file of settings as a mapping, on the driver."""
+    return json.loads(documents(spark, path).first()["value"])
+
+
+def _refuse(rows: DataFrame, name: Column, what: str) -> None:
+    found = sorted(str(row[0]) for row in rows.select(name).limit(20).collect())
+    if found:
+        raise SeedError(f"{what}: {found}")
+
+
+def _unique(rows: DataFrame, name: str, what: str) -> DataFrame:
+    _refuse(rows.groupBy(name).count().filter("count > 1"), F.col(name), f"{what} given twice")
+    return rows
 
 
-def _unique(values, what: str) -> None:
-    twice = sorted(str(v) for v, n in Counter(values).items() if n > 1)
-    if twice:
-        raise SeedError(f"{what} given twice: {twice}")
+def load_vocabulary(spark: SparkSession, path: str | Path, adjacency: str | Path | None = None) -> Vocabulary:
+    credits = document(spark, adjacency).get("families") if adjacency else {}
+    return Vocabulary.from_mapping(document(spark, path), {k: float(v) for k, v in (credits or {}).items()})
 
 
-def load_vocabulary(path: str | Path, adjacency: str | Path | None = None) -> Vocabulary:
-    credits = document(adjacency).get("families") if adjacency else {}
-    return Vocabulary.from_mapping(document(path), {k: float(v) for k, v in (credits or {}).items()})
+_COMPANY = "companies array<struct<slug:string,name:string,tier:string,status:string,tags:array<string>,location_filter:array<string>,sources:array<struct<adapter:string,config:map<string,string>>>>>"
 
 
 def load_companies(spark: SparkSession, path: str | Path) -> tuple[DataFrame, DataFrame]:
     """(companies, sources) of a company seed; slugs are unique."""
-    entries = document(path).get("companies") or ()
-    _unique([e["slug"] for e in entries], "slugs")
-    companies = [(i, e["slug"], e["name"], e.get("tier") or "volume", e.get("status") or "tracking", list(e.get("tags") or ()), list(e.get("location_filter") or ())) for i, e in enumerate(entries, 1)]
-    sources = [(i, s["adapter"], {k: str(v) for k, v in s["config"].items()}) for i, e in enumerate(entries, 1) for s in e.get("sources") or ()]
-    return (
-        spark.createDataFrame(companies, "id long, slug string, name string, tier string, status string, tags array<string>, location_filter array<string>"),
-        spark.createDataFrame(sources, "company_id long, adapter string, config map<string,string>"),
-    )
+    entries = documents(spark, path).select(F.posexplode(F.from_json("value", _COMPANY)["companies"]).alias("at", "e"))
+    nothing = F.array().cast("array<string>")
+    rows = entries.select((F.col("at") + 1).cast("long").alias("id"), "e.slug", "e.name", F.coalesce(F.nullif("e.tier", F.lit("")), F.lit("volume")).alias("tier"), F.coalesce(F.nullif("e.status", F.lit("")), F.lit("tracking")).alias("status"), F.coalesce("e.tags", nothing).alias("tags"), F.coalesce("e.location_filter", nothing).alias("location_filter"))
+    sources = entries.select((F.col("at") + 1).cast("long").alias("company_id"), F.explode("e.sources").alias("s")).select("company_id", "s.adapter", "s.config")
+    return _unique(rows, "slug", "slugs"), sources
 
 
-def load_variants(spark: SparkSession, folder: str) -> DataFrame:
+def load_variants(spark: SparkSession, folder: str | Path) -> DataFrame:
     """key, content of the JSON files of a folder."""
-    rows = spark.read.text(folder, wholetext=True).withColumn("_file", F.input_file_name())
-    name = F.replace(F.regexp_extract("_file", r"([^/]+)\.json$", 1), F.lit("+"), F.lit("%2B"))  # escaped, as in a URL
-    return rows.select(F.url_decode(name).alias("key"), F.from_json("value", CONTENT).alias("content"))
+    return documents(spark, folder, ("json",)).select(F.regexp_extract("file", r"^(.*)\.json$", 1).alias("key"), F.from_json("value", CONTENT).alias("content"))
 
 
 def load_claims(spark: SparkSession, path: str | Path) -> DataFrame:
     """key, statement, verdict of approved claims; placeholders are refused."""
-    entries = document(path).get("claims") or ()
-    _unique([e["key"] for e in entries], "claims")
-    open_ = [e["key"] for e in entries if str(e.get("verdict")).lower() in ("yes", "true") and any(x in str(e.get("statement") or "") for x in ("TODO", "TBD", "XX"))]
-    if open_:
-        raise SeedError(f"approved claims with placeholders: {open_}")
-    rows = [(e["key"], str(e.get("statement") or ""), "yes") for e in entries if str(e.get("verdict")).lower() in ("yes", "true")]
-    return spark.createDataFrame(rows, "key string, statement string, verdict string")
+    entries = documents(spark, path).select(F.inline(F.from_json("value", "claims array<struct<key:string,statement:string,verdict:string>>")["claims"]))
+    entries = _unique(entries.withColumn("statement", F.coalesce("statement", F.lit(""))), "key", "claims")
+    approved = entries.filter(F.lower("verdict").isin("yes", "true"))
+    _refuse(approved.filter(F.col("statement").rlike("TODO|TBD|XX")), F.col("key"), "approved claims with placeholders")
+    return approved.select("key", "statement", F.lit("yes").alias("verdict"))
 
 
 def load_tags(spark: SparkSession, path: str | Path) -> DataFrame:
     """bullet_id, skills, claims, text."""
-    entries = document(path).get("bullets") or {}
-    rows = [(k, list(v.get("skills") or ()), list(v.get("claims") or ()), v.get("text")) for k, v in entries.items()]
-    return spark.createDataFrame(rows, "bullet_id string, skills array<string>, claims array<string>, text string")
+    tags = F.from_json("value", "bullets map<string,struct<skills:array<string>,claims:array<string>,text:string>>")["bullets"]
+    nothing = F.array().cast("array<string>")
+    return documents(spark, path).select(F.explode(tags).alias("bullet_id", "t")).select("bullet_id", F.coalesce("t.skills", nothing).alias("skills"), F.coalesce("t.claims", nothing).alias("claims"), "t.text")
 
 
 def load_cases(spark: SparkSession, folder: str | Path) -> DataFrame:
-    """id, slice, text, labels of golden cases: a YAML file and a text beside it each."""
-    rows = []
-    for path in sorted(Path(folder).glob("*.yaml")):
-        case = document(path)
-        text = path.parent / str(case.get("jd_text_file") or f"{path.stem}.txt")
-        rows.append((str(case["id"]), str(case["slice"]), text.read_text(encoding="utf-8"), json.dumps(case.get("labels") or {})))
-    _unique([r[0] for r in rows], "cases")
-    return spark.createDataFrame(rows, "id string, slice string, text string, labels string")
+    """id, slice, text, labels of golden cases: a YAML file and a text beside it each; a case without its text is refused."""
+    cases = documents(spark, folder, ("yaml",)).select("file", F.from_json("value", "id string, slice string, jd_text_file string").alias("c"), F.coalesce(F.get_json_object("value", "$.labels"), F.lit("{}")).alias("labels"))
+    cases = _unique(cases.select("c.id", "c.slice", F.coalesce("c.jd_text_file", F.regexp_replace("file", r"\.yaml$", ".txt")).alias("text_file"), "labels"), "id", "cases")
+    texts = spark.read.option("pathGlobFilter", "*.txt").text(str(folder), wholetext=True)
+    texts = texts.select(F.url_decode(F.replace("_metadata.file_name", F.lit("+"), F.lit("%2B"))).alias("text_file"), F.col("value").alias("text"))
+    _refuse(cases.join(texts, "text_file", "left_anti"), F.col("id"), "cases without a text")
+    return cases.join(texts, "text_file").select("id", "slice", "text", "labels")

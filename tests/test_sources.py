@@ -168,7 +168,7 @@ def test_card_lines_take_the_fullest_element_up_to_the_card(spark):
 def test_seeds(spark, tmp_path):
     (tmp_path / "v.json").write_text(json.dumps({"version": "v1", "skills": [{"token": "aws", "family": "cloud", "aliases": ["amazon web services"]}]}))
     (tmp_path / "a.json").write_text(json.dumps({"families": {"cloud": 0.6}}))
-    assert seeds.load_vocabulary(tmp_path / "v.json", tmp_path / "a.json").aliases["amazon web services"] == "aws"
+    assert seeds.load_vocabulary(spark, tmp_path / "v.json", tmp_path / "a.json").aliases["amazon web services"] == "aws"
     (tmp_path / "c.json").write_text(json.dumps({"companies": [{"slug": "a", "name": "A", "sources": [{"adapter": "lever", "config": {"site": "a"}}]}]}))
     companies, sources = seeds.load_companies(spark, tmp_path / "c.json")
     assert companies.count() == sources.count() == 1
@@ -258,7 +258,7 @@ def lands(tmp_path, source, run, adapter, pages, status="ok", files=None, manife
 def test_one_source_fails_by_itself(spark, tmp_path):
     job = lambda n: {"id": n, "absolute_url": f"https://b.io/{n}", "title": "Engineer", "content": "<p>x</p>"}
     post = lambda n: {"id": n, "text": "Dev", "hostedUrl": "https://l.io/a", "descriptionPlain": f"text {n}"}
-    lands(tmp_path, 1, "r1", "greenhouse", {"p0.json": {"jobs": [job(1)]}, "p1.json": {"jobs": [job(2)]}})
+    lands(tmp_path, 1, "r1", "greenhouse", {"p0.json": {"jobs": [job(1)]}, "p1.json": json.dumps({"jobs": [job(2)]}, indent=1)})
     lands(tmp_path, 2, "r1", "greenhouse", {"p0.json": {"jobs": [job(3)]}, "p1.json": '{"jobs": [{"id": 4, "tit'})
     lands(tmp_path, 3, "r1", "lever", {"p0.json": [post("a"), post("b")], "p1.json": [post("b")]})
     lands(tmp_path, 4, "r1", "lever", {"p0.json": [post("c"), {"text": "without id"}]})
