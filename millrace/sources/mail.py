@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-import base64
 import itertools
-import json
 import re
 import unicodedata
-from collections.abc import Iterator
-from email.utils import parseaddr
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,55 +20,69 @@ DEEPEST = 8
 MOST_BODY_BYTES = 2 * 1024 * 1024
 LOOKBACK_HOURS = 26
 
-_MESSAGE = T.StructType([T.StructField(n, T.StringType()) for n in ("message_id", "sender", "subject", "millis", "html_body", "text_body")])
-
-
-def decoded_body(body) -> str | None:
-    """A base64url body as text; null where it is too large or isn't any."""
-    data = (body or {}).get("data")
-    if not isinstance(data, str) or not data or len(data) * 3 // 4 > MOST_BODY_BYTES:
-        return None
-    try:
-        return base64.urlsafe_b64decode(data + "=" * (-len(data) % 4)).decode("utf-8", "replace")
-    except ValueError:
-        return None
-
-
-def bodies(part, depth: int = 0) -> Iterator[tuple[str, str]]:
-    """(type, text) of the text parts of a message, nested parts to a bounded depth."""
-    if depth > DEEPEST or not isinstance(part, dict):
-        return
-    kind = str(part.get("mimeType") or "").lower()
-    if kind in ("text/html", "text/plain") and (text := decoded_body(part.get("body"))) is not None:
-        yield kind, text
-    for below in part.get("parts") or ():
-        yield from bodies(below, depth + 1)
-
-
-def message_of(resource: str) -> tuple | None:
-    """Fields of one message resource (JSON), null without id, sender or time."""
-    try:
-        given = json.loads(resource)
-    except (TypeError, ValueError):
-        return None
-    payload = given.get("payload") if isinstance(given.get("payload"), dict) else {}
-    headers: dict[str, str] = {}
-    for header in payload.get("headers") or ():
-        if isinstance(header, dict) and isinstance(header.get("name"), str) and isinstance(header.get("value"), str):
-            headers.setdefault(header["name"].lower(), header["value"])
-    sender = parseaddr(headers.get("from", ""))[1].strip()
-    millis = str(given.get("internalDate") or "")
-    if not given.get("id") or not sender or not re.fullmatch(r"-?\d+", millis):
-        return None
-    found: dict[str, str] = {}
-    for kind, text in bodies(payload):
-        found.setdefault(kind, text)
-    return given["id"], sender, headers.get("subject", ""), millis, found.get("text/html"), found.get("text/plain")
-
-
-@F.pandas_udf(_MESSAGE)
-def _parsed(resources: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([message_of(r) or (None,) * 6 for r in resources], columns=_MESSAGE.names)
+_PARTS = "array<struct<path:array<int>,part:variant>>"
+
+
+def _text(value: Column, path: str) -> Column:
+    """The text at a path of a variant, null where there is something else."""
+    found = F.try_variant_get(value, path, "variant")
+    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+
+
+def decoded_body(data: Column) -> Column:
+    """A base64url body as text, malformed characters replaced; null where it is too large or isn't any."""
+    plain = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/]", "")
+    short = F.length(plain) % 4
+    padded = F.concat(plain, F.when(short == 2, "==").when(short == 3, "=").otherwise(""))
+    text = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
+    return F.when((data != "") & (F.floor(F.length(data) * 3 / 4) <= MOST_BODY_BYTES) & (short != 1), text)
+
+
+def parts_of(payload: Column) -> Column:
+    """All parts of a message to a bounded depth, each with its path, whose order is that of a walk from the top."""
+    nothing = F.array().cast(_PARTS)
+
+    def below(level: Column) -> Column:
+        children = lambda x: F.coalesce(F.try_variant_get(x["part"], "$.parts", "array<variant>"), F.array().cast("array<variant>"))
+        return F.flatten(F.transform(level, lambda x: F.transform(children(x), lambda part, i: F.struct(F.concat(x["path"], F.array(i)).alias("path"), part.alias("part")))))
+
+    def step(so_far: Column, _: Column) -> Column:
+        return F.transform(F.array(below(so_far["last"])), lambda level: F.struct(F.concat(so_far["all"], level).alias("all"), level.alias("last")))[0]
+
+    top = F.array(F.struct(F.array().cast("array<int>").alias("path"), payload.alias("part"))).cast(_PARTS)
+    start = F.struct(top.alias("all"), top.alias("last"))
+    return F.coalesce(F.aggregate(F.sequence(F.lit(1), F.lit(DEEPEST)), start, step)["all"], nothing)
+
+
+def _body(parts: Column, kind: str) -> Column:
+    """The first text of a kind that can be decoded."""
+    own = F.filter(parts, lambda x: F.lower(_text(x["part"], "$.mimeType")) == kind)
+    texts = F.transform(own, lambda x: F.struct(x["path"].alias("path"), decoded_body(_text(x["part"], "$.body.data")).alias("text")))
+    return F.array_min(F.filter(texts, lambda x: x["text"].isNotNull()))["text"]
+
+
+def _header(payload: Column, name: str) -> Column:
+    headers = F.coalesce(F.try_variant_get(payload, "$.headers", "array<variant>"), F.array().cast("array<variant>"))
+    values = F.transform(F.filter(headers, lambda h: F.lower(_text(h, "$.name")) == name), lambda h: _text(h, "$.value"))
+    return F.get(F.array_compact(values), F.lit(0))
+
+
+def address(header: Column) -> Column:
+    """The address of a sender's header: what is in angle brackets, else all of it but comments."""
+    return F.trim(F.coalesce(F.nullif(F.regexp_extract(header, r"<([^<>]*)>", 1), F.lit("")), F.regexp_replace(header, r"\([^)]*\)", "")))
+
+
+def parsed(landed: DataFrame, column: str = "value") -> DataFrame:
+    """message_id, sender, subject, millis, html_body, text_body of message resources; rows without id, sender or time are left out.
+
+    The tree of parts is a variant, walked level by level in the JVM.
+    """
+    given = landed.select(F.try_parse_json(F.col(column)).alias("m")).filter("m is not null")
+    millis = F.coalesce(F.try_variant_get("m", "$.internalDate", "string"), F.lit(""))
+    rows = given.select("m", F.try_variant_get("m", "$.payload", "variant").alias("payload"), millis.alias("millis"), F.try_variant_get("m", "$.id", "string").alias("message_id"))
+    rows = rows.select("message_id", address(_header(F.col("payload"), "from")).alias("sender"), F.coalesce(_header(F.col("payload"), "subject"), F.lit("")).alias("subject"), "millis", parts_of(F.col("payload")).alias("parts"))
+    rows = rows.filter((F.col("message_id") != "") & (F.col("sender") != "") & F.col("millis").rlike(r"^-?\d+$"))
+    return rows.select("message_id", "sender", "subject", "millis", _body(F.col("parts"), "text/html").alias("html_body"), _body(F.col("parts"), "text/plain").alias("text_body"))
 
 
 def messages(landed: DataFrame, senders: list[str], since: Column, column: str = "value") -> DataFrame:
@@ -81,7 +90,7 @@ def messages(landed: DataFrame, senders: list[str], since: Column, column: str =
 
     No senders allow nothing.
     """
-    rows = landed.select(_parsed(F.col(column)).alias("m")).select("m.*").filter("message_id is not null")
+    rows = parsed(landed, column)
     rows = rows.withColumn("received_at", F.timestamp_millis(F.col("millis").cast("long"))).drop("millis")
     allowed = [s.strip().lower() for s in senders if s.strip()]
     return rows.filter(F.lower("sender").isin(allowed) & (F.col("received_at") >= since))

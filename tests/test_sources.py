@@ -302,3 +302,61 @@ def test_contract_over_json(spark):
     assert told[0] == [] and told[1] == ["age: not in the contract", "salary: not in the contract"] and told[2] == ["record: malformed"]
     assert all(told[n][0] == "record: malformed" for n in (3, 4, 5))
     assert [r["n"] for r in contracts.POSTING.good(checked, ("n",)).collect()] == [0]
+
+
+def plain_message(resource):
+    """A message by a walk over its parts."""
+    try:
+        given = json.loads(resource)
+    except (TypeError, ValueError):
+        return None
+    payload = given.get("payload") if isinstance(given, dict) and isinstance(given.get("payload"), dict) else {}
+    headers = {}
+    for h in payload.get("headers") or ():
+        if isinstance(h.get("name"), str) and isinstance(h.get("value"), str):
+            headers.setdefault(h["name"].lower(), h["value"])
+    found = {}
+
+    def walk(part, depth):
+        if depth > 8:
+            return
+        kind, data = str(part.get("mimeType") or "").lower(), (part.get("body") or {}).get("data")
+        if kind in ("text/html", "text/plain") and isinstance(data, str) and data and kind not in found:
+            kept = "".join(c for c in data if c.isalnum() or c in "-_")
+            if len(kept) % 4 != 1:
+                found[kind] = base64.urlsafe_b64decode(kept + "=" * (-len(kept) % 4)).decode("utf-8", "replace")
+        for below in part.get("parts") or ():
+            walk(below, depth + 1)
+
+    walk(payload, 0)
+    sender = headers.get("from", "")
+    sender = sender[sender.index("<") + 1 : sender.index(">")] if "<" in sender else sender.split(" (")[0].strip()
+    millis = str(given.get("internalDate") or "")
+    if not given.get("id") or not sender or not millis.lstrip("-").isdigit():
+        return None
+    return given["id"], sender, headers.get("subject", ""), millis, found.get("text/html"), found.get("text/plain")
+
+
+def test_messages_against_a_walk(spark):
+    rnd = random.Random(7)
+
+    def tree(depth):
+        kind = rnd.choice(["text/html", "TEXT/Plain", "multipart/mixed", "image/png", None])
+        out = {"mimeType": kind} if kind else {}
+        if rnd.random() < 0.6:
+            out["body"] = {"data": rnd.choice(["", base64.urlsafe_b64encode(f"é {depth} {rnd.random()}".encode()).decode().rstrip("="), "abcde", 7, None, "_-8", base64.urlsafe_b64encode(b"\xff\xfe ok").decode()])}
+        if depth < 11 and rnd.random() < 0.8:
+            out["parts"] = [tree(depth + 1) for _ in range(rnd.randint(1, 2))]
+        return out
+
+    deep = {"mimeType": "text/html", "body": {"data": "aGk"}}
+    for _ in range(9):
+        deep = {"mimeType": "multipart/mixed", "parts": [deep]}
+    senders = ["LinkedIn <jobs@linkedin.com>", "a@b.c", "a@b.c (Team)", '"Doe, J" <x@y.z>', ""]
+    mails = [{"id": f"m{i}", "internalDate": rnd.choice(["1709287200000", 5, "soon", "-7"]), "payload": tree(0) | {"headers": [{"name": "FROM", "value": rnd.choice(senders)}, {"name": "Subject", "value": "s"}, {"name": "from", "value": "second@x.y"}, {"name": "odd"}]}} for i in range(120)]
+    texts = [json.dumps(m) for m in mails] + [json.dumps({"id": "deep", "internalDate": "1", "payload": deep | {"headers": [{"name": "from", "value": "a@b.c"}]}}), "nonsense", None, "[]", "{}", '{"id": "x", "payload": 5}']
+    rows = spark.createDataFrame([(x,) for x in texts], "value string")
+    want = [m for m in map(plain_message, [x for x in texts if x != "[]"]) if m]
+    assert sorted(map(repr, map(tuple, mail.parsed(rows).collect()))) == sorted(map(repr, want)) and len(want) > 40
+    plan = mail.parsed(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
