@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.session import shared_folder
@@ -25,34 +25,50 @@ def cohen_kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return total.join(F.broadcast(chance)).select(kappa.alias("kappa"))
 
 
-def ranked(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Average ranks, ties sharing their mean, without a window over all rows.
+def _ranks(counts: DataFrame, value: str, times: Column, out: str) -> DataFrame:
+    """(_v, ``out``): average ranks of the values of counted rows, ties sharing their mean, without a window over all of them.
 
-    The different values are counted, sorted in range partitions and written to
-    the shared folder, which fixes the partitions; each adds up on its own, and the
-    driver gets one total per partition.
+    The different values are sorted in range partitions and written to the shared
+    folder, which fixes the partitions; each adds up on its own, and the driver gets
+    one total per partition.
     """
-    spark = rows.sparkSession
+    spark = counts.sparkSession
     path = f"{shared_folder(spark)}/ranks-{uuid.uuid4().hex}"
-    counts = rows.groupBy(F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    counts.orderBy("_v").withColumn("_p", F.spark_partition_id()).write.parquet(path)
-    counts = spark.read.parquet(path)
+    by_value = counts.groupBy(F.col(value).alias("_v")).agg(F.sum(times).alias("_n"))
+    by_value.orderBy("_v").withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    by_value = spark.read.parquet(path)
     before, starts = 0, []
-    for row in counts.groupBy("_p").agg(F.sum("_n").alias("t")).orderBy("_p").collect():
+    for row in by_value.groupBy("_p").agg(F.sum("_n").alias("t")).orderBy("_p").collect():
         starts.append((row["_p"], before))
         before += row["t"]
     earlier = spark.createDataFrame(starts, "_q int, _before long")
     up = F.sum("_n").over(Window.partitionBy("_p").orderBy("_v"))
-    placed = counts.withColumn("_up", up).join(F.broadcast(earlier), F.col("_p") == F.col("_q")).select("_v", (F.col("_before") + F.col("_up") - (F.col("_n") - 1) / 2.0).alias(out))
+    return by_value.withColumn("_up", up).join(F.broadcast(earlier), F.col("_p") == F.col("_q")).select("_v", (F.col("_before") + F.col("_up") - (F.col("_n") - 1) / 2.0).alias(out))
+
+
+def ranked(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """``rows`` with the average rank of a column."""
+    placed = _ranks(rows, value, F.lit(1), out)
     return rows.join(placed, rows[value].eqNullSafe(placed["_v"])).drop("_v")
 
 
 def spearman_rho(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """rho of two orderings, one row; 1 or 0 where a side is constant."""
-    both = ranked(ranked(rows.select(a, b), a, "ra"), b, "rb")
-    s = both.agg(F.count("*").alias("n"), F.var_pop("ra").alias("va"), F.var_pop("rb").alias("vb"), F.covar_pop("ra", "rb").alias("c"))
+    """rho of two orderings, one row; 1 or 0 where a side is constant.
+
+    The rows are read once, to the counts of their different pairs, which all that
+    follows is made from.  The mean of average ranks is (n + 1) / 2 on either side.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_folder(spark)}/pairs-{uuid.uuid4().hex}"
+    rows.groupBy(F.col(a).alias("_a"), F.col(b).alias("_b")).agg(F.count("*").alias("_times")).write.parquet(path)
+    pairs = spark.read.parquet(path)
+    n = pairs.agg(F.coalesce(F.sum("_times"), F.lit(0))).first()[0]
+    ra, rb = (_ranks(pairs, name, F.col("_times"), out).withColumnRenamed("_v", f"_v{out}") for name, out in (("_a", "ra"), ("_b", "rb")))
+    both = pairs.join(ra, F.col("_a").eqNullSafe(F.col("_vra"))).join(rb, F.col("_b").eqNullSafe(F.col("_vrb")))
+    x, y, times = F.col("ra") - (n + 1) / 2, F.col("rb") - (n + 1) / 2, F.col("_times")
+    s = both.agg((F.sum(times * x * x) / n).alias("va"), (F.sum(times * y * y) / n).alias("vb"), (F.sum(times * x * y) / n).alias("c")) if n else spark.createDataFrame([(None, None, None)], "va double, vb double, c double")
     flat_a, flat_b = F.col("va") < 1e-9, F.col("vb") < 1e-9
-    rho = F.when(F.col("n") < 2, 1.0).when(flat_a & flat_b, 1.0).when(flat_a | flat_b, 0.0).otherwise(F.col("c") / F.sqrt(F.col("va") * F.col("vb")))
+    rho = F.lit(1.0) if n < 2 else F.when(flat_a & flat_b, 1.0).when(flat_a | flat_b, 0.0).otherwise(F.col("c") / F.sqrt(F.col("va") * F.col("vb")))
     return s.select(rho.alias("rho"))
 
 
