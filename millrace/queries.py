@@ -39,9 +39,9 @@ JUDGED = with_(
 )
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _judged(spark: SparkSession, sf_dir: str, chain=screen.CHAIN) -> DataFrame:
     companies = spark.createDataFrame(COMPANY_ROWS, "id int, slug string, status string, location_filter array<string>")
-    return screen.verdicts(screen.with_company(run(spark, sf_dir, standins.POSTINGS), F.broadcast(companies)))
+    return screen.verdicts(screen.with_company(run(spark, sf_dir, standins.POSTINGS), F.broadcast(companies)), chain=chain)
 
 
 @query("filter_chain_verdicts", JUDGED + "SELECT id, reason FROM judged")
@@ -49,6 +49,13 @@ def filter_chain_verdicts(spark, sf_dir):
     return _judged(spark, sf_dir).select("id", "reason")
 
 
+@query("chain_with_own_predicate", JUDGED + "SELECT id, CASE WHEN reason IS NULL OR split_part(reason, ':', 1) IN ('role_domain', 'experience') THEN CASE WHEN id % 4 = 1 THEN 'own:odd' ELSE reason END ELSE reason END AS reason FROM judged")
+def chain_with_own_predicate(spark, sf_dir):
+    """The chain with a predicate of the caller's put in ahead of the two that read texts."""
+    own = ("own", lambda settings: F.when(F.col("id") % 4 == 1, F.lit("own:odd")))
+    return _judged(spark, sf_dir, (*screen.CHAIN[:-2], own, *screen.CHAIN[-2:])).select("id", "reason")
+
+
 @query("filter_reason_counts", JUDGED + "SELECT split_part(reason, ':', 1) AS family, count(*) AS n FROM judged WHERE reason IS NOT NULL GROUP BY 1")
 def filter_reason_counts(spark, sf_dir):
     return screen.reason_counts(_judged(spark, sf_dir))

@@ -753,6 +753,12 @@ def seeded_files(spark, sf_dir):
     return reduce(DataFrame.unionByName, parts)
 
 
+@query("rows_at_fixed_width", """WITH w AS (SELECT greatest(max(length(CAST(p_partkey AS VARCHAR))), 9) AS a, greatest(max(length(p_name)), 6) AS b FROM part)
+SELECT p_partkey AS id, rtrim(rpad(CAST(p_partkey AS VARCHAR), CAST(a AS INT), ' ') || '  ' || rpad(p_name, CAST(b AS INT), ' ') || '  ' || p_brand) AS line FROM part, w""")
+def rows_at_fixed_width(spark, sf_dir):
+    return sinks.as_lines(table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand")).select(F.col("p_partkey").alias("id"), "line")
+
+
 @query("rows_as_json", """SELECT '{"n_nationkey":' || n_nationkey || ',"n_name":"' || n_name || '","n_regionkey":' || n_regionkey || '}' AS value FROM nation""")
 def rows_as_json(spark, sf_dir):
     return sinks.as_json(table(spark, sf_dir, "nation"))

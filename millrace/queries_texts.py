@@ -135,6 +135,13 @@ def denied_hosts(spark, sf_dir):
     return run(spark, sf_dir, _HOSTS).select("id", urls.denied_host(F.col("host")).alias("denied"))
 
 
+@query("fetchable_links", with_(h=_HOSTS) + r"SELECT id, 'https://' || host || '/jobs' AS url FROM h WHERE NOT coalesce(regexp_matches(lower(host), '(^|\.)(linkedin|naukri|indeed|glassdoor|monsterindia|shine|instahyre|wellfound|facebook)\.com\.?$'), true)")
+def fetchable_links(spark, sf_dir):
+    """Links of hosts that may be fetched, through the guard that fails for any other."""
+    link = F.concat(F.lit("https://"), "host", F.lit("/jobs"))
+    return run(spark, sf_dir, _HOSTS).filter(~urls.denied_host(F.col("host"))).select("id", urls.fetchable(link).alias("url"))
+
+
 @query("normalised_urls", r"SELECT page_id, regexp_replace(lower(regexp_extract(url, '^[a-z]+://([^/?#:]+)', 1)) || regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS url FROM pages")
 def normalised_urls(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", urls.normalised_url(F.col("url")).alias("url"))

@@ -84,6 +84,14 @@ def as_json(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("value"))
 
 
+def as_lines(df: DataFrame) -> DataFrame:
+    """``df`` with ``line``: its columns at fixed widths, which one aggregate over all rows finds; nulls are empty."""
+    shown = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns]
+    row = df.agg(*(F.greatest(F.coalesce(F.max(F.length(s)), F.lit(0)), F.lit(len(c))).alias(f"w{i}") for i, (s, c) in enumerate(zip(shown, df.columns)))).first()
+    cells = [F.rpad(s, row[i], " ") for i, s in enumerate(shown)]
+    return df.withColumn("line", F.rtrim(F.concat_ws("  ", *cells)))
+
+
 def as_table(df: DataFrame, most: int = 100) -> str:
     """A fixed-width table of the first rows, for a terminal."""
     rows = [[("" if v is None else str(v)) for v in row] for row in df.limit(most).collect()]
