@@ -2,23 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.text import company_key
+from millrace.session import shared_folder
 
 UNMATCHED = "unmatched"
 
 
 def trigrams(name: Column) -> Column:
     """Different trigrams of the words of a name, each with two spaces before and one after."""
-    words = F.filter(F.split(F.lower(name), r"(?U)[^\p{Alnum}]+"), lambda w: w != "")
-
-    def of(word: Column) -> Column:
-        padded = F.concat(F.lit("  "), word, F.lit(" "))
-        return F.transform(F.sequence(F.lit(1), F.length(word) + 1), lambda i: F.substring(padded, i, F.lit(3)))
-
-    return F.array_distinct(F.flatten(F.transform(words, of)))
+    apart = F.concat(F.lit("  "), F.regexp_replace(F.lower(name), r"(?U)[^\p{Alnum}]+", "   "), F.lit(" "))
+    # what looks ahead takes nothing, so the next one may begin within it
+    return F.array_distinct(F.regexp_extract_all(apart, F.lit(r"(?U)(?=(  \p{Alnum}| \p{Alnum}[\p{Alnum} ]|\p{Alnum}{2}[\p{Alnum} ]))"), F.lit(1)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -57,12 +56,21 @@ def best_company(names: DataFrame, companies: DataFrame, threshold: float = 0.45
     """name, company_id, similarity: the most similar company, ties to the smaller id.
 
     Deleted companies and the reserved one are never matched.
+    Names with a company's very trigrams have similarity one, which nothing beats, so an
+    equi join on the sets settles them; only the others are compared.  What is settled is
+    written once: filters of what follows would else work out sets ahead of the distinct.
     """
     usable = companies.filter(F.col("deleted_at").isNull() & (F.col("slug") != UNMATCHED))
-    pairs = similar_names(names, usable, threshold, name, "name")
+    wanted = names.select(F.col(name).alias("name")).filter("name is not null").distinct().withColumn("_set", F.array_sort(trigrams(F.col("name"))))
+    owners = usable.select(F.col("id").alias("company_id"), F.array_sort(trigrams(F.col("name"))).alias("_set")).filter(F.size("_set") > 0).groupBy("_set").agg(F.min("company_id").alias("company_id"))
+    path = f"{shared_folder(names.sparkSession)}/settled-{uuid.uuid4().hex}"
+    wanted.join(owners, "_set", "left").select("name", "company_id").write.parquet(path)
+    settled = names.sparkSession.read.parquet(path)
+    equal = settled.filter("company_id is not null").select("name", "company_id", F.lit(1.0).alias("similarity"))
+    pairs = similar_names(settled.filter("company_id is null"), usable, threshold)
     owned = pairs.join(usable.select(F.col("id").alias("company_id"), F.col("name").alias("b_name")), "b_name")
     order = Window.partitionBy("a_name").orderBy(F.desc("similarity"), "company_id")
-    return owned.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(F.col("a_name").alias("name"), "company_id", "similarity")
+    return equal.unionByName(owned.withColumn("_r", F.row_number().over(order)).filter("_r = 1").select(F.col("a_name").alias("name"), "company_id", "similarity"))
 
 
 def suggestions(candidate: str, companies: DataFrame, most: int = 5, threshold: float = 0.3) -> DataFrame:
@@ -82,10 +90,11 @@ def resolved_leads(leads: DataFrame, companies: DataFrame, threshold: float = 0.
 
     Each different name is matched once.
     """
-    keyed = leads.withColumn("name", company_key(F.col("company_name")))
-    best = best_company(keyed.filter("name <> ''").select("name").distinct(), companies, threshold)
+    keyed = leads.select("company_name").filter("company_name is not null").distinct().select("company_name", company_key(F.col("company_name")).alias("name")).filter("name <> ''")
+    best = best_company(keyed.select("name"), companies, threshold)
+    matched = keyed.join(best, "name").select("company_name", F.col("company_id").alias("matched"))
     reserved = companies.filter(F.col("slug") == UNMATCHED).agg(F.min("id").alias("reserved_id"))
-    joined = keyed.join(best.select("name", F.col("company_id").alias("matched")), "name", "left")
+    joined = leads.join(matched, "company_name", "left")
     return joined.join(F.broadcast(reserved)).select("external_id", F.coalesce("matched", "reserved_id").alias("company_id"))
 
 

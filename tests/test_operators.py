@@ -119,6 +119,18 @@ def test_similar_names_equal_the_cross_product(spark):
     assert a.limit(1).select(matching.similarity(F.lit("Acme Corp"), F.lit("Acme Corporation"))).first()[0] == 0.5
 
 
+def test_best_company_compares_no_settled_names(spark, monkeypatch):
+    """Names with a company's trigrams take its smallest id without a comparison, the others the most similar company's."""
+    rows = [(7, "Acme Corp"), (3, "corp acme"), (5, "Acme Corporation"), (1, "###"), (2, "Data Labs")]
+    companies = spark.createDataFrame([(i, n, n.lower(), None) for i, n in rows], "id long, name string, slug string, deleted_at timestamp")
+    names = spark.createDataFrame([("ACME corp",), ("acme corporations",), ("data lab",), ("###",), ("zebra",), (None,)], "name string")
+    compared, plain = [], matching.similar_names
+    monkeypatch.setattr(matching, "similar_names", lambda left, *rest: compared.extend(r["name"] for r in left.collect()) or plain(left, *rest))
+    got = {r["name"]: (r["company_id"], round(r["similarity"], 6)) for r in matching.best_company(names, companies).collect()}
+    assert sorted(compared) == ["###", "acme corporations", "data lab", "zebra"]
+    assert got == {"ACME corp": (3, 1.0), "acme corporations": (5, 0.842105), "data lab": (2, 0.727273)}
+
+
 def test_collapse_of_changed_roles(spark, tmp_path):
     """Winners of changed roles equal those of a collapse of everything; other roles are not touched."""
     rnd = random.Random(12)
