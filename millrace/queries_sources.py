@@ -35,6 +35,12 @@ _BAND = "CASE title WHEN 'Senior Engineer' THEN 'senior' WHEN 'Data Intern' THEN
 _SHARED = f"CAST(id AS STRING) AS external_id, title, {_CITY} AS city, {_COUNTRY} AS country, {_BAND} AS seniority"
 
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Narrow rows of one file, in as many tasks as run and a few more, ahead of what makes much of each: a file of one row group is one task else."""
+    spark = rows.sparkSession
+    return rows.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run(spark, sf_dir, JOBS).withColumn("where", F.expr(_WHERE))
 
@@ -192,7 +198,7 @@ _PLACE = "CASE place WHEN 0 THEN 'Pune, India' WHEN 1 THEN 'Remote' WHEN 2 THEN
 
 
 def _mails(spark, sf_dir) -> DataFrame:
-    m = run(spark, sf_dir, MAILS).withColumn("platform", F.expr(_PLATFORM)).withColumn("where", F.expr(_PLACE))
+    m = _dealt(run(spark, sf_dir, MAILS), "id").withColumn("platform", F.expr(_PLATFORM)).withColumn("where", F.expr(_PLACE))
     job = F.col("job").cast("string")
     link = (
         F.when(m["sender"] == 0, F.concat(F.lit("https://www.linkedin.com/comm/jobs/view/"), job, F.lit("/?trk=x&refId=9")))

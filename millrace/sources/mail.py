@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from millrace.functions.dates import relative_day
 from millrace.functions.html import tree_of
 from millrace.functions.location import Gazetteer, city_key, located
-from millrace.functions.text import bound, company_key, lookup, seniority, squeeze, title_key
+from millrace.functions.text import bound, company_key, lookup, seniority, squeeze, title_key, with_computed
 from millrace.functions.urls import unwrap_tracking
 
 DEEPEST = 8
@@ -25,17 +25,22 @@ _PARTS = "array<struct<path:array<int>,part:variant>>"
 
 def _text(value: Column, path: str) -> Column:
     """The text at a path of a variant, null where there is something else."""
-    found = F.try_variant_get(value, path, "variant")
-    return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
+    return bound(F.try_variant_get(value, path, "variant"), lambda found: F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string")))
 
 
 def decoded_body(data: Column) -> Column:
     """A base64url body as text, malformed characters replaced; null where it is too large or isn't any."""
-    plain = F.regexp_replace(F.translate(data, "-_", "+/"), "[^A-Za-z0-9+/]", "")
-    short = F.length(plain) % 4
-    padded = F.concat(plain, F.when(short == 2, "==").when(short == 3, "=").otherwise(""))
-    text = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
-    return F.when((data != "") & (F.floor(F.length(data) * 3 / 4) <= MOST_BODY_BYTES) & (short != 1), text)
+
+    def text(plain: Column) -> Column:
+        short = F.length(plain) % 4
+        padded = F.concat(plain, F.when(short == 2, "==").when(short == 3, "=").otherwise(""))
+        return F.when(short != 1, F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")))
+
+    def checked(given: Column) -> Column:
+        plain = F.regexp_replace(F.translate(given, "-_", "+/"), "[^A-Za-z0-9+/]", "")
+        return F.when((given != "") & (F.floor(F.length(given) * 3 / 4) <= MOST_BODY_BYTES), bound(plain, text))
+
+    return bound(data, checked)
 
 
 def parts_of(payload: Column) -> Column:
@@ -77,7 +82,7 @@ def parsed(landed: DataFrame, column: str = "value") -> DataFrame:
 
     The tree of parts is a variant, walked level by level in the JVM.
     """
-    given = landed.select(F.try_parse_json(F.col(column)).alias("m")).filter("m is not null")
+    given = with_computed(landed.select(column), "m", F.try_parse_json(F.col(column)))
     millis = F.coalesce(F.try_variant_get("m", "$.internalDate", "string"), F.lit(""))
     rows = given.select("m", F.try_variant_get("m", "$.payload", "variant").alias("payload"), millis.alias("millis"), F.try_variant_get("m", "$.id", "string").alias("message_id"))
     rows = rows.select("message_id", address(_header(F.col("payload"), "from")).alias("sender"), F.coalesce(_header(F.col("payload"), "subject"), F.lit("")).alias("subject"), "millis", parts_of(F.col("payload")).alias("parts"))
@@ -216,8 +221,8 @@ def cards(mails: DataFrame, gazetteer: Gazetteer | None = None) -> DataFrame:
     of = lambda i: lookup(F.col("platform"), {name: parts[i] for name, parts in PLATFORMS.items()})
     rows = mails.withColumn("platform", platform_of(F.col("sender"))).withColumn("_pattern", of(0))
     rows = rows.lateralJoin(Links(F.col("html_body").outer(), F.col("_pattern").outer())).withColumn("title", squeeze(F.col("title")))
-    rows = rows.withColumn("_lines", card_lines(F.col("levels"), F.col("title"))).drop("levels")
-    rows = rows.select("*", card_parts(F.col("_lines"), gazetteer).alias("_parts")).select("*", "_parts.*")
+    rows = with_computed(rows, "_lines", card_lines(F.col("levels"), F.col("title"))).drop("levels")
+    rows = with_computed(rows, "_parts", card_parts(F.col("_lines"), gazetteer)).select("*", "_parts.*")
     rows = rows.filter("title <> '' and company_name is not null")
 
     def found(pattern: str, group: int) -> Column:

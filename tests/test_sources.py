@@ -3,6 +3,7 @@
 import base64
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -360,3 +361,15 @@ def test_messages_against_a_walk(spark):
     assert sorted(map(repr, map(tuple, mail.parsed(rows).collect()))) == sorted(map(repr, want)) and len(want) > 40
     plan = mail.parsed(rows)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_mails_are_parsed_once_and_in_many_tasks(spark):
+    """A file of one row group is dealt over tasks; a filter on what was parsed doesn't parse again."""
+    from millrace import queries_sources
+
+    sf_dir = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no benchmark tables")
+    assert queries_sources._mails(spark, sf_dir).rdd.getNumPartitions() > 1
+    plan = queries_sources._received(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
