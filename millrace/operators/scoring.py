@@ -92,19 +92,23 @@ def level_table(variants: DataFrame, bullet_rows: DataFrame, skills: DataFrame,
     return pairs.select("variant_id", "token", level.alias("level"), note.alias("note"), F.when(level == "met", bullet).alias("evidence"))
 
 
-def levels(requirements: DataFrame, variants: DataFrame, bullet_rows: DataFrame, skills: DataFrame, settings: Settings = DEFAULT) -> DataFrame:
+def levels(requirements: DataFrame, variants: DataFrame, bullet_rows: DataFrame, skills: DataFrame, settings: Settings = DEFAULT, together: bool = False) -> DataFrame:
     """One row per scored requirement and variant: level, note, evidence.
 
     ``requirements``: posting_id, requirement_id, kind, text, normalised_skill,
     weight, ordinal.  ``variants``: variant_id, skill_set.  ``skills``: token,
     label, family, members, credit.  The requirements aren't shuffled while the
     table of levels, the vocabulary times the variants, has at most ``MOST_LEVELS``
-    rows; a larger one is joined by token.
+    rows; a larger one is joined by token.  For what is grouped by posting next, the
+    requirements are brought ``together`` by posting while they are narrow and few, so that
+    the rows for each variant needn't be shuffled.
     """
     known = level_table(variants, bullet_rows, skills, settings).select(F.col("variant_id").alias("k_variant"), F.col("token").alias("k_token"), "level", "note", "evidence")
     ids = variant_ids(variants)
-    rows = _for_each(requirements.filter(F.col("kind").isin(*SCORED_KINDS)), ids, variants.schema["variant_id"].dataType)
-    small = F.broadcast(known) if len(ids) * skills.count() <= MOST_LEVELS else known
+    few = len(ids) * skills.count() <= MOST_LEVELS
+    scored = requirements.filter(F.col("kind").isin(*SCORED_KINDS))
+    rows = _for_each(scored.repartition("posting_id") if few and together else scored, ids, variants.schema["variant_id"].dataType)
+    small = F.broadcast(known) if few else known
     joined = rows.join(small, (rows["normalised_skill"] == F.col("k_token")) & (rows["variant_id"] == F.col("k_variant")), "left")
     unresolved = F.when(F.col("normalised_skill").isNull(), F.lit("Requirement did not resolve to a vocabulary token."))
     return joined.select("posting_id", "variant_id", "requirement_id", "kind", "text", "weight", "ordinal", F.coalesce("level", F.lit("missing")).alias("level"), F.coalesce("note", unresolved).alias("note"), "evidence")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -218,6 +219,20 @@ def test_variants(spark):
     assert list(variants.split_item("A (b; c (d)) / E")) == ["A (b; c (d)) / E", "A", "E", "b", "c (d)"]
 
 
+def test_levels_together_are_not_shuffled_again(spark):
+    """Rows for each variant stay where their posting's requirements were brought together."""
+    v = skills()
+    rows = spark.createDataFrame([(1, 1, "hard", "t", "aws", 1.0, 1), (1, 2, "nice", "u", None, 0.5, 2)], "posting_id long, requirement_id long, kind string, text string, normalised_skill string, weight double, ordinal long")
+    sets = spark.createDataFrame([(1, ["aws"]), (2, ["go"])], "variant_id int, skill_set array<string>")
+    shows = spark.createDataFrame([(1, 1, "b", "Runs AWS", ["c"], ["aws"])], "variant_id int, position int, bullet_id string, text string, claim_keys array<string>, skills array<string>")
+    covered = {}
+    for together in (False, True):
+        covered[together] = scoring.coverage(scoring.levels(rows, sets, shows, v.skill_table(spark), together=together))
+        plan = covered[together]._jdf.queryExecution().executedPlan().toString()
+        assert bool(re.search(r"hashpartitioning\(posting_id#\d+L, variant_id#\d+", plan)) is not together
+    assert sorted(map(repr, covered[True].collect())) == sorted(map(repr, covered[False].collect()))
+
+
 def test_levels(spark):
     v, frame = skills(), one_variant(spark)
     sets = variants.skill_sets(frame, v).select("variant_id", "skill_set")
