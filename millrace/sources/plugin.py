@@ -63,6 +63,40 @@ class LandedFile(InputPartition):
         self.value = self.path
 
 
+#: Files of one task: at most this many, and no more once they have this many bytes.
+MOST_FILES, ENOUGH_BYTES = 64, 16 << 20
+
+
+@dataclass
+class LandedFiles(InputPartition):
+    """Some files that one task reads one after another: a task for each small one would mostly start and end."""
+
+    files: tuple[LandedFile, ...]
+
+    def __post_init__(self):
+        self.value = self.files[0].path
+
+
+def packed(files: list[LandedFile], root: str) -> list[LandedFiles]:
+    """Files in their order, in groups of bounded number and size; a large file is a group by itself or ends one."""
+    if not files:
+        return []
+    sizes = {info.path: info.size or 0 for info in _listed(root)}
+    groups, most, size = [[]], max(1, min(MOST_FILES, -(-len(files) // 64))), 0
+    for file in files:
+        if groups[-1] and (len(groups[-1]) >= most or size >= ENOUGH_BYTES):
+            groups.append([])
+            size = 0
+        groups[-1].append(file)
+        size += sizes.get(file.path, 0)
+    return [LandedFiles(tuple(group)) for group in groups]
+
+
+def _listed(path: str) -> list[fs.FileInfo]:
+    system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return system.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+
+
 def landed(path: str) -> list[tuple[int, str, dict[str, str]]]:
     """(time of change in ns, path, folder columns) of the files below a folder; those with a leading underscore or dot are being written."""
     system, root = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -103,12 +137,13 @@ class Landing:
         """The columns of one line, None where it isn't wanted."""
         raise NotImplementedError
 
-    def read(self, partition: LandedFile | None) -> Iterator[tuple]:
+    def read(self, partition: LandedFiles | None) -> Iterator[tuple]:
         if partition is None:  # there was no file at all
             return
-        for item in lines(partition.path, self.root):
-            if (found := self.row(item, partition.parts, partition.wanted)) is not None:
-                yield tuple(found[name]() if callable(found[name]) else found[name] for name in self.names)
+        for file in partition.files:
+            for item in lines(file.path, self.root):
+                if (found := self.row(item, file.parts, file.wanted)) is not None:
+                    yield tuple(found[name]() if callable(found[name]) else found[name] for name in self.names)
 
 
 class BatchLanding(Landing, DataSourceReader):
@@ -128,8 +163,8 @@ class BatchLanding(Landing, DataSourceReader):
             else:
                 yield f
 
-    def partitions(self) -> Sequence[LandedFile]:
-        return self.files()
+    def partitions(self) -> Sequence[LandedFiles]:
+        return packed(self.files(), self.root)
 
 
 class StreamLanding(Landing, DataSourceStreamReader):
@@ -147,8 +182,8 @@ class StreamLanding(Landing, DataSourceStreamReader):
         found = landed(self.root)
         return {"at": found[-1][0], "path": found[-1][1]} if found else self.initialOffset()
 
-    def partitions(self, start: dict, end: dict) -> Sequence[LandedFile]:
-        return self.files((start["at"], start["path"]), (end["at"], end["path"]))
+    def partitions(self, start: dict, end: dict) -> Sequence[LandedFiles]:
+        return packed(self.files((start["at"], start["path"]), (end["at"], end["path"])), self.root)
 
     def commit(self, end: dict) -> None:
         pass

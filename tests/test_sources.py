@@ -373,3 +373,14 @@ def test_mails_are_parsed_once_and_in_many_tasks(spark):
     assert queries_sources._mails(spark, sf_dir).rdd.getNumPartitions() > 1
     plan = queries_sources._received(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson") == 1
+
+
+def test_small_landed_files_share_tasks(tmp_path):
+    """Every file once and in order, in no more than 64 groups while they are small."""
+    for k in range(200):
+        (tmp_path / f"sender=s{k % 2}").mkdir(exist_ok=True)
+        (tmp_path / f"sender=s{k % 2}" / f"{k}.txt").write_text("{}")
+    found = [plugin.LandedFile(path, parts, plugin.Wanted()) for _, path, parts in plugin.landed(str(tmp_path))]
+    groups = plugin.packed(found, str(tmp_path))
+    assert len(groups) <= 64 and [f.path for g in groups for f in g.files] == [f.path for f in found]
+    assert plugin.packed([], str(tmp_path)) == []
