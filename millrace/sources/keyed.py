@@ -127,7 +127,8 @@ class KeyedTable:
         return buckets
 
     def _write(self, versions: DataFrame, manifest: Manifest, run: str) -> None:
-        versions.withColumn("bucket", self.bucket_of(manifest)).repartition("bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{run}")
+        # a large bucket is several tasks' work: one would have to sort all of it
+        versions.withColumn("bucket", self.bucket_of(manifest)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.path}/data/{run}")
 
     def _buckets_in(self, run: str) -> list[int]:
         return sorted(int(name.removeprefix("bucket=")) for name in self.data.names(run) if name.startswith("bucket="))
@@ -151,11 +152,12 @@ class KeyedTable:
         out = versions.groupBy(*manifest.key).agg(*(value(name, rule) for name, rule in manifest.rules.items()), F.bool_or("_written").alias("_written"), F.max("_version").alias("_version"))
         return out.select(*manifest.struct.fieldNames(), "_written", "_version")
 
-    def read(self, buckets: Iterable[int] | None = None, keys: Column | None = None) -> DataFrame:
-        """The rows of the present version, of some buckets and of keys that meet a condition only where given."""
+    def read(self, buckets: Iterable[int] | None = None, keys: Column | None = None, versions: bool = False) -> DataFrame:
+        """The rows of the present version, of some buckets and of keys that meet a condition only where given; with ``versions``, the ``_version`` that wrote each last."""
         now = self.manifest()
-        versions = self._versions(now, buckets)
-        return self._merged(versions if keys is None else versions.filter(keys), now).drop("_written", "_version")
+        stored = self._versions(now, buckets)
+        merged = self._merged(stored if keys is None else stored.filter(keys), now).drop("_written")
+        return merged if versions else merged.drop("_version")
 
     def read_for(self, rows: DataFrame) -> DataFrame:
         """The stored rows of the buckets that ``rows`` fall into; the driver gets the numbers of those."""

@@ -51,3 +51,32 @@ def test_search_reads_its_words_only(spark, tmp_path):
     assert "EqualTo(word" in plan.split("PushedFilters")[1]  # the scan takes the words over
     assert len({part for part in re.findall(r"bucket=\d+", " ".join(search._read(index, ["word7"]).inputFiles()))}) == 1
     assert told(index, "word7 common").keys() == {7}
+
+
+def test_lists_shuffle_texts_once(spark):
+    listed = search.lists(documents(spark, [(1, "a b a")]))
+    assert listed._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1  # no row for each word is dealt out
+
+
+def test_update_does_not_read_the_index(spark, tmp_path):
+    rows = {i: f"word{i} common" for i in range(0, 5000, 7)}
+    index = search.build(spark, f"{tmp_path}/i", documents(spark, list(rows.items())), buckets=4)
+    index.read = None
+    gone = [i for i in rows if i < 1024]  # a block without a text any more
+    rows = {i: t for i, t in rows.items() if i >= 1024} | {1400: "word7 another", 1401: "now"}
+    search.update(index, documents(spark, list(rows.items())), documents(spark, [(i, None) for i in [*gone, 1400, 1401]]))
+    del index.read
+    for query in ("common", "word7", "word14 common", "word1400", "word1407 common", "another"):
+        assert told(index, query) == by_hand(list(rows.items()), query), query
+    index.compact(most=1)
+    assert told(index, "common") == by_hand(list(rows.items()), "common") and told(index, "word14") == {}
+
+
+def test_blocks_of_many_batches(spark, tmp_path):
+    rows = [(i, "the tree" if i % 3 else "the the Tree") for i in range(200)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "9")
+    try:
+        index = search.build(spark, f"{tmp_path}/i", documents(spark, rows), buckets=2)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert told(index, "tree the") == by_hand(rows, "tree the")
