@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import any_of, nfkc, rstrip, strip
+from millrace.functions.text import any_of, nfkc, rstrip
 
 # The envelope, and phrases that try to take it over.
 BEGIN, END = "<<<UNTRUSTED_JOB_DESCRIPTION>>>", "<<<END_UNTRUSTED_JOB_DESCRIPTION>>>"
@@ -16,18 +16,23 @@ SUSPICIOUS = (
 )
 CHARS_PER_TOKEN = 4
 NOTE = "\n[truncated]"
-_LINES = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
+#: Nearly all text is printable ASCII, which one range tells ahead of longer classes.
+_BREAKS = r"(?![ -~])(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
+#: The characters of ``SPACE``.
+_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Encoded data, tried at its first character only, and only where no blank is near.
+_CODED = "(?=[!-~]{200})(?<![a-zA-Z/-9+=])[a-zA-Z/-9+=]{200,}+"
 
 
 def without_controls(text: Column) -> Column:
-    """NFKC without invisible, bidirectional and control characters; newline and tab stay."""
-    return F.regexp_replace(F.regexp_replace(nfkc(text), r"[​-‏‪-‮⁠-⁤⁦-⁩﻿]", ""), r"[\p{C}&&[^\n\t]]", "")
+    """NFKC without invisible, bidirectional and control characters, all of which are of category C; newline and tab stay."""
+    return F.regexp_replace(nfkc(text), r"[\p{C}&&[^\n\t]]+", "")
 
 
 def collapsed_lines(text: Column) -> Column:
     """Lines without white space at their ends, blank runs as one line."""
-    lines = F.transform(F.split(text, _LINES), rstrip)
-    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    lines = F.transform(F.split(text, _BREAKS), lambda line: F.rtrim(line, F.lit(_BLANKS)))
+    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(_BLANKS))
 
 
 def truncated_tokens(text: Column, tokens: int) -> Column:
@@ -41,7 +46,7 @@ def truncated_tokens(text: Column, tokens: int) -> Column:
 
 def sanitised(text: Column, tokens: int) -> Column:
     text = F.regexp_replace(text, r"<<<[/A-Za-z_ ]{3,60}>>>", "[removed]")
-    text = F.regexp_replace(without_controls(text), r"[A-Za-z0-9+/=]{200,}", "[removed]")
+    text = F.regexp_replace(without_controls(text), _CODED, "[removed]")
     return truncated_tokens(collapsed_lines(text), tokens)
 
 

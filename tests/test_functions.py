@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+import time
 import urllib.parse
 from decimal import Decimal
 
@@ -194,3 +195,10 @@ def test_phrases_against_patterns(spark):
         starts = {sum(map(len, cut[:i])): i for i in range(len(cut))}
         want = {f"{starts[m.start()]}:{p}" for p in vocabulary for m in re.finditer(rf"(?<!\w)(?={re.escape(p)}(?!\w))", (text or "").lower())}
         assert set(found) == want and len(found) == len(want), text
+
+
+def test_sanitised_texts_take_linear_time(spark):
+    blanks, coded = " " * 150_000, "ab=" * 60_000
+    start = time.monotonic()
+    assert values(spark, lambda c: prompts.sanitised(c, 1_000_000), [f"a{blanks}b{blanks}", f"x {coded}\r\n {coded} y", "a 　\r\n\x1f\n\n b\t\x85", "ﬁ​"]) == [f"a{blanks}b", "x [removed]\n [removed] y", "a\n\n b", "fi"]
+    assert time.monotonic() - start < 30
