@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from millrace.functions.text import any_of, nfkc, rstrip
+from millrace.functions.text import any_of, nfkc, rstrip, strip
 
 # The envelope, and phrases that try to take it over.
 BEGIN, END = "<<<UNTRUSTED_JOB_DESCRIPTION>>>", "<<<END_UNTRUSTED_JOB_DESCRIPTION>>>"
@@ -18,8 +18,6 @@ CHARS_PER_TOKEN = 4
 NOTE = "\n[truncated]"
 #: Nearly all text is printable ASCII, which one range tells ahead of longer classes.
 _BREAKS = r"(?![ -~])(?:\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029])"
-#: The characters of ``SPACE``.
-_BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Encoded data, tried at its first character only, and only where no blank is near.
 _CODED = "(?=[!-~]{200})(?<![a-zA-Z/-9+=])[a-zA-Z/-9+=]{200,}+"
 
@@ -31,8 +29,8 @@ def without_controls(text: Column) -> Column:
 
 def collapsed_lines(text: Column) -> Column:
     """Lines without white space at their ends, blank runs as one line."""
-    lines = F.transform(F.split(text, _BREAKS), lambda line: F.rtrim(line, F.lit(_BLANKS)))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"), F.lit(_BLANKS))
+    lines = F.transform(F.split(text, _BREAKS), rstrip)
+    return strip(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
 
 
 def truncated_tokens(text: Column, tokens: int) -> Column:

@@ -135,16 +135,17 @@ def boards_by_adapter(spark, sf_dir):
 
 
 def _runs(spark, sf_dir) -> str:
-    """Every source lands one run of lever pages with the texts of its documents; four of them go wrong in a way of their own."""
+    """Every source lands one run of lever pages with the texts of its documents, a page a line; four of them go wrong in a way of their own."""
     path = f"{shared_folder(spark)}/runs-{uuid.uuid4().hex}"
     d = table(spark, sf_dir, "documents").select(F.substring("source", 4, 9).cast("long").alias("source_id"), F.lit("r1").alias("run"), F.floor(F.col("doc_id") / 300).alias("page"), F.struct(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("text"), F.lit("https://l.example.com/x").alias("hostedUrl"), F.col("text").alias("descriptionPlain")).alias("post"))
     pages = d.groupBy("source_id", "run", "page").agg(F.to_json(F.collect_list("post")).alias("value"))
     cut = F.when((F.col("source_id") == 2) & (F.col("page") == 0), F.left("value", F.length("value") - 3)).otherwise(F.col("value"))
-    pages.withColumn("value", cut).repartition("source_id", "page").write.partitionBy("source_id", "run", "page").text(path)
+    # some MB a file, a folder for each run
+    pages.withColumn("value", cut).select("source_id", "run", "value").write.partitionBy("source_id", "run").option("maxRecordsPerFile", 64).text(path)
     # what a downloader writes last; one short text a source
     folder = files.Folder(spark, path)
     listed = F.collect_list(F.struct("name", "bytes"))
-    for row in landing.files(spark, path).groupBy("source_id").agg(F.to_json(F.struct(F.lit("lever").alias("adapter"), F.when(F.col("source_id") == 9, "http_error").otherwise("ok").alias("status"), F.when(F.col("source_id") == 5, F.concat(listed, F.array(F.struct(F.lit("gone.json").alias("name"), F.lit(1).cast("long").alias("bytes"))))).otherwise(listed).alias("files"))).alias("manifest")).collect():
+    for row in landing.files(spark, path).groupBy("source_id").agg(F.to_json(F.struct(F.lit("lever").alias("adapter"), F.when(F.col("source_id") == 9, "http_error").otherwise("ok").alias("status"), F.when(F.col("source_id") == 5, F.concat(listed, F.array(F.struct(F.lit("gone.json").alias("name"), F.lit(1).cast("long").alias("bytes"))))).otherwise(listed).alias("files"), F.lit(True).alias("by_line"))).alias("manifest")).collect():
         if row["source_id"] != 7:
             folder.create(f"source_id={row['source_id']}/run=r1/{landing.MANIFEST}", row["manifest"])
     return path
@@ -156,7 +157,7 @@ _SOURCE = "CAST(substr(source, 4) AS BIGINT)"
 @query("landed_runs", f"SELECT DISTINCT {_SOURCE} AS source_id, CASE {_SOURCE} WHEN 2 THEN 'schema_error' WHEN 5 THEN 'incomplete' WHEN 7 THEN 'incomplete' WHEN 9 THEN 'http_error' ELSE 'ok' END AS status, CASE {_SOURCE} WHEN 2 THEN 'doesn''t parse' WHEN 5 THEN 'gone.json absent' WHEN 7 THEN 'no manifest' END AS detail FROM documents")
 def landed_runs(spark, sf_dir):
     ended = landing.postings(spark, _runs(spark, sf_dir))[1]
-    return ended.select("source_id", "status", F.regexp_replace("detail", "^page=.* (?=doesn't)", "").alias("detail"))
+    return ended.select("source_id", "status", F.regexp_replace("detail", "^part-.* (?=doesn't)", "").alias("detail"))
 
 
 @query("landed_postings", f"SELECT {_SOURCE} AS source_id, CAST(doc_id AS STRING) AS external_id, lang AS title, md5(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) AS text FROM documents WHERE {_SOURCE} NOT IN (2, 5, 7, 9) AND regexp_matches(text, '\\S')".replace("\\\\", "\\"))

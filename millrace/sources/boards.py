@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from millrace.functions.dates import epoch_millis, iso_timestamp
 from millrace.functions.html import escaped, html_to_text, unescaped
 from millrace.functions.location import Gazetteer, parser, remote
-from millrace.functions.text import bounded_description, employment_type, seniority, strip
+from millrace.functions.text import bounded_description, employment_type, seniority, strip, with_computed
 from millrace.settings import DEFAULT, Settings
 
 POSTING_COLUMNS = (
@@ -128,18 +128,18 @@ def lever_text(rows: DataFrame) -> DataFrame:
     intro = F.coalesce(_some(F.col("descriptionPlain")), html_to_text(F.col("description")))
     closing = F.coalesce(_some(F.col("additionalPlain")), html_to_text(F.col("additional")))
     parts = F.flatten(F.array(F.array(strip(intro)), sections, F.array(strip(closing))))
-    return rows.withColumn("description_text", strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")))
+    return with_computed(rows, "description_text", strip(F.array_join(F.filter(parts, lambda x: x != ""), "\n\n")))
 
 
 def lever(spark: SparkSession, path: str, source_id: int, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None) -> DataFrame:
     """Postings of landed Lever pages; a posting that several pages repeat counts once, as the first page has it."""
     pages = spark.read.schema(LEVER).option("mode", "FAILFAST").option("multiLine", True).json(path)
-    return lever_rows(pages.select(F.lit(source_id).alias("source_id"), F.col("_metadata.file_name").alias("name"), F.lit(0).alias("at"), F.struct(*pages.columns).alias("j")), settings, gazetteer)
+    return lever_rows(pages.select(F.lit(source_id).alias("source_id"), F.col("_metadata.file_name").alias("name"), F.to_json(F.struct(*pages.columns)).alias("at"), F.struct(*pages.columns).alias("j")), settings, gazetteer)
 
 
 def lever_rows(items: DataFrame, settings: Settings = DEFAULT, gazetteer: Gazetteer | None = None, carried: tuple[str, ...] = ()) -> DataFrame:
-    """Postings of (source_id, name of the page, at, j) rows."""
-    first = items.groupBy("source_id", *carried, F.col("j.id").alias("_id")).agg(F.min_by("j", F.struct("name", "at", F.to_json("j").alias("j"))).alias("j"))
+    """Postings of (source_id, name of the page, at, j) rows; of one id the first by name and at stays."""
+    first = items.groupBy("source_id", *carried, F.col("j.id").alias("_id")).agg(F.min_by("j", F.struct("name", "at")).alias("j"))
     rows = lever_text(first.select("source_id", *carried, "j.*")).withColumn("_html", lever_html(F.struct("lists", "description", "additional")))
     c = F.col("categories")
     everywhere = _array(c["allLocations"], "array<string>")

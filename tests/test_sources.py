@@ -279,6 +279,20 @@ def test_one_source_fails_by_itself(spark, tmp_path):
     assert sorted((r["source_id"], r["run"], r["external_id"]) for r in rows.collect()) == [(1, "r1", "1"), (1, "r1", "2"), (3, "r1", "a"), (3, "r1", "b")]
 
 
+def test_many_pages_a_file(spark, tmp_path):
+    post = lambda n, text="t": {"id": n, "text": "Dev", "hostedUrl": "https://l.io/a", "descriptionPlain": f"{text} {n}"}
+    lines = {1: [[post("a"), post("b")], [post("b", "later"), post("c")]], 2: [[post("d")]]}
+    for source, boards_pages in lines.items():
+        lands(tmp_path, source, "r1", "lever", {"p.txt": "".join(json.dumps(page) + "\n" for page in boards_pages) + ('[{"id": "e", "te\n' if source == 2 else "")})
+        manifest = tmp_path / f"source_id={source}" / "run=r1" / landing.MANIFEST
+        manifest.write_text(json.dumps(json.loads(manifest.read_text()) | {"by_line": True}))
+    rows, ended = landing.postings(spark, str(tmp_path))
+    assert {r["source_id"]: (r["status"], r["detail"]) for r in ended.collect()} == {1: ("ok", None), 2: ("schema_error", "p.txt doesn't parse")}
+    assert sorted((r["external_id"], r["description_text"]) for r in rows.collect()) == [("a", "t a"), ("b", "t b"), ("c", "t c")]
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("posexplode") == 3  # pages of runs, pages of postings and their items: of lever only
+
+
+
 def test_contract(spark):
     good = ("x", "https://a.io/1", "t", "text", "in", "full_time", dt.datetime(2024, 1, 1), None)
     kinds = "external_id string, url string, title string, description_text string, location_country string, employment_type string, posted_at timestamp, odd string"
