@@ -116,4 +116,6 @@ def unresolved_texts(rows: DataFrame) -> DataFrame:
 
 def replaced(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``stored`` with the rows of the keys in ``new`` replaced by ``new``."""
-    return stored.join(new.select(*keys).distinct(), list(keys), "left_anti").unionByName(new, allowMissingColumns=True)
+    # a task holds its distinct keys, which can't be skewed, and lets the stored rows pass unsorted
+    gone = new.select(*keys).distinct().hint("shuffle_hash")
+    return stored.join(gone, list(keys), "left_anti").unionByName(new, allowMissingColumns=True)

@@ -116,3 +116,16 @@ def test_exact_quantiles(spark, q):
     rows = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in [*vs, None]], "g string, v long")
     got = {r["g"]: (r["quantile"], r["n"]) for r in quantiles.exact_quantile(rows, ["g"], F.col("v"), q).collect()}
     assert got == {g: (pytest.approx(float(np.quantile(vs, q)), rel=1e-12), len(vs)) for g, vs in groups.items()}
+
+
+def test_replaced_rows_pass_unsorted(spark):
+    stored, new = spark.range(40).selectExpr("id % 8 AS posting_id", "id"), spark.createDataFrame([(1, 100), (1, 101), (9, 102)], "posting_id long, id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = requirements.replaced(stored, new, ["posting_id"])
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        kept = sorted((r["posting_id"], r["id"]) for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan
+    assert kept == sorted([(i % 8, i) for i in range(40) if i % 8 != 1] + [(1, 100), (1, 101), (9, 102)])
