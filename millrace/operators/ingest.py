@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,15 +42,16 @@ def change_of(stored_id: Column, stored_hash: Column, fetched_hash: Column, stor
     return F.when(stored_id.isNull(), F.lit("new")).when(moved, F.lit("updated")).otherwise(F.lit("unchanged"))
 
 
-def classified(fetched: DataFrame, stored: DataFrame, settings: Settings = DEFAULT, overrides: DataFrame | None = None) -> DataFrame:
+def classified(fetched: DataFrame, stored: DataFrame, settings: Settings = DEFAULT, overrides: DataFrame | None = None, hashed: Callable[[Column], Column] = content_hash) -> DataFrame:
     """Fetched rows with bounded text, hash, company, stored id and ``change``.
 
     ``overrides``: source_id, external_id, company_id for leads that belong to
-    another company than their source.  The stored side is pruned to four columns.
+    another company than their source.  ``hashed``: the hash that the stored rows have.
+    The stored side is pruned to four columns.
     """
     text, cut = bounded_description(F.col("description_text"), settings.max_description_chars)
     rows = first_of_each(fetched).withColumn("original_chars", F.length("description_text")).withColumn("truncated", cut).withColumn("description_text", text)
-    rows = rows.withColumn("content_hash", content_hash(F.col("description_text")))
+    rows = rows.withColumn("content_hash", hashed(F.col("description_text")))
     if overrides is not None:
         named = overrides.select(*KEY, F.col("company_id").alias("o_company"))
         rows = rows.join(named, list(KEY), "left").withColumn("company_id", F.coalesce("o_company", "company_id")).drop("o_company")

@@ -85,7 +85,7 @@ class Settings:
     default_locations: tuple[str, ...] = ("IN", "Remote")
     max_years: int = 5
     min_description_chars: int = 400
-    max_description_chars: int = 60_000
+    max_description_chars: int | None = 60_000  # None: whole texts
     extract_alerts: bool = False
     close_after: int = 2
     company_match: float = 0.45
